@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnwatch.llm import mixing, sharding
+from tarnwatch.llm import mixing, secret_scan, sharding
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
+    "op2_secrets": secret_scan.op2_secrets,
     "op6_mix": mixing.op6_mix,
 }
 

@@ -92,9 +92,9 @@ _CRC_SQL = """
   sized AS (
     SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
       xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(strlen(coalesce(text, ''))),
-        lambda j: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * j + 1, 2))::UBIGINT)),
+        lambda j: ('0x' || substr(digits, 2 * j + 1, 2))::UBIGINT)),
         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc
-    FROM documents, crc_table
+    FROM (SELECT *, hex(encode(coalesce(text, ''))) AS digits FROM documents), crc_table
   )"""
 
 OP1_SQL = f"""
