@@ -1,0 +1,33 @@
+"""Connected components by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnwatch.scratch import Scratch
+
+
+def connected(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+    """(a, b) pairs of ids -> (node, root): the smallest id that each node reaches, itself included.
+
+    Each round hangs every node's larger neighbours below its smallest one,
+    and then flattens what hangs there; the number of rounds grows with the
+    logarithm of the longest path. Minima are aggregated before they are
+    shuffled, and each round's edges are written to the shared folder.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e, before = scratch.cut(e, "edges"), None
+    for _ in range(most_rounds):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        e = scratch.cut(small, "edges")
+        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now
+    raise RuntimeError(f"components still change after {most_rounds} rounds")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tarnwatch.llm import mixing, secret_scan, sharding
+from tarnwatch.llm import decontaminate, mixing, near_dedup, secret_scan, sharding
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
     "op2_secrets": secret_scan.op2_secrets,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_mix": mixing.op6_mix,
+    "op10_minhash": near_dedup.op10_minhash,
 }
 
 ORACLE_SQL = {
     "op1_shards": sharding.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_mix": mixing.OP6_SQL,
 }
