@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tarnwatch.llm import decontaminate, mixing, near_dedup, secret_scan, sharding
+from tarnwatch.llm import decontaminate, language_id, mixing, near_dedup, neighbours, secret_scan, sharding
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
     "op2_secrets": secret_scan.op2_secrets,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_neighbours": neighbours.op4_neighbours,
+    "op5_language": language_id.op5_language,
+    "pages_language": language_id.pages_language,
     "op6_mix": mixing.op6_mix,
     "op10_minhash": near_dedup.op10_minhash,
 }
@@ -15,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_shards": sharding.OP1_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_neighbours": neighbours.OP4_SQL,
     "op6_mix": mixing.OP6_SQL,
 }
