@@ -84,9 +84,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
 
     base, asking = clean(vectors), scratch.cut(clean(queries).dropDuplicates(["id"]), "queries")
     rows, cols = max(1, -(-base.count() // CANDIDATES)), max(1, -(-asking.count() // QUERIES))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = base.select("id", "v", "dim", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(rows)).alias("row"), spread(cols).cast("long").alias("col"))
-    asked = asking.select("id", "v", "dim", F.lit(True).alias("asks"), spread(rows).cast("long").alias("row"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(cols)).alias("col"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    candidates = base.select("id", "v", "dim", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(rows)).alias("row"), spread(cols).alias("col"))
+    asked = asking.select("id", "v", "dim", F.lit(True).alias("asks"), spread(rows).alias("row"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(cols)).alias("col"))
     tiles = candidates.select("id", "v", "dim", "asks", "row", "col").union(asked.select("id", "v", "dim", "asks", "row", "col"))
     found = tiles.groupBy("dim", "row", "col").applyInArrow(_tile(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
