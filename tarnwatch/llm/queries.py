@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwatch.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, secret_scan, sharding, toxicity
+from tarnwatch.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language": language_id.op5_language,
     "pages_language": language_id.pages_language,
     "op6_mix": mixing.op6_mix,
+    "op7_suffixes": repeats.op7_suffixes,
     "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": near_dedup.op10_minhash,

@@ -17,8 +17,8 @@ PREFIXES = (5, 6, 7)
 #: Training documents at most: confirmed toxic ones, and others whose label is not looked at.
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: A feature is used if positives have it at so many times the unlabelled rate, and the excess
-#: has so large a log-likelihood ratio (24 leaves no chance finds among a million features).
-LEAST_RATIO, LEAST_EVIDENCE = 5.0, 24.0
+#: has so large a log-likelihood ratio (18 leaves no chance finds among a million features).
+LEAST_RATIO, LEAST_EVIDENCE = 4.0, 18.0
 _VALUES, _INSIDE = words.byte_values(words.NOT_ALNUM, fold_case=True)
 _KINDS = words.mixed(np.arange(31, 31 + len(PREFIXES) + 1, dtype=np.uint64))
 
