@@ -22,6 +22,8 @@ BAND = 4
 LEAST_AGREEMENT = 0.62
 #: Documents that are compared with each other in one task.
 BLOCK = 400
+#: Members of clusters up to this number are broadcast to the texts (16 bytes each); beyond it the texts are shuffled.
+MOST_BROADCAST = 2_000_000
 _MULTIPLIERS = words.mixed(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -193,7 +195,8 @@ def near_duplicates(
     near = connected(banded.join(least, "band").select("a", F.col("id").alias("b")).distinct(), scratch).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     near = scratch.cut(near, "clusters")
 
-    sets = texts.join(near, "id").mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, shingles binary, signs binary")
+    members = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
+    sets = texts.join(members, "id").mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, shingles binary, signs binary")
     sizes = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sets = scratch.cut(sets.where("length(shingles) > 0"), "sets")
     blocked = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
