@@ -1,5 +1,68 @@
-"""Corpus pipeline (placeholder until its stages exist)."""
-STAGES = []
+"""From raw documents to shards: language, near copies, benchmark passages, mixture, shards.
+
+Each stage takes (spark, docs, sf_dir) and returns rows with the columns of
+``documents``, the last one also shard and slot. ``run`` writes each stage's
+rows as Parquet and reads them for the next one, so a lost executor costs part
+of one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwatch.llm import decontaminate, joins, language_id, mixing, near_dedup, sharding
+from tarnwatch.scratch import Scratch
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that are in none of the languages: wordless, random bytes, or undecided."""
+    found = language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return joins.without(docs, found.where("not accepted"), Scratch(spark, "language-stage"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    scratch = Scratch(spark, "near-stage")
+    found = scratch.cut(near_dedup.near_duplicates(docs, shingle=5, percent=80), "classes")
+    gone = joins.sized(scratch.cut(found.where("not kept").select("_id").distinct(), "gone"))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    if found.where("kept").groupBy("_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of a benchmark item occurs."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return joins.without(docs, found.where("n_hit > 0"), Scratch(spark, "benchmark-stage"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that sources meet their target weights."""
+    return mixing.repeat_rows(docs, mixing.mix_sources(docs))
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the mixture into eight shards, each with every source's share."""
+    return sharding.attach_shards(docs, sharding.interleaved_shards(docs))
+
+
+STAGES = [
+    ("language identification", known_language),
+    ("near copies", one_of_each),
+    ("benchmark decontamination", not_in_benchmark),
+    ("source mixture", mixed),
+    ("shards", sharded),
+]
+
+#: Trigram models and set similarities are beyond SQL; tests/llm holds a brute-force version against run().
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

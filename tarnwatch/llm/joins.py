@@ -19,3 +19,19 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, by: str, scratch:
         return rows.join(F.broadcast(groups), key, "left")
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
+#: Ids and hashes of rows up to this number are broadcast (16 bytes each); beyond it both sides are shuffled.
+MOST_ROWS = 2_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """The table, marked for a broadcast if it is small enough. It should be a written one, as it is counted."""
+    return F.broadcast(table) if table.count() <= MOST_ROWS else table
+
+
+def without(rows: DataFrame, rejected: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows but those whose (_id, hash of the text) is in ``rejected`` as (_id, _row)."""
+    gone = sized(scratch.cut(rejected.select("_id", "_row").distinct(), "rejected"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_row"))
+    return rows.join(gone, same, "left_anti")

@@ -97,12 +97,10 @@ def mix_sources(
 
 
 def repeat_rows(df: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows themselves, each as often as the mix takes it; the text is shuffled once."""
-    left = ranking.numbered(df, id_col, text_col)
-    right = ranking.numbered_decisions(mixed.where("repeats > 0").select("_id", "_crc", "repeats"))
-    same = left["_id"].eqNullSafe(right["_id"]) & (left["_crc"] == right["_crc"]) & (left["_copy"] == right["_copy"])
-    times = F.explode(F.sequence(F.lit(1), right["repeats"]))
-    return left.join(right, same).select(*[left[c] for c in df.columns], times.alias("_time")).drop("_time")
+    """The rows themselves, each as often as the mix takes it."""
+    times = mixed.where("repeats > 0").select("_id", "_crc", "repeats")
+    found = ranking.attached(df, times, Scratch(df.sparkSession, "mix"), id_col, text_col)
+    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), "repeats"))).select(*df.columns)
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ from tarnwatch.scratch import Scratch
 HASHES = 32
 #: Signature values in a band: 16 bands. At a similarity of 0.85 a pair shares no band once in 130,000 times.
 BAND = 4
-#: Pairs whose 64 signature values agree on less than this share are not compared as sets (5 standard deviations below 0.85).
-LEAST_AGREEMENT = 0.62
+#: Pairs whose 64 signature values agree on so many standard deviations less than the threshold are not compared as sets.
+DEVIATIONS = 5.0
 #: Documents that are compared with each other in one task.
 BLOCK = 400
 #: Members of clusters up to this number are broadcast to the texts (16 bytes each); beyond it the texts are shuffled.
@@ -113,13 +113,14 @@ def _link(ids, sets, signs, labels, left, right, percent) -> list[tuple[int, int
     """Confirmed links between rows ``left`` and ``right`` (positions), none within a class that is already linked."""
     links, found = _Links(labels), []
     sizes = np.array([len(s) for s in sets])
+    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * HASHES)) ** 0.5
     for i in left:
         others = right[right != i] if right is not left else right[right < i]
         if not len(others):
             continue
         n = sizes[others]
         agree = (signs[others] == signs[i]).mean(axis=1)
-        fit = (agree >= LEAST_AGREEMENT) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
+        fit = (agree >= least) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
         for k in np.argsort(-agree, kind="stable")[: int(fit.sum()) if fit.all() else None]:
             if not fit[k]:
                 continue

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.llm.joins import sized
+from tarnwatch.scratch import Scratch
+
 #: Slices of a source; three hexadecimal digits of the shuffle key.
 SLICES = 4096
 WORD = r"[^ \t-\r]+"  # what stands between spaces and \x09-\x0D
@@ -57,11 +60,14 @@ def with_source_totals(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, same).drop("_s", "_b")
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds (_id, _crc, _copy): a name for each row, also where rows repeat."""
-    named = df.withColumns({"_id": F.col(id_col), "_crc": crc(text_col).cast("long")})
-    return named.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(1))))
-
-
-def numbered_decisions(decisions: DataFrame) -> DataFrame:
-    return decisions.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(1))))
+def attached(df: DataFrame, decisions: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Inner join of rows with decisions keyed by (_id, _crc); rows that repeat take the decisions of their copies one each."""
+    decisions = scratch.cut(decisions, "decisions")
+    named = df.withColumns({"_rid": F.col(id_col), "_rcrc": crc(text_col).cast("long")})
+    same = F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rcrc") == F.col("_crc"))
+    copies = Window.partitionBy("_rid", "_rcrc").orderBy(F.lit(1))
+    if decisions.groupBy("_id", "_crc").count().where("count > 1").isEmpty():
+        return named.join(sized(decisions), same).drop("_rid", "_rcrc", "_id", "_crc")
+    named = named.withColumn("_copy", F.row_number().over(copies))
+    numbered = decisions.withColumn("_number", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(1))))
+    return named.join(numbered, same & (F.col("_copy") == F.col("_number"))).drop("_rid", "_rcrc", "_id", "_crc", "_copy", "_number")

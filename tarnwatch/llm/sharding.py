@@ -55,11 +55,8 @@ def interleaved_shards(
 
 
 def attach_shards(df: DataFrame, placed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows themselves with their shard and slot; the text is shuffled once."""
-    left = ranking.numbered(df, id_col, text_col)
-    right = ranking.numbered_decisions(placed.select("_id", "_crc", "shard", "slot"))
-    same = left["_id"].eqNullSafe(right["_id"]) & (left["_crc"] == right["_crc"]) & (left["_copy"] == right["_copy"])
-    return left.join(right.select(*[F.col(c) for c in right.columns]), same).select(*[left[c] for c in df.columns], right["shard"], right["slot"])
+    """The rows themselves with their shard and slot."""
+    return ranking.attached(df, placed.select("_id", "_crc", "shard", "slot"), Scratch(df.sparkSession, "shards"), id_col, text_col)
 
 
 def write_shards(df: DataFrame, path: str) -> None:
