@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.llm import words
-from tarnwatch.llm.components import connected
+from tarnwatch.operators.graph import connected
 from tarnwatch.scratch import Scratch
 
 #: Hash functions; each gives a minimum and a maximum, so 64 signature values.
@@ -80,7 +80,8 @@ def _collect_sets(size: int, separators: bytes):
                 if len(s):
                     sets[i], signs[i] = s.tobytes(), (signature(s) >> np.uint64(56)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("cluster"), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=["id", "cluster", "shingles", "signs"]
+                [*(batch.column(c) for c in ("id", "cluster", "block", "blocks")), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())],
+                names=["id", "cluster", "block", "blocks", "shingles", "signs"],
             )
 
     return run
@@ -191,21 +192,20 @@ def near_duplicates(
     signed = scratch.cut(texts.mapInArrow(_sign(shingle, separators), "id long, n long, low long, high long, bands array<long>"), "signed")
     classes = scratch.cut(signed.where("n > 0").groupBy("low", "high", "n").agg(F.min("id").alias("least")), "classes")
     candidates = signed.join(classes.withColumnRenamed("least", "id"), ["id", "low", "high", "n"], "left_semi").select("id", "bands")
-    banded = scratch.cut(candidates.select("id", F.explode("bands").alias("band")).distinct(), "banded")
+    banded = scratch.cut(candidates.select("id", F.explode("bands").alias("band")), "banded")
     least = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
     near = connected(banded.join(least, "band").select("a", F.col("id").alias("b")).distinct(), scratch).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    near = scratch.cut(near, "clusters")
+    sizes = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = scratch.cut(near.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "clusters")
 
     members = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
-    sets = texts.join(members, "id").mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, shingles binary, signs binary")
-    sizes = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = texts.join(members, "id").mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, block int, blocks int, shingles binary, signs binary")
     sets = scratch.cut(sets.where("length(shingles) > 0"), "sets")
-    blocked = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    first = scratch.cut(blocked.groupBy("cluster", "block").applyInPandas(_within_block(percent), "a long, b long, hub boolean"), "links")
+    first = scratch.cut(sets.groupBy("cluster", "block").applyInPandas(_within_block(percent), "a long, b long, hub boolean"), "links")
     links = first.where("not hub").select("a", "b")
     hubs = first.where("hub").select(F.col("b").alias("cluster"), F.col("a").alias("hub"))
     if not hubs.isEmpty():
-        links = links.union(_between_blocks(blocked, hubs, links, percent, scratch))
+        links = links.union(_between_blocks(sets, hubs, links, percent, scratch))
 
     roots = connected(links, scratch)
     found = classes.join(roots, classes["least"] == roots["node"], "left").select("low", "high", "n", F.coalesce("root", "least").alias("component_id"))
@@ -217,9 +217,9 @@ def near_duplicates(
     ).withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))
 
 
-def _between_blocks(blocked: DataFrame, hubs: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _between_blocks(sets: DataFrame, hubs: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links across the blocks of clusters that have more than one."""
-    wide = blocked.where("blocks > 1")
+    wide = sets.where("blocks > 1")
     hub_sets = hubs.join(wide.select(F.col("id").alias("hub"), "shingles", "signs", "blocks").dropDuplicates(["hub"]), "hub")
     asking = hub_sets.select(
         F.col("hub").alias("id"), "cluster", "shingles", "signs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), F.col("hub").alias("label")
