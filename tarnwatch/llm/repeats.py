@@ -9,8 +9,8 @@ only positions around a sample that another document shares are suffixes to be
 sorted. These too are dealt into buckets, by their sample, and one bucket is
 sorted at a time: by the rank of the sample, then by what surrounds it.
 
-Texts travel in packed groups of about a megabyte, so that a row of a shuffle
-holds a few hundred documents or samples.
+Texts travel in packed groups of a quarter of a megabyte, so that a row of a
+shuffle holds some hundred documents or samples, and a task little memory.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from tarnwatch.scratch import Scratch
 #: Bytes of a string that counts as a repeat, and of a sample.
 LENGTH, SAMPLE = 50, 24
 #: Groups whose samples share a row of the shuffle.
-FLUSH = 16
+FLUSH = 32
+#: Bytes of text in a group; a longer text is a group of its own.
+GROUP_BYTES = 1 << 18
 #: Text for each bucket, and the fewest and most buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 64, 1 << 16
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 64, 1 << 16
 #: Copies up to this number are broadcast (24 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,11 +88,8 @@ def _pack_groups(batches):
     rng = np.random.default_rng()  # group names only have to differ
     for batch in batches:
         ids = batch.column("id").fill_null(_LAST).to_numpy()
-        out = [
-            (int(rng.integers(1, _LAST)), _packed(ids[first : first + n], offsets, data))
-            for first, n, data, offsets in words.parts(batch.column("text"))
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["g", "texts"])
+        for first, n, data, offsets in words.parts(batch.column("text"), GROUP_BYTES):
+            yield _batch([(int(rng.integers(1, _LAST)), _packed(ids[first : first + n], offsets, data))], ("g", "texts"))
 
 
 def _open(blob: bytes):
@@ -131,8 +130,8 @@ def _samples(buckets: int):
         dealer, held = _Dealer(buckets), 0
         give = lambda: _batch([(b, _packed(g, t, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16))) for b, (g, t, h) in dealer.rows()], ("bucket", "blob"))
         for batch in batches:
-            for g, blob in zip(batch.column("g").to_pylist(), batch.column("texts").to_pylist(), strict=True):
-                _, offsets, data = _open(blob)
+            for g, blob in zip(batch.column("g").to_pylist(), batch.column("texts"), strict=True):
+                _, offsets, data = _open(blob.as_py())
                 text, _, _, hashes = sample_runs(data, offsets)
                 order = np.lexsort((hashes, text))
                 text, hashes = text[order], hashes[order]
@@ -182,10 +181,10 @@ def _suffixes(buckets: int):
             return _batch(rows, ("bucket", "blob"))
 
         for batch in batches:
-            for g, blob, found in zip(batch.column("g").to_pylist(), batch.column("texts").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                ids, offsets, data = _open(blob)
+            for g, blob, found in zip(batch.column("g").to_pylist(), batch.column("texts"), batch.column("found"), strict=True):
+                ids, offsets, data = _open(blob.as_py())
                 text, first, n, hashes = sample_runs(data, offsets)
-                parts = [_unpacked(b, np.uint16, np.uint64) for b in found]
+                parts = [_unpacked(b, np.uint16, np.uint64) for b in found.as_py()]
                 known = np.sort(np.concatenate([(t.astype(np.uint64) << np.uint64(48)) | h for t, h in parts]))
                 own = (text.astype(np.uint64) << np.uint64(48)) | hashes
                 place = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -229,35 +228,38 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, ("g", "blob"))])
 
 
-def _remove(batches):
-    for batch in batches:
-        out: list[tuple] = []
-        for blob, found in zip(batch.column("texts").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            ids, offsets, data = _open(blob)
-            steps = np.zeros(len(data) + 1, dtype=np.int32)
-            for b in found or ():
-                text, first, n = _unpacked(b, np.uint16, np.uint32, np.uint32)
-                begin = offsets[text] + first
-                np.add.at(steps, begin, 1)
-                np.add.at(steps, begin + n + LENGTH - 1, -1)
-            gone = np.cumsum(steps[:-1]) > 0
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            opens[offsets[:-1]] = gone[offsets[:-1]]
-            removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (gone, opens))
-            for i in range(len(ids)):
-                own = slice(offsets[i], offsets[i + 1])
-                kept = data[own][~gone[own]].tobytes()
-                out.append((None if ids[i] == _LAST else int(ids[i]), int(offsets[i + 1] - offsets[i]), int(removed[i]), int(spans[i]), hashlib.sha256(kept).hexdigest(), kept))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _remove(keep: bool):
+    def run(batches):
+        for batch in batches:
+            for blob, found in zip(batch.column("texts"), batch.column("found"), strict=True):
+                ids, offsets, data = _open(blob.as_py())
+                steps = np.zeros(len(data) + 1, dtype=np.int32)
+                for b in found.as_py() or ():
+                    text, first, n = _unpacked(b, np.uint16, np.uint32, np.uint32)
+                    begin = offsets[text] + first
+                    np.add.at(steps, begin, 1)
+                    np.add.at(steps, begin + n + LENGTH - 1, -1)
+                gone = np.cumsum(steps[:-1]) > 0
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                opens[offsets[:-1]] = gone[offsets[:-1]]
+                removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (gone, opens))
+                texts = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64(), mask=ids == _LAST), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in texts]),
+                        pa.array(texts if keep else [None] * len(texts), pa.binary()),
+                    ],
+                    names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                )
+
+    return run
 
 
 RESULT = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, *, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes each byte covered by a 50-byte string that a document with a smaller id holds too.
 
     Strings are judged on the input: what is removed elsewhere still counts.
@@ -266,7 +268,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Returns one row for each input row: _id, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256, kept (the bytes that stay, which may
-    end within a character). Null counts as empty; texts below 50 bytes stay
+    end within a character; null without ``keep``). Null counts as empty; texts below 50 bytes stay
     whole; rows with the same id do not remove from each other; a null id is
     larger than all others. Extra columns are ignored.
     """
@@ -289,15 +291,15 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     suffixes = packed.join(shared, "g").mapInArrow(_suffixes(buckets), "bucket long, blob binary")
     gone = suffixes.groupBy("bucket").applyInArrow(_sorted_bucket, "g long, blob binary").groupBy("g").agg(F.collect_list("blob").alias("found"))
     gone = scratch.cut(gone, "gone")
-    cleaned = packed.join(gone, "g", "left").mapInArrow(_remove, RESULT)
+    cleaned = packed.join(gone, "g", "left").mapInArrow(_remove(keep), RESULT)
 
     n = F.octet_length("text").cast("long")
     nothing = F.lit(0).cast("long")
-    short = rows.where(~long).select(F.col("id").alias("_id"), n.alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
-    whole = rows.join(copies, ["id", "digest"]).select(F.col("id").alias("_id"), n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    short = rows.where(~long).select(F.col("id").alias("_id"), n.alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), (F.encode("text", "UTF-8") if keep else F.lit(None).cast("binary")).alias("kept"))
+    whole = rows.join(copies, ["id", "digest"]).select(F.col("id").alias("_id"), n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"" if keep else None).cast("binary").alias("kept"))
     return cleaned.union(short).union(whole)
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs).select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, keep=False).select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -54,7 +54,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(column: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of runs of rows; a null counts as an empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
@@ -64,7 +64,7 @@ def parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     first, n = 0, len(column)
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PART_BYTES, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + part_bytes, side="right")) - 1)
         yield first, last - first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
