@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tarnwatch.plans import evaluations, weather_and_risk
+from tarnwatch.plans import evaluations, grids, weather_and_risk
 
-_MODULES = (weather_and_risk, evaluations)
+_MODULES = (weather_and_risk, evaluations, grids)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
