@@ -36,15 +36,18 @@ def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-
     scratch = Scratch(cells.sparkSession, "fill")
     edge = with_neighbours(cells.select("r", "c", "z"))
     border = F.least(*[F.col(x).isNotNull().cast("int") for x, _, _ in EIGHT]) == 0
-    w = scratch.cut(edge.select("r", "c", "z", F.when(border, F.col("z")).otherwise(F.lit(float("inf"))).alias("w"), border.alias("edge")), "w")
+    border_z = F.when(border, F.col("z")).otherwise(F.lit(float("inf")))
+    water = scratch.cut(edge.select("r", "c", "z", border_z.alias("level"), border.alias("edge")), "level")
     before = None
     for _ in range(most_rounds):
-        n = with_neighbours(w, "w")
+        near = with_neighbours(water, "level")
         lowest = F.least(*[F.col(x) for x, _, _ in EIGHT]) + gradient
-        w = scratch.cut(n.select("r", "c", "z", F.when(F.col("edge"), F.col("z")).otherwise(F.least("w", F.greatest("z", lowest))).alias("w"), "edge"), "w")
-        now = w.agg(F.count_if(F.col("w") == float("inf")), F.sum(F.when(F.col("w") < float("inf"), F.col("w")))).first()
+        level = F.when(F.col("edge"), F.col("z")).otherwise(F.least("level", F.greatest("z", lowest)))
+        water = scratch.cut(near.select("r", "c", "z", level.alias("level"), "edge"), "level")
+        open_cells = F.col("level") == float("inf")
+        now = water.agg(F.count_if(open_cells), F.sum(F.when(~open_cells, F.col("level").cast("decimal(30,9)")))).first()
         if now == before:
-            return w.select("r", "c", F.col("w").alias("z"))
+            return water.select("r", "c", F.col("level").alias("z"))
         before = now
     raise RuntimeError(f"depressions still fill after {most_rounds} rounds")
 

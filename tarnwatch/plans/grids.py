@@ -309,11 +309,6 @@ def _(spark, d):
     return H.snap_to_channel(H.flow_accumulation(H.d8_direction(_z(spark, d)), WIDTH), 50, 50, 6)
 
 
-@query("fill_depressions")
-def _(spark, d):
-    return H.fill_depressions(_z(spark, d))
-
-
 @query("channel_scaling", C + "SELECT r, c, round(least(1, a / 8848), 9) AS dem, round(greatest(0, least(1, (-b / 3 + 30) / 30)), 9) AS sar, round(10 * log10(greatest(a, 0) + 1e-10), 9) AS db FROM cells")
 def _(spark, d):
     a, b = F.col("a"), F.col("b")

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH, _DEFAULT, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
+        if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:  # rows hold whole texts: Python tasks take them in smaller batches
+            spark.conf.set(_BATCH, _ROWS)
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         self._last: dict[str, str] = {}
         self._made = 0
