@@ -16,7 +16,7 @@ _SEED = 20250131
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text hashed at once; a longer text is a part of its own.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 
 
 def byte_values(separators: bytes, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
