@@ -55,15 +55,16 @@ def mix_sources(
 ) -> DataFrame:
     """How often each row is repeated so that sources meet their targets.
 
-    Every row gets the whole repetitions of its source's rate. For the part
-    that is left, rows in seeded order get one more until the next would pass
-    it, and then one row, the one nearest in size to what is missing, closes
-    the gap. Whole documents only; no row is taken more than ``ceil(max_epochs)``
-    times.
-
-    Returns _id, _crc, _size (words), _source, _words_source, target, repeats.
-    A null text has no words, a null source is a source of its own (the last),
-    repeated rows count each by itself, and an empty table gives no rows.
+    Every row gets the whole repetitions of its source's rate. What is left of
+    the target is filled in seeded order: one more repetition of each row until
+    the target is met, the row that meets it in part only. So a source's taken
+    words differ from its target by less than one, one row of a source at most
+    has a broken repetition, and no row is taken more than ``max_epochs`` times.
+
+    Returns _id, _crc, _size (words), _source, _words_source, target, taken
+    (words). A null text has no words, a null source is a source of its own
+    (the last), repeated rows count each by itself, and an empty table gives no
+    rows.
     """
     spark = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(ranking.WORD)), F.lit(0))
@@ -78,27 +79,15 @@ def mix_sources(
     running = F.sum("_size").over(ranking.within_slice().rowsBetween(Window.unboundedPreceding, 0)) + F.col("_words_before")
     taken = taken.withColumns({"_whole": F.floor(rate), "_running": running})
     taken = taken.withColumn("_need", F.col("target") - F.col("_whole") * F.col("_words_source"))
-    taken = taken.withColumns(
-        {"_more": (F.col("_running") <= F.col("_need")) & (F.col("_size") > 0), "_rank": F.row_number().over(ranking.within_slice())}
-    )
-    taken = Scratch(spark, "mix").cut(taken, "taken")
-    missing = taken.groupBy("_source").agg(F.max("_need").alias("_need"), F.sum(F.when(F.col("_more"), F.col("_size")).otherwise(0)).alias("_got"))
-    missing = missing.select(F.col("_source").alias("_t"), (F.col("_need") - F.col("_got")).alias("_missing"))
-    per_slice = slices.select("_s", "_b").join(missing, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    spare = ranking.with_source_totals(taken.where(~F.col("_more") & (F.col("_size") > 0)), per_slice)
-    gap = F.abs(F.col("_size") - F.col("_missing"))
-    nearest = F.min(F.struct(gap.alias("gap"), "_key", "_slice", "_rank", F.col("_missing").alias("missing")))
-    closing = spare.groupBy("_source").agg(nearest.alias("c")).where("c.gap < c.missing")
-    closing = closing.select(F.col("_source").alias("_s"), F.col("c._slice").alias("_b"), F.col("c._rank").alias("_closes"))
-    same = taken["_source"].eqNullSafe(closing["_s"]) & (taken["_slice"] == closing["_b"])
-    chosen = taken.join(closing, same, "left")
-    extra = F.when(F.col("_more") | (F.col("_rank") == F.col("_closes")), 1).otherwise(0)
-    return chosen.select("_id", "_crc", "_size", "_source", "_words_source", "target", (F.col("_whole") + extra).cast("int").alias("repeats"))
+    before = F.col("_running") - F.col("_size")
+    more = F.greatest(F.lit(0), F.least(F.col("_size"), F.floor("_need") - before))
+    words = (F.col("_whole") * F.col("_size") + more).cast("long")
+    return taken.select("_id", "_crc", "_size", "_source", "_words_source", "target", words.alias("taken"))
 
 
 def repeat_rows(df: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows themselves, each as often as the mix takes it."""
-    times = mixed.where("repeats > 0").select("_id", "_crc", "repeats")
+    """The rows themselves, each as often as the mix takes it: whole texts, so a broken repetition is rounded."""
+    times = mixed.where("_size > 0").select("_id", "_crc", F.round(F.col("taken") / F.col("_size")).cast("int").alias("repeats")).where("repeats > 0")
     found = ranking.attached(df, times, Scratch(df.sparkSession, "mix"), id_col, text_col)
     return found.withColumn("_time", F.explode(F.sequence(F.lit(1), "repeats"))).select(*df.columns)
 
@@ -110,7 +99,7 @@ def op6_mix(spark, sf_dir: str) -> DataFrame:
         F.col("_size").alias("size"),
         F.col("_words_source").alias("source_size"),
         "target",
-        (F.col("_size") * F.col("repeats")).cast("long").alias("taken"),
+        "taken",
     )
 
 
@@ -138,15 +127,8 @@ WITH RECURSIVE sized AS (
   SELECT s.*, t.words, t.target, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS whole,
     sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS cum
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), taking AS (
-  SELECT *, target - whole * words AS need, (cum <= target - whole * words AND size > 0) AS more FROM running
-), gaps AS (
-  SELECT source, max(need) - sum(CASE WHEN more THEN size ELSE 0 END) AS missing FROM taking GROUP BY source
-), closing AS (
-  SELECT t.source, arg_min(doc_id, (abs(size - missing), k)) AS closes, min(abs(size - missing)) AS gap, max(missing) AS missing
-  FROM taking t JOIN gaps g ON t.source IS NOT DISTINCT FROM g.source WHERE NOT more AND size > 0 GROUP BY t.source
 )
 SELECT doc_id, size, words AS source_size, target,
-  (size * (whole + CASE WHEN more OR (c.closes = doc_id AND c.gap < c.missing) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM taking t LEFT JOIN closing c ON t.source IS NOT DISTINCT FROM c.source
+  (size * whole + greatest(0, least(size, floor(target - whole * words) - (cum - size))))::BIGINT AS taken
+FROM running
 """

@@ -89,16 +89,16 @@ def test_mix(odd, none):
     targets = {r._source: r.target for r in rows}
     assert abs(sum(targets.values()) - min(1.5 * total, 2 * total)) < 1e-6
     for r in rows:
-        assert 0 <= r.repeats <= 2 and r.target <= 2 * r._words_source + 1e-9
-    assert sorted((r._id is None, r._id or 0, r.repeats) for r in rows) == sorted((r._id is None, r._id or 0, r.repeats) for r in mixing.mix_sources(odd.repartition(5)).collect())
+        assert 0 <= r.taken <= 2 * r._size and r.target <= 2 * r._words_source + 1e-9
+    assert sorted((r._id is None, r._id or 0, r.taken) for r in rows) == sorted((r._id is None, r._id or 0, r.taken) for r in mixing.mix_sources(odd.repartition(5)).collect())
     assert mixing.mix_sources(none).count() == 0
-    assert mixing.repeat_rows(odd.drop("_id"), mixing.mix_sources(odd)).count() == sum(r.repeats for r in rows)
+    assert mixing.repeat_rows(odd.drop("_id"), mixing.mix_sources(odd)).count() == sum(int(r.taken / r._size + 0.5) for r in rows if r._size)
 
 
 def test_taken_words_come_near_the_targets(spark, sf):
     found = mixing.op6_mix(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in found.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("k")).collect():
-        assert abs(r.t - r.k) <= 0.1 * r.t  # some ten documents a source here
+        assert abs(r.t - r.k) < 1
 
 
 BASE = (
@@ -310,7 +310,7 @@ def test_pipeline(spark, sf):
         if any(w[k : k + n].__str__() in windows for n in {min(10, len(b)) for b in bench if b} for k in range(len(w) - n + 1)):
             del left[i]
     mixed = mixing.mix_sources(spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin(*left)))
-    expected = sorted(i for r in mixed.collect() for i in [r._id] * r.repeats)
+    expected = sorted(i for r in mixed.collect() for i in [r._id] * int(r.taken / r._size + 0.5))
     rows = out.collect()
     assert sorted(r.doc_id for r in rows) == expected
     counts = [sum(r.shard == s for r in rows) for s in range(8)]
