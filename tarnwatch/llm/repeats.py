@@ -97,7 +97,8 @@ def _open(blob: bytes):
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+    """Samples have the smallest hashes of their windows, so the hashes are mixed again to spread them evenly."""
+    return ((words.mixed(hashes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 class _Dealer:
