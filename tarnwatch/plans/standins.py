@@ -31,7 +31,7 @@ SQL = {
     "exposures": """
       SELECT l_orderkey AS run_id, l_partkey AS asset_id, l_linenumber AS line,
         CASE l_linenumber % 5 WHEN 0 THEN 'village' WHEN 1 THEN 'bridge' WHEN 2 THEN 'road' WHEN 3 THEN 'well' ELSE 'settlement' END AS asset_type,
-        (l_quantity * 10)::BIGINT AS population, (l_extendedprice::BIGINT % 200)::DOUBLE AS distance_m,
+        (l_quantity * 10)::BIGINT AS population, (floor(l_extendedprice)::BIGINT % 200)::DOUBLE AS distance_m,
         CASE l_linenumber % 5 WHEN 1 THEN 75.0 WHEN 2 THEN 50.0 ELSE 100.0 END::DOUBLE AS buffer_m, l_returnflag = 'R' AS inundated
       FROM lineitem""",
     "reviews": """
@@ -95,7 +95,7 @@ def exposures(spark, sf_dir) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         F.element_at(F.array(*map(F.lit, ("village", "bridge", "road", "well", "settlement"))), (kind + 1).cast("int")).alias("asset_type"),
         (F.col("l_quantity") * 10).cast("long").alias("population"),
-        (F.round("l_extendedprice").cast("long") % 200).cast("double").alias("distance_m"),
+        (F.floor("l_extendedprice") % 200).cast("double").alias("distance_m"),
         F.when(kind == 1, 75.0).when(kind == 2, 50.0).otherwise(100.0).alias("buffer_m"),
         (F.col("l_returnflag") == "R").alias("inundated"),
     )
