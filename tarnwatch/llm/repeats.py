@@ -9,7 +9,7 @@ only positions around a sample that another document shares are suffixes to be
 sorted. These too are dealt into buckets, by their sample, and one bucket is
 sorted at a time: by the rank of the sample, then by what surrounds it.
 
-Texts travel in packed groups of a quarter of a megabyte, so that a row of a
+Texts travel in packed groups of half a megabyte, so that a row of a
 shuffle holds some hundred documents or samples, and a task little memory.
 """
 
@@ -31,9 +31,9 @@ LENGTH, SAMPLE = 50, 24
 #: Groups whose samples share a row of the shuffle.
 FLUSH = 32
 #: Bytes of text in a group; a longer text is a group of its own.
-GROUP_BYTES = 1 << 18
+GROUP_BYTES = 1 << 19
 #: Text for each bucket, and the fewest and most buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 64, 1 << 16
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 64, 1 << 16
 #: Copies up to this number are broadcast (24 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
