@@ -25,9 +25,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each class of near copies: five-word shingles, similarity 0.8 or more."""
     scratch = Scratch(spark, "near-stage")
     found = scratch.cut(near_dedup.near_duplicates(docs, shingle=5, percent=80), "classes")
-    gone = joins.sized(scratch.cut(found.where("not kept").select("_id").distinct(), "gone"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-    if found.where("kept").groupBy("_id").count().where("count > 1").isEmpty():
+    kept = joins.without(docs, found.where("not kept"), scratch)
+    if found.where("kept").groupBy("_id", "_row").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
 

@@ -65,8 +65,8 @@ def _sign(size: int, separators: bytes):
                     low[i], high[i] = m.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(words.mixed(m)).view(np.int64)
                     keys[i] = words.mixed((signature(s).reshape(-1, BAND) * weights).sum(axis=1, dtype=np.uint64) + bands).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(count), pa.array(low), pa.array(high), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "low", "high", "bands"],
+                [batch.column("id"), batch.column("row"), pa.array(count), pa.array(low), pa.array(high), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "row", "n", "low", "high", "bands"],
             )
 
     return run
@@ -182,16 +182,25 @@ def near_duplicates(
        every block. So a group of copies is never expanded into all pairs, and
        no pair of one cluster that could join two classes is left out.
 
-    Returns one row for each input row: _id, n_shingles, component_id (the
-    smallest id reachable), kept. A null or wordless text has no shingles and
-    is linked with nothing; rows that repeat are one class; a null id can only
-    be reached by equality. Extra columns are ignored.
+    Links are between sets, each named by a 64-bit hash of its first id and
+    text, so ids may be null or repeat with other texts.
+
+    Returns one row for each input row: _id, _row (the text's hash), n_shingles,
+    component_id (the smallest id reachable), kept. Of a class the row with the
+    smallest id is kept, and of equal ids that with the smallest _row; a null
+    id is larger than all others. A null or wordless text has no shingles and
+    is linked with nothing; rows that repeat are one class, all kept or none.
+    Extra columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "near")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.cut(texts.mapInArrow(_sign(shingle, separators), "id long, n long, low long, high long, bands array<long>"), "signed")
-    classes = scratch.cut(signed.where("n > 0").groupBy("low", "high", "n").agg(F.min("id").alias("least")), "classes")
-    candidates = signed.join(classes.withColumnRenamed("least", "id"), ["id", "low", "high", "n"], "left_semi").select("id", "bands")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
+    signed = scratch.cut(texts.mapInArrow(_sign(shingle, separators), "id long, row long, n long, low long, high long, bands array<long>"), "signed")
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    classes = signed.where("n > 0").groupBy("low", "high", "n").agg(F.min(own).alias("first"))
+    classes = scratch.cut(classes.withColumn("node", F.xxhash64("first.id", "first.row")), "classes")
+    node = F.xxhash64("id", "row").alias("id")
+    named = signed.select(node, "low", "high", "n", "bands")
+    candidates = named.join(classes.withColumnRenamed("node", "id"), ["id", "low", "high", "n"], "left_semi").select("id", "bands")
     banded = scratch.cut(candidates.select("id", F.explode("bands").alias("band")), "banded")
     least = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
     near = connected(banded.join(least, "band").select("a", F.col("id").alias("b")).distinct(), scratch).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
@@ -199,7 +208,10 @@ def near_duplicates(
     near = scratch.cut(near.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "clusters")
 
     members = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
-    sets = texts.join(members, "id").mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, block int, blocks int, shingles binary, signs binary")
+    of_members = texts.select(node, "text").join(members, "id")
+    if banded.count() > 2 * HASHES // BAND * classes.count():  # a first row repeats
+        of_members = of_members.dropDuplicates(["id"])
+    sets = of_members.mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, block int, blocks int, shingles binary, signs binary")
     sets = scratch.cut(sets.where("length(shingles) > 0"), "sets")
     first = scratch.cut(sets.groupBy("cluster", "block").applyInPandas(_within_block(percent), "a long, b long, hub boolean"), "links")
     links = first.where("not hub").select("a", "b")
@@ -207,14 +219,18 @@ def near_duplicates(
     if not hubs.isEmpty():
         links = links.union(_between_blocks(sets, hubs, links, percent, scratch))
 
-    roots = connected(links, scratch)
-    found = classes.join(roots, classes["least"] == roots["node"], "left").select("low", "high", "n", F.coalesce("root", "least").alias("component_id"))
-    every = signed.select("id", "n", "low", "high").join(found, ["low", "high", "n"], "left")
+    linked = classes.join(scratch.cut(connected(links, scratch), "roots"), "node", "left")
+    leaders = linked.where("root is not null").groupBy("root").agg(F.min("first").alias("leader"))
+    found = linked.join(leaders, "root", "left").select("low", "high", "n", F.coalesce("leader", "first").alias("leader"))
+    every = signed.select("id", "row", "n", "low", "high").join(found, ["low", "high", "n"], "left")
+    alone = F.col("n") == 0
     return every.select(
         F.col("id").alias("_id"),
+        F.col("row").alias("_row"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    ).withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))
+        F.when(alone, F.col("id")).otherwise(F.col("leader.id")).alias("component_id"),
+        (alone | (F.col("id").eqNullSafe(F.col("leader.id")) & F.col("row").eqNullSafe(F.col("leader.row")))).alias("kept"),
+    )
 
 
 def _between_blocks(sets: DataFrame, hubs: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:

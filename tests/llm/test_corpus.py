@@ -256,6 +256,23 @@ def test_near_duplicates_with_blocks(spark, monkeypatch, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_copies_where_ids_are_null_or_repeat(spark, sf):
+    rng = random.Random(9)
+    prose = lambda: [f"w{rng.randint(0, 9000)}" for _ in range(90)]
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    a, b, c, d, e, f, near_a, near_b, near_e, near_f = *(" ".join(x) for x in (a, b, c, d, e, f)), *(near(x) for x in (a, b, e, f))
+    kept = [(3, a), (7, b), (None, c), (None, d), (8, "alone here with few words"), (None, e), (5, near_f)]
+    gone = [(7, near_a), (None, a), (9, near_b), (None, near_b), (None, c), (None, c + " "), (None, near_e), (8, f)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in kept + gone]
+    out = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    one_of = [{(None, c), (None, c + " ")}, {(None, e), (None, near_e)}]  # of equal ids either text may stay
+    assert len(found) == len(kept)
+    assert all(len(pair & set(found)) == 1 for pair in one_of)
+    assert set(found) - set.union(*one_of) == set(kept) - set.union(*one_of)
+
+
 def test_min_max_agreement_estimates_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 1000, dtype=np.uint64)
