@@ -16,9 +16,9 @@ BUCKET_BITS = 20
 PREFIXES = (5, 6, 7)
 #: Training documents at most: confirmed toxic ones, and others whose label is not looked at.
 POSITIVES, UNLABELLED = 4_000, 12_000
-#: A feature is used if positives have it at so many times the unlabelled rate, and the excess
-#: has so large a log-likelihood ratio (18 leaves no chance finds among a million features).
-LEAST_RATIO, LEAST_EVIDENCE = 4.0, 18.0
+#: A feature is used if positives have it at so many times the rate of the negatives (the unlabelled
+#: rate less the positives' share of it), and of the used ones so large a share at most is expected by chance.
+LEAST_RATIO, FALSE_FINDS = 4.0, 0.001
 _VALUES, _INSIDE = words.byte_values(words.NOT_ALNUM, fold_case=True)
 _KINDS = words.mixed(np.arange(31, 31 + len(PREFIXES) + 1, dtype=np.uint64))
 
@@ -68,6 +68,19 @@ def _without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     return list(kept.values())
 
 
+def _beyond_chance(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Features that positives have more often than unlabelled documents, by Benjamini-Hochberg.
+
+    Given p + u finds, p is binomial if both have the same rate; Chernoff's bound stands for the tail.
+    """
+    share, total = n_p / (n_p + n_u), np.maximum(p + u, 1)
+    part = lambda k, f: k * np.log(np.maximum(k, 1e-9) / (total * f))
+    tail = np.where(p > share * total, np.exp(-(part(p, share) + part(u, 1 - share))), 1.0)
+    ranked = np.sort(tail[p + u > 0])
+    passed = np.flatnonzero(ranked <= FALSE_FINDS * np.arange(1, len(ranked) + 1) / max(1, len(ranked)))
+    return tail <= (ranked[passed[-1]] if len(passed) else -1.0)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, decay: float = 1e-3) -> Model:
     """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss.
 
@@ -81,8 +94,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     count = lambda docs: np.bincount(np.concatenate(docs), minlength=size).astype(float)
     p, u = count(positive), count(unlabelled)
     expected = (u + 0.5) * len(positive) / len(unlabelled)
-    evidence = p * np.log(np.maximum(p, 1e-9) / expected) - (p - expected)
-    chosen = np.flatnonzero((p >= LEAST_RATIO * expected) & (evidence >= LEAST_EVIDENCE))
+    ratio = LEAST_RATIO / (1 + (LEAST_RATIO - 1) * prior)  # of the unlabelled rate; below 1 / prior, the most that can be
+    chosen = np.flatnonzero((p >= ratio * expected) & _beyond_chance(p, u, len(positive), len(unlabelled)))
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
 

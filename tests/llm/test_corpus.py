@@ -314,6 +314,18 @@ def test_non_negative_risk_learns_from_positives_and_unlabelled():
     assert set(model.buckets) == {9000, 9001, 9002} and (model.weights > 0).all()
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5])
+def test_toxic_words_are_learned_at_any_share(share):
+    rng = np.random.default_rng(12)
+    make = lambda bad: np.unique(np.append(rng.integers(0, 5000, 30), [9000 + rng.integers(0, 3)] if bad else [])).astype(np.int64)
+    unlabelled = [make(rng.random() < share) for _ in range(3000)]
+    model = toxicity.fit([make(True) for _ in range(600)], unlabelled, share)
+    assert {9000, 9001, 9002} <= set(model.buckets) and len(model.buckets) <= 4
+    score = lambda d: toxicity.sigmoid(model.bias + model.weights[np.isin(model.buckets, d)].sum())
+    tested = [(bad, score(make(bad)) >= 0.3) for bad in [True, False] * 200]
+    assert sum(bad == found for bad, found in tested) >= 380
+
+
 def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
