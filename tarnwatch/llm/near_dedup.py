@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.llm import words
+from tarnwatch.llm.joins import sized
 from tarnwatch.operators.graph import connected
 from tarnwatch.scratch import Scratch
 
-#: Hash functions; each gives a minimum and a maximum, so 64 signature values.
-HASHES = 32
-#: Signature values in a band: 16 bands. At a similarity of 0.85 a pair shares no band once in 130,000 times.
+#: Signature values in a band.
 BAND = 4
-#: Pairs whose 64 signature values agree on so many standard deviations less than the threshold are not compared as sets.
-DEVIATIONS = 5.0
-#: Documents that are compared with each other in one task.
-BLOCK = 400
-#: Members of clusters up to this number are broadcast to the texts (16 bytes each); beyond it the texts are shuffled.
-MOST_BROADCAST = 2_000_000
-_MULTIPLIERS = words.mixed(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
+#: How often at most a pair at the threshold may share no band; the number of bands follows from it.
+MISS = 1e-5
+#: Sets, and shingles of sets together, that are compared with each other at once.
+BLOCK, BLOCK_SHINGLES = 400, 1 << 20
+
+
+def bands_for(percent: int) -> int:
+    """Bands of four values such that a pair at the threshold shares none once in 100,000 times: 16 at 85, 22 at 80."""
+    missed = 1 - (percent / 100) ** BAND
+    return max(1, math.ceil(math.log(MISS) / math.log(missed))) if missed > 0 else 1
 
 
 def shingle_sets(column: pa.Array, size: int, separators: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,15 +45,17 @@ def shingle_sets(column: pa.Array, size: int, separators: bytes) -> Iterator[tup
                 yield first + i, words.shingle_hashes(hashes[a:b], max(1, int(b - a)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """Minimum and maximum under each permutation, spread by a last mixing step."""
-    h = shingles[None, :] * _MULTIPLIERS[:, None]
+    factors = words.mixed(np.arange(101, 101 + hashes, dtype=np.uint64)) | np.uint64(1)
+    h = shingles[None, :] * factors[:, None]
     return words.mixed(np.concatenate([h.min(axis=1), h.max(axis=1)]))
 
 
-def _sign(size: int, separators: bytes):
+def _sign(size: int, separators: bytes, bands: int):
     weights = words.mixed(np.arange(7, 7 + BAND, dtype=np.uint64)) | np.uint64(1)
-    bands = np.arange(2 * HASHES // BAND, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    names = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = -(-bands * BAND // 2)
 
     def run(batches):
         for batch in batches:
@@ -63,7 +67,8 @@ def _sign(size: int, separators: bytes):
                 if len(s):
                     m = words.mixed(s)
                     low[i], high[i] = m.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(words.mixed(m)).view(np.int64)
-                    keys[i] = words.mixed((signature(s).reshape(-1, BAND) * weights).sum(axis=1, dtype=np.uint64) + bands).view(np.int64)
+                    values = signature(s, hashes)[: bands * BAND].reshape(-1, BAND)
+                    keys[i] = words.mixed((values * weights).sum(axis=1, dtype=np.uint64) + names).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), pa.array(count), pa.array(low), pa.array(high), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "row", "n", "low", "high", "bands"],
@@ -75,89 +80,106 @@ def _sign(size: int, separators: bytes):
 def _collect_sets(size: int, separators: bytes):
     def run(batches):
         for batch in batches:
-            sets, signs = [b""] * batch.num_rows, [b""] * batch.num_rows
+            sets = [b""] * batch.num_rows
             for i, s in shingle_sets(batch.column("text"), size, separators):
-                if len(s):
-                    sets[i], signs[i] = s.tobytes(), (signature(s) >> np.uint64(56)).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "cluster", "block", "blocks")), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())],
-                names=["id", "cluster", "block", "blocks", "shingles", "signs"],
-            )
+                sets[i] = s.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
 
-class _Links:
-    """Union-find over the rows of a block."""
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
-    def __init__(self, labels):
-        self.up = list(range(len(labels)))
-        first: dict = {}
-        for i, x in enumerate(labels):
-            self.join(first.setdefault(x, i), i)
 
-    def root(self, i):
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+def _similar(n: int, m: int, both: int, percent: int) -> bool:
+    return 100 * both >= percent * (n + m - both)
 
-    def join(self, i, j):
-        self.up[self.root(i)] = self.root(j)
 
+def _both(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
 
+def _links(pairs: list) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _link(ids, sets, signs, labels, left, right, percent) -> list[tuple[int, int]]:
-    """Confirmed links between rows ``left`` and ``right`` (positions), none within a class that is already linked."""
-    links, found = _Links(labels), []
-    sizes = np.array([len(s) for s in sets])
-    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * HASHES)) ** 0.5
-    for i in left:
-        others = right[right != i] if right is not left else right[right < i]
-        if not len(others):
-            continue
-        n = sizes[others]
-        agree = (signs[others] == signs[i]).mean(axis=1)
-        fit = (agree >= least) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
-        for k in np.argsort(-agree, kind="stable")[: int(fit.sum()) if fit.all() else None]:
-            if not fit[k]:
-                continue
-            j = int(others[k])
-            if links.root(i) != links.root(j) and _similar(sets[i], sets[j], percent):
-                links.join(i, j)
-                found.append((int(ids[i]), int(ids[j])))
-    return found
 
+def _against_hub(percent: int):
+    """Rows come sorted by hub and part, the hub's own set first; confirmed links to it."""
 
-def _unpacked(pdf: pd.DataFrame):
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]]
-    return pdf["id"].to_numpy(), sets, np.frombuffer(b"".join(pdf["signs"]), dtype=np.uint8).reshape(len(pdf), -1)
+    def run(batches):
+        hub = None
+        for batch in batches:
+            found = []
+            nodes, hubs, sets = batch.column("node").to_pylist(), batch.column("hub").to_pylist(), batch.column("shingles")
+            for i, (node, name) in enumerate(zip(nodes, hubs, strict=True)):
+                own = _set(sets[i])
+                if node == name:
+                    hub = own.copy()
+                elif _similar(len(own), len(hub), _both(own, hub), percent):
+                    found.append((node, name))
+            yield _links(found)
 
+    return run
 
-def _within_block(percent: int):
-    """All pairs of a block; in the first block of a larger cluster also its hub, the row most like the others."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets, signs = _unpacked(pdf)
-        every = np.arange(len(ids))
-        found = [(a, b, False) for a, b in _link(ids, sets, signs, range(len(ids)), every, every, percent)]
-        if pdf["blocks"].iloc[0] > 1 and pdf["block"].iloc[0] == 0:
-            typical = np.array([(signs == s).mean() for s in signs]).argmax()
-            found.append((int(ids[typical]), int(pdf["cluster"].iloc[0]), True))
-        return pd.DataFrame(found, columns=["a", "b", "hub"])
+def _linked_in(nodes: list, labels: list, sets: list, asks: np.ndarray, home: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows that ask and rows at home, none within a class that is already linked.
 
-    return run
+    One sorted index over all sets gives a row's intersections with all others at once.
+    """
+    up: dict = {x: x for x in labels}
 
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
-def _against_block(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets, signs = _unpacked(pdf)
-        asks = pdf["asks"].to_numpy()
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        return pd.DataFrame(_link(ids, sets, signs, pdf["label"].to_list(), left, right, percent), columns=["a", "b"])
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found, right = [], np.flatnonzero(home)
+    for i in np.flatnonzero(asks):
+        own = root(labels[i])
+        if all(root(labels[j]) == own for j in right):
+            continue
+        begin, end = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        counts = end - begin
+        where = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(owner[where], minlength=len(sets))
+        for j in right[100 * both[right] >= percent * (sizes[right] + sizes[i] - both[right])]:
+            if root(labels[j]) != root(labels[i]):
+                up[root(labels[j])] = root(labels[i])
+                found.append((nodes[i], nodes[j]))
+    return found
+
+
+def _in_blocks(percent: int):
+    """Rows come sorted by band, block and part; links within each run of them."""
+
+    def run(batches):
+        key, held = None, []
+
+        def linked():
+            nodes, labels, asks, home, sets = zip(*held, strict=True)
+            return _linked_in(nodes, labels, sets, np.array(asks), np.array(home), percent)
+
+        for batch in batches:
+            found, sets = [], batch.column("shingles")
+            columns = [batch.column(c).to_pylist() for c in ("band", "block", "part", "node", "label", "asks", "home")]
+            for i, (band, block, part, node, label, asks, home) in enumerate(zip(*columns, strict=True)):
+                if (band, block, part) != key:
+                    if held:
+                        found += linked()
+                    key, held = (band, block, part), []
+                held.append((node, label, asks, home, _set(sets[i]).copy()))
+            yield _links(found)
+        if held:
+            yield _links(linked())
 
     return run
 
@@ -174,90 +196,108 @@ def near_duplicates(
     """Classes of documents whose shingle sets are similar, linked directly or through others.
 
     1. Each text becomes its set of word shingles (A-Z as a-z) and a min-max
-       signature; documents with equal sets are one candidate.
-    2. Candidates that share a band form clusters (a superset of the classes).
-    3. Clusters are compared in blocks of 400 on their whole sets. A larger
-       cluster has several blocks: its members are compared with a hub, the
-       most typical row of the first block, and those not reached by then with
-       every block. So a group of copies is never expanded into all pairs, and
-       no pair of one cluster that could join two classes is left out.
+       signature; documents with equal sets are one candidate. The number of
+       bands follows from the threshold (``bands_for``).
+    2. Of the candidates in a bucket (one band's value) the smallest is its hub.
+       Each candidate is compared, on whole sets, with the hub that shares most
+       bands with it, in parts of 400. So a large group of copies hangs on its
+       hub and is never expanded into pairs.
+    3. A bucket is done if its members have one label by then. In every other
+       one (one of those with the same members), rows that do not have its most
+       frequent label are compared with all its rows, block by block, by an
+       index of whole sets. No pair of a bucket that could join two classes is
+       left out; a pair that shares no bucket is never looked at.
+    4. Confirmed links are joined into classes once.
 
     Links are between sets, each named by a 64-bit hash of its first id and
-    text, so ids may be null or repeat with other texts.
+    text, so ids may be null or repeat with other texts: such rows are
+    documents of their own.
 
     Returns one row for each input row: _id, _row (the text's hash), n_shingles,
     component_id (the smallest id reachable), kept. Of a class the row with the
     smallest id is kept, and of equal ids that with the smallest _row; a null
     id is larger than all others. A null or wordless text has no shingles and
     is linked with nothing; rows that repeat are one class, all kept or none.
-    Extra columns are ignored.
+    Long texts are taken whole (a set of up to 8 bytes a word is held in
+    memory); an empty table gives no rows. Extra columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "near")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
-    signed = scratch.cut(texts.mapInArrow(_sign(shingle, separators), "id long, row long, n long, low long, high long, bands array<long>"), "signed")
-    own = F.struct(F.col("id").isNull().alias("last"), "id", "row")
-    classes = signed.where("n > 0").groupBy("low", "high", "n").agg(F.min(own).alias("first"))
+    signed = scratch.cut(texts.mapInArrow(_sign(shingle, separators, bands_for(percent)), "id long, row long, n long, low long, high long, bands array<long>"), "signed")
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "row", "bands")
+    classes = signed.where("n > 0").groupBy("low", "high", "n").agg(F.min(own).alias("first"), F.count("*").alias("rows"))
     classes = scratch.cut(classes.withColumn("node", F.xxhash64("first.id", "first.row")), "classes")
-    node = F.xxhash64("id", "row").alias("id")
-    named = signed.select(node, "low", "high", "n", "bands")
-    candidates = named.join(classes.withColumnRenamed("node", "id"), ["id", "low", "high", "n"], "left_semi").select("id", "bands")
-    banded = scratch.cut(candidates.select("id", F.explode("bands").alias("band")), "banded")
-    least = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
-    near = connected(banded.join(least, "band").select("a", F.col("id").alias("b")).distinct(), scratch).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    sizes = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    near = scratch.cut(near.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "clusters")
-
-    members = F.broadcast(near) if near.count() <= MOST_BROADCAST else near
-    of_members = texts.select(node, "text").join(members, "id")
-    if banded.count() > 2 * HASHES // BAND * classes.count():  # a first row repeats
-        of_members = of_members.dropDuplicates(["id"])
-    sets = of_members.mapInArrow(_collect_sets(shingle, separators), "id long, cluster long, block int, blocks int, shingles binary, signs binary")
-    sets = scratch.cut(sets.where("length(shingles) > 0"), "sets")
-    first = scratch.cut(sets.groupBy("cluster", "block").applyInPandas(_within_block(percent), "a long, b long, hub boolean"), "links")
-    links = first.where("not hub").select("a", "b")
-    hubs = first.where("hub").select(F.col("b").alias("cluster"), F.col("a").alias("hub"))
-    if not hubs.isEmpty():
-        links = links.union(_between_blocks(sets, hubs, links, percent, scratch))
-
-    linked = classes.join(scratch.cut(connected(links, scratch), "roots"), "node", "left")
-    leaders = linked.where("root is not null").groupBy("root").agg(F.min("first").alias("leader"))
-    found = linked.join(leaders, "root", "left").select("low", "high", "n", F.coalesce("leader", "first").alias("leader"))
-    every = signed.select("id", "row", "n", "low", "high").join(found, ["low", "high", "n"], "left")
-    alone = F.col("n") == 0
-    return every.select(
-        F.col("id").alias("_id"),
-        F.col("row").alias("_row"),
-        F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("id")).otherwise(F.col("leader.id")).alias("component_id"),
-        (alone | (F.col("id").eqNullSafe(F.col("leader.id")) & F.col("row").eqNullSafe(F.col("leader.row")))).alias("kept"),
-    )
-
 
-def _between_blocks(sets: DataFrame, hubs: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links across the blocks of clusters that have more than one."""
-    wide = sets.where("blocks > 1")
-    hub_sets = hubs.join(wide.select(F.col("id").alias("hub"), "shingles", "signs", "blocks").dropDuplicates(["hub"]), "hub")
-    asking = hub_sets.select(
-        F.col("hub").alias("id"), "cluster", "shingles", "signs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), F.col("hub").alias("label")
+    banded = classes.select("node", "n", F.explode("first.bands").alias("band"))
+    buckets = scratch.cut(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub"), "buckets")
+    members = scratch.cut(banded.join(sized(buckets), "band"), "members")
+    wanted = scratch.cut(members.select("node").distinct(), "wanted")
+    node = F.xxhash64("id", "row")
+    sets = texts.select(node.alias("node"), "text").join(sized(wanted), "node").mapInArrow(_collect_sets(shingle, separators), "node long, shingles binary")
+    sets, (n_sets,) = scratch.replace(sets, "sets")
+    if n_sets > wanted.count():  # rows repeat
+        sets = scratch.cut(sets.dropDuplicates(["node"]), "sets")
+
+    links = scratch.cut(_links_to_hubs(members, sets, percent, scratch), "links")
+    parents = sized(links.select(F.col("a").alias("node"), F.col("b").alias("up")))
+    labels = scratch.cut(links.select(F.col("a").alias("child"), F.col("b").alias("node")).join(parents, "node", "left").select(F.col("child").alias("node"), F.coalesce("up", "node").alias("label")), "labels")
+    links = links.union(_links_in_buckets(members.join(sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), sets, percent, scratch))
+
+    roots = scratch.cut(connected(links, scratch), "roots")
+    linked = classes.join(sized(roots), "node", "left").withColumn("first", F.struct("first.last", "first.id", "first.row"))
+    linked = scratch.cut(linked.where("root is not null or rows > 1").select("low", "high", "n", "first", "root"), "linked")
+    leaders = sized(scratch.cut(linked.where("root is not null").groupBy("root").agg(F.min("first").alias("leader")), "leaders"))
+    found = linked.join(leaders, "root", "left").select("low", "high", "n", F.coalesce("leader", "first").alias("leader"))
+    found = scratch.cut(found.select("low", "high", "n", F.col("leader.id").alias("leader_id"), F.col("leader.row").alias("leader_row")), "found")
+    rows = signed.select("id", "row", "n", "low", "high")
+    joined = rows.where("n > 0").join(sized(found), ["low", "high", "n"], "left")  # a class that is not there is one row, its own leader
+    alone = F.col("leader_row").isNull()
+    joined = joined.select(
+        "id", "row", "n", F.when(alone, F.col("id")).otherwise(F.col("leader_id")).alias("component_id"), (alone | (F.col("id").eqNullSafe(F.col("leader_id")) & (F.col("row") == F.col("leader_row")))).alias("kept")
     )
-    members = wide.select("id", "cluster", "shingles", "signs", "block", F.lit(False).alias("asks"), F.col("id").alias("label"))
-    with_hub = members.union(asking).groupBy("cluster", "block").applyInPandas(_against_block(percent), "a long, b long")
-    with_hub = scratch.cut(with_hub, "links")
-
-    roots = scratch.cut(connected(links.union(with_hub), scratch), "roots")
-    label = F.coalesce("root", "id")
-    labelled = wide.join(roots, wide["id"] == roots["node"], "left").select("id", "cluster", "shingles", "signs", "blocks", "block", label.alias("label"))
-    of_hub = hubs.join(roots, hubs["hub"] == roots["node"], "left").select("cluster", F.coalesce("root", "hub").alias("main"))
-    labelled = scratch.cut(labelled.join(of_hub, "cluster"), "labelled")
-    outside = labelled.where("label <> main")
-    parts = outside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asking = outside.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int"))
-    asking = asking.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-    asking = asking.select("id", "cluster", "shingles", "signs", F.col("to").alias("block"), "part", F.lit(True).alias("asks"), "label")
-    members = labelled.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("id", "cluster", "shingles", "signs", "block", "part", F.lit(False).alias("asks"), "label")
-    across = members.union(asking).groupBy("cluster", "block", "part").applyInPandas(_against_block(percent), "a long, b long")
-    return with_hub.union(scratch.cut(across, "links"))
+    wordless = rows.where("n = 0").select("id", "row", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return joined.union(wordless).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _links_to_hubs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Each node against the hub with which it shares most bands, of equal ones the smallest."""
+    shared = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    best = F.max(F.struct("shared", F.bitwise_not("hub").alias("not_hub")))
+    spokes = scratch.cut(shared.groupBy("node").agg(best.alias("best")).select("node", F.bitwise_not("best.not_hub").alias("hub")), "spokes")
+    hubs = spokes.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    hubs = scratch.cut(hubs.select(F.col("hub").alias("node"), F.col("hub"), "parts"), "hubs")
+    parts = sized(hubs.select("hub", "parts"))
+    dealt = spokes.join(parts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    dealt = scratch.cut(dealt, "dealt")
+    rows = sets.join(sized(dealt), "node").select("hub", "part", "node", "shingles")
+    centres = sets.join(sized(hubs), "node").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "shingles")
+    rows = rows.union(centres).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    return rows.select("node", "hub", "shingles").mapInArrow(_against_hub(percent), "a long, b long")
+
+
+def _links_in_buckets(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between rows of a bucket that have different labels."""
+    marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum("n").alias("total"), *marks).where("low < high")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.groupBy("m", "total", "x", "y").agg(F.min("band").alias("band")).select("band", blocks.alias("blocks"))
+    mixed = scratch.cut(mixed, "mixed")
+    if mixed.isEmpty():
+        return scratch.spark.createDataFrame([], "a long, b long")
+    rows = scratch.cut(members.join(sized(mixed), "band").select("band", "node", "label", "n", "blocks"), "in-mixed")
+    by_label = rows.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    cores = by_label.groupBy("band").agg(F.max(F.struct("c", "label", "total")).alias("core"), F.sum("c").alias("m"), F.sum("total").alias("total"))
+    outside = F.greatest((F.col("m") - F.col("core.c")) / BLOCK, (F.col("total") - F.col("core.total")) / BLOCK_SHINGLES)
+    cores = scratch.cut(cores.select("band", F.col("core.label").alias("core"), F.ceil(outside).cast("int").alias("parts")), "cores")
+    rows = rows.join(sized(cores), "band").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks").cast("int"), "own": F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"), "outside": F.col("label") != F.col("core")})
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda block, part, asks, home: F.struct(block.alias("block"), part.alias("part"), asks.alias("asks"), home.alias("home"))
+    asking = F.transform(upto("blocks"), lambda b: place(b, F.col("own"), F.lit(True), b == F.col("block")))
+    at_home = F.transform(F.filter(upto("parts"), lambda p: ~F.col("outside") | (p != F.col("own"))), lambda p: place(F.col("block"), p, F.lit(False), F.lit(True)))
+    places = F.concat(F.when(F.col("outside"), asking).otherwise(F.slice(asking, 1, 0)), at_home)
+    dealt = rows.select("band", "node", "label", F.explode(places).alias("to")).select("band", "node", "label", "to.*")
+    dealt = dealt.join(sets, "node").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "node")
+    return scratch.cut(dealt.mapInArrow(_in_blocks(percent), "a long, b long"), "links")
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:

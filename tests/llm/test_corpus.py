@@ -238,7 +238,7 @@ def brute_near(rows, size, percent):
 
 
 def test_near_duplicates_with_blocks(spark, monkeypatch, none):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)  # several blocks, a hub, and outsiders
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)  # several parts of a hub, blocks, and outsiders
     rng = random.Random(6)
     base = [f"w{rng.randint(0, 500)}" for _ in range(80)]
     rows = []
@@ -277,7 +277,7 @@ def test_min_max_agreement_estimates_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 1000, dtype=np.uint64)
     a, b = np.unique(x[:900]), np.unique(x[100:])
-    assert abs((near_dedup.signature(a) == near_dedup.signature(b)).mean() - 0.8) < 0.2
+    assert abs((near_dedup.signature(a, 32) == near_dedup.signature(b, 32)).mean() - 0.8) < 0.2
 
 
 def auc(score, label):
