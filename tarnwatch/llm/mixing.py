@@ -19,7 +19,9 @@ def water_fill(sources: DataFrame, *, weights: Sequence[float] = (3, 1, 2), shar
     ``max_epochs`` times its words is clamped there and the excess is shared
     among the others by weight, again until none is above. Clamping runs in
     order of words per weight, so prefix sums over the sources give the point
-    at which it ends; there is one row for each source here.
+    at which it ends. There is one short row for each source here, and their
+    order is one task's work: some million sources are fine, a source for each
+    document is not.
     """
     in_order = Window.orderBy(F.col("_source").asc_nulls_last())
     kinds = F.array(*[F.lit(float(w)) for w in weights])
@@ -64,7 +66,7 @@ def mix_sources(
     Returns _id, _crc, _size (words), _source, _words_source, target, taken
     (words). A null text has no words, a null source is a source of its own
     (the last), repeated rows count each by itself, and an empty table gives no
-    rows.
+    rows. Long texts are only counted. Other columns are ignored.
     """
     spark = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(ranking.WORD)), F.lit(0))
@@ -86,10 +88,13 @@ def mix_sources(
 
 
 def repeat_rows(df: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows themselves, each as often as the mix takes it: whole texts, so a broken repetition is rounded."""
+    """The rows themselves, each as often as the mix takes it: whole texts, so a broken repetition is rounded.
+
+    Rows without words are never taken. Columns of any name are kept.
+    """
     times = mixed.where("_size > 0").select("_id", "_crc", F.round(F.col("taken") / F.col("_size")).cast("int").alias("repeats")).where("repeats > 0")
     found = ranking.attached(df, times, Scratch(df.sparkSession, "mix"), id_col, text_col)
-    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), "repeats"))).select(*df.columns)
+    return found.select("whole", F.explode(F.sequence(F.lit(1), "repeats"))).select("whole.*")
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:

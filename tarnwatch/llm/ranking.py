@@ -1,7 +1,7 @@
 """Exact ranks and running sums over a seeded shuffle, without one task per source.
 
-Each row gets a shuffle key (md5 of a seed and the row's id), whose first digits
-name one of 4096 slices. Ranks within a slice plus the totals of the slices
+Each row gets a shuffle key (md5 of a seed and the row's id, or of its text's
+CRC where the id is null), whose first digits name one of 4096 slices. Ranks within a slice plus the totals of the slices
 before it give ranks within the source: a source with a third of all rows is
 spread over 4096 groups, and only slice totals are ordered as a whole.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.joins import sized
+from tarnwatch.llm.joins import packed, sized
 from tarnwatch.scratch import Scratch
 
 #: Slices of a source; three hexadecimal digits of the shuffle key.
@@ -31,7 +31,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, size: Colu
         size.cast("long").alias("_size"),
         crc(text_col).cast("long").alias("_crc"),
     )
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_id").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.col("_crc").cast("string"))))
     return rows.withColumn("_key", key).withColumn("_slice", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
 
 
@@ -61,13 +61,19 @@ def with_source_totals(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def attached(df: DataFrame, decisions: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """Inner join of rows with decisions keyed by (_id, _crc); rows that repeat take the decisions of their copies one each."""
+    """(whole, decision columns): rows as one struct each, joined with decisions keyed by (_id, _crc).
+
+    Rows that repeat an id and text take the decisions of their copies one
+    each; then texts are shuffled once, by that key, to be numbered and joined.
+    """
     decisions = scratch.cut(decisions, "decisions")
-    named = df.withColumns({"_rid": F.col(id_col), "_rcrc": crc(text_col).cast("long")})
-    same = F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rcrc") == F.col("_crc"))
-    copies = Window.partitionBy("_rid", "_rcrc").orderBy(F.lit(1))
+    own = packed(df, id_col, crc(text_col).cast("long"))
     if decisions.groupBy("_id", "_crc").count().where("count > 1").isEmpty():
-        return named.join(sized(decisions), same).drop("_rid", "_rcrc", "_id", "_crc")
-    named = named.withColumn("_copy", F.row_number().over(copies))
-    numbered = decisions.withColumn("_number", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(1))))
-    return named.join(numbered, same & (F.col("_copy") == F.col("_number"))).drop("_rid", "_rcrc", "_id", "_crc", "_copy", "_number")
+        same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_crc"))
+        return own.join(sized(decisions), same).drop("own_id", "own_hash", "_id", "_crc")
+    name = lambda c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    copies = Window.partitionBy("key", "check").orderBy(F.lit(1))
+    own = own.select("whole", name("own_id").alias("key"), F.col("own_hash").alias("check")).withColumn("copy", F.row_number().over(copies))
+    told = decisions.select(name("_id").alias("key"), F.col("_crc").alias("check"), F.struct(*[c for c in decisions.columns if c not in ("_id", "_crc")]).alias("told"))
+    told = told.withColumn("copy", F.row_number().over(copies))
+    return own.join(told, ["key", "check", "copy"]).select("whole", "told.*")

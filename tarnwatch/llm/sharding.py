@@ -21,21 +21,25 @@ def interleaved_shards(
     """Deals rows into shards so that each shard has every source's share.
 
     Rows are shuffled by a seeded key within their source and get the
-    fractional rank (rank - 1/2) / rows of the source. All rows are then put
-    in order of that fraction, and the order is cut into equal runs. Counts of
-    shards differ by one at most (law ``rows``).
+    fractional rank (rank - offset) / rows of the source, where each source has
+    a seeded offset between 0 and 1, so that many sources of one row spread
+    over the whole order. All rows are then put in order of that fraction, and
+    the order is cut into equal runs. Counts of shards differ by one at most
+    (law ``rows``).
 
     Returns _id, _size (UTF-8 bytes + 1), _crc, _source, shard, slot: slots run
     from 0 without gaps. A null source is a source of its own, a null text
-    counts as an empty one, rows that repeat get slots of their own, and an
-    empty table gives no rows. Other columns are ignored.
+    counts as an empty one, rows that repeat or tie get slots of their own, and
+    an empty table gives no rows. Long texts are only measured. Other columns
+    are ignored.
     """
     spark = df.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     rows = Scratch(spark, "shards").cut(ranking.keyed(df, id_col, text_col, source_col, size, seed), "keys")
     ranked = ranking.with_source_totals(rows, ranking.before_slice(rows))
     rank = F.row_number().over(ranking.within_slice()) + F.col("_n_before")
-    ranked = ranked.withColumn("_share", (rank - F.lit(0.5)) / F.col("_n_source"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_source"))), 1, 7), 16, 10).cast("double")
+    ranked = ranked.withColumn("_share", (rank - (drawn + 0.5) / F.lit(float(1 << 28))) / F.col("_n_source"))
     ranked = ranked.withColumn("_cut", F.floor(F.col("_share") * ranking.SLICES).cast("int"))
     ranked = ranked.select("_id", "_size", "_crc", "_source", "_key", "_share", "_cut")
     ranked = Scratch(spark, "shards").cut(ranked, "shares")
@@ -55,8 +59,9 @@ def interleaved_shards(
 
 
 def attach_shards(df: DataFrame, placed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows themselves with their shard and slot."""
-    return ranking.attached(df, placed.select("_id", "_crc", "shard", "slot"), Scratch(df.sparkSession, "shards"), id_col, text_col)
+    """The rows themselves with their shard and slot, which replace columns of these names. Each row keeps all else it has."""
+    found = ranking.attached(df, placed.select("_id", "_crc", "shard", "slot"), Scratch(df.sparkSession, "shards"), id_col, text_col)
+    return found.select(*[F.col("whole").getField(c).alias(c) for c in df.columns if c.lower() not in ("shard", "slot")], "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:
@@ -98,7 +103,8 @@ OP1_SQL = f"""
 WITH {_CRC_SQL.strip()},
 ranked AS (
   SELECT *, md5('17:' || doc_id) AS k,
-    (row_number() OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id) - 0.5::DOUBLE)
+    (row_number() OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id)
+      - (('0x' || substr(md5(concat_ws(':', '17', source)), 1, 7))::BIGINT::DOUBLE + 0.5::DOUBLE) / 268435456::DOUBLE)
       / count(*) OVER (PARTITION BY source) AS share
   FROM sized
 ), placed AS (
