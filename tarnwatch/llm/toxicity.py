@@ -36,11 +36,41 @@ def _features(column: pa.Array):
 
 
 def _distinct(batches):
+    """Of each text its distinct buckets, and four minimum hashes of them in one number, which copies share."""
     for batch in batches:
-        out = [np.zeros(0, np.int32)] * batch.num_rows
+        out, keys = [np.zeros(0, np.int32)] * batch.num_rows, np.zeros(batch.num_rows, np.uint64)
         for i, b in _features(batch.column("text")):
             out[i] = np.unique(b)
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(out, pa.list_(pa.int32()))], names=["positive", "buckets"])
+            if len(b):
+                least = [words.mixed(out[i].astype(np.uint64) * k).min() for k in _KINDS | np.uint64(1)]
+                keys[i] = words.shingle_hashes(np.array(least, dtype=np.uint64), len(least))[0]
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(keys.view(np.int64)), pa.array(out, pa.list_(pa.int32()))], names=["positive", "key", "buckets"])
+
+
+def _counted(batches):
+    """(bucket, documents among the positives, among the unlabelled) of a task's documents."""
+    counts = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+    for batch in batches:
+        flags, rows = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool), batch.column("buckets")
+        owner = np.repeat(flags, rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = rows.flatten().to_numpy(zero_copy_only=False)
+        for i, own in enumerate((flat[owner], flat[~owner])):
+            counts[i] += np.bincount(own, minlength=1 << BUCKET_BITS)
+    found = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[0, found]), pa.array(counts[1, found])], names=["bucket", "p", "u"])
+
+
+def _only(chosen: np.ndarray):
+    """Of each document the places of its chosen buckets."""
+
+    def run(batches):
+        place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            rows = [place[np.asarray(b, dtype=np.int64)] for b in batch.column("buckets").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([r[r >= 0] for r in rows], pa.list_(pa.int32()))], names=["positive", "places"])
+
+    return run
 
 
 class Model:
@@ -59,15 +89,6 @@ class Model:
         return sigmoid(z)
 
 
-def _without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """One document of those that share four minimum hashes of their features: copies would vouch for each other's words."""
-    kept = {}
-    for d in docs:
-        h = [words.mixed(d.astype(np.uint64) * k).min() for k in _KINDS | np.uint64(1)] if len(d) else []
-        kept.setdefault(tuple(h), d)
-    return list(kept.values())
-
-
 def _beyond_chance(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
     """Features that positives have more often than unlabelled documents, by Benjamini-Hochberg.
 
@@ -81,27 +102,27 @@ def _beyond_chance(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarr
     return tail <= (ranked[passed[-1]] if len(passed) else -1.0)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, decay: float = 1e-3) -> Model:
+def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Buckets to be used, from the numbers of positive and unlabelled documents that have each."""
+    if not n_p or not n_u:
+        return np.zeros(0, dtype=np.int64)
+    ratio = LEAST_RATIO / (1 + (LEAST_RATIO - 1) * prior)  # of the unlabelled rate; below 1 / prior, the most that can be
+    expected = (u + 0.5) * n_p / n_u
+    return np.flatnonzero((p >= ratio * expected) & _beyond_chance(p, u, n_p, n_u))
+
+
+def fit(chosen: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, decay: float = 1e-3) -> Model:
     """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss.
 
-    Where the corrected risk of the negatives falls below zero, steps go
-    against it, so that the unlabelled positives are not learned as negatives.
+    Documents are arrays of places in ``chosen``. Where the corrected risk of
+    the negatives falls below zero, steps go against it, so that the unlabelled
+    positives are not learned as negatives.
     """
-    size = 1 << BUCKET_BITS
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
-    count = lambda docs: np.bincount(np.concatenate(docs), minlength=size).astype(float)
-    p, u = count(positive), count(unlabelled)
-    expected = (u + 0.5) * len(positive) / len(unlabelled)
-    ratio = LEAST_RATIO / (1 + (LEAST_RATIO - 1) * prior)  # of the unlabelled rate; below 1 / prior, the most that can be
-    chosen = np.flatnonzero((p >= ratio * expected) & _beyond_chance(p, u, len(positive), len(unlabelled)))
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
 
     def sparse(docs):
-        found = [place[d][place[d] >= 0] for d in docs]
-        return np.repeat(np.arange(len(docs)), [len(x) for x in found]), np.concatenate(found), len(docs)
+        return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate(docs).astype(np.int64), len(docs)
 
     (pr, pc, pn), (ur, uc, un) = sparse(positive), sparse(unlabelled)
     k = len(chosen)
@@ -124,27 +145,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3
 
     Learns from up to 4,000 documents labelled toxic and up to 12,000 others
     taken whatever their label, none of them held out. The class prior is the
-    labelled share of toxic documents that are not held out. A model of hashed
-    words and word beginnings is fitted in numpy from those samples and applied
-    to all whole texts. Null and empty texts get the bias alone, repeated rows
-    equal scores; without positives every score is the prior.
+    labelled share of toxic documents that are not held out. Tasks hash their
+    texts' words and word beginnings into 2^20 buckets and count them; one
+    document of those that copy each other counts. What reaches the driver are
+    the counts of buckets (2^20 rows at most) and of the sample the chosen
+    buckets only. The model is fitted there in numpy and applied to all whole
+    texts.
+
+    Null and empty texts get the bias alone, repeated rows equal scores, a very
+    long text is hashed as a whole; rows with a null id are scored and not
+    learned from; a document with several labels is toxic if one says so;
+    without positives every score is the prior; empty tables give no rows.
+    Extra columns of both tables are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    labels = labels.select("doc_id", "toxic")
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = scratch.cut(marked.select(F.col("doc_id").alias("id"), F.col("toxic") == 1), "marked").toDF("id", "toxic")
+    marked = scratch.cut(marked.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("toxic")), "marked")
     n, toxic = marked.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     prior = min(0.9, max(1e-3, (toxic or 0) / max(n, 1)))
     positive = seeded_sample(marked.where("toxic").select("id"), POSITIVES, seed).withColumn("positive", F.lit(True))
-    ids = docs.where(~held_out()).select(F.col("doc_id").alias("id"))
+    ids = texts.where("not held_out").select(F.col("doc_id").alias("id"))
     unlabelled = seeded_sample(ids, UNLABELLED, seed + 1).withColumn("positive", F.lit(False))
     sample = scratch.cut(positive.union(unlabelled), "sample")  # 16,000 rows at most
-    chosen = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("positive", F.coalesce("text", F.lit("")).alias("text"))
-    rows = scratch.cut(chosen.mapInArrow(_distinct, "positive boolean, buckets array<int>"), "features").toArrow()
-    flags = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-    buckets = rows.column("buckets").combine_chunks()
-    offsets, flat = buckets.offsets.to_numpy(), buckets.values.to_numpy()
-    taken = [flat[offsets[i] : offsets[i + 1]] for i in range(len(flags))]
-    model = fit([t for t, f in zip(taken, flags, strict=True) if f], [t for t, f in zip(taken, flags, strict=True) if not f], prior)
+    taken = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("positive", "text")
+    taken = scratch.cut(taken.mapInArrow(_distinct, "positive boolean, key long, buckets array<int>"), "features")
+    taken = scratch.cut(taken.groupBy("positive", "key").agg(F.min("buckets").alias("buckets")), "without-copies")
+    size = {r["positive"]: r["n"] for r in taken.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    counts = taken.mapInArrow(_counted, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toPandas()
+    p, u = np.zeros((2, 1 << BUCKET_BITS))
+    p[counts["bucket"]], u[counts["bucket"]] = counts["p"], counts["u"]
+    chosen = choose(p, u, size.get(True, 0), size.get(False, 0), prior)
+    rows = taken.mapInArrow(_only(chosen), "positive boolean, places array<int>").toPandas()
+    model = fit(chosen, rows["places"][rows["positive"]].to_list(), rows["places"][~rows["positive"].astype(bool)].to_list(), prior)
     parts = (model.buckets, model.weights, model.bias)
 
     def run(batches):
@@ -152,9 +186,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(own.score(batch.column("text")))], names=["doc_id", "held_out", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    scored = texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
