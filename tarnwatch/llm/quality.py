@@ -65,18 +65,45 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray,
     return edges, adam(gradient, width + 1, steps=400)
 
 
+#: Rows that a prior may weigh, at least and at most.
+STRENGTHS = (1.0, 10_000.0)
+
+
 def _rates(counts: DataFrame, key: list[str], strength: float) -> DataFrame:
     """Posterior mean of the good share for each group, shrunk toward ``prior`` by ``strength`` rows."""
     return counts.groupBy(*key).agg(((F.sum("good") + strength * F.first("prior")) / (F.sum("n") + strength)).alias("rate"))
 
 
+def prior_strength(groups: DataFrame, parent: str) -> float:
+    """Rows that a beta prior around the parent's share weighs, from how far the shares of its groups scatter.
+
+    ``groups`` has a parent, n and good. The moments of the beta-binomial give
+    the correlation within groups: variance between groups beyond what draws of
+    their sizes would show. Strength = (1 - correlation) / correlation.
+    """
+    total = groups.groupBy(parent).agg(F.sum("n").alias("t"), F.sum("good").alias("g")).select(F.col(parent).alias("p"), "t", "g")
+    share, own = F.col("g") / F.col("t"), F.col("good") / F.col("n")
+    rows = groups.join(total, groups[parent] == F.col("p")).agg(
+        F.sum("n").alias("rows"), F.count("*").alias("groups"), F.count_distinct("p").alias("parents"), F.sum(F.col("n") * F.col("n") / F.col("t")).alias("squares"),
+        F.sum(F.col("n") * (own - share) * (own - share)).alias("between"), F.sum(F.col("n") * own * (1 - own)).alias("within"),
+    )
+    r = rows.first()  # one row
+    free = (r["groups"] or 0) - r["parents"]
+    if free <= 0 or r["rows"] <= r["groups"]:
+        return STRENGTHS[1]
+    between, within = r["between"] / free, r["within"] / (r["rows"] - r["groups"])
+    size = (r["rows"] - r["squares"]) / free
+    spread = between + (size - 1) * within
+    correlation = (between - within) / spread if spread > 0 else 0.0
+    return float(min(STRENGTHS[1], max(STRENGTHS[0], (1 - correlation) / correlation))) if correlation > 0 else STRENGTHS[1]
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
     *,
     host: Column | None = None,
     path: Column | None = None,
-    strength: float = 50.0,
     least: float = 0.5,
     seed: int = 11,
 ) -> DataFrame:
@@ -85,13 +112,17 @@ def score_quality(
     The document classifier is an additive logistic model of measures of the
     whole text, fitted in numpy on at most 20,000 labelled rows, none of them
     held out. Over all such labels, hosts get the posterior mean of their good
-    share under a prior of ``strength`` rows at the global share, and paths one
-    under a prior at their host's, so that sparse sites stay near what is above
-    them. The score adds the log odds of a path (or else its host, or nothing)
-    against the global ones to the classifier's.
-
-    Null and empty texts are scored by their measures of zero; documents
-    without a label are scored like others; without labels all scores are 1/2.
+    share under a prior at the global share, and paths one under a prior at
+    their host's, so that sparse sites stay near what is above them. How many
+    rows each prior weighs is estimated at its level (``prior_strength``). The
+    score adds the log odds of a path (or else its host, or nothing) against
+    the global ones to the classifier's.
+
+    Null and empty texts are scored by their measures of zero, very long ones
+    as a whole; a null host or path is one of its own; documents without a
+    label are scored like others; of several labels of an id the highest
+    counts; repeated rows get equal scores; without labels all scores are 1/2;
+    empty tables give no rows. Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     host = F.coalesce(F.col("source") if host is None else host, F.lit(""))
@@ -106,7 +137,7 @@ def score_quality(
 
     rows = docs.select("doc_id", host.alias("host"), F.concat_ws("\n", host, path).alias("site"), F.coalesce("text", F.lit("")).alias("text"))
     rows = scratch.cut(rows.mapInArrow(measure, f"doc_id {kind}, host string, site string, x array<double>"), "measures")
-    marked = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("good"))
+    marked = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("good"))
     known = scratch.cut(rows.join(marked, "doc_id").select(F.col("doc_id").alias("id"), "host", "site", F.col("good").cast("double").alias("good"), "x"), "known")
     sample = seeded_sample(known.select("id", "x", "good"), SAMPLE, seed).toArrow()
     x = np.array(sample.column("x").to_pylist(), dtype=float).reshape(-1, len(MEASURES))
@@ -116,8 +147,9 @@ def score_quality(
     base = ((total[0] or 0) + 1) / (total[1] + 2)
     counts = known.groupBy("host", "site").agg(F.sum("good").alias("good"), F.count("*").alias("n"))
     counts = scratch.cut(counts, "counts")
-    hosts = _rates(counts.withColumn("prior", F.lit(base)), ["host"], strength)
-    paths = _rates(counts.join(hosts.withColumnRenamed("rate", "prior"), "host"), ["site"], strength)
+    by_host = counts.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("root", F.lit(""))
+    hosts = _rates(counts.withColumn("prior", F.lit(base)), ["host"], prior_strength(by_host, "root"))
+    paths = _rates(counts.join(hosts.withColumnRenamed("rate", "prior"), "host"), ["site"], prior_strength(counts, "host"))
 
     def classify(batches):
         for batch in batches:
