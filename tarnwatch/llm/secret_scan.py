@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,12 @@ ENCODINGS = (
 MOST_CLASSES = 16
 #: p-values are binned by -20 log10 p, at most 400.
 BINS_PER_DECADE, MOST_BINS = 20, 400
+#: Runs and serial statistics are binned by a quarter of a standard deviation, at most 40 bins.
+Z_BINS = 40
+#: Tokens are surely ordinary, and count for what is usual among those, if uniformity has a smaller p-value than this.
+ORDINARY = 1e-4
+#: The combined p-value of the battery at which a token does not fit a random string.
+MISFIT = 0.001
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
@@ -64,8 +73,15 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def _cauchy(*p: Column) -> Column:
+    """Cauchy combination of p-values that may depend on each other, each weighing the same."""
+    bend = lambda x: F.when(x < 1e-8, 1 / (x * math.pi)).otherwise(F.tan((0.5 - x) * math.pi))
+    t = sum((bend(F.least(F.greatest(x, F.lit(1e-30)), F.lit(0.999))) for x in p[1:]), bend(F.least(F.greatest(p[0], F.lit(1e-30)), F.lit(0.999)))) / len(p)
+    return F.when(t > 1e8, 1 / (t * math.pi)).otherwise(0.5 - F.atan(t) / math.pi)
+
+
 def _battery(tokens: Column) -> Column:
-    """array<struct<start,end,token>> -> array<struct<start,end,rank class,bin,fits>>."""
+    """array<struct<start,end,token>> -> array<struct<start,end,strata,chi,runs,serial,plain,fits>>."""
 
     def pick(token, what):
         chosen = F.lit(what(ENCODINGS[-1]))
@@ -112,10 +128,14 @@ def _battery(tokens: Column) -> Column:
         spread = c["vv"] - n * c["mean"] * c["mean"]
         lagged = c["lag"] - c["mean"] * (2 * n * c["mean"] - c["first"] - c["last"]) + (n - 1) * c["mean"] * c["mean"]
         serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-        fits = F.least(1 - _normal_cdf(uniform), 2 * _normal_cdf(-F.abs(runs)), 2 * _normal_cdf(-F.abs(serial))) >= 0.001 / 3
-        strata = F.least(F.floor(F.log2(n / 16)) - F.when(n < 32, 0).otherwise(0), F.lit(MOST_CLASSES - 1)).cast("int")
-        p = F.greatest(_normal_cdf(ordinary), F.lit(1e-30))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), strata.alias("strata"), F.least(F.floor(-F.log10(p) * BINS_PER_DECADE), F.lit(MOST_BINS)).cast("int").alias("bin"), fits.alias("fits"))
+        p_uniform = 1 - _normal_cdf(uniform)
+        fits = _cauchy(p_uniform, 2 * _normal_cdf(-F.abs(runs)), 2 * _normal_cdf(-F.abs(serial))) >= MISFIT
+        strata = F.least(F.floor(F.log2(n / 16)), F.lit(MOST_CLASSES - 1)).cast("int")
+        binned = lambda z: F.least(F.floor(F.abs(z) * 4), F.lit(Z_BINS - 1)).cast("int")
+        return F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), strata.alias("strata"), F.greatest(_normal_cdf(ordinary), F.lit(1e-30)).alias("chi"), binned(runs).alias("runs"), binned(serial).alias("serial"),
+            (p_uniform < ORDINARY).alias("plain"), fits.alias("fits"),
+        )
 
     return F.transform(summed, scored)
 
@@ -133,9 +153,29 @@ def _candidates(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(start["found"])
 
 
-def thresholds(found: DataFrame, q: float) -> dict[int, int]:
+def usual(found: DataFrame, test: str) -> list[float]:
+    """For each length class and bin: how often an ordinary token's statistic is as near to a random string's.
+
+    Classes times bins bound the counts that reach the driver. A class
+    without ordinary tokens gives 1/2, which says nothing.
+    """
+    bins = found.select(F.explode("tests").alias("t")).where("t.plain").groupBy("t.strata", f"t.{test}").count().collect()
+    counts = np.zeros((MOST_CLASSES, Z_BINS))
+    for r in bins:
+        counts[r["strata"], r[test]] = r["count"]
+    return ((counts.cumsum(axis=1) + 1) / (counts.sum(axis=1, keepdims=True) + 2)).ravel().tolist()
+
+
+def _bin(t: Column, runs: list[float], serial: list[float]) -> Column:
+    """The combined p-value of the three tests, binned."""
+    at = lambda table, test: F.element_at(F.lit(table), t["strata"] * Z_BINS + t[test] + 1)
+    p = _cauchy(t["chi"], at(runs, "runs"), at(serial, "serial"))
+    return F.greatest(F.lit(0), F.least(F.floor(-F.log10(p) * BINS_PER_DECADE), F.lit(MOST_BINS))).cast("int")
+
+
+def thresholds(binned: DataFrame, q: float) -> dict[int, int]:
     """Benjamini-Hochberg in each length class: the least bin that is a discovery. Classes times bins bound the counts."""
-    bins = found.select(F.explode("_tests").alias("t")).groupBy("t.strata", "t.bin").count().collect()
+    bins = binned.groupBy("strata", "bin").count().collect()
     least = {}
     for strata in {r["strata"] for r in bins}:
         own = sorted(((r["bin"], r["count"]) for r in bins if r["strata"] == strata), reverse=True)
@@ -148,32 +188,41 @@ def thresholds(found: DataFrame, q: float) -> dict[int, int]:
 
 
 def scan_secrets(df: DataFrame, *, q: float = 0.01, text_col: str = "text") -> DataFrame:
-    """Adds ``secrets``: array of (start, rank, kind, end), by start and then kind.
+    """All columns but the text, and ``base_spans`` and ``secrets``: arrays of (start, rank, kind, end), by start and then kind.
 
     Base kinds are the fixed patterns. A further kind, ``random``, takes runs
-    of 20 or more encoded-looking characters that touch no base span. Its
-    encoding is inferred; the p-value is that of a chi-squared statistic as low
-    as the token's among ordinary strings of its length, and discoveries are
-    those of Benjamini and Hochberg at rate ``q`` among tokens of like length.
-    They also have to fit a random string: chi-squared uniformity over the
-    alphabet, runs above and below its middle, and serial correlation must not
-    reject that at 0.001 together.
+    of 20 or more encoded-looking characters that touch no base span. Their
+    encoding is inferred, and three tests ask how an ordinary string would come
+    to look as random: its chi-squared statistic would be as low by the normal
+    approximation, its runs above and below the middle of the alphabet and its
+    serial correlation as near to a random string's by the counts of all
+    surely ordinary tokens of like length. The three p-values are combined
+    (Cauchy), and discoveries are those of Benjamini and Hochberg at rate ``q``
+    in each length class. They also have to fit a random string: the combined
+    p-values of the same three tests under randomness must be 0.001 or more.
 
     Positions count code points, ends are exclusive. A null or empty text has
-    no secrets; other columns are kept and rows are never dropped.
+    no secrets; a long one is scanned whole, within one row; repeated rows are
+    scanned each; an empty table gives no rows. Rows are never dropped. Columns
+    of any name are kept, but two with the names of the results are replaced.
     """
+    results = ("base_spans", "secrets")
+    others = [c for c in df.columns if c.lower() not in (text_col.lower(), *results)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.array_sort(F.concat(*[_spans(text, p, g, least, kind, i) for i, (kind, p, g, least) in enumerate(BASE)]))
-    rows = df.withColumn("_base", spans).withColumn("_tests", _battery(_candidates(text)))
-    rows = Scratch(df.sparkSession, "secrets").cut(rows.drop(text_col), "spans")
-    least = thresholds(rows, q)
+    whole = F.struct(F.lit(True).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rows = df.select(whole.alias("whole"), spans.alias("base_spans"), _battery(_candidates(text)).alias("tests"))
+    rows = Scratch(df.sparkSession, "secrets").cut(rows, "spans")
+    runs, serial = usual(rows, "runs"), usual(rows, "serial")
+    tokens = rows.select(F.explode("tests").alias("t")).select("t.strata", _bin(F.col("t"), runs, serial).alias("bin"))
+    least = thresholds(tokens, q)
     limits = F.array(*[F.lit(least.get(i, MOST_BINS + 1)) for i in range(MOST_CLASSES)])
     random = F.filter(
-        F.col("_tests"),
-        lambda t: t["fits"] & (t["bin"] >= F.element_at(limits, t["strata"] + 1)) & ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
+        F.col("tests"),
+        lambda t: t["fits"] & (_bin(t, runs, serial) >= F.element_at(limits, t["strata"] + 1)) & ~F.exists(F.col("base_spans"), lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
     )
     random = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), t["end"].alias("end"), (t["end"] - t["start"]).alias("measured")))
-    return rows.withColumn("secrets", F.array_sort(F.concat("_base", random))).drop("_tests")
+    return rows.select(*[F.col("whole").getField(f"c{i}").alias(c) for i, c in enumerate(others)], "base_spans", F.array_sort(F.concat("base_spans", random)).alias("secrets"))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -183,10 +232,10 @@ def joined_spans(spans: Column) -> Column:
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan_secrets(docs)
-    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
         *[count(kind) for kind, *_ in BASE],
-        F.sha2(joined_spans(F.col("_base")), 256).alias("base_sha256"),
+        F.sha2(joined_spans(F.col("base_spans")), 256).alias("base_sha256"),
         joined_spans(F.col("secrets")).alias("spans"),
     )
