@@ -222,6 +222,21 @@ def test_repeats_at_the_edge_of_fifty_bytes(spark):
     assert sorted((tuple(r) for r in found), key=repr) == brute_repeats([(i, t.encode()) for i, t in rows])
 
 
+def test_repeats_of_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in repeats.op7_suffixes(spark, sf).collect()), key=repr) == brute_repeats(rows)
+
+
+def test_hash_ties_are_settled_by_bytes(monkeypatch, spark):
+    monkeypatch.setattr(repeats.words, "mixed", lambda x: x & np.uint64(0xFFFF) if isinstance(x, np.ndarray) else x)
+    data = np.frombuffer(b"abcdefgh" * 40 + b"abcdefgX" * 40, np.uint8)
+    text, first, n, sample, _, leader = repeats.sample_runs(data, np.array([0, 320, 640]))
+    end = first + n + 49
+    for i, j in enumerate(leader):
+        assert data[first[i] : end[i]].tobytes() == data[first[j] : end[j]].tobytes() or i == j
+
+
 def brute_near(rows, size, percent):
     sets = {}
     for i, t in rows:
