@@ -356,7 +356,7 @@ def remove_repeats(df: DataFrame, *, keep: bool = True, id_col: str = "doc_id",
     size = total.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(LEAST_BUCKETS, size // BUCKET_BYTES))
     digests = rows.where(F.octet_length("text") >= LENGTH).select("id", "digest")
-    several = total.where("least < most").select("digest", "least")
+    several = sized(total.where("least < most").select("digest", "least"))
     copies = scratch.cut(digests.join(several, "digest").where("id > least").select("id", "digest").distinct(), "copies")
     copies = sized(copies)
 
