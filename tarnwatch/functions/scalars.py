@@ -19,6 +19,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def thousandths(x: Column) -> Column:
+    """Rounded to three digits. Ties, and what lies within 1e-12 below one, go up, so that engines agree."""
+    return F.floor(x * 1000.0 + 0.500000001) / 1000.0
+
+
 def norm01(v: Column, low: float, high: float) -> Column:
     """FN-01: position of v between low and high, clamped; 0 where they are equal."""
     return F.lit(0.0) if high == low else clamp((v - F.lit(float(low))) / F.lit(float(high - low)))

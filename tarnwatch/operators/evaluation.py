@@ -92,19 +92,32 @@ def rank_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_threshold(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """EV-09: the score at which F1 is best when everything from it up is positive."""
-    c = cumulative(rows, keys)
-    p = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("P"))
-    f1 = 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))
-    return c.join(p, keys).groupBy(*keys).agg(F.max(F.struct(f1.alias("f1"), "score")).alias("b")).select(*keys, F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"))
+    """EV-09: the score and the side of it (above or below, the score itself left out) at which F1 is best.
+
+    Of equal ones the lowest score counts, and above before below; 0 and above
+    where no F1 is over 0.
+    """
+    totals = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") != 1).alias("N"))
+    side = lambda order, name, tp, fp: F.struct(F.lit(order).alias("order"), F.lit(name).alias("direction"), tp.alias("tp"), fp.alias("fp"))
+    tp, fp, p = F.col("tp"), F.col("fp"), F.col("P")
+    sides = F.array(side(0, "gt", tp - F.col("pos"), fp - F.col("neg")), side(1, "lt", p - tp, F.col("N") - fp))
+    c = cumulative(rows, keys).join(totals, keys).select(*keys, "score", "P", F.explode(sides).alias("s")).select(*keys, "score", "P", "s.*")
+    f1 = 2.0 * tp / (tp + fp + p)
+    best = c.groupBy(*keys).agg(F.min(F.when(tp > 0, F.struct((-f1).alias("worse"), "score", "order", "direction", "tp", "fp", "P"))).alias("b"))
+    over = lambda n: F.coalesce(F.col("b.tp") / n, F.lit(0.0))
+    return best.select(
+        *keys, F.coalesce("b.score", F.lit(0.0)).alias("threshold"), F.coalesce("b.direction", F.lit("gt")).alias("direction"), F.coalesce(-F.col("b.worse"), F.lit(0.0)).alias("f1"),
+        over(F.col("b.tp") + F.col("b.fp")).alias("precision"), over(F.col("b.P")).alias("recall"),
+    )
 
 
 def separability(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """EV-10: Fisher ratio of two populations (label 1 and 0), their means, and the positive share."""
+    """EV-10: Fisher ratio of two populations (label 1 and 0), their means, and the share of each above 0."""
     a, b = F.when(F.col("label") == 1, F.col("score")), F.when(F.col("label") != 1, F.col("score"))
-    out = rows.groupBy(*keys).agg(F.avg(a).alias("mean_1"), F.avg(b).alias("mean_0"), F.var_pop(a).alias("_v1"), F.var_pop(b).alias("_v0"), F.avg((F.col("score") > 0.5).cast("double")).alias("share"))
+    above = lambda x: F.avg((x > 0).cast("double"))
+    out = rows.groupBy(*keys).agg(F.avg(a).alias("mean_1"), F.avg(b).alias("mean_0"), F.var_pop(a).alias("_v1"), F.var_pop(b).alias("_v0"), above(a).alias("share_1"), above(b).alias("share_0"))
     gap = F.col("mean_1") - F.col("mean_0")
-    return out.withColumn("fisher", F.when(F.col("_v1") + F.col("_v0") > 0, gap * gap / (F.col("_v1") + F.col("_v0")))).drop("_v1", "_v0")
+    return out.withColumn("fisher", gap * gap / F.greatest(F.col("_v1") + F.col("_v0"), F.lit(1e-9))).drop("_v1", "_v0")
 
 
 TIERS = ("informational", "watch", "elevated", "critical")
@@ -144,22 +157,28 @@ def threshold_at_far(rows: DataFrame, keys: list[str], far: float) -> DataFrame:
 def conformal_quantiles(rows: DataFrame, key: str, alpha: float) -> DataFrame:
     """EV-15 to EV-17: the residual quantile without each group's own rows, and how well it covers the group.
 
-    Residuals are counted by distinct value and group. A group's held-out counts
-    are the totals less its own, so rows never meet the rows of other groups.
+    A group's held-out counts are the totals less its own, so rows never meet
+    the rows of other groups. Residuals are counted in 1,024 ranges first: of
+    each group only the ranges that hold its two order statistics are searched.
     """
     res = rows.select(key, F.abs(F.col("score") - F.col("label")).alias("e"))
     own = res.groupBy("e", key).agg(F.count("*").alias("c"))
-    total = own.groupBy("e").agg(F.sum("c").alias("t"))
-    groups = own.groupBy(key).agg(F.sum("c").alias("n"))
-    every = groups.agg(F.sum("n").alias("all"))
-    # one row for each distinct residual and group, as the rank of a residual differs from group to group
-    grid = total.join(F.broadcast(groups), F.lit(True)).join(own, ["e", key], "left").withColumn("others", F.col("t") - F.coalesce("c", F.lit(0)))
-    seen = F.sum("others").over(Window.partitionBy(key).orderBy("e").rowsBetween(Window.unboundedPreceding, 0))
-    grid = grid.join(F.broadcast(every), F.lit(True)).withColumns({"seen": seen, "m": F.col("all") - F.col("n")})
+    widest = own.agg(F.max("e").alias("widest"), F.sum("c").alias("all"))
+    own = own.join(F.broadcast(widest), F.lit(True)).withColumn("range", F.when(F.col("widest") > 0, F.floor(F.col("e") / F.col("widest") * (RANGES - 1))).otherwise(0).cast("int"))
+    groups = own.groupBy(key, "all").agg(F.sum("c").alias("n"))
     level = F.least(F.ceil((F.col("m") + 1) * (1 - alpha)) / F.col("m"), F.lit(1.0))
     at = level * (F.col("m") - 1)
-    low, high = F.floor(at) + 1, F.ceil(at) + 1
-    q = grid.groupBy(key, "m").agg(F.min(F.when(F.col("seen") >= low, F.col("e"))).alias("a"), F.min(F.when(F.col("seen") >= high, F.col("e"))).alias("b"), F.first(at - F.floor(at)).alias("w"))
+    groups = groups.withColumn("m", F.col("all") - F.col("n")).withColumns({"low": F.floor(at) + 1, "high": F.ceil(at) + 1, "w": at - F.floor(at)})
+    by_range = own.groupBy("range").agg(F.sum("c").alias("t"))  # 1,024 rows at most, each beside each group
+    grid = groups.join(F.broadcast(by_range), F.lit(True)).join(own.groupBy("range", key).agg(F.sum("c").alias("o")), ["range", key], "left")
+    upto = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumn("others", F.col("t") - F.coalesce("o", F.lit(0))).withColumn("upto", F.sum("others").over(upto))
+    holds = lambda k: (F.col("upto") >= F.col(k)) & (F.col("upto") - F.col("others") < F.col(k))
+    wanted = grid.where(holds("low") | holds("high")).select(key, "range", "low", "high", "w", (F.col("upto") - F.col("others")).alias("before"))
+    inner = own.groupBy("range", "e").agg(F.sum("c").alias("t")).join(wanted, "range").join(own.select("e", key, "c"), ["e", key], "left")
+    seen = F.col("before") + F.sum(F.col("t") - F.coalesce("c", F.lit(0))).over(Window.partitionBy(key, "range").orderBy("e").rowsBetween(Window.unboundedPreceding, 0))
+    inner = inner.withColumn("seen", seen)
+    q = inner.groupBy(key).agg(F.min(F.when(F.col("seen") >= F.col("low"), F.col("e"))).alias("a"), F.min(F.when(F.col("seen") >= F.col("high"), F.col("e"))).alias("b"), F.first("w").alias("w"))
     q = q.select(key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("q"))
     cover = own.join(F.broadcast(q), key).groupBy(key, "q").agg((F.sum(F.when(F.col("e") <= F.col("q"), F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage"))
     return cover.withColumn("passed", F.abs(F.col("coverage") - (1 - alpha)) <= 0.05)

@@ -241,9 +241,10 @@ def sample_summary(layers: DataFrame, keys: Sequence[str], value: str, low: floa
     )
 
 
-def tta_average(layers: dict[str, DataFrame], size: int) -> DataFrame:
-    """GR-37: average of layers made under flips, with the cells mapped back first."""
-    back = {"id": ("r", "c"), "ud": (f"{size - 1} - r", "c"), "lr": ("r", f"{size - 1} - c"), "rot180": (f"{size - 1} - r", f"{size - 1} - c")}
+def tta_average(layers: dict[str, DataFrame], rows: int, cols: int) -> DataFrame:
+    """GR-37: average of layers (r, c, p) made under flips and turns of a grid of so many rows and columns, with the cells mapped back first."""
+    up, left = f"{rows - 1} - ", f"{cols - 1} - "
+    back = {"id": ("r", "c"), "ud": (up + "r", "c"), "lr": ("r", left + "c"), "rot90": ("c", left + "r"), "rot180": (up + "r", left + "c"), "rot270": (up + "c", "r")}
     every = None
     for name, df in layers.items():
         r, c = back[name]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +56,33 @@ def audit_query(audit: DataFrame, *, contains: str, limit: int) -> DataFrame:
     return audit.where(F.col("detail").contains(contains)).orderBy(F.desc("entry_id")).limit(limit)
 
 
-def _append(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One key's entries in order. Each digest needs the one before, so the entries of a key are one sequence."""
-    pdf = pdf.sort_values("entry_id")
-    prev, before, digests = GENESIS, [], []
-    for at, detail in zip(pdf["created_at"], pdf["detail"], strict=True):
-        before.append(prev)
-        prev = hashlib.sha256(f"{prev}{at}{detail}".encode()).hexdigest()
-        digests.append(prev)
-    return pdf.assign(prev_hash=before, event_hash=digests)
+def _appender(key: str):
+    """Rows come sorted by key and entry; all that is kept between batches is the key at hand and its last digest."""
+
+    def run(batches):
+        at_key, prev = None, GENESIS
+        for pdf in batches:
+            before, digests = [], []
+            for k, at, detail in zip(pdf[key], pdf["created_at"], pdf["detail"], strict=True):
+                if k != at_key:
+                    at_key, prev = k, GENESIS
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}{at}{detail}".encode()).hexdigest()
+                digests.append(prev)
+            yield pdf.assign(prev_hash=before, event_hash=digests)
+
+    return run
 
 
 def build_chain(entries: DataFrame, key: str) -> DataFrame:
-    """WN-07: (key, entry_id, created_at string, detail) chained by sha256, one chain for each key."""
+    """WN-07: (key, entry_id, created_at string, detail) chained by sha256, one chain for each key.
+
+    Each digest needs the one before, so the entries of a key are one sequence;
+    they stream through a task and are never held together.
+    """
     rows = entries.select(key, "entry_id", "created_at", "detail")
-    return rows.groupBy(key).applyInPandas(_append, rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", prev_hash string, event_hash string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", prev_hash string, event_hash string"
+    return rows.repartition(key).sortWithinPartitions(key, "entry_id").mapInPandas(_appender(key), schema)
 
 
 def verify_chain(chained: DataFrame, key: str) -> DataFrame:
@@ -104,7 +115,7 @@ def decode_payload(payloads: DataFrame) -> DataFrame:
     """SC-16 reversed."""
     schema = "aid string, sec string, haz string, lvl int, exp_pop long, crit array<string>, med_act array<string>"
     p = payloads.withColumn("_p", F.from_json("payload", schema))
-    name = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_p.lvl"))
+    name = F.when(F.col("_p.lvl").isNotNull(), F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_p.lvl")))
     return p.select("run_id", F.col("_p.aid").alias("alert_id"), name.alias("severity"), F.col("_p.exp_pop").alias("population"), F.size("_p.crit").alias("routes"))
 
 

@@ -14,7 +14,7 @@ LABEL_TIERS = ("gold", "auto", "merged")
 def label_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """JN-08: best label tier of both dates of (pair_id, d1, d2), and whether gold labels are complete."""
     tier = F.array_position(F.array(*map(F.lit, LABEL_TIERS)), F.col("tier"))
-    best = labels.groupBy("day").agg(F.min(tier).alias("rank")).withColumn("tier", F.element_at(F.array(*map(F.lit, LABEL_TIERS)), F.col("rank").cast("int")))
+    best = labels.groupBy("day").agg(F.min(tier).alias("rank")).withColumn("tier", F.when(F.col("rank").isNotNull(), F.element_at(F.array(*map(F.lit, LABEL_TIERS)), F.col("rank").cast("int"))))
     one = best.select(F.col("day").alias("d1"), F.col("tier").alias("tier_1"))
     two = best.select(F.col("day").alias("d2"), F.col("tier").alias("tier_2"))
     gold = F.coalesce((F.col("tier_1") == "gold").cast("int"), F.lit(0)) + F.coalesce((F.col("tier_2") == "gold").cast("int"), F.lit(0))

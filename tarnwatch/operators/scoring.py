@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwatch.functions.scalars import clamp, norm01
+from tarnwatch.functions.scalars import clamp, norm01, thousandths
 
 #: Weight of trend, expansion, rain, slope and drainage, and the value of each trend.
 WEIGHTS = {"trend": 0.30, "expansion": 0.25, "rain": 0.20, "slope": 0.15, "drainage": 0.10}
@@ -28,11 +28,11 @@ def hazard_parts(trend: Column, expansion: Column, rain_24h: Column, rain_7d: Co
 
 
 def hazard_score(parts: dict[str, Column]) -> Column:
-    """SC-01: the weighted sum of the five parts."""
+    """SC-01: the weighted sum of the five parts, in thousandths."""
     total = None
     for k, w in WEIGHTS.items():
         total = w * parts[k] if total is None else total + w * parts[k]
-    return clamp(total)
+    return thousandths(clamp(total))
 
 
 def hazard_reasons(trend: Column, expansion: Column, rain_24h: Column, rain_7d: Column, slope: Column, drainage: Column, parts: dict[str, Column]) -> Column:
@@ -58,13 +58,13 @@ def severity(h: Column, population: Column, assets: Column, expansion: Column) -
 
 
 def exposure_priority(h: Column, population: Column, assets: Column) -> Column:
-    """SC-03"""
-    return h * (0.5 + 0.5 * norm01(population, 0, 2000)) * (0.5 + 0.5 * norm01(assets, 0, 10))
+    """SC-03, in thousandths"""
+    return thousandths(h * (0.5 + 0.5 * norm01(population, 0, 2000)) * (0.5 + 0.5 * norm01(assets, 0, 10)))
 
 
 def disease_risk(wells: Column, density: Column, temp_index: Column) -> Column:
-    """SC-04"""
-    return norm01(wells, 0, 5) * (0.4 + 0.6 * norm01(density, 0, 500)) * temp_index
+    """SC-04, in thousandths"""
+    return thousandths(norm01(wells, 0, 5) * (0.4 + 0.6 * norm01(density, 0, 500)) * temp_index)
 
 
 def exposure_rollup(exposures: DataFrame, default_population: int | None = None) -> DataFrame:
@@ -119,11 +119,17 @@ def fuse(runs: DataFrame) -> DataFrame:
 
 def served_population(exposures: DataFrame) -> DataFrame:
     """SC-11: people a well serves: its own, else those of the village whose distance differs least, else of the smallest village."""
-    wells = exposures.where("asset_type = 'well'").select("run_id", F.col("asset_id").alias("well"), "line", F.col("population").alias("own"), F.col("distance_m").alias("d"))
-    villages = exposures.where(F.col("asset_type").isin(*SETTLEMENTS)).select("run_id", F.col("population").alias("p"), F.col("distance_m").alias("vd"))
-    gap = F.abs(F.col("d") - F.col("vd"))
-    by = wells.join(villages, "run_id", "left").groupBy("run_id", "well", "line").agg(
-        F.max("own").alias("own"), F.min(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), "p")))["p"].alias("nearest"), F.min("p").alias("smallest")
+    well, village = F.col("asset_type") == "well", F.col("asset_type").isin(*SETTLEMENTS)
+    d, people = F.col("distance_m"), F.when(village, F.col("population"))
+    here = F.when(village & d.isNotNull(), F.struct(d.alias("d"), F.col("population").alias("p")))
+    run = Window.partitionBy("run_id")
+    # of villages at one distance the smallest is the last before a well, from either side
+    below, above = run.orderBy(d.asc(), well, F.desc("population")), run.orderBy(d.desc(), well, F.desc("population"))
+    seen = lambda w: F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    gap = lambda v: F.when(v.isNotNull() & d.isNotNull(), F.struct(F.abs(d - v["d"]).alias("gap"), v["p"].alias("p")))
+    rows = exposures.where(well | village).withColumns({"_below": seen(below), "_above": seen(above), "_smallest": F.min(people).over(run)}).where(well)
+    by = rows.select(
+        "run_id", F.col("asset_id").alias("well"), "line", F.col("population").alias("own"), F.least(gap(F.col("_below")), gap(F.col("_above")))["p"].alias("nearest"), F.col("_smallest").alias("smallest")
     )
     return by.select("run_id", "well", "line", F.coalesce(F.when(F.col("own") > 0, F.col("own")), "nearest", "smallest", F.lit(0)).alias("served"))
 
@@ -131,10 +137,10 @@ def served_population(exposures: DataFrame) -> DataFrame:
 def rescue_sectors(exposures: DataFrame) -> DataFrame:
     """SC-10: village, water-point and route sectors of each run, with their priority."""
     rolled = exposure_rollup(exposures).select("run_id", F.col("access_loss"))
-    urgent = lambda people, u: norm01(people, 0, 2000) * F.col("access_loss") * u
+    urgent = lambda people, u: thousandths(norm01(people, 0, 2000) * F.col("access_loss") * u)
     villages = exposures.where(F.col("asset_type").isin(*SETTLEMENTS))
     own = villages.select("run_id", F.concat_ws("-", F.lit("village"), "asset_id", "line").alias("sector"), F.lit("village").alias("kind"), "population", F.lit(1.0).alias("urgency"))
-    served = served_population(exposures).groupBy("run_id").agg(F.max("served").alias("served"))
+    served = served_population(exposures).groupBy("run_id").agg(F.sum("served").alias("served"))
     wells = exposures.where("asset_type = 'well'").groupBy("run_id").agg(F.sum("population").alias("p")).join(served, "run_id")
     wells = wells.select("run_id", F.lit("water-points").alias("sector"), F.lit("well").alias("kind"), F.greatest("p", "served").alias("population"), F.lit(0.7).alias("urgency"))
     routes = exposures.groupBy("run_id").agg(F.count_if(F.col("asset_type").isin(*ROUTES)).alias("n"), F.sum(F.when(F.col("asset_type").isin(*SETTLEMENTS), F.col("population")).otherwise(0)).alias("population")).where("n > 0")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.scalars import EARTH_RADIUS_KM, great_circle_km
+from tarnwatch.operators.graph import connected
 from tarnwatch.scratch import Scratch
 
 
@@ -51,27 +53,55 @@ def any_within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame
     return left.join(hit, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def greedy_radius_clusters(points: DataFrame, radius_km: float, most_rounds: int = 200) -> DataFrame:
+#: Rounds in which all points are decided at once; what is left after them goes component by component.
+ROUNDS = 12
+
+
+def _in_order(batches):
+    """Rows come sorted by component and id; a point is a centre if none of its open earlier neighbours became one."""
+    at, centres = None, set()
+    for batch in batches:
+        out = []
+        for component, i, earlier in zip(*(batch.column(c).to_pylist() for c in ("component", "id", "earlier")), strict=True):
+            if component != at:
+                at, centres = component, set()
+            out.append(not any(e in centres for e in earlier or ()))
+            if out[-1]:
+                centres.add(i)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.bool_())], names=["id", "centre"])
+
+
+def greedy_radius_clusters(points: DataFrame, radius_km: float) -> DataFrame:
     """JN-01: (id, lat, lon) in id order: a point joins the first earlier centre within the radius, else becomes one.
 
     Rounds decide points all of whose earlier neighbours are decided: one that
-    has an earlier centre is a member, one with none is a centre. The result is
-    that of the sequential rule; rounds follow the longest chain of undecided
-    neighbours. Returns id and the id of its centre.
+    has an earlier centre is a member, one with none is a centre. Where ids
+    follow no path through space a few rounds do; long chains that are left
+    after twelve are decided in id order, each component as one sorted stream
+    that keeps its centres only. The result is that of the sequential rule.
+    Returns id and the id of its centre.
     """
     scratch = Scratch(points.sparkSession, "clusters")
     earlier = scratch.cut(pairs_within(points, points, radius_km).where("other < id").select("id", "other"), "pairs")
     state = scratch.cut(points.select("id", F.lit(None).cast("boolean").alias("centre")), "state")
-    for _ in range(most_rounds):
+    for _ in range(ROUNDS):
         known = earlier.join(state.select(F.col("id").alias("other"), F.col("centre").alias("c")), "other")
         votes = known.groupBy("id").agg(F.bool_or(F.coalesce("c", F.lit(False))).alias("member"), F.count_if(F.col("c").isNull()).alias("open"))
         decided = F.when(F.coalesce("member", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = scratch.cut(state.join(votes, "id", "left").select("id", F.coalesce("centre", decided).alias("centre")), "state")
         if state.where("centre IS NULL").isEmpty():
-            centres = state.where("centre").select(F.col("id").alias("other"))
-            first = earlier.join(centres, "other").groupBy("id").agg(F.min("other").alias("first"))
-            return state.join(first, "id", "left").select("id", F.when(F.col("centre"), F.col("id")).otherwise(F.col("first")).alias("centre"))
-    raise RuntimeError(f"clusters still change after {most_rounds} rounds")
+            break
+    else:
+        left = state.where("centre IS NULL").select("id")
+        links = scratch.cut(earlier.join(left, "id", "left_semi").join(left.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other"), "open")
+        component = connected(links.toDF("a", "b"), scratch).select(F.col("node").alias("id"), F.col("root").alias("component"))
+        rows = left.join(component, "id", "left").join(links.groupBy("id").agg(F.collect_list("other").alias("earlier")), "id", "left")
+        rows = rows.select(F.coalesce("component", "id").alias("component"), "id", "earlier").repartition("component").sortWithinPartitions("component", "id")
+        last = rows.mapInArrow(_in_order, "id long, centre boolean")
+        state = scratch.cut(state.where("centre IS NOT NULL").union(last), "state")
+    centres = state.where("centre").select(F.col("id").alias("other"))
+    first = earlier.join(centres, "other").groupBy("id").agg(F.min("other").alias("first"))
+    return state.join(first, "id", "left").select("id", F.when(F.col("centre"), F.col("id")).otherwise(F.col("first")).alias("centre"))
 
 
 def arrival_horizons(assets: DataFrame, sectors: DataFrame) -> DataFrame:

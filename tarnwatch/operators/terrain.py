@@ -25,11 +25,11 @@ def _numbered(flow: DataFrame, width: int) -> DataFrame:
     return flow.select((F.col("r") * width + F.col("c")).alias("id"), (F.col("to_r") * width + F.col("to_c")).alias("to"), "z")
 
 
-def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-4, most_rounds: int = 500) -> DataFrame:
+def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-4) -> DataFrame:
     """HY-02: raises pits until every cell drains to the edge; mode ``none`` returns the cells as they are.
 
     From the edge inward: w = max(z, lowest neighbour's w + a small gradient),
-    until no cell changes.
+    until no cell changes. Rounds follow the longest way into a pit.
     """
     if mode == "none":
         return cells
@@ -39,7 +39,7 @@ def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-
     border_z = F.when(border, F.col("z")).otherwise(F.lit(float("inf")))
     water = scratch.cut(edge.select("r", "c", "z", border_z.alias("level"), border.alias("edge")), "level")
     before = None
-    for _ in range(most_rounds):
+    while True:
         near = with_neighbours(water, "level")
         lowest = F.least(*[F.col(x) for x, _, _ in EIGHT]) + gradient
         level = F.when(F.col("edge"), F.col("z")).otherwise(F.least("level", F.greatest("z", lowest)))
@@ -49,7 +49,6 @@ def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-
         if now == before:
             return water.select("r", "c", F.col("level").alias("z"))
         before = now
-    raise RuntimeError(f"depressions still fill after {most_rounds} rounds")
 
 
 def flow_accumulation(flow: DataFrame, width: int) -> DataFrame:

@@ -56,18 +56,21 @@ def _(spark, d):
 
 
 @query("best_threshold", T.with_("scores") + """
-, t AS (SELECT block, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) AS n FROM scores GROUP BY block, score),
-k AS (SELECT block, score, 2.0::DOUBLE * (sum(pos) OVER w) / (sum(n) OVER w + sum(pos) OVER (PARTITION BY block)) AS f1 FROM t WINDOW w AS (PARTITION BY block ORDER BY score DESC))
-SELECT block, arg_max(score, (f1, score)) AS threshold, round(max(f1), 9) AS f1 FROM k GROUP BY block""")
+, t AS (SELECT block, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg FROM scores GROUP BY block, score),
+u AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER b AS p, sum(neg) OVER b AS n FROM t WINDOW w AS (PARTITION BY block ORDER BY score DESC), b AS (PARTITION BY block)),
+s AS (SELECT block, score, 0 AS o, 'gt' AS direction, tp - pos AS tp, fp - neg AS fp, p FROM u UNION ALL SELECT block, score, 1, 'lt', p - tp, n - fp, p FROM u),
+k AS (SELECT *, 2.0::DOUBLE * tp / (tp + fp + p) AS f1, row_number() OVER (PARTITION BY block ORDER BY 2.0::DOUBLE * tp / (tp + fp + p) DESC, score, o) AS rank FROM s WHERE tp > 0)
+SELECT block, score AS threshold, direction, round(f1, 9) AS f1, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall FROM k WHERE rank = 1""")
 def _(spark, d):
-    return rounded(E.best_threshold(T.scores(spark, d), ["block"]), "f1")
+    return rounded(E.best_threshold(T.scores(spark, d), ["block"]), "f1", "precision", "recall")
 
 
 @query("separability", T.with_("scores") + """
-, s AS (SELECT block, avg(score) FILTER (WHERE label = 1) AS mean_1, avg(score) FILTER (WHERE label <> 1) AS mean_0, var_pop(score) FILTER (WHERE label = 1) AS v1, var_pop(score) FILTER (WHERE label <> 1) AS v0, avg((score > 0.5)::INT::DOUBLE) AS share FROM scores GROUP BY block)
-SELECT block, round(mean_1, 9) AS mean_1, round(mean_0, 9) AS mean_0, round(share, 9) AS share, round((mean_1 - mean_0) * (mean_1 - mean_0) / (v1 + v0), 9) AS fisher FROM s""")
+, s AS (SELECT block, avg(score) FILTER (WHERE label = 1) AS mean_1, avg(score) FILTER (WHERE label <> 1) AS mean_0, var_pop(score) FILTER (WHERE label = 1) AS v1, var_pop(score) FILTER (WHERE label <> 1) AS v0,
+  avg((score > 0)::INT::DOUBLE) FILTER (WHERE label = 1) AS share_1, avg((score > 0)::INT::DOUBLE) FILTER (WHERE label <> 1) AS share_0 FROM scores GROUP BY block)
+SELECT block, round(mean_1, 9) AS mean_1, round(mean_0, 9) AS mean_0, round(share_1, 9) AS share_1, round(share_0, 9) AS share_0, round((mean_1 - mean_0) * (mean_1 - mean_0) / greatest(v1 + v0, 1e-9), 9) AS fisher FROM s""")
 def _(spark, d):
-    return rounded(E.separability(T.scores(spark, d), ["block"]), "mean_1", "mean_0", "share", "fisher")
+    return rounded(E.separability(T.scores(spark, d), ["block"]), "mean_1", "mean_0", "share_1", "share_0", "fisher")
 
 
 @query("tier_table", T.with_("scores") + """

@@ -110,9 +110,11 @@ def _(spark, d):
     return G.nearest_sample(p, T.cells(spark, d), "a", x0=0.0, y0=130.0, step=1.0, fill=-1.0).select("id", "a")
 
 
-@query("resize_grid", C + "SELECT i AS r, j AS c, a FROM (SELECT unnest(range(37)) AS i), (SELECT unnest(range(53)) AS j), cells WHERE r = i * 100 // 37 AND c = j * 100 // 53")
+@query("resize_grid", C + ", s AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM cells), t AS (SELECT h, w, unnest(range(h * 2 // 3)) AS i FROM s) SELECT i AS r, j AS c, a FROM t, (SELECT unnest(range(53)) AS j), cells WHERE r = i * h // (h * 2 // 3) AND c = j * w // 53")
 def _(spark, d):
-    return G.resize_nearest(T.cells(spark, d), "a", (100, 100), (37, 53))
+    """The whole grid, onto two thirds of its rows and 53 columns."""
+    h, w = T.shape(spark, d)
+    return G.resize_nearest(T.cells(spark, d), "a", (h, w), (h * 2 // 3, 53))
 
 
 @query("nan_median_fill_scale", C + """
@@ -204,10 +206,14 @@ def _(spark, d):
     return rounded(rounded(out, "mean", "low", "high", digits=6), "variance", digits=5)
 
 
-@query("tta_average", C + ", p AS (SELECT r, c, b AS p FROM cells WHERE r < 100) SELECT r, c, avg(p) AS p FROM (FROM p UNION ALL SELECT 99 - r, c, p FROM p UNION ALL SELECT r, 99 - c, p FROM p UNION ALL SELECT 99 - r, 99 - c, p FROM p) GROUP BY 1, 2")
+@query("tta_average", C + """
+, s AS (SELECT max(r) AS h, max(c) AS w FROM cells)
+SELECT r, c, avg(p) AS p FROM (SELECT r, c, b AS p FROM cells UNION ALL SELECT h - r, c, b FROM cells, s UNION ALL SELECT r, w - c, b FROM cells, s UNION ALL SELECT r, w - c, b FROM cells, s UNION ALL SELECT h - r, c, b FROM cells, s) GROUP BY 1, 2""")
 def _(spark, d):
-    p = T.cells(spark, d).where("r < 100").select("r", "c", F.col("b").alias("p"))
-    return G.tta_average({"id": p, "ud": p, "lr": p, "rot180": p}, 100)
+    """Layers of the same numbers, as if each had been made under its flip or turn (turned ones on the transposed grid)."""
+    p = T.cells(spark, d).select("r", "c", F.col("b").alias("p"))
+    turned = p.select(F.col("c").alias("r"), F.col("r").alias("c"), "p")
+    return G.tta_average({"id": p, "ud": p, "lr": p, "rot90": turned, "rot270": turned}, *T.shape(spark, d))
 
 
 @query("label_merge_first_valid", C + ", k AS (SELECT r // 4 AS r, c, r % 4 AS priority, (b % 5)::INT AS kind FROM cells) SELECT r, c, coalesce(arg_min(kind, priority) FILTER (WHERE kind IN (0, 1)), 255)::INT AS label FROM k GROUP BY 1, 2")
@@ -298,10 +304,10 @@ def _(spark, d):
 
 
 @query("trace_downstream", _D8.replace("WITH", "WITH RECURSIVE", 1) + """
-, walk AS (SELECT r * 100 + c AS start, 0 AS step, r, c FROM flow WHERE r % 10 = 5 AND c % 10 = 5 UNION ALL SELECT start, step + 1, to_r, to_c FROM walk JOIN flow USING (r, c) WHERE to_r IS NOT NULL) SELECT * FROM walk""")
+, walk AS (SELECT r * 100 + c AS start, 0 AS step, r, c FROM flow UNION ALL SELECT start, step + 1, to_r, to_c FROM walk JOIN flow USING (r, c) WHERE to_r IS NOT NULL) SELECT * FROM walk""")
 def _(spark, d):
     flow = H.d8_direction(_z(spark, d))
-    return H.trace_downstream(flow, WIDTH, flow.where("r % 10 = 5 AND c % 10 = 5"))
+    return H.trace_downstream(flow, WIDTH, flow)
 
 
 @query("snap_to_channel", _ACC + "SELECT r, c, acc, greatest(abs(r - 50), abs(c - 50)) AS radius FROM acc WHERE acc > 6 AND greatest(abs(r - 50), abs(c - 50)) < 100 ORDER BY radius, acc DESC, r, c LIMIT 1")

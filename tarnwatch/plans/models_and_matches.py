@@ -56,26 +56,26 @@ def _(spark, d):
 
 
 @query("label_pair_join", """
-WITH l AS (SELECT ts::DATE AS day, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS k FROM events WHERE event_id % 211 < 3 AND day(ts) % 2 = 0),
+WITH l AS (SELECT ts::DATE AS day, CASE day(ts) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS k FROM events),
 b AS (SELECT day, min(k) AS k FROM l GROUP BY day), p AS (SELECT DISTINCT ts::DATE AS d1, (ts::DATE + 3)::DATE AS d2 FROM events)
 SELECT d1 AS pair_id, ['gold', 'auto', 'merged'][x.k] AS tier_1, ['gold', 'auto', 'merged'][y.k] AS tier_2, CASE coalesce((x.k = 1)::INT, 0) + coalesce((y.k = 1)::INT, 0) WHEN 2 THEN 'complete' WHEN 1 THEN 'incomplete' ELSE 'missing' END AS gold
 FROM p LEFT JOIN b x ON x.day = d1 LEFT JOIN b y ON y.day = d2""")
 def _(spark, d):
     e = T.table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    k = F.col("event_id") % 3
-    labels = e.where("event_id % 211 < 3 AND day(ts) % 2 = 0").select("day", F.when(k == 0, "gold").when(k == 1, "auto").otherwise("merged").alias("tier"))
+    k = F.day("ts") % 4
+    labels = e.select("day", F.when(k == 0, "gold").when(k == 1, "auto").when(k == 2, "merged").alias("tier"))
     pairs = e.select("day").distinct().select(F.col("day").alias("pair_id"), F.col("day").alias("d1"), F.date_add("day", 3).alias("d2"))
     return M.label_pairs(pairs, labels)
 
 
 @query("catalogue_match_check", T.with_("surveys") + """
-, s AS (SELECT lake_id AS id, name || CASE WHEN lake_id % 2 = 0 THEN ' Lake' ELSE '' END AS name, volume_m3 AS volume FROM surveys WHERE lake_id % 3 = 0),
-p AS (SELECT name, arg_max(volume_m3, lake_id) AS published FROM surveys WHERE lake_id % 3 = 1 GROUP BY name)
+, s AS (SELECT lake_id AS id, name || CASE WHEN lake_id % 2 = 0 THEN ' Lake' ELSE '' END AS name, volume_m3 AS volume FROM surveys),
+p AS (SELECT name, arg_max(volume_m3 * (0.5 + lake_id % 10 / 10.0::DOUBLE), lake_id) AS published FROM surveys GROUP BY name)
 SELECT id, published, round((volume - published) / published * 100, 6) AS percent FROM s JOIN p ON p.name = replace(lower(s.name), ' lake', '')""")
 def _(spark, d):
     s = T.surveys(spark, d)
-    mine = s.where("lake_id % 3 = 0").selectExpr("lake_id AS id", "concat(name, IF(lake_id % 2 = 0, ' Lake', '')) AS name", "volume_m3 AS volume")
-    return rounded(M.catalogue_matches(mine, s.where("lake_id % 3 = 1").selectExpr("lake_id AS seq", "name", "volume_m3 AS volume")), "percent", digits=6)
+    mine = s.selectExpr("lake_id AS id", "concat(name, IF(lake_id % 2 = 0, ' Lake', '')) AS name", "volume_m3 AS volume")
+    return rounded(M.catalogue_matches(mine, s.selectExpr("lake_id AS seq", "name", "volume_m3 * (0.5D + lake_id % 10 / 10D) AS volume")), "percent", digits=6)
 
 
 @query("exposure_view", T.with_("exposures") + "SELECT run_id, asset_id, line, p_name AS name, p_brand AS asset_class, distance_m FROM exposures JOIN part ON p_partkey = asset_id")
@@ -91,11 +91,11 @@ def _(spark, d):
 
 @query("lut_bilinear", T.with_("cells") + """
 , t AS (SELECT r AS line, c AS pixel, a AS value FROM cells WHERE r % 20 = 0 AND c % 25 = 0), m AS (SELECT max(line) AS ml, max(pixel) AS mp FROM t),
-k AS (SELECT r, c, r // 20 * 20 AS r0, c // 25 * 25 AS c0, least(r // 20 * 20 + 20, ml) AS r1, least(c // 25 * 25 + 25, mp) AS c1 FROM cells, m WHERE r < 100),
+k AS (SELECT r, c, r // 20 * 20 AS r0, c // 25 * 25 AS c0, least(r // 20 * 20 + 20, ml) AS r1, least(c // 25 * 25 + 25, mp) AS c1 FROM cells, m),
 f AS (SELECT *, CASE WHEN r1 > r0 THEN (r - r0) / 20.0::DOUBLE ELSE 0 END AS fr, CASE WHEN c1 > c0 THEN (c - c0) / 25.0::DOUBLE ELSE 0 END AS fc FROM k)
 SELECT r, c, round((1 - fr) * (1 - fc) * q.value + (1 - fr) * fc * w.value + fr * (1 - fc) * e.value + fr * fc * u.value, 6) AS value FROM f JOIN t q ON q.line = r0 AND q.pixel = c0 JOIN t w ON w.line = r0 AND w.pixel = c1 JOIN t e ON e.line = r1 AND e.pixel = c0 JOIN t u ON u.line = r1 AND u.pixel = c1""")
 def _(spark, d):
-    c = T.cells(spark, d).where("r < 100")
+    c = T.cells(spark, d)
     return rounded(M.lut_bilinear(c, T.cells(spark, d).where("r % 20 = 0 AND c % 25 = 0").selectExpr("r AS line", "c AS pixel", "a AS value"), 20, 25), "value", digits=6)
 
 

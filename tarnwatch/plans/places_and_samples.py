@@ -60,10 +60,10 @@ def _(spark, d):
 
 
 @query("rasterize_polygons", LC + """
-, poly AS (SELECT event_id AS poly, lon - 0.11 AS w, lon + 0.13 AS e, lat - 0.07 AS s, lat + 0.09 AS n FROM catalogue WHERE event_id % 10 = 0)
+, poly AS (SELECT event_id AS poly, lon - 0.11 AS w, lon + 0.13 AS e, lat - 0.07 AS s, lat + 0.09 AS n FROM catalogue)
 SELECT lake_id AS id, poly FROM lakes, poly WHERE lon >= w AND lon < e AND lat >= s AND lat < n""")
 def _(spark, d):
-    c = T.catalogue(spark, d).where("event_id % 10 = 0").selectExpr("event_id AS poly", "lon - 0.11 AS w", "lon + 0.13 AS e", "lat - 0.07 AS s", "lat + 0.09 AS n")
+    c = T.catalogue(spark, d).selectExpr("event_id AS poly", "lon - 0.11 AS w", "lon + 0.13 AS e", "lat - 0.07 AS s", "lat + 0.09 AS n")
     edges = c.selectExpr("poly", "stack(4, w, s, e, s, e, s, e, n, e, n, w, n, w, n, w, s) AS (x1, y1, x2, y2)")
     return P.polygon_parity(T.lakes(spark, d).selectExpr("lake_id AS id", "lon AS x", "lat AS y"), edges)
 
@@ -153,9 +153,11 @@ def _(spark, d):
     return R.lake_inventory(T.lakes(spark, d), 4000, 0.02)
 
 
-@query("raster_cells", T.with_("cells") + "SELECT r, c, a, b FROM cells WHERE r BETWEEN 10 AND 59 AND c BETWEEN 20 AND 79 AND r % 3 = 0 AND c % 3 = 0")
+@query("raster_cells", T.with_("cells") + "SELECT r, c, a, b FROM cells WHERE c <= (SELECT max(c) FROM cells) AND r % 2 = 0 AND c % 2 = 0")
 def _(spark, d):
-    return R.raster_cells(T.cells(spark, d), (10, 59, 20, 79), 3)
+    """The whole grid at half its resolution, as an overview is read."""
+    h, w = T.shape(spark, d)
+    return R.raster_cells(T.cells(spark, d), (0, h - 1, 0, w - 1), 2)
 
 
 @query("weather_archive_rows", T.with_("weather") + "SELECT station, day, precip, tmean, tmin, tmax FROM weather")
@@ -179,6 +181,8 @@ def _(spark, d):
     return jobs.job_states(e)
 
 
-@query("report_sink", T.with_("surveys") + "SELECT lake_type, count(*) AS n FROM surveys GROUP BY 1")
+@query("report_sink", T.with_("surveys") + "SELECT lake_type, count(*) AS n, sum(lake_id)::BIGINT AS items FROM surveys GROUP BY 1")
 def _(spark, d):
-    return R.report(T.surveys(spark, d), "lake_type", "lake_id").select("lake_type", F.get_json_object("report", "$.n").cast("long").alias("n"))
+    r = R.report(T.surveys(spark, d), "lake_type", "lake_id", most=10).select("lake_type", F.from_json("report", "n long, part int, items array<long>").alias("r"))
+    items = F.aggregate("r.items", F.lit(0).cast("long"), lambda a, x: a + x)
+    return r.groupBy("lake_type").agg(F.max("r.n").alias("n"), F.sum(items).alias("items"))

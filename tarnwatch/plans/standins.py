@@ -111,6 +111,12 @@ def cells(spark, sf_dir) -> DataFrame:
     return e.select(F.floor(F.col("event_id") / 100).alias("r"), (F.col("event_id") % 100).alias("c"), F.col("value").alias("a"), F.get_json_object("props", "$.k").cast("double").alias("b"))
 
 
+def shape(spark, sf_dir) -> tuple[int, int]:
+    """Rows and columns of the grid."""
+    r, c = cells(spark, sf_dir).agg(F.max("r"), F.max("c")).first()
+    return r + 1, c + 1
+
+
 def _place(key):
     return (27 + (key * 91 % 800) / 100.0).alias("lat"), (80 + (key * 37 % 1500) / 100.0).alias("lon")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnwatch.functions import scalars as S
 from tarnwatch.operators import ledger, scoring, weather
 from tarnwatch.plans import standins as T
+from tarnwatch.scratch import Scratch
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -155,17 +156,17 @@ x AS (SELECT run_id, population, settlements, bridges, wells, inundated_wells, c
   (run_id % 50)::DOUBLE AS slope, CASE run_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.4 WHEN 2 THEN 0.9 ELSE 0.3 END AS tv, CASE WHEN run_id % 2 = 0 THEN 1.0 ELSE 0.2 END AS dv, settlements + bridges + wells AS assets
   FROM observations LEFT JOIN r ON acquired_at = day JOIN roll ON observation_id = run_id),
 y AS (SELECT *, CASE WHEN temp < 5 THEN 0.3 WHEN temp < 15 THEN 0.4 + (temp - 5) * 0.02 WHEN temp < 25 THEN 0.6 + (temp - 15) * 0.02 ELSE least(1.0, 0.8 + (temp - 25) * 0.01) END AS ti,
-  0.30 * tv + 0.25 * least(1.0, expansion / 30) + 0.20 * greatest(least(1.0, rain_24h / 100), least(1.0, rain_7d / 250) * 0.8) + 0.15 * least(1.0, slope / 45) + 0.10 * dv AS hazard FROM x),
+  floor((0.30 * tv + 0.25 * least(1.0, expansion / 30) + 0.20 * greatest(least(1.0, rain_24h / 100), least(1.0, rain_7d / 250) * 0.8) + 0.15 * least(1.0, slope / 45) + 0.10 * dv) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE AS hazard FROM x),
 z AS (SELECT *, CASE WHEN expansion >= 40 THEN 'critical' WHEN hazard >= 0.7 AND (assets > 0 OR population > 500) THEN 'critical' WHEN hazard >= 0.5 THEN 'elevated' WHEN hazard >= 0.3 THEN 'watch' ELSE 'informational' END AS severity FROM y)
-SELECT run_id, round(hazard, 9) AS hazard, round(hazard * (0.5 + 0.5 * least(1.0, population / 2000.0)) * (0.5 + 0.5 * least(1.0, assets / 10.0)), 9) AS exposure,
-  round(least(1.0, inundated_wells / 5.0) * (0.4 + 0.6 * least(1.0, population / 10.0 / 500)) * ti, 9) AS disease, severity, population * 28 AS chlorine_tablets, inundated_wells > 0 AS boil_water,
+SELECT run_id, hazard, floor((hazard * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, population / 2000.0::DOUBLE)) * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, assets / 10.0::DOUBLE))) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE AS exposure,
+  floor((least(1.0::DOUBLE, inundated_wells / 5.0::DOUBLE) * (0.4::DOUBLE + 0.6::DOUBLE * least(1.0::DOUBLE, population / 10.0::DOUBLE / 500)) * ti) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE AS disease, severity, population * 28 AS chlorine_tablets, inundated_wells > 0 AS boil_water,
   CASE WHEN severity IN ('elevated', 'critical') THEN 8 ELSE 5 END AS reasons FROM z"""
 
 
 @query("run_batch", _SCORED_SQL)
 def _(spark, d):
     return scored_runs(spark, d).select(
-        "run_id", *[F.round(c, 9).alias(c) for c in ("hazard", "exposure", "disease")], "severity", "chlorine_tablets", "boil_water", F.size("reasons").alias("reasons")
+        "run_id", "hazard", "exposure", "disease", "severity", "chlorine_tablets", "boil_water", F.size("reasons").alias("reasons")
     )
 
 
@@ -183,13 +184,12 @@ def _(spark, d):
 
 @query("rank_sectors", T.with_("exposures") + _ROLLUP_SQL + _SERVED_SQL + """
 , sec AS (SELECT run_id, concat_ws('-', 'village', asset_id, line) AS sector, 'village' AS kind, population, 1.0 AS u FROM exposures WHERE asset_type IN ('village','settlement')
-  UNION ALL SELECT run_id, 'water-points', 'well', greatest(p, s), 0.7 FROM (SELECT run_id, sum(population)::BIGINT AS p FROM exposures WHERE asset_type = 'well' GROUP BY 1) JOIN (SELECT run_id, max(served) AS s FROM served GROUP BY 1) USING (run_id)
+  UNION ALL SELECT run_id, 'water-points', 'well', greatest(p, s), 0.7 FROM (SELECT run_id, sum(population)::BIGINT AS p FROM exposures WHERE asset_type = 'well' GROUP BY 1) JOIN (SELECT run_id, sum(served)::BIGINT AS s FROM served GROUP BY 1) USING (run_id)
   UNION ALL SELECT run_id, 'access-routes', 'bridge', sum(CASE WHEN asset_type IN ('village','settlement') THEN population ELSE 0 END)::BIGINT, 0.5 FROM exposures GROUP BY run_id HAVING count(*) FILTER (WHERE asset_type IN ('bridge','road')) > 0),
-p AS (SELECT run_id, sector, kind, sec.population, access_loss, round(least(1.0, sec.population / 2000.0) * access_loss * u, 6) AS priority FROM sec JOIN roll USING (run_id))
+p AS (SELECT run_id, sector, kind, sec.population, access_loss, floor((least(1.0::DOUBLE, sec.population / 2000.0::DOUBLE) * access_loss * u::DOUBLE) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE AS priority FROM sec JOIN roll USING (run_id))
 SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, sector)::INT AS rank FROM p""")
 def _(spark, d):
-    sectors = scoring.rescue_sectors(T.exposures(spark, d)).withColumn("priority", F.round("priority", 6))
-    return ledger.rank_sectors(sectors)
+    return ledger.rank_sectors(scoring.rescue_sectors(T.exposures(spark, d)))
 
 
 @query("personnel_registry", T.with_("exposures") + """
@@ -247,12 +247,21 @@ def _entries(spark, d):
 
 @query("hash_chain_verify", """
 WITH RECURSIVE e AS (SELECT user_id AS alert, event_id AS entry_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at, props AS detail FROM events),
-c AS (SELECT alert, n, entry_id, sha256(repeat('0', 64) || created_at || detail) AS h FROM e WHERE n = 1 UNION ALL SELECT e.alert, e.n, e.entry_id, sha256(c.h || e.created_at || e.detail) FROM c JOIN e ON e.alert = c.alert AND e.n = c.n + 1)
-SELECT alert, count(*) AS entries, true AS valid, NULL::BIGINT AS first_break, max_by(h, n) AS head FROM c GROUP BY alert""")
+c AS (SELECT alert, n, entry_id, sha256(repeat('0', 64) || created_at || detail) AS h FROM e WHERE n = 1 UNION ALL SELECT e.alert, e.n, e.entry_id, sha256(c.h || e.created_at || e.detail) FROM c JOIN e ON e.alert = c.alert AND e.n = c.n + 1),
+t AS (SELECT alert, n, entry_id, lag(h, 1, repeat('0', 64)) OVER w AS prev, h AS head, CASE WHEN entry_id % 89 = 0 THEN sha256(h) ELSE h END AS h FROM c WINDOW w AS (PARTITION BY alert ORDER BY n)),
+k AS (SELECT t.*, lag(t.h, 1, repeat('0', 64)) OVER (PARTITION BY alert ORDER BY n) = prev AND sha256(prev || created_at || detail || CASE WHEN entry_id % 97 = 0 THEN '!' ELSE '' END) = t.h AS good FROM t JOIN e USING (alert, n, entry_id))
+SELECT alert, count(*) AS entries, bool_and(good) AS valid, min(entry_id) FILTER (WHERE NOT good) AS first_break, max_by(head, n) AS head FROM k GROUP BY alert""")
 def _(spark, d):
-    chained = ledger.build_chain(_entries(spark, d), "alert")
+    """Details and digests of some entries are changed after the chain was built."""
+    chained = Scratch(spark, "chain").cut(ledger.build_chain(_entries(spark, d), "alert"), "chained")
     head = chained.groupBy("alert").agg(F.max_by("event_hash", "entry_id").alias("head"))
-    return ledger.verify_chain(chained, "alert").join(head, "alert")
+    changed = chained.withColumns(
+        {
+            "detail": F.when(F.col("entry_id") % 97 == 0, F.concat("detail", F.lit("!"))).otherwise(F.col("detail")),
+            "event_hash": F.when(F.col("entry_id") % 89 == 0, F.sha2("event_hash", 256)).otherwise(F.col("event_hash")),
+        }
+    )
+    return ledger.verify_chain(changed, "alert").join(head, "alert")
 
 
 @query("alert_payload")

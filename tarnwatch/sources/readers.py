@@ -81,7 +81,9 @@ def complete_samples(members: DataFrame, required: list[str]) -> DataFrame:
     return by.where(F.size(F.array_except(F.array(*map(F.lit, required)), "fields")) == 0).select("sample")
 
 
-def report(rows: DataFrame, key: str, id_col: str) -> DataFrame:
-    """SRC-17: totals of each key with its nested items, as one JSON text."""
-    by = rows.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(id_col)).alias("items"))
-    return by.select(key, F.to_json(F.struct(key, "n", "items")).alias("report"))
+def report(rows: DataFrame, key: str, id_col: str, most: int = 10_000) -> DataFrame:
+    """SRC-17: totals of each key with its nested items, as JSON texts of some ``most`` items each, dealt by hash."""
+    totals = rows.groupBy(key).agg(F.count("*").alias("n"))
+    parts = rows.select(key, id_col).join(totals, key).withColumn("part", F.pmod(F.xxhash64(id_col), F.ceil(F.col("n") / most)).cast("int"))
+    by = parts.groupBy(key, "n", "part").agg(F.sort_array(F.collect_list(id_col)).alias("items"))
+    return by.select(key, F.to_json(F.struct(key, "n", "part", "items")).alias("report"))
