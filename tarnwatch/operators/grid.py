@@ -136,6 +136,18 @@ def resize_nearest(cells: DataFrame, value: str, shape: tuple[int, int], to: tup
     return n.join(cells.select("r", "c", value), ["r", "c"]).select(F.col("i").alias("r"), F.col("j").alias("c"), value)
 
 
+def resize_bilinear(cells: DataFrame, value: str, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """GR-20: each cell of the new grid from the four around its centre, clamped at the edges."""
+    n = cells.sparkSession.range(to[0] * to[1]).select(F.floor(F.col("id") / to[1]).alias("i"), (F.col("id") % to[1]).alias("j"))
+    place = lambda k, a: F.greatest(F.lit(0.0), F.least(F.lit(shape[a] - 1.0), (F.col(k) + 0.5) * (shape[a] / to[a]) - 0.5))
+    n = n.withColumns({"y": place("i", 0), "x": place("j", 1)}).withColumns({"r0": F.floor("y"), "c0": F.floor("x")})
+    fy, fx = F.col("y") - F.col("r0"), F.col("x") - F.col("c0")
+    corner = lambda dr, dc, w: F.struct(F.least(F.col("r0") + dr, F.lit(shape[0] - 1)).alias("r"), F.least(F.col("c0") + dc, F.lit(shape[1] - 1)).alias("c"), w.alias("w"))
+    corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
+    found = n.select("i", "j", F.inline(corners)).join(cells.select("r", "c", value), ["r", "c"]).groupBy("i", "j").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    return found.select(F.col("i").alias("r"), F.col("j").alias("c"), value)
+
+
 def median_fill_scale(cells: DataFrame, value: str, keys: Sequence[str], default: float = -30.0) -> DataFrame:
     """GR-21: missing values take the median of their scene, then all are scaled from [-30, 0] to [0, 1]."""
     middle = cells.groupBy(*keys).agg(F.coalesce(F.percentile(value, F.lit(0.5)), F.lit(default)).alias("_m"))
@@ -163,6 +175,15 @@ def close_mask(mask: DataFrame) -> DataFrame:
     return erode(dilate(mask, 1, box=True), 1, box=True)
 
 
+def fill_holes(mask: DataFrame, rows: int, cols: int) -> DataFrame:
+    """GR-24: the true cells, and the false ones that no path of false cells joins to the edge of the grid."""
+    every = mask.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("r"), (F.col("id") % cols).alias("c"))
+    empty = label_components(every.join(mask.select("r", "c"), ["r", "c"], "left_anti"), cols)
+    edge = F.col("r").isin(0, rows - 1) | F.col("c").isin(0, cols - 1)
+    holes = empty.join(empty.where(edge).select("label").distinct(), "label", "left_anti")
+    return mask.select("r", "c").unionByName(holes.select("r", "c"))
+
+
 def label_components(mask: DataFrame, width: int) -> DataFrame:
     """GR-25: (r, c, label) of four-connected true cells; the label is the smallest cell number of the region."""
     cells = mask.select((F.col("r") * width + F.col("c")).alias("id"), "r", "c")

@@ -10,11 +10,15 @@ def _order(seed: int, key: str = "id"):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def stratified_sample(rows: DataFrame, block: str, share: float, seed: int) -> DataFrame:
-    """WN-09: round(n x share) rows of each block, in seeded order."""
+def stratified_sample(rows: DataFrame, block: str, share: float, seed: int, total: int | None = None) -> DataFrame:
+    """WN-09: round(n x share) rows of each block, in seeded order; with a ``total``, topped up to it from what is left."""
     sizes = rows.groupBy(block).agg(F.floor(F.count("*") * share + 0.5).alias("_quota"))
     ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(block).orderBy(_order(seed), "id")))
-    return ranked.join(F.broadcast(sizes), block).where(F.col("_k") <= F.col("_quota")).drop("_k", "_quota")
+    ranked = ranked.join(F.broadcast(sizes), block)
+    taken, left = ranked.where(F.col("_k") <= F.col("_quota")).drop("_k", "_quota"), ranked.where(F.col("_k") > F.col("_quota")).drop("_k", "_quota")
+    if total is None:
+        return taken
+    return taken.unionByName(left.orderBy(_order(seed), "id").limit(max(0, total - taken.count())))
 
 
 def balanced_epoch(rows: DataFrame, kind: str, seed: int) -> DataFrame:

@@ -283,24 +283,15 @@ def _hand(spark, d):
     return H.hand(flow, H.flow_accumulation(flow, WIDTH), WIDTH, 5)
 
 
-@query("hand", _ACC + """
+HAND_SQL = _ACC + """
 , steps AS (SELECT r AS r0, c AS c0, r, c, 0 AS n FROM p UNION ALL SELECT r0, c0, p.to_r, p.to_c, n + 1 FROM steps JOIN p USING (r, c) WHERE p.to_r IS NOT NULL),
-f AS (SELECT r0, c0, arg_min(cells.a, n) AS zc FROM steps JOIN acc USING (r, c) JOIN cells USING (r, c) WHERE acc >= 5 GROUP BY 1, 2)
-SELECT cells.r, cells.c, coalesce(greatest(0, a - zc), 0) AS hand FROM cells LEFT JOIN f ON r0 = cells.r AND c0 = cells.c""")
-def _(spark, d):
-    return _hand(spark, d)
+f AS (SELECT r0, c0, arg_min(cells.a, n) AS zc FROM steps JOIN acc USING (r, c) JOIN cells USING (r, c) WHERE acc >= 5 GROUP BY 1, 2),
+hand AS (SELECT cells.r, cells.c, coalesce(greatest(0, a - zc), 0) AS hand FROM cells LEFT JOIN f ON r0 = cells.r AND c0 = cells.c)"""
 
 
-@query("hand_exposure")
+@query("hand", HAND_SQL + "SELECT * FROM hand")
 def _(spark, d):
-    k = F.col("c_custkey")
-    p = T.table(spark, d, "customer").select(k.alias("id"), (k * 7 % 120).alias("r"), (k * 11 % 120).alias("c"))
-    return H.hand_exposure(p, _hand(spark, d), 5.0)
-
-
-@query("hand_filter")
-def _(spark, d):
-    return H.hand_filter(T.cells(spark, d).select("r", "c", (F.col("b") / 100).alias("p")), _hand(spark, d))
+    return _hand(spark, d)
 
 
 @query("trace_downstream", _D8.replace("WITH", "WITH RECURSIVE", 1) + """

@@ -84,11 +84,6 @@ def _(spark, d):
     return M.exposure_view(T.exposures(spark, d), assets)
 
 
-@query("seasonal_negative_dates")
-def _(spark, d):
-    return M.seasonal_negative_dates(T.lakes(spark, d).selectExpr("lake_id AS site"), T.catalogue(spark, d), 9)
-
-
 @query("lut_bilinear", T.with_("cells") + """
 , t AS (SELECT r AS line, c AS pixel, a AS value FROM cells WHERE r % 20 = 0 AND c % 25 = 0), m AS (SELECT max(line) AS ml, max(pixel) AS mp FROM t),
 k AS (SELECT r, c, r // 20 * 20 AS r0, c // 25 * 25 AS c0, least(r // 20 * 20 + 20, ml) AS r1, least(c // 25 * 25 + 25, mp) AS c1 FROM cells, m),

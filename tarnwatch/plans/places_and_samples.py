@@ -96,12 +96,6 @@ def _(spark, d):
     return M.balanced_epoch(T.scores(spark, d).selectExpr("sample_id AS id", "label"), "label", 3)
 
 
-@query("within_lake_negatives")
-def _(spark, d):
-    e = T.catalogue(spark, d).selectExpr("event_id % 40 AS site", "event_date")
-    return M.negative_dates(e.select("site").distinct(), e, 3, 120, 12, 3650, 5)
-
-
 @query("dataset_summary", T.with_("scores") + "SELECT block, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positive, count(DISTINCT sample_id) AS ids, round(avg((label = 1)::INT::DOUBLE), 9) AS share FROM scores GROUP BY ROLLUP (block)")
 def _(spark, d):
     return rounded(M.dataset_summary(T.scores(spark, d), "block", "label", "sample_id"), "share")

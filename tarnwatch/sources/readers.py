@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ARCHIVE = "station long, daily struct<time: array<string>, precipitation_sum: array<double>, temperature_2m_mean: array<double>, temperature_2m_min: array<double>, temperature_2m_max: array<double>>"
@@ -29,6 +29,13 @@ def date_map_series(documents: DataFrame) -> DataFrame:
     return d.select("station", F.explode("d.days").alias("at", "t")).select("station", F.to_date("at").alias("day"), F.col("t.mean_c").alias("tmean"), F.col("t.min_c").alias("tmin"))
 
 
+def date_map_documents(rows: DataFrame) -> DataFrame:
+    """SRC-03 reversed: rows (station, day, tmean, tmin) -> a document of dates for each station; some thousand days of a station are one row."""
+    pair = F.struct(F.col("day").cast("string").alias("key"), F.struct(F.col("tmean").alias("mean_c"), F.col("tmin").alias("min_c")).alias("value"))
+    by = rows.groupBy("station").agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("days"))
+    return by.select("station", F.to_json(F.struct("days")).alias("json"))
+
+
 def osm_elements_to_features(elements: DataFrame) -> DataFrame:
     """SRC-04: (id, kind, lat, lon, geometry array<struct<lon,lat>>, tags) -> features; what has no geometry goes."""
     n = F.size("geometry")
@@ -66,14 +73,20 @@ def raster_cells(cells: DataFrame, box: tuple[int, int, int, int], step: int = 1
     return cells.where(inside & (F.col("r") % step == 0) & (F.col("c") % step == 0))
 
 
-def tile_list(spark: SparkSession, south: float, north: float, west: float, east: float) -> DataFrame:
-    """SRC-15: names of the one-degree tiles that cover a box."""
-    side = lambda a, b: F.explode(F.sequence(F.floor(F.lit(a)).cast("int"), F.floor(F.lit(b)).cast("int")))
-    t = spark.range(1).select(side(south, north).alias("lat")).select("lat", side(west, east).alias("lon"))
+def tile_list(boxes: DataFrame) -> DataFrame:
+    """SRC-15: names of the one-degree tiles that cover each box (box, south, north, west, east)."""
+    side = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int")))
+    t = boxes.select("box", side("south", "north").alias("lat"), "west", "east").select("box", "lat", side("west", "east").alias("lon"))
     name = F.concat(F.when(F.col("lat") < 0, "S").otherwise("N"), F.lpad(F.abs("lat").cast("string"), 2, "0"), F.when(F.col("lon") < 0, "W").otherwise("E"), F.lpad(F.abs("lon").cast("string"), 3, "0"))
     return t.withColumn("tile", name)
 
 
+def granule_list(spans: DataFrame, prefix: str) -> DataFrame:
+    """SRC-15: names of the daily granules of each span (span, first, last), by year and day of the year; none where it ends before it starts."""
+    days = spans.where("first <= last").select("span", F.explode(F.sequence("first", "last")).alias("day"))
+    return days.select("span", "day", F.concat(F.lit(prefix), F.date_format("day", "yyyy"), F.lit("."), F.lpad(F.dayofyear("day").cast("string"), 3, "0")).alias("granule"))
+
+
 def complete_samples(members: DataFrame, required: list[str]) -> DataFrame:
     """SRC-13: (path) of shard members -> sample ids that have every required field."""
     parts = members.select(F.regexp_extract("path", r"([^/.]+)\.([^/]+)$", 1).alias("sample"), F.regexp_extract("path", r"([^/.]+)\.([^/]+)$", 2).alias("field"))
