@@ -1,6 +1,7 @@
 """Corpus operators: edge cases, brute-force versions, SQL on the smallest tables."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -138,6 +139,82 @@ def test_secrets(spark, none):
     assert secret_scan.scan_secrets(none.select("doc_id", "text")).count() == 0
 
 
+def brute_random_spans(texts, q=0.01):
+    """The battery and its false-discovery control in plain Python, with error functions of the standard library."""
+    normal = lambda z: math.erfc(-z / math.sqrt(2)) / 2
+
+    def cauchy(ps):
+        bend = lambda p: 1 / (p * math.pi) if p < 1e-8 else math.tan((0.5 - p) * math.pi)
+        t = sum(bend(min(max(p, 1e-30), 0.999)) for p in ps) / len(ps)
+        return 1 / (t * math.pi) if t > 1e8 else 0.5 - math.atan(t) / math.pi
+
+    found = []
+    for i, text in texts.items():
+        for m in re.finditer(secret_scan.CANDIDATE, text):
+            token = m[0]
+            _, _, alphabet, coincidence = next(e for e in secret_scan.ENCODINGS if re.search(e[1], token))
+            token = token.lower() if re.fullmatch("[0-9A-F]+", token) else token
+            n, k, v = len(token), len(alphabet), [alphabet.find(c) + 1 for c in token]
+            chi = sum(token.count(c) ** 2 for c in set(token)) * k / n - n
+            excess, mean = k * coincidence - 1, sum(v) / n
+            ordinary = (chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * excess)
+            up = [x > k / 2 for x in v]
+            both, runs = 2 * sum(up) * (n - sum(up)), 1 + sum(a != b for a, b in zip(up, up[1:]))
+            z_runs = (runs - both / n - 1) / math.sqrt(both * (both - n) / (n * n * (n - 1))) if both > n else 99.0
+            spread = sum((x - mean) ** 2 for x in v)
+            z_serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread * math.sqrt(n) if spread > 1e-9 else 99.0
+            uniform = 1 - normal((chi - (k - 1)) / math.sqrt(2 * (k - 1)))
+            bins = [min(int(abs(z) * 4), secret_scan.Z_BINS - 1) for z in (z_runs, z_serial)]
+            fits = cauchy([uniform, 2 * normal(-abs(z_runs)), 2 * normal(-abs(z_serial))]) >= secret_scan.MISFIT
+            found.append({"doc": i, "span": m.span(), "strata": min(int(math.log2(n / 16)), 15), "p": max(normal(ordinary), 1e-30), "bins": bins, "plain": uniform < secret_scan.ORDINARY, "fits": fits})
+    out = {i: [] for i in texts}
+    for strata in {t["strata"] for t in found}:
+        own = [t for t in found if t["strata"] == strata]
+        plain = [t for t in own if t["plain"]]
+        for t in own:
+            usual = [(sum(o["bins"][j] <= t["bins"][j] for o in plain) + 1) / (len(plain) + 2) for j in (0, 1)]
+            t["bin"] = max(0, min(int(-math.log10(cauchy([t["p"], *usual])) * 20), 400))
+        passed = [b for b in {t["bin"] for t in own} if 10 ** (-b / 20) <= q * sum(t["bin"] >= b for t in own) / len(own)]
+        for t in own:
+            if passed and t["bin"] >= min(passed) and t["fits"]:
+                out[t["doc"]].append(t["span"])
+    return out
+
+
+def test_random_spans_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    expected = brute_random_spans(texts)
+    for r in secret_scan.scan_secrets(docs).collect():
+        base = [(s["start"], s["end"]) for s in r.base_spans]
+        wanted = sorted(x for x in expected[r.doc_id] if not any(a < x[1] and b > x[0] for a, b in base))
+        assert [(s["start"], s["end"]) for s in r.secrets if s["kind"] == "random"] == wanted
+
+
+def test_planted_tokens_are_told_from_identifiers(spark):
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    syllables = ["ba", "ne", "to", "ri", "lu", "sa", "me", "ko", "di", "pa"]
+    rows = []
+    for i in range(400):
+        token = "".join(rng.choice(alphabet) for _ in range(rng.randint(32, 60))) if i % 4 == 0 else "".join(rng.choice(syllables) for _ in range(rng.randint(12, 24)))
+        rows.append((i, f"value {token} end"))
+    found = {r.doc_id: any(s["kind"] == "random" for s in r.secrets) for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(found[i] for i in found if i % 4 == 0)
+    assert hits >= 90 and sum(found.values()) - hits <= 4
+
+
+def test_hosts_and_suffixes_decide_short_texts(spark, sf):
+    """Words that two languages share go with the host's other texts, and with the suffix where the host is new."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang IN ('de', 'fr')").select("doc_id", "text", "lang")
+    known = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.concat("lang", F.lit("."), "lang").alias("host"), F.col("lang").alias("suffix"))
+    short = spark.createDataFrame([(-1, "ari", None, "de.de", "de"), (-2, "ari", None, "fr.fr", "fr"), (-3, "ari", None, "new.de", "de"), (-4, "ari", None, "new.fr", "fr")], known.schema)
+    out = language_id.identify(known.unionByName(short), id_col="id", declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix")).where("_id < 0").collect()
+    posterior = {r._id: (r.language, r.posterior) for r in out}
+    share = {i: p if x == "fr" else 1 - p for i, (x, p) in posterior.items() if x in ("de", "fr")}
+    assert len(posterior) == 4 and share[-2] > share[-1] and share[-4] > share[-3]
+
+
 def test_decontamination_edges(spark, odd, none):
     text = odd.where("doc_id = 9 AND text IS NOT NULL").first().text
     bench = spark.createDataFrame([(1, " ".join(text.split()[5:18]).upper()), (2, None), (3, ""), (4, "ab"), (4, "ab")], "item_id long, text string").withColumn("window", F.lit("clash"))
