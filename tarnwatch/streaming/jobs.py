@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Columns of the ledger.
+LEDGER = "source string, scene_id string, taken timestamp, href string"
+
+
 def new_scenes(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """SM-01: scenes of a batch that have an id and are not in the ledger, one row for each (source, scene_id)."""
     once = batch.where(F.col("scene_id").isNotNull()).groupBy("source", "scene_id").agg(F.min("taken").alias("taken"), F.min_by("href", "taken").alias("href"))
@@ -22,10 +26,15 @@ def register_scenes(stream: DataFrame, ledger_path: str, checkpoint: str, delay:
     ledger keeps the job idempotent beyond it, also when a batch runs again.
     """
 
+    def first_time(spark) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+        return not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        ledger = spark.read.schema("source string, scene_id string, taken timestamp, href string").parquet(ledger_path)
-        new_scenes(batch, ledger).write.mode("append").parquet(ledger_path)
+        if first_time(spark):
+            spark.createDataFrame([], LEDGER).write.parquet(ledger_path)
+        new_scenes(batch, spark.read.schema(LEDGER).parquet(ledger_path)).write.mode("append").parquet(ledger_path)
 
     once = stream.withWatermark("taken", delay).dropDuplicatesWithinWatermark(["source", "scene_id"])
     return once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

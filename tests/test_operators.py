@@ -6,9 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import scalars as S
-from tarnwatch.operators import evaluation, grid, ledger, scoring, terrain, weather
+from tarnwatch.operators import corridor, evaluation, grid, lakes, ledger, scoring, spatial, terrain, weather
 from tarnwatch.operators.graph import connected
 from tarnwatch.scratch import Scratch
+from tarnwatch.streaming import jobs
 
 
 def values(df, *cols):
@@ -132,3 +133,74 @@ def test_results_do_not_depend_on_partitions(spark, sf):
     e = standins.exposures(spark, sf)
     a = values(scoring.exposure_rollup(e.repartition(7)), "run_id", "population", "access_loss")
     assert a == values(scoring.exposure_rollup(e.coalesce(1)), "run_id", "population", "access_loss")
+
+
+def test_a_long_chain_of_points_is_clustered_in_order(spark):
+    points = spark.range(500).select("id", F.lit(30.0).alias("lat"), (80 + F.col("id") * 0.01).alias("lon"))
+    found = {r.id: r.centre for r in spatial.greedy_radius_clusters(points, 1.5).collect()}
+    centres, expected = [], {}
+    for i in range(500):
+        near = [c for c in centres if (i - c) * 0.01 * 111.195 * 0.866 <= 1.5]
+        expected[i] = near[0] if near else i
+        centres += [] if near else [i]
+    assert found == expected
+
+
+def test_holes_are_filled_and_bays_are_not(spark):
+    ring = [(r, c) for r in range(2, 7) for c in range(2, 7) if r in (2, 6) or c in (2, 6)]
+    bay = [(r, c) for r, c in ring if (r, c) != (4, 6)]
+    df = lambda cells: spark.createDataFrame(cells, "r long, c long")
+    assert grid.fill_holes(df(ring), 10, 10).count() == 25
+    assert grid.fill_holes(df(bay), 10, 10).count() == len(bay)
+
+
+def test_drawdown_of_a_flat_lake(spark):
+    cells = [(r, c, 5200.0 if 10 <= r < 30 and 10 <= c < 30 else 5300.0 + 9 * (r * 7 % 11) + 5 * c, 0.0) for r in range(40) for c in range(40)]
+    cells = [(r, c, z, z - 12.0 if z == 5200.0 else z) for r, c, z, _ in cells]
+    out = lakes.lake_drawdown(spark.createDataFrame(cells, "r long, c long, before double, after double"), 40, (5190.0, 5210.0), (5180.0, 5210.0), 4.0).first()
+    flat = sum(all(10 <= r + i < 30 and 10 <= c + j < 30 for i in range(-4, 5) for j in range(-4, 5)) for r in range(40) for c in range(40))
+    assert out.area_before_m2 == 4.0 * flat and out.drawdown_m == 12.0 and out.emptied_m3 == 12.0 * 4.0 * flat
+
+
+def test_breach_errors(spark):
+    lake = lambda k, z: [(k, r, c, z(r, c)) for r in range(5) for c in range(5)]
+    rows = lake("dry", lambda r, c: 9.0) + lake("full", lambda r, c: 1.0) + lake("pit", lambda r, c: 1.0 if 1 <= r <= 3 and 1 <= c <= 3 else 9.0)
+    cells = spark.createDataFrame(rows, "lake string, r long, c long, z double")
+    out = {r.lake: r for r in lakes.breach_volume(cells, ["lake"], F.col("z") < 5, F.lit(False), 10.0).collect()}
+    assert (out["dry"].error, out["full"].error) == ("no water before", "no rim before")
+    assert (out["pit"].volume_m3, out["pit"].method, out["pit"].mode) == (9 * 8 * 10.0, "hypsometric", "observed_drainage")
+
+
+def test_part_of_a_disc(spark):
+    square = [("s", -9.0, -9.0, 9.0, -9.0), ("s", 9.0, -9.0, 9.0, 9.0), ("s", 9.0, 9.0, -9.0, 9.0), ("s", -9.0, 9.0, -9.0, -9.0)]
+    edges = spark.createDataFrame(square, "poly string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 0.0), (3, 9.0, 9.0), (4, 30.0, 0.0)], "id int, x double, y double")
+    area = {r.id: r.area for r in corridor.area_within_radius(points, edges, 2.0).collect()}
+    whole = 3.141592653589793 * 4
+    assert all(abs(area[i] - part * whole) < 1e-9 for i, part in ((1, 1), (2, 0.5), (3, 0.25), (4, 0)))
+    assert {r.id: r.distance for r in corridor.nearest_polygon_distance(points, edges, 1.0).collect()}[4] == 21.0
+
+
+def scenes(spark, rows, path):
+    spark.createDataFrame(rows, "source string, scene_id string, taken string, href string").withColumn("taken", F.col("taken").cast("timestamp")).coalesce(1).write.mode("append").json(path)
+
+
+def test_streams_register_once_and_score_new_rows(spark, tmp_path):
+    landed, ledger_path, marks = (str(tmp_path / n) for n in ("landed", "ledger", "marks"))
+    schema = "source string, scene_id string, taken timestamp, href string"
+    run = lambda mark: jobs.register_scenes(spark.readStream.schema(schema).json(landed), ledger_path, f"{marks}-{mark}").awaitTermination()
+    scenes(spark, [("s1", "a", "2024-01-01", "x"), ("s1", "a", "2024-01-01", "x"), ("s1", "b", "2024-01-02", "y"), ("s1", None, "2024-01-02", "z")], landed)
+    run("first")
+    scenes(spark, [("s1", "b", "2024-01-02", "y"), ("s2", "a", "2024-02-20", "w"), ("s1", "old", "2023-01-01", "late")], landed)
+    run("first")
+    table = lambda: sorted((r.source, r.scene_id) for r in spark.read.parquet(ledger_path).collect())
+    assert ("s1", "a") in table() and len(table()) == len(set(table())) and {("s1", "b"), ("s2", "a")} <= set(table())
+    before = table()
+    run("again")  # a new checkpoint reads all files once more
+    assert set(table()) == set(before) | {("s1", "old")} and len(table()) == len(set(table()))
+
+    out = str(tmp_path / "scored")
+    score = lambda df: df.where("scene_id IS NOT NULL").select("scene_id", F.length("href").alias("score"))
+    for _ in range(2):
+        jobs.score_stream(spark.readStream.schema(schema).json(landed), score, out, f"{marks}-scores").awaitTermination()
+    assert spark.read.parquet(out).count() == 6
