@@ -78,7 +78,8 @@ p AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.k
 r AS (SELECT s_suppkey AS river, (s_suppkey * 400 % 20000)::DOUBLE AS x1, (s_suppkey * 730 % 9000)::DOUBLE AS y1, (s_suppkey * 400 % 20000)::DOUBLE + 300 + s_suppkey % 7 * 50 AS x2, (s_suppkey * 730 % 9000)::DOUBLE + 200 AS y2 FROM supplier),
 near AS (SELECT DISTINCT river FROM r, p WHERE ({_side("r", "p.x1", "p.y1")} * {_side("r", "p.x2", "p.y2")} < 0 AND {_side("p", "r.x1", "r.y1")} * {_side("p", "r.x2", "r.y2")} < 0) OR least({_ENDS}) <= 500),
 a AS (SELECT c_custkey AS id, (c_custkey * 137 % 20000)::DOUBLE AS x, (c_custkey * 91 % 9000)::DOUBLE AS y, 50.0::DOUBLE + c_custkey % 3 * 25 AS tolerance_m FROM customer),
-d AS (SELECT id, tolerance_m, min({_dist("x", "y", "x1", "y1", "x2", "y2")}) AS d FROM a, r JOIN near USING (river) GROUP BY 1, 2)
+k AS (SELECT x1, y1, x2, y2 FROM r JOIN near USING (river) UNION ALL SELECT x1, y1, x2, y2 FROM p WHERE NOT EXISTS (SELECT 1 FROM near)),
+d AS (SELECT id, tolerance_m, min({_dist("x", "y", "x1", "y1", "x2", "y2")}) AS d FROM a, k GROUP BY 1, 2)
 SELECT id, tolerance_m, round(abs(d - 125), 1) AS distance_m, d <= 125 AS inside FROM d WHERE d <= 125 + tolerance_m""")
 def _(spark, d):
     s = T.table(spark, d, "supplier")
