@@ -64,7 +64,7 @@ def attached(df: DataFrame, decisions: DataFrame, scratch: Scratch, id_col: str,
     """(whole, decision columns): rows as one struct each, joined with decisions keyed by (_id, _crc).
 
     Rows that repeat an id and text take the decisions of their copies one
-    each; then texts are shuffled once, by that key, to be numbered and joined.
+    each; then texts are shuffled to be numbered and again to be joined.
     """
     decisions = scratch.cut(decisions, "decisions")
     own = packed(df, id_col, crc(text_col).cast("long"))
