@@ -154,18 +154,38 @@ def threshold_at_far(rows: DataFrame, keys: list[str], far: float) -> DataFrame:
     return joined.groupBy(*keys, "threshold").agg(ratio(F.count_if(pos & up), F.count_if(pos), None).alias("recall"), ratio(F.count_if(~pos & up), F.count_if(~pos), None).alias("false_alarms"))
 
 
-def conformal_quantiles(rows: DataFrame, key: str, alpha: float) -> DataFrame:
-    """EV-15 to EV-17: the residual quantile without each group's own rows, and how well it covers the group.
+def over_folds(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
+    """EV-11: mean and population deviation of each metric over the folds that have it."""
+    return metrics.agg(*[f(n).alias(f"{n}_{x}") for n in names for x, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
-    A group's held-out counts are the totals less its own, so rows never meet
-    the rows of other groups. Residuals are counted in 1,024 ranges first: of
-    each group only the ranges that hold its two order statistics are searched.
+
+def recall_at_false_alarms(inner: DataFrame, test: DataFrame, fold: str, shares: Sequence[float]) -> DataFrame:
+    """EV-14: recall and false alarms of each fold's test rows at thresholds from its inner scores, as means over folds and pooled.
+
+    Both have (fold, label, score). Folds whose inner rows hold no negative or
+    whose test rows hold one class only are left out. Thresholds of all shares
+    are tried side by side, so rows are not multiplied.
     """
-    res = rows.select(key, F.abs(F.col("score") - F.col("label")).alias("e"))
-    own = res.groupBy("e", key).agg(F.count("*").alias("c"))
+    cut = inner.groupBy(fold).agg(F.percentile(F.when(F.col("label") != 1, F.col("score")), F.array(*[F.lit(1 - f) for f in shares])).alias("_cut"))
+    pos, up = F.col("label") == 1, lambda i: F.col("score") >= F.col("_cut")[i]
+    counts = [F.struct(F.lit(float(f)).alias("share"), F.count_if(pos & up(i)).alias("tp"), F.count_if(~pos & up(i)).alias("fp")) for i, f in enumerate(shares)]
+    by = test.join(cut.where(F.col("_cut").isNotNull()), fold).groupBy(fold).agg(F.count_if(pos).alias("events"), F.count_if(~pos).alias("others"), F.array(*counts).alias("at"))
+    by = by.where("events > 0 AND others > 0").select("events", "others", F.inline("at"))
+    return by.groupBy("share").agg(
+        F.count("*").alias("folds"), F.avg(F.col("tp") / F.col("events")).alias("mean_recall"), F.avg(F.col("fp") / F.col("others")).alias("mean_false_alarms"),
+        (F.sum("tp") / F.sum("events")).alias("recall"), (F.sum("fp") / F.sum("others")).alias("false_alarms"),
+    )
+
+
+def _residuals(rows: DataFrame, key: str) -> DataFrame:
+    """Counts of distinct residuals of each group, with the range of each and the number of all."""
+    own = rows.select(key, F.abs(F.col("score") - F.col("label")).alias("e")).groupBy("e", key).agg(F.count("*").alias("c"))
     widest = own.agg(F.max("e").alias("widest"), F.sum("c").alias("all"))
-    own = own.join(F.broadcast(widest), F.lit(True)).withColumn("range", F.when(F.col("widest") > 0, F.floor(F.col("e") / F.col("widest") * (RANGES - 1))).otherwise(0).cast("int"))
-    groups = own.groupBy(key, "all").agg(F.sum("c").alias("n"))
+    return own.join(F.broadcast(widest), F.lit(True)).withColumn("range", F.when(F.col("widest") > 0, F.floor(F.col("e") / F.col("widest") * (RANGES - 1))).otherwise(0).cast("int"))
+
+
+def _residual_quantiles(own: DataFrame, key: str, groups: DataFrame, alpha: float) -> DataFrame:
+    """The residual quantile of all rows less those of each of the groups (key, all, n); a null key has no rows."""
     level = F.least(F.ceil((F.col("m") + 1) * (1 - alpha)) / F.col("m"), F.lit(1.0))
     at = level * (F.col("m") - 1)
     groups = groups.withColumn("m", F.col("all") - F.col("n")).withColumns({"low": F.floor(at) + 1, "high": F.ceil(at) + 1, "w": at - F.floor(at)})
@@ -179,9 +199,32 @@ def conformal_quantiles(rows: DataFrame, key: str, alpha: float) -> DataFrame:
     seen = F.col("before") + F.sum(F.col("t") - F.coalesce("c", F.lit(0))).over(Window.partitionBy(key, "range").orderBy("e").rowsBetween(Window.unboundedPreceding, 0))
     inner = inner.withColumn("seen", seen)
     q = inner.groupBy(key).agg(F.min(F.when(F.col("seen") >= F.col("low"), F.col("e"))).alias("a"), F.min(F.when(F.col("seen") >= F.col("high"), F.col("e"))).alias("b"), F.first("w").alias("w"))
-    q = q.select(key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("q"))
-    cover = own.join(F.broadcast(q), key).groupBy(key, "q").agg((F.sum(F.when(F.col("e") <= F.col("q"), F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage"))
-    return cover.withColumn("passed", F.abs(F.col("coverage") - (1 - alpha)) <= 0.05)
+    return q.select(key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("q"))
+
+
+def _coverage(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, "q").agg((F.sum(F.when(F.col("e") <= F.col("q"), F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage"))
+
+
+def conformal_quantiles(rows: DataFrame, key: str, alpha: float) -> DataFrame:
+    """EV-15 to EV-17: the residual quantile without each group's own rows, and how well it covers the group.
+
+    A group's held-out counts are the totals less its own, so rows never meet
+    the rows of other groups. Residuals are counted in 1,024 ranges first: of
+    each group only the ranges that hold its two order statistics are searched.
+    """
+    own = _residuals(rows, key)
+    q = _residual_quantiles(own, key, own.groupBy(key, "all").agg(F.sum("c").alias("n")), alpha)
+    return _coverage(own.join(q, key), key).withColumn("passed", F.abs(F.col("coverage") - (1 - alpha)) <= 0.05)
+
+
+def conformal_summary(rows: DataFrame, key: str, alpha: float, least_groups: int = 3) -> DataFrame:
+    """EV-17: the quantile of all rows and its coverage, the least and largest coverage of a held-out group, and whether enough groups all pass."""
+    own = _residuals(rows, key)
+    whole = own.select(F.lit(None).cast(rows.schema[key].dataType).alias(key), "all", F.lit(0).cast("long").alias("n")).limit(1)
+    pooled = _coverage(own.join(F.broadcast(_residual_quantiles(own, key, whole, alpha).select("q")), F.lit(True)))
+    groups = conformal_quantiles(rows, key, alpha).agg(F.count("*").alias("groups"), F.min("coverage").alias("least"), F.max("coverage").alias("largest"), F.bool_and("passed").alias("_all"))
+    return pooled.join(F.broadcast(groups), F.lit(True)).select("q", "coverage", "groups", "least", "largest", (F.col("_all") & (F.col("groups") >= least_groups)).alias("passed"))
 
 
 def ape_summary(rows: DataFrame, kind: str, gate: float = 0.15) -> DataFrame:
@@ -196,11 +239,25 @@ def distribution_stats(rows: DataFrame, keys: list[str], value: str) -> DataFram
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
+#: Gates of the mean Brier score and of the water IoU.
+BRIER_GATE, WATER_GATE = 0.15, 0.65
+
+
 def shadow_summary(rows: DataFrame) -> DataFrame:
-    """EV-20: averages over runs with their gates; (score, trigger, covered)."""
-    out = rows.agg(F.avg("score").alias("mean_score"), F.avg(F.col("trigger").cast("double")).alias("trigger_rate"), F.avg(F.col("covered").cast("double")).alias("coverage"))
-    metrics = out.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), F.lit(g).alias("least")) for n, g in (("mean_score", None), ("trigger_rate", 0.1), ("coverage", 0.8))])))
-    return metrics.withColumn("passed", F.coalesce(F.col("value") >= F.col("least"), F.lit(True)))
+    """EV-20: averages over runs with their gates, and whether all that have a gate and a value pass.
+
+    (brier, p, width, iou: null where a run has none; triggered, evidence:
+    boolean). A mean Brier score must be below its gate, an IoU at least its
+    gate. Without any gated value the whole does not pass.
+    """
+    share = lambda c: F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")), F.lit(0.0))
+    means = rows.agg(*[F.avg(c).alias(c) for c in ("brier", "p", "width", "iou")], share("triggered").alias("triggered"), share("evidence").alias("evidence"))
+    gates = {"brier": (BRIER_GATE, F.col("brier") < BRIER_GATE), "iou": (WATER_GATE, F.col("iou") >= WATER_GATE)}
+    none = (None, F.lit(None).cast("boolean"))
+    lines = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), F.lit(gates.get(n, none)[0]).cast("double").alias("gate"), gates.get(n, none)[1].alias("passed")) for n in means.columns]
+    verdict = F.coalesce(F.coalesce(gates["brier"][1], F.lit(True)) & F.coalesce(gates["iou"][1], F.lit(True)) & (F.col("brier").isNotNull() | F.col("iou").isNotNull()), F.lit(False))
+    whole = F.struct(F.lit("overall").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("gate"), verdict.alias("passed"))
+    return means.select(F.inline(F.array(*lines, whole)))
 
 
 def leave_one_out(rows: DataFrame, key: str) -> DataFrame:
@@ -230,3 +287,51 @@ def overlap_check(rows: DataFrame, model: Column, rule: Column, bound: float = 0
     one_empty = (F.col("model_cells") == 0) != (F.col("rule_cells") == 0)
     low = F.coalesce(recall < bound, F.lit(False)) | F.coalesce(precision < bound, F.lit(False))
     return c.select("*", recall.alias("rule_recall"), precision.alias("model_precision"), (one_empty | low).alias("material"))
+
+
+#: Least IoU and precision, share of predictions on ice to stay below, most water of a frozen region; pairs that must pass.
+GATE = {"iou": 0.60, "precision": 0.84, "ice": 0.05, "frozen_water": 0.10}
+LEAST_PAIRS = 2
+#: Probability at the later date and its rise that count as growth by probability.
+GROWN = (0.5, 0.2)
+
+
+def scene_gate(cells: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """EV-07: extent, change and ice share of each pair of scenes at each threshold, and whether the pair passes.
+
+    Cells: pair, season, p0 and p1 (probabilities at both dates), and booleans
+    water0, water1 (labels), valid0, valid1, roi, aoi, glacier, vicinity (of
+    mapped lakes), steep. One pass over the cells; the thresholds are counted
+    side by side. Ratios have four digits and are null where nothing is there.
+    """
+    c = F.col
+    barred = ~c("aoi") | c("steep") | (c("glacier") & ~c("vicinity"))
+    region, both = c("roi") & c("valid1"), c("roi") & c("valid0") & c("valid1")
+    risen = (c("p1") >= GROWN[0]) & (c("p1") - c("p0") >= GROWN[1]) & both
+    labelled = c("water1") & ~c("water0")
+    at = []
+    for t in thresholds:
+        now, then = (c("p1") >= t) & ~barred, (c("p0") >= t) & ~barred
+        grown = now & ~then & both
+        n = {
+            "both": now & c("water1") & region, "either": (now | c("water1")) & region, "predicted": now & region, "found": (c("p1") >= t) & c("water1") & region,
+            "expansion": grown, "expansion_tp": grown & labelled, "expansion_fp": grown & ~c("water1"),
+            "ice_cells": now & c("glacier") & ~c("vicinity") & c("aoi"), "water_cells": now & c("aoi"),
+        }
+        at.append(F.struct(F.lit(float(t)).alias("tau"), *[F.count_if(v).alias(k) for k, v in n.items()]))
+    fixed = {"region": region, "label": c("water1") & region, "risen": risen, "risen_tp": risen & labelled, "risen_fp": risen & ~c("water1"), "label_change": labelled & both}
+    by = cells.groupBy("pair", "season").agg(*[F.count_if(v).alias(k) for k, v in fixed.items()], F.array(*at).alias("_at"))
+    by = by.select("pair", "season", *fixed, F.inline("_at"))
+    part = lambda a, b: F.round(ratio(c(a), c(b), None), 4)
+    by = by.withColumns({"iou": part("both", "either"), "precision": part("both", "predicted"), "recall": part("found", "label"), "ice": part("ice_cells", "water_cells"), "water": part("predicted", "region")})
+    dry = ratio(c("predicted"), c("region"), None) <= GATE["frozen_water"]
+    extent = (c("iou") >= GATE["iou"]) & (c("precision") >= GATE["precision"])
+    passed = F.when(c("season") == "unfrozen", extent).otherwise(dry) & (c("ice") < GATE["ice"])
+    return by.drop("both", "either", "found").withColumn("passed", F.coalesce(passed, F.lit(False)))
+
+
+def scene_verdict(pairs: DataFrame, gates: DataFrame, tau: float) -> DataFrame:
+    """EV-07: pairs (pair, in_scope) judged at one threshold; eligible where at least two pairs in scope pass."""
+    j = pairs.join(gates.where(F.col("tau") == tau).select("pair", "passed"), "pair")
+    n = j.agg(F.count("*").alias("pairs"), F.count_if("in_scope").alias("in_scope"), F.count_if(F.col("in_scope") & F.col("passed")).alias("passed"))
+    return n.withColumn("eligible", F.col("passed") >= LEAST_PAIRS)

@@ -50,9 +50,12 @@ def sample_frame(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def dataset_summary(rows: DataFrame, kind: str, label: str, id_col: str) -> DataFrame:
-    """WN-14: rows, positives, distinct ids and the positive share, by kind and overall."""
-    return rows.rollup(kind).agg(F.count("*").alias("rows"), F.count_if(F.col(label) == 1).alias("positive"), F.countDistinct(id_col).alias("ids"), F.avg((F.col(label) == 1).cast("double")).alias("share"))
+def dataset_summary(rows: DataFrame, kind: str, label: str, id_col: str, features: tuple[str, ...] = ()) -> DataFrame:
+    """WN-14: rows, positives, distinct ids and the positive share, by kind and overall; of features the mean and deviation over positives."""
+    positive = F.col(label) == 1
+    of = lambda f: F.when(positive, F.col(f))
+    stats = [x for f in features for x in (F.avg(of(f)).alias(f"{f}_mean"), F.stddev_samp(of(f)).alias(f"{f}_std"))]
+    return rows.rollup(kind).agg(F.count("*").alias("rows"), F.count_if(positive).alias("positive"), F.countDistinct(id_col).alias("ids"), F.avg(positive.cast("double")).alias("share"), *stats)
 
 
 def power_law(rows: DataFrame, keys: list[str], default: tuple[float, float]) -> DataFrame:

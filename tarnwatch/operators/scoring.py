@@ -171,10 +171,11 @@ def interval(p: Column, q: float) -> Column:
     return F.struct(low.alias("low"), high.alias("high"), (high - low > 0.35).alias("inspect"))
 
 
-def top_reasons(contributions: Column, n: int = 3) -> Column:
-    """SC-14: the n largest of array<struct<name, value>> by absolute value, as signed text."""
+def top_reasons(contributions: Column, n: int = 3, p: Column | None = None) -> Column:
+    """SC-14: the n largest of array<struct<name, value>> by absolute value, as signed text, and the probability after them."""
     ordered = F.array_sort(F.transform(contributions, lambda c: F.struct((-F.abs(c["value"])).alias("k"), c["name"].alias("name"), c["value"].alias("value"))))
-    return F.transform(F.slice(ordered, 1, n), lambda c: F.concat(c["name"], F.format_string(" %+.3f", c["value"])))
+    text = F.transform(F.slice(ordered, 1, n), lambda c: F.concat(c["name"], F.format_string(" %+.3f", c["value"])))
+    return text if p is None else F.concat(text, F.array(F.format_string("probability %.3f", p)))
 
 
 def pre_breach_warning(expansion: Column, p: Column, least: float = 0.65) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.scalars import thousandths
+
 LAPSE_C_PER_KM = 6.5
 
 
@@ -84,6 +86,12 @@ def climatology_anomaly(events: DataFrame, weather: DataFrame, *, days: int = 30
     return events.select("event_id").join(out, "event_id", "left").select("event_id", (F.col("rain") - F.col("normal")).alias("anomaly"))
 
 
+def event_features(events: DataFrame, weather: DataFrame, static: DataFrame, *, days: int = 30, most_nulls: int = 4, years: int = 10) -> DataFrame:
+    """TS-10: window features, anomaly and static attributes (event_id, ...) of every event whose window is complete enough."""
+    full = event_windows(events, weather, days=days, most_nulls=most_nulls).join(climatology_anomaly(events, weather, days=days, years=years), "event_id")
+    return full.join(static, "event_id", "left")
+
+
 def latest_window_fallback(full: DataFrame, weather: DataFrame, *, least_days: int = 15) -> DataFrame:
     """TS-11: the full features where there are any, else rain and melt sums of stations with enough days."""
     part = weather.groupBy("station").agg(F.sum("precip").alias("p_rain"), F.sum(F.greatest(F.lit(0.0), F.col("tmean"))).alias("p_melt"), F.count("precip").alias("n"))
@@ -98,19 +106,23 @@ def latest_window_fallback(full: DataFrame, weather: DataFrame, *, least_days: i
 
 
 def trend_class(areas: DataFrame) -> DataFrame:
-    """TS-12: (basin_id, acquired_at, area, observation_id) -> class of growth of each basin."""
+    """TS-12: (basin_id, acquired_at, area, observation_id) -> class of growth of each basin, and how sure it is.
+
+    Growth is that over the first area above 0, or over 1 where there is none.
+    """
     order = Window.partitionBy("basin_id").orderBy("acquired_at", "observation_id")
     steps = areas.withColumn("_drops", F.coalesce(F.col("area") < 0.95 * F.lag("area").over(order), F.lit(False)))
     at = F.struct("acquired_at", "observation_id")
     by = steps.groupBy("basin_id").agg(
         F.count("*").alias("n"),
-        F.min_by(F.when(F.col("area") > 0, F.col("area")), F.when(F.col("area") > 0, at)).alias("first"),
+        F.coalesce(F.min_by(F.when(F.col("area") > 0, F.col("area")), F.when(F.col("area") > 0, at)), F.lit(1.0)).alias("first"),
         F.max_by("area", at).alias("last"),
         F.bool_or("_drops").alias("_drops"),
     )
     percent = (F.col("last") - F.col("first")) / F.col("first") * 100
-    kind = F.when((F.col("n") < 2) | F.col("first").isNull() | F.col("_drops"), "uncertain").when(percent >= 20, "rapidly").when(percent >= 5, "slowly").otherwise("stable")
-    return by.select("basin_id", "n", percent.alias("percent"), kind.alias("trend"))
+    kind = F.when((F.col("n") < 2) | percent.isNull() | F.col("_drops"), "uncertain").when(percent >= 20, "rapidly").when(percent >= 5, "slowly").otherwise("stable")
+    sure = F.when(F.col("trend") == "rapidly", thousandths(F.least(F.lit(0.9), 0.5 + F.col("percent") / 100))).when(F.col("trend") == "slowly", 0.5).when(F.col("trend") == "stable", 0.9).otherwise(0.3)
+    return by.select("basin_id", "n", percent.alias("percent"), kind.alias("trend")).withColumn("confidence", sure)
 
 
 def month_share(events: DataFrame, months=(6, 7, 8, 9)) -> DataFrame:

@@ -122,13 +122,82 @@ def _(spark, d):
 
 
 @query("shadow_summary", T.with_("scores") + """
-, a AS (SELECT avg(score) AS s, avg((score >= 0.7)::INT::DOUBLE) AS t, avg((abs(score - label) <= 0.6)::INT::DOUBLE) AS c FROM scores)
-SELECT 'mean_score' AS metric, round(s, 9) AS value, NULL::DOUBLE AS least, true AS passed FROM a UNION ALL SELECT 'trigger_rate', round(t, 9), 0.1, t >= 0.1 FROM a UNION ALL SELECT 'coverage', round(c, 9), 0.8, c >= 0.8 FROM a""")
+, a AS (SELECT avg((score - label) * (score - label)) FILTER (WHERE block <> 4) AS brier, avg(score) FILTER (WHERE block <> 3) AS p, avg(0.2 + score / 4) AS width, avg((score >= 0.7)::INT::DOUBLE) AS triggered, avg((block <> 2)::INT::DOUBLE) AS evidence FROM scores)
+SELECT 'brier' AS metric, round(brier, 9) AS value, 0.15::DOUBLE AS gate, brier < 0.15 AS passed FROM a UNION ALL SELECT 'p', round(p, 9), NULL, NULL FROM a UNION ALL SELECT 'width', round(width, 9), NULL, NULL FROM a UNION ALL SELECT 'iou', NULL, 0.65, NULL
+UNION ALL SELECT 'triggered', round(triggered, 9), NULL, NULL FROM a UNION ALL SELECT 'evidence', round(evidence, 9), NULL, NULL FROM a UNION ALL SELECT 'overall', NULL, NULL, coalesce(brier < 0.15, false) FROM a""")
 def _(spark, d):
-    s = T.scores(spark, d).select("score", (F.col("score") >= 0.7).alias("trigger"), (F.abs(F.col("score") - F.col("label")) <= 0.6).alias("covered"))
+    p, block = F.col("score"), F.col("block")
+    s = T.scores(spark, d).select(
+        F.when(block != 4, (p - F.col("label")) * (p - F.col("label"))).alias("brier"), F.when(block != 3, p).alias("p"), (0.2 + p / 4).alias("width"), F.lit(None).cast("double").alias("iou"), (p >= 0.7).alias("triggered"), (block != 2).alias("evidence")
+    )
     return rounded(E.shadow_summary(s), "value")
 
 
+@query("fold_summary", "SELECT " + ", ".join(f"round({f}({n}), 6) AS {n}_{x}" for n in ("auc", "average_precision", "brier") for x, f in (("mean", "avg"), ("std", "stddev_pop"))) + f" FROM ({ORACLE_SQL['rank_auc']})")
+def _(spark, d):
+    names = ["auc", "average_precision", "brier"]
+    out = E.over_folds(E.rank_auc(T.scores(spark, d), ["block"]), names)
+    return rounded(out, *out.columns, digits=6)
+
+
+@query("recall_at_false_alarms", T.with_("scores") + f"""
+, q AS ({" UNION ALL ".join(f"SELECT block, {f}::DOUBLE AS share, quantile_cont(score, {1 - f}) FILTER (WHERE label <> 1) AS t FROM scores WHERE sample_id % 2 = 0 GROUP BY block" for f in (0.01, 0.05, 0.1))}),
+c AS (SELECT block, share, count(*) FILTER (WHERE label = 1) AS events, count(*) FILTER (WHERE label <> 1) AS others, count(*) FILTER (WHERE label = 1 AND score >= t) AS tp, count(*) FILTER (WHERE label <> 1 AND score >= t) AS fp FROM scores JOIN q USING (block) WHERE sample_id % 2 = 1 AND t IS NOT NULL GROUP BY block, share)
+SELECT share, count(*) AS folds, round(avg(tp / events), 9) AS mean_recall, round(avg(fp / others), 9) AS mean_false_alarms, round(sum(tp) / sum(events), 9) AS recall, round(sum(fp) / sum(others), 9) AS false_alarms FROM c WHERE events > 0 AND others > 0 GROUP BY share""")
+def _(spark, d):
+    s = T.scores(spark, d)
+    return rounded(E.recall_at_false_alarms(s.where("sample_id % 2 = 0"), s.where("sample_id % 2 = 1"), "block", (0.01, 0.05, 0.1)), "mean_recall", "mean_false_alarms", "recall", "false_alarms")
+
+
+@query("conformal_summary", T.with_("scores") + f"""
+, e AS (SELECT abs(score - label) AS e FROM scores), n AS (SELECT count(*) AS n, list(e ORDER BY e) AS l FROM e),
+p AS (SELECT l, least(ceil((n + 1) * 0.9::DOUBLE) / n, 1.0) * (n - 1) AS pos FROM n),
+v AS (SELECT l[floor(pos)::INT + 1] + (l[ceil(pos)::INT + 1] - l[floor(pos)::INT + 1]) * (pos - floor(pos)) AS q FROM p),
+g AS (SELECT count(*) AS groups, min(coverage) AS least, max(coverage) AS largest, bool_and(passed) AND count(*) >= 3 AS passed FROM ({ORACLE_SQL["leave_one_scene_out"]}))
+SELECT round(q, 9) AS q, round((SELECT avg((e <= q)::INT::DOUBLE) FROM e), 9) AS coverage, g.* FROM v, g""")
+def _(spark, d):
+    return rounded(E.conformal_summary(T.scores(spark, d), "block", 0.1), "q", "coverage", "least", "largest")
+
+
+_GATED = T.with_("cells") + """
+, g AS (SELECT (r % 6)::INT AS pair, CASE WHEN r % 6 = 5 THEN 'frozen' ELSE 'unfrozen' END AS season, least(1.0, coalesce(b, 0) / 20) AS p0, least(1.0, a / 60) AS p1, coalesce(b, 0) > 12 AS water0, a + c % (r % 6 + 2) > 26 AS water1, c % 13 <> 0 AS valid0, c % 11 <> 0 AS valid1,
+  c BETWEEN 20 AND 80 AS roi, c > 5 AS aoi, c % 17 = 3 AS glacier, c BETWEEN 30 AND 70 AS vicinity, r % 19 = 4 AS steep FROM cells),
+t AS (SELECT unnest([0.3, 0.4, 0.5, 0.55])::DOUBLE AS tau),
+m AS (SELECT *, NOT aoi OR steep OR (glacier AND NOT vicinity) AS barred, roi AND valid1 AS region, roi AND valid0 AND valid1 AS span, water1 AND NOT water0 AS labelled FROM g),
+x AS (SELECT *, p1 >= tau AND NOT barred AS now, p0 >= tau AND NOT barred AS before, p1 >= 0.5 AND p1 - p0 >= 0.2 AND span AS up FROM m, t),
+k AS (SELECT pair, season, tau, count(*) FILTER (WHERE region) AS region, count(*) FILTER (WHERE water1 AND region) AS label, count(*) FILTER (WHERE up) AS risen, count(*) FILTER (WHERE up AND labelled) AS risen_tp, count(*) FILTER (WHERE up AND NOT water1) AS risen_fp,
+  count(*) FILTER (WHERE labelled AND span) AS label_change, count(*) FILTER (WHERE now AND water1 AND region) AS i, count(*) FILTER (WHERE (now OR water1) AND region) AS u, count(*) FILTER (WHERE now AND region) AS predicted, count(*) FILTER (WHERE p1 >= tau AND water1 AND region) AS found,
+  count(*) FILTER (WHERE now AND NOT before AND span) AS expansion, count(*) FILTER (WHERE now AND NOT before AND span AND labelled) AS expansion_tp, count(*) FILTER (WHERE now AND NOT before AND span AND NOT water1) AS expansion_fp,
+  count(*) FILTER (WHERE now AND glacier AND NOT vicinity AND aoi) AS ice_cells, count(*) FILTER (WHERE now AND aoi) AS water_cells FROM x GROUP BY pair, season, tau),
+r AS (SELECT *, round(i / nullif(u, 0), 4) AS iou, round(i / nullif(predicted, 0), 4) AS precision, round(found / nullif(label, 0), 4) AS recall, round(ice_cells / nullif(water_cells, 0), 4) AS ice, round(predicted / nullif(region, 0), 4) AS water FROM k),
+f AS (SELECT * EXCLUDE (i, u, found), coalesce(CASE WHEN season = 'unfrozen' THEN iou >= 0.6 AND precision >= 0.84 ELSE predicted / nullif(region, 0) <= 0.1 END AND ice < 0.05, false) AS passed FROM r)
+"""
+
+
+def _gates(spark, d):
+    r, c, b = F.col("r"), F.col("c"), F.coalesce("b", F.lit(0.0))
+    cells = T.cells(spark, d).select(
+        (r % 6).cast("int").alias("pair"), F.when(r % 6 == 5, "frozen").otherwise("unfrozen").alias("season"), F.least(F.lit(1.0), b / 20).alias("p0"), F.least(F.lit(1.0), F.col("a") / 60).alias("p1"),
+        (b > 12).alias("water0"), (F.col("a") + c % (r % 6 + 2) > 26).alias("water1"), (c % 13 != 0).alias("valid0"), (c % 11 != 0).alias("valid1"), c.between(20, 80).alias("roi"), (c > 5).alias("aoi"),
+        (c % 17 == 3).alias("glacier"), c.between(30, 70).alias("vicinity"), (r % 19 == 4).alias("steep"),
+    )
+    return E.scene_gate(cells, (0.3, 0.4, 0.5, 0.55))
+
+
+@query("scene_gate", _GATED + "SELECT * FROM f")
+def _(spark, d):
+    return _gates(spark, d)
+
+
+@query("scene_verdict", _GATED + """
+SELECT count(*) AS pairs, count(*) FILTER (WHERE s) AS in_scope, count(*) FILTER (WHERE s AND passed) AS passed, count(*) FILTER (WHERE s AND passed) >= 2 AS eligible
+FROM (SELECT passed, pair % 4 <> 3 AND season = 'unfrozen' AS s FROM f WHERE tau = 0.3::DOUBLE)""")
+def _(spark, d):
+    gates = _gates(spark, d)
+    pairs = gates.select("pair", ((F.col("pair") % 4 != 3) & (F.col("season") == "unfrozen")).alias("in_scope")).distinct()
+    return E.scene_verdict(pairs, gates, 0.3)
+
+
 @query("splits", T.with_("scores") + ", o AS (SELECT block, count(*) AS test FROM scores GROUP BY block) SELECT block, test, (sum(test) OVER () - test)::BIGINT AS train FROM o")
 def _(spark, d):
     return E.leave_one_out(T.scores(spark, d), "block")

@@ -101,6 +101,11 @@ def _(spark, d):
     return rounded(M.dataset_summary(T.scores(spark, d), "block", "label", "sample_id"), "share")
 
 
+@query("feature_statistics", T.with_("scores") + "SELECT block, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positive, count(DISTINCT sample_id) AS ids, round(avg((label = 1)::INT::DOUBLE), 9) AS share, round(avg(score) FILTER (WHERE label = 1), 9) AS score_mean, round(stddev_samp(score) FILTER (WHERE label = 1), 9) AS score_std FROM scores GROUP BY ROLLUP (block)")
+def _(spark, d):
+    return rounded(M.dataset_summary(T.scores(spark, d), "block", "label", "sample_id", ("score",)), "share", "score_mean", "score_std")
+
+
 @query("power_law_fit", T.with_("surveys") + "SELECT lake_type, count(*) AS n, round(regr_slope(ln(volume_m3), ln(area_km2)), 6) AS exponent, round(exp(regr_intercept(ln(volume_m3), ln(area_km2))), 3) AS factor FROM surveys WHERE area_km2 > 0 AND volume_m3 > 0 GROUP BY 1")
 def _(spark, d):
     p = M.power_law(T.surveys(spark, d).selectExpr("lake_type", "area_km2 AS area", "volume_m3 AS volume"), ["lake_type"], (0.104, 1.421))

@@ -84,10 +84,26 @@ def _(spark, d):
 
 @query("trend_class", T.with_("observations") + """
 , s AS (SELECT *, water_area_km2 < 0.95 * lag(water_area_km2) OVER (PARTITION BY basin_id ORDER BY acquired_at, observation_id) AS drops FROM observations),
-b AS (SELECT basin_id, count(*) AS n, arg_min(water_area_km2, (acquired_at, observation_id)) FILTER (WHERE water_area_km2 > 0) AS first, arg_max(water_area_km2, (acquired_at, observation_id)) AS last, bool_or(coalesce(drops, false)) AS drops FROM s GROUP BY basin_id)
-SELECT basin_id, n, round((last - first) / first * 100, 6) AS percent, CASE WHEN n < 2 OR first IS NULL OR drops THEN 'uncertain' WHEN (last - first) / first * 100 >= 20 THEN 'rapidly' WHEN (last - first) / first * 100 >= 5 THEN 'slowly' ELSE 'stable' END AS trend FROM b""")
+b AS (SELECT basin_id, count(*) AS n, coalesce(arg_min(water_area_km2, (acquired_at, observation_id)) FILTER (WHERE water_area_km2 > 0), 1.0) AS first, arg_max(water_area_km2, (acquired_at, observation_id)) AS last, bool_or(coalesce(drops, false)) AS drops FROM s GROUP BY basin_id),
+k AS (SELECT basin_id, n, (last - first) / first * 100 AS percent, CASE WHEN n < 2 OR drops THEN 'uncertain' WHEN (last - first) / first * 100 >= 20 THEN 'rapidly' WHEN (last - first) / first * 100 >= 5 THEN 'slowly' ELSE 'stable' END AS trend FROM b)
+SELECT basin_id, n, round(percent, 6) AS percent, trend, CASE trend WHEN 'rapidly' THEN floor(least(0.9::DOUBLE, 0.5::DOUBLE + percent / 100) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE WHEN 'slowly' THEN 0.5 WHEN 'stable' THEN 0.9 ELSE 0.3 END AS confidence FROM k""")
 def _(spark, d):
-    return weather.trend_class(T.observations(spark, d).withColumnRenamed("water_area_km2", "area")).withColumn("percent", F.round("percent", 6))
+    o = T.observations(spark, d).withColumnRenamed("water_area_km2", "area")
+    return weather.trend_class(o).withColumn("percent", F.round("percent", 6))
+
+
+@query("trend_of_few", T.with_("observations").replace("o_custkey % 20 AS basin_id", "o_custkey AS basin_id") + ORACLE_SQL["trend_class"].removeprefix(T.with_("observations")))
+def _(spark, d):
+    o = T.table(spark, d, "orders").select(F.col("o_custkey").alias("basin_id"), F.to_date("o_orderdate").alias("acquired_at"), (F.col("o_totalprice") / 100000.0).alias("area"), F.col("o_orderkey").alias("observation_id"))
+    return weather.trend_class(o).withColumn("percent", F.round("percent", 6))
+
+
+@query("event_features", ORACLE_SQL["event_window_features"].replace("SELECT event_id, rain_30d", """, anomalies AS (""" + ORACLE_SQL["climatology_anomaly"] + """)
+SELECT event_id, anomaly, area_m2, rain_30d""").replace("FROM f WHERE", "FROM f JOIN anomalies USING (event_id) JOIN (SELECT event_id, area_m2 FROM catalogue) USING (event_id) WHERE"))
+def _(spark, d):
+    e = _events(spark, d)
+    out = weather.event_features(e.select("event_id", "station", "event_date", "elev_m"), T.climate(spark, d), e.select("event_id", "area_m2"))
+    return out.withColumns({c: F.round(c, 6) for c in ("decay_index", "melt_degree_days", "anomaly")})
 
 
 @query("month_share", T.with_("catalogue") + """
@@ -192,6 +208,13 @@ def _(spark, d):
     return ledger.rank_sectors(scoring.rescue_sectors(T.exposures(spark, d)))
 
 
+@query("sector_summary", f"""
+WITH ranked AS ({ORACLE_SQL["rank_sectors"]}), n AS (SELECT run_id, count(*) AS sectors, count(*) FILTER (WHERE access_loss >= 1) AS cut, count(*) FILTER (WHERE access_loss >= 0.6 AND access_loss < 1) AS at_risk FROM ranked GROUP BY run_id)
+SELECT n.*, CASE WHEN cut > 0 THEN 'cut' WHEN at_risk > 0 THEN 'at_risk' ELSE 'accessible' END AS state, sector AS top_sector, priority AS top_priority FROM n JOIN ranked USING (run_id) WHERE rank = 1""")
+def _(spark, d):
+    return ledger.sector_summary(ledger.rank_sectors(scoring.rescue_sectors(T.exposures(spark, d))))
+
+
 @query("personnel_registry", T.with_("exposures") + """
 , s AS (SELECT run_id, count(*) FILTER (WHERE asset_type IN ('bridge','road') AND inundated) > 0 AS isolated FROM exposures GROUP BY run_id),
 p AS (SELECT run_id, population, floor(population * CASE WHEN isolated THEN 0.935::DOUBLE ELSE 0.956::DOUBLE END)::BIGINT AS accounted, greatest(1, floor(population * 0.0113::DOUBLE))::BIGINT AS medical FROM exposures JOIN s USING (run_id) WHERE asset_type IN ('village','settlement') AND population > 0)
@@ -241,6 +264,35 @@ def _(spark, d):
     return ledger.audit_query(T.table(spark, d, "events").select(F.col("event_id").alias("entry_id"), F.col("props").alias("detail")), contains='"k": 7', limit=100)
 
 
+@query("find_jobs", f"WITH j AS ({_JOBS}) SELECT seq AS job_id, source, product, status, path FROM j WHERE source = 7 AND product = 7")
+def _(spark, d):
+    return ledger.find_jobs(_jobs(spark, d).withColumnRenamed("seq", "job_id"), 7, 7).select("job_id", "source", "product", "status", "path")
+
+
+_AUDIT = """SELECT event_id AS entry_id, user_id AS alert, event_type AS action, '{"run": "' || (event_id % 40) || '"}' AS detail FROM events"""
+
+
+def _audit(spark, d):
+    e = T.table(spark, d, "events")
+    detail = F.concat(F.lit('{"run": "'), (F.col("event_id") % 40).cast("string"), F.lit('"}'))
+    return e.select(F.col("event_id").alias("entry_id"), F.col("user_id").alias("alert"), F.col("event_type").alias("action"), detail.alias("detail"))
+
+
+@query("audit_by_alert", f"SELECT * FROM ({_AUDIT}) WHERE alert = 7 ORDER BY entry_id")
+def _(spark, d):
+    return ledger.audit_lineage(_audit(spark, d), alert=7)
+
+
+@query("audit_by_run", f"""SELECT * FROM ({_AUDIT}) WHERE contains(detail, '"4"') ORDER BY entry_id""")
+def _(spark, d):
+    return ledger.audit_lineage(_audit(spark, d), run="4")
+
+
+@query("audit_by_action", f"SELECT * FROM ({_AUDIT}) WHERE action = 'purchase' ORDER BY entry_id DESC LIMIT 100")
+def _(spark, d):
+    return ledger.audit_recent(_audit(spark, d), action="purchase")
+
+
 def _entries(spark, d):
     return T.table(spark, d, "events").select(F.col("user_id").alias("alert"), F.col("event_id").alias("entry_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), F.col("props").alias("detail"))
 
@@ -273,6 +325,31 @@ def _(spark, d):
     return ledger.alert_payload(runs)
 
 
+@query("payload_fields", T.with_("exposures") + """
+, k AS (SELECT run_id, asset_id, row_number() OVER (PARTITION BY run_id ORDER BY line, asset_id) AS k FROM exposures WHERE asset_type IN ('bridge', 'road') AND inundated),
+t AS (SELECT run_id, string_agg(asset_id, ',' ORDER BY k) AS routes FROM k WHERE k <= 5 GROUP BY run_id)
+SELECT run_id, sum(population)::BIGINT AS population, coalesce(any_value(routes), '') AS routes, CASE WHEN bool_or(asset_type = 'well' AND inundated) THEN 'BOIL_WATER_NOW' ELSE 'MONITOR' END AS flags FROM exposures LEFT JOIN t USING (run_id) GROUP BY run_id""")
+def _(spark, d):
+    return ledger.payload_fields(T.exposures(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("routes", "flags")})
+
+
+@query("dispatch_payloads", T.with_("exposures") + f"""
+, fields AS ({ORACLE_SQL["payload_fields"]}), p AS (SELECT *, CASE run_id % 5 WHEN 0 THEN 'informational' WHEN 1 THEN 'watch' WHEN 2 THEN 'elevated' WHEN 3 THEN 'critical' ELSE 'other' END AS severity FROM fields),
+j AS (SELECT run_id, '"sec":"B","haz":"flood",' || CASE WHEN run_id % 5 < 4 THEN '"lvl":' || (run_id % 5 + 1) || ',' ELSE '' END || '"exp_pop":' || population || ',"crit":[' || CASE WHEN routes = '' THEN '' ELSE '"' || replace(routes, ',', '","') || '"' END || '],"med_act":["' || flags || '"]' ||
+  CASE WHEN run_id % 3 = 0 THEN ',"t_arr":{{"sec_a":' || (population // 7) || '}}' ELSE '' END || '}}' AS tail, severity FROM p)
+SELECT run_id, tail, (strlen(tail) + 20)::INT AS bytes, CASE WHEN severity = 'other' THEN 'unknown severity' WHEN strlen(tail) + 20 > 250 THEN 'too large' END AS error FROM j""")
+def _(spark, d):
+    """The payload less its id, which is a digest of the run's."""
+    kinds = F.array(*map(F.lit, ("informational", "watch", "elevated", "critical", "other")))
+    runs = ledger.payload_fields(T.exposures(spark, d)).withColumns(
+        {
+            "severity": F.element_at(kinds, (F.col("run_id") % 5 + 1).cast("int")), "geofence": F.lit("B"), "hazard": F.lit("flood"),
+            "arrivals": F.create_map(F.lit("sec_a"), F.when(F.col("run_id") % 3 == 0, F.floor(F.col("population") / 7) + 0.25), F.lit("sec_b"), F.lit(None).cast("double")),
+        }
+    )
+    return ledger.alert_payload(runs).select("run_id", F.substring("payload", 21, 1000).alias("tail"), "bytes", "error")
+
+
 @query("pre_breach_warning", T.with_("scores") + "SELECT sample_id, coalesce(block > 1 AND score >= 0.65, false) AS warn, round(greatest(0, score - 0.2), 6) AS low, round(least(1, score + 0.2), 6) AS high FROM scores")
 def _(spark, d):
     s = T.scores(spark, d).withColumn("i", scoring.interval(F.col("score"), 0.2))
@@ -280,13 +357,14 @@ def _(spark, d):
 
 
 @query("top_reasons", T.with_("observations") + """
-, c AS (SELECT observation_id, unnest([{'n': 'cloud', 'v': cloud_fraction - 0.5}, {'n': 'shift', 'v': alignment_error - 0.7}, {'n': 'area', 'v': 1 - water_area_km2}, {'n': 'fixed', 'v': 0.3}]) AS x FROM observations),
-k AS (SELECT observation_id, x.n AS n, x.v AS v, row_number() OVER (PARTITION BY observation_id ORDER BY -abs(x.v), x.n) AS k FROM c)
-SELECT observation_id, string_agg(n, ',' ORDER BY k) AS names FROM k WHERE k <= 3 GROUP BY observation_id""")
+, c AS (SELECT observation_id, cloud_fraction, unnest([{'n': 'cloud', 'v': cloud_fraction - 0.5}, {'n': 'shift', 'v': alignment_error - 0.7}, {'n': 'area', 'v': 1 - floor(water_area_km2 * 1000) / 1000}, {'n': 'fixed', 'v': 0.3}]) AS x FROM observations),
+k AS (SELECT observation_id, cloud_fraction, x.n AS n, x.v AS v, row_number() OVER (PARTITION BY observation_id ORDER BY -abs(x.v), x.n) AS k FROM c)
+SELECT observation_id, string_agg(printf('%s %+.3f', n, v), ',' ORDER BY k) || printf(',probability %.3f', cloud_fraction) AS reasons FROM k WHERE k <= 3 GROUP BY observation_id, cloud_fraction""")
 def _(spark, d):
-    pairs = {"cloud": F.col("cloud_fraction") - 0.5, "shift": F.col("alignment_error") - 0.7, "area": 1 - F.col("water_area_km2"), "fixed": F.lit(0.3)}
-    found = scoring.top_reasons(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs.items()]))
-    return T.observations(spark, d).select("observation_id", F.array_join(F.transform(found, lambda x: F.split(x, " ")[0]), ",").alias("names"))
+    area = 1 - F.floor(F.col("water_area_km2") * 1000) / 1000
+    pairs = {"cloud": F.col("cloud_fraction") - 0.5, "shift": F.col("alignment_error") - 0.7, "area": area, "fixed": F.lit(0.3)}
+    found = scoring.top_reasons(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs.items()]), p=F.col("cloud_fraction"))
+    return T.observations(spark, d).select("observation_id", F.array_join(found, ",").alias("reasons"))
 
 
 @query("run_view", T.with_("reviews", "observations") + """
