@@ -92,24 +92,51 @@ def _gradient(low: str, high: str, cell: Column) -> Column:
     return F.when(lo.isNotNull() & hi.isNotNull(), (hi - lo) / (2 * cell)).when(hi.isNotNull(), (hi - z) / cell).when(lo.isNotNull(), (z - lo) / cell).otherwise(0.0)
 
 
-def slope_degrees(cells: DataFrame, cell_m: float, keys: Sequence[str] = ()) -> DataFrame:
-    """GR-10, GR-12: slope of (r, c, z), and the unit normal of the surface."""
-    n = with_neighbours(cells.select(*keys, "r", "c", "z"), "z", keys)
-    dx, dy = _gradient("w", "e", F.lit(float(cell_m))), _gradient("n", "s", F.lit(float(cell_m)))
-    out = n.select(*keys, "r", "c", "z", dx.alias("dx"), dy.alias("dy"))
+def slope_degrees(cells: DataFrame, cell_m: float | tuple[Column, Column], keys: Sequence[str] = (), nodata: float | None = None) -> DataFrame:
+    """GR-10, GR-12: slope of (r, c, z), and the unit normal of the surface.
+
+    ``cell_m`` is the width of a cell, or its width and height as columns of r
+    and c. Where ``nodata`` is given, cells whose gradient needs such a value,
+    or a null, have null results.
+    """
+    across, along = (F.lit(float(cell_m)),) * 2 if isinstance(cell_m, (int, float)) else cell_m
+    rows = cells.select(*keys, "r", "c", "z")
+    if nodata is not None:  # NaN goes through the differences, while null means beyond the edge
+        rows = rows.withColumn("z", F.when(F.col("z").isNull() | (F.col("z") == nodata), F.lit(float("nan"))).otherwise(F.col("z")))
+    n = with_neighbours(rows, "z", keys)
+    dx, dy = _gradient("w", "e", across), _gradient("n", "s", along)
+    out = n.select(*keys, "r", "c", F.nanvl("z", F.lit(None).cast("double")).alias("z"), F.nanvl(dx, F.lit(None).cast("double")).alias("dx"), F.nanvl(dy, F.lit(None).cast("double")).alias("dy"))
     length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + 1)
     return out.withColumns(
         {"slope": F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))), "nx": -F.col("dx") / length, "ny": -F.col("dy") / length, "nz": 1 / length}
     )
 
 
+#: Metres of a degree of longitude at the equator, and of latitude.
+DEGREE_M = (111320.0, 110540.0)
+
+
+def geographic_slope(cells: DataFrame, *, top: float, step: float, keys: Sequence[str] = (), nodata: float = -32768.0) -> DataFrame:
+    """GR-10: slope on a grid of degrees whose first row ends at latitude ``top``; cells grow narrower toward the poles."""
+    lat = top - (F.col("r") + 0.5) * step
+    return slope_degrees(cells, (DEGREE_M[0] * F.cos(F.radians(lat)) * step, F.lit(DEGREE_M[1] * step)), keys, nodata)
+
+
 def sobel_slope(cells: DataFrame, cell_m: float, keys: Sequence[str] = ()) -> DataFrame:
-    """GR-11: slope from Sobel gradients; neighbours beyond the edge repeat the cell's own value."""
-    n = with_neighbours(cells.select(*keys, "r", "c", "z"), "z", keys)
-    v = lambda x: F.coalesce(x, F.lit(None).cast("double")) if x == "z" else F.coalesce(x, "z")
-    gx = (v("ne") + 2 * v("e") + v("se") - v("nw") - 2 * v("w") - v("sw")) / (8 * cell_m)
-    gy = (v("sw") + 2 * v("s") + v("se") - v("nw") - 2 * v("n") - v("ne")) / (8 * cell_m)
-    return n.select(*keys, "r", "c", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("slope"))
+    """GR-11: slope from Sobel gradients; beyond the edge the nearest cell counts.
+
+    Missing elevations take the median of their key's first and have no slope
+    themselves.
+    """
+    rows = cells.select(*keys, "r", "c", F.nanvl(F.col("z").cast("double"), F.lit(None).cast("double")).alias("z"))
+    middle = rows.groupBy(*keys).agg(F.percentile("z", F.lit(0.5)).alias("_m"))
+    rows = (rows.join(middle, list(keys)) if keys else rows.join(F.broadcast(middle), F.lit(True))).select(*keys, "r", "c", F.coalesce("z", "_m").alias("z"), F.col("z").isNull().alias("_gap"))
+    n = with_neighbours(rows, "z", keys)
+    v = lambda *x: F.coalesce(*x, "z")
+    nw, ne, sw, se = (v(a + b, b, a) for a, b in (("n", "w"), ("n", "e"), ("s", "w"), ("s", "e")))
+    gx = (ne + 2 * v("e") + se - nw - 2 * v("w") - sw) / (8 * cell_m)
+    gy = (sw + 2 * v("s") + se - nw - 2 * v("n") - ne) / (8 * cell_m)
+    return n.select(*keys, "r", "c", F.when(~F.col("_gap"), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))).alias("slope"))
 
 
 def gamma0(sigma_db: Column, cosine: Column) -> Column:
@@ -300,6 +327,29 @@ def chips(cells: DataFrame, size: int, label: Column, least: float = 0.1) -> Dat
     return by.where(F.col("labelled") >= least * size * size)
 
 
+def background_chips(cells: DataFrame, size: int, stride: int, positive: Column, most: int, seed: int) -> DataFrame:
+    """GR-42: up to so many windows on a stride that lie within the grid and hold no positive cell, in seeded order."""
+    shape = cells.agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
+    starts = lambda x: F.sequence(F.greatest(F.lit(0).cast("long"), F.ceil((F.col(x) - size + 1) / stride)), F.floor(F.col(x) / stride))
+    # starts beyond a cell's own stride come only with windows that overlap, so a cell has (size / stride) ** 2 copies at most
+    held = cells.select("r", "c", positive.alias("_p")).withColumn("i", F.explode(starts("r"))).withColumn("j", F.explode(starts("c")))
+    by = held.groupBy((F.col("i") * stride).alias("row"), (F.col("j") * stride).alias("col")).agg(F.count("*").alias("cells"), F.count_if("_p").alias("_n")).join(F.broadcast(shape), F.lit(True))
+    free = by.where((F.col("_n") == 0) & (F.col("row") + size <= F.col("_h")) & (F.col("col") + size <= F.col("_w")))
+    return free.select("row", "col", "cells").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row").cast("string"), F.col("col").cast("string"))), "row", "col").limit(most)
+
+
+def rule_channel(chip_cells: DataFrame, rule: DataFrame) -> DataFrame:
+    """GR-56: cells of chips (pair, chip, r, c, label) with the rule mask (pair, r, c: its true cells) as one more channel."""
+    return chip_cells.join(rule.select("pair", "r", "c").distinct().withColumn("rule", F.lit(1)), ["pair", "r", "c"], "left").withColumn("rule", F.coalesce("rule", F.lit(0)))
+
+
+def rule_report(chip_cells: DataFrame) -> DataFrame:
+    """GR-56: chips, rule and label cells, and the overlap of both, of each pair and of all."""
+    rule, label = F.col("rule") == 1, F.col("label") == 1
+    by = chip_cells.rollup("pair").agg(F.countDistinct("pair", "chip").alias("chips"), F.count_if(rule).alias("rule_cells"), F.count_if(label).alias("label_cells"), F.count_if(rule & label).alias("_i"), F.count_if(rule | label).alias("_u"))
+    return by.select("pair", "chips", "rule_cells", "label_cells", (F.col("_i") / F.nullif(F.col("_u"), F.lit(0))).alias("iou"))
+
+
 def dem_difference(cells: DataFrame, before: str, after: str, loss: float, gain: float, cell_m2: float) -> DataFrame:
     """GR-44: volumes lost and gained between two elevations where both are valid."""
     d = F.col(after) - F.col(before)
@@ -317,10 +367,16 @@ def lake_rim_level(cells: DataFrame, water: Column) -> DataFrame:
     return wet.groupBy("level").agg(F.sum(F.greatest(F.lit(0.0), F.col("level") - F.col("z"))).alias("depth_sum"), F.count("*").alias("cells"))
 
 
-def visibility_audit(cells: DataFrame, lake: str, vv: str, least_cells: int = 3, dark_below: float = -16.0) -> DataFrame:
-    """GR-50: median backscatter and dark share of each lake's cells."""
-    by = cells.groupBy(lake).agg(F.count("*").alias("cells"), F.percentile(vv, F.lit(0.5)).alias("median_vv"), F.avg((F.col(vv) < dark_below).cast("double")).alias("dark"))
-    return by.where(F.col("cells") >= least_cells)
+#: Backscatter below which a cell is dark, and the shares of dark cells and median that class a lake.
+DARK_DB, CLEAR_SHARE, HIDDEN_SHARE, HIDDEN_DB = -15.0, 0.5, 0.2, -12.0
+
+
+def visibility_audit(cells: DataFrame, lake: str, vv: str, vh: str, least_cells: int = 3) -> DataFrame:
+    """GR-50: median backscatter, dark share and class of each lake's cells; lakes of too few cells are left out."""
+    middle = lambda v: F.percentile(v, F.lit(0.5))
+    by = cells.groupBy(lake).agg(F.count("*").alias("cells"), middle(vv).alias("median_vv"), middle(vh).alias("median_vh"), F.avg((F.col(vv) < DARK_DB).cast("double")).alias("dark"))
+    hidden = (F.col("dark") < HIDDEN_SHARE) & (F.col("median_vv") > HIDDEN_DB)
+    return by.where(F.col("cells") >= least_cells).withColumn("class", F.when(F.col("dark") > CLEAR_SHARE, "monitorable").when(hidden, "invisible").otherwise("marginal"))
 
 
 def swath_edge(points: DataFrame) -> DataFrame:

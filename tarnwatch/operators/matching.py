@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.scalars import area_volume, name_keys
+from tarnwatch.operators.grid import gamma0, local_incidence_cos, sigma0_db, slope_degrees
 
 #: Label tiers, best first.
 LABEL_TIERS = ("gold", "auto", "merged")
@@ -21,6 +24,13 @@ def label_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "d1", "left").join(two, "d2", "left").select("pair_id", "tier_1", "tier_2", F.when(gold == 2, "complete").when(gold == 1, "incomplete").otherwise("missing").alias("gold"))
 
 
+def eligible_pairs(pairs: DataFrame, labels: DataFrame, use: str) -> DataFrame:
+    """JN-08: pairs (pair_id, d1, d2, uses: array) that may be used so: complete or incomplete in gold labels; missing where a label or the permission is."""
+    found = label_pairs(pairs, labels).join(pairs.select("pair_id", F.coalesce(F.array_contains("uses", use), F.lit(False)).alias("_may")), "pair_id")
+    usable = F.col("_may") & F.col("tier_1").isNotNull() & F.col("tier_2").isNotNull()
+    return found.select("pair_id", "tier_1", "tier_2", F.when(~usable, "missing").when(F.col("gold") == "complete", "complete").otherwise("incomplete").alias("state"))
+
+
 def catalogue_matches(surveyed: DataFrame, published: DataFrame) -> DataFrame:
     """JN-10: (id, name, volume) against (seq, name, volume) by name key, then with a suffix left out; the last catalogue row of a name wins."""
     keys = surveyed.select("id", "volume", F.posexplode(name_keys(F.col("name"))).alias("priority", "key"))
@@ -54,21 +64,35 @@ def seasonal_negative_dates(sites: DataFrame, positives: DataFrame, seed: int) -
     return s.join(ranked.select("slot", "k", "event_date"), ["slot", "k"]).select("site", "event_date")
 
 
-def lut_bilinear(cells: DataFrame, table: DataFrame, row_step: int, col_step: int) -> DataFrame:
-    """GR-09, GR-15: values of a sparse (line, pixel, value) lookup on a regular raster, at every cell.
+def lut_bilinear(cells: DataFrame, table: DataFrame, row_step: int, col_step: int, keys: Sequence[str] = ()) -> DataFrame:
+    """GR-09, GR-15: values of a sparse (line, pixel, value) lookup on a regular raster, at every cell; ``keys`` (scene, band) have a table each.
 
     A cell joins the four corners of its box by equality; beyond the last
     corner the nearest one counts.
     """
-    last = table.agg(F.max("line").alias("_l"), F.max("pixel").alias("_p"))
-    c = cells.select("r", "c").join(F.broadcast(last), F.lit(True))
+    last = table.groupBy(*keys).agg(F.max("line").alias("_l"), F.max("pixel").alias("_p"))
+    c = cells.select(*keys, "r", "c")
+    c = c.join(last, list(keys)) if keys else c.join(F.broadcast(last), F.lit(True))
     low_r, low_c = F.least(F.floor(F.col("r") / row_step) * row_step, F.col("_l")), F.least(F.floor(F.col("c") / col_step) * col_step, F.col("_p"))
     c = c.withColumns({"r0": low_r, "c0": low_c, "r1": F.least(low_r + row_step, F.col("_l")), "c1": F.least(low_c + col_step, F.col("_p"))})
     fr = F.when(F.col("r1") > F.col("r0"), (F.col("r") - F.col("r0")) / row_step).otherwise(0.0)
     fc = F.when(F.col("c1") > F.col("c0"), (F.col("c") - F.col("c0")) / col_step).otherwise(0.0)
     corner = lambda a, b, w: F.struct(F.col(a).alias("line"), F.col(b).alias("pixel"), w.alias("w"))
     corners = F.array(corner("r0", "c0", (1 - fr) * (1 - fc)), corner("r0", "c1", (1 - fr) * fc), corner("r1", "c0", fr * (1 - fc)), corner("r1", "c1", fr * fc))
-    return c.select("r", "c", F.inline(corners)).join(table, ["line", "pixel"]).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return c.select(*keys, "r", "c", F.inline(corners)).join(table, [*keys, "line", "pixel"]).groupBy(*keys, "r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def calibrated_scenes(cells: DataFrame, table: DataFrame, terrain: DataFrame, keys: Sequence[str], *, row_step: int, col_step: int, cell_m: float, incidence_deg: float, azimuth_deg: float) -> DataFrame:
+    """GR-55: terrain-corrected backscatter of all scenes and bands at once, from raw cells (keys, r, c, dn), their lookups and elevations (r, c, z) on the same grid.
+
+    Lookup, decibels, slope and correction follow each other as one plan. Where
+    there is no elevation the backscatter stays as it is.
+    """
+    looked = lut_bilinear(cells, table, row_step, col_step, keys).join(cells.select(*keys, "r", "c", "dn"), [*keys, "r", "c"])
+    s = slope_degrees(terrain, cell_m).select("r", "c", "nx", "ny", "nz")
+    db = looked.withColumn("db", sigma0_db(F.col("dn"), F.col("value"))).join(s, ["r", "c"], "left")
+    k = local_incidence_cos(F.col("nx"), F.col("ny"), F.col("nz"), incidence_deg, azimuth_deg)
+    return db.select(*keys, "r", "c", gamma0(F.col("db"), F.coalesce(k, F.lit(0.0))).alias("gamma"))
 
 
 def channel_stack(bands: DataFrame, names: list[str]) -> DataFrame:

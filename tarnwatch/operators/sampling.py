@@ -10,12 +10,30 @@ def _order(seed: int, key: str = "id"):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def ranked(rows: DataFrame, kind: str, seed: int) -> DataFrame:
+    """Adds _k, each row's place (from 1) among those of its kind in seeded order.
+
+    The order is cut into 4,096 slices; a place is that within a slice plus the
+    rows of the slices before, so no window holds a whole kind.
+    """
+    cut = rows.withColumns({"_h": _order(seed), "_s": F.substring(_order(seed), 1, 3)})
+    before = F.sum("_n").over(Window.partitionBy(kind).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    slices = cut.groupBy(kind, "_s").agg(F.count("*").alias("_n")).select(kind, "_s", F.coalesce(before, F.lit(0)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(kind, "_s").orderBy("_h", "id")) + F.col("_b")
+    return cut.join(slices, [kind, "_s"]).withColumn("_k", place).drop("_h", "_s", "_b")
+
+
 def stratified_sample(rows: DataFrame, block: str, share: float, seed: int, total: int | None = None) -> DataFrame:
     """WN-09: round(n x share) rows of each block, in seeded order; with a ``total``, topped up to it from what is left."""
-    sizes = rows.groupBy(block).agg(F.floor(F.count("*") * share + 0.5).alias("_quota"))
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(block).orderBy(_order(seed), "id")))
-    ranked = ranked.join(F.broadcast(sizes), block)
-    taken, left = ranked.where(F.col("_k") <= F.col("_quota")).drop("_k", "_quota"), ranked.where(F.col("_k") > F.col("_quota")).drop("_k", "_quota")
+    quotas = rows.groupBy(block).agg(F.floor(F.count("*") * share + 0.5).alias("quota"))
+    return quota_sample(rows, block, quotas, seed, total)
+
+
+def quota_sample(rows: DataFrame, block: str, quotas: DataFrame, seed: int, total: int | None = None) -> DataFrame:
+    """WN-09: the quota of each block (block, quota), in seeded order; with a ``total``, topped up to it from what is left of blocks with a quota."""
+    places = ranked(rows, block, seed).join(quotas, block)
+    own = F.col("_k") <= F.col("quota")
+    taken, left = places.where(own).drop("_k", "quota"), places.where(~own).drop("_k", "quota")
     if total is None:
         return taken
     return taken.unionByName(left.orderBy(_order(seed), "id").limit(max(0, total - taken.count())))
@@ -25,9 +43,8 @@ def balanced_epoch(rows: DataFrame, kind: str, seed: int) -> DataFrame:
     """WN-10: every kind drawn up to the size of the largest, its rows in turn."""
     sizes = rows.groupBy(kind).agg(F.count("*").alias("_n"))
     largest = sizes.agg(F.max("_n").alias("_most"))
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(_order(seed), "id")) - 1)
-    full = ranked.join(F.broadcast(sizes), kind).join(F.broadcast(largest), F.lit(True))
-    times = F.floor((F.col("_most") - 1 - F.col("_k")) / F.col("_n")) + 1
+    full = ranked(rows, kind, seed).join(sizes, kind).join(F.broadcast(largest), F.lit(True))
+    times = F.floor((F.col("_most") - F.col("_k")) / F.col("_n")) + 1
     return full.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_k", "_n", "_most")
 
 

@@ -129,6 +129,15 @@ def polygon_parity(points: DataFrame, edges: DataFrame, cell: float = 0.25) -> D
     return p.join(e, "_band").where(spans & left_of).groupBy("id", "poly").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("id", "poly")
 
 
+def clip_cells(cells: DataFrame, edges: DataFrame, value: str, band: float) -> DataFrame:
+    """GR-18: cells (r, c, x, y, value) within the extent of the polygons; the value is null outside of them."""
+    box = edges.agg(F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"), F.min(F.least("y1", "y2")).alias("_s"), F.max(F.greatest("y1", "y2")).alias("_n"))
+    within = F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))
+    cropped = cells.select(F.struct("r", "c").alias("id"), "x", "y", value).join(F.broadcast(box), within).drop("_w", "_e", "_s", "_n")
+    inside = polygon_parity(cropped.select("id", "x", "y"), edges, band).select("id").distinct().withColumn("_in", F.lit(True))
+    return cropped.join(inside, "id", "left").select("id.r", "id.c", "x", "y", F.when(F.col("_in"), F.col(value)).alias(value))
+
+
 def scene_date_candidates(wanted: DataFrame, scenes: DataFrame, days: int = 7, keep: int = 6) -> DataFrame:
     """JN-09: scenes within some days of each wanted date, best first by cloud and then by days; the date's own week is the join key."""
     week = lambda d: F.floor(F.unix_date(d) / days)

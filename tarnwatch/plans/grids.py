@@ -95,12 +95,34 @@ def _(spark, d):
 , n AS (SELECT m.r, m.c, m.a AS z, max(x.a) FILTER (WHERE x.r = m.r AND x.c = m.c - 1) AS w, max(x.a) FILTER (WHERE x.r = m.r AND x.c = m.c + 1) AS e, max(x.a) FILTER (WHERE x.r = m.r - 1 AND x.c = m.c) AS n, max(x.a) FILTER (WHERE x.r = m.r + 1 AND x.c = m.c) AS s,
   max(x.a) FILTER (WHERE x.r = m.r - 1 AND x.c = m.c - 1) AS nw, max(x.a) FILTER (WHERE x.r = m.r - 1 AND x.c = m.c + 1) AS ne, max(x.a) FILTER (WHERE x.r = m.r + 1 AND x.c = m.c - 1) AS sw, max(x.a) FILTER (WHERE x.r = m.r + 1 AND x.c = m.c + 1) AS se
   FROM cells m JOIN (SELECT unnest(range(-1, 2)) AS i) ON true JOIN cells x ON x.r = m.r + i AND x.c BETWEEN m.c - 1 AND m.c + 1 GROUP BY 1, 2, 3),
-f AS (SELECT r, c, coalesce(w, z) AS w, coalesce(e, z) AS e, coalesce(n, z) AS n, coalesce(s, z) AS s, coalesce(nw, z) AS nw, coalesce(ne, z) AS ne, coalesce(sw, z) AS sw, coalesce(se, z) AS se FROM n)
+f AS (SELECT r, c, coalesce(w, z) AS w, coalesce(e, z) AS e, coalesce(n, z) AS n, coalesce(s, z) AS s, coalesce(nw, w, n, z) AS nw, coalesce(ne, e, n, z) AS ne, coalesce(sw, w, s, z) AS sw, coalesce(se, e, s, z) AS se FROM n)
 SELECT r, c, round(degrees(atan(sqrt(pow((ne + 2 * e + se - nw - 2 * w - sw) / 240, 2) + pow((sw + 2 * s + se - nw - 2 * n - ne) / 240, 2)))), 6) AS slope FROM f""")
 def _(spark, d):
     return rounded(G.sobel_slope(_z(spark, d), 30.0), "slope", digits=6)
 
 
+_GAPS = "cells0 AS (" + T.SQL["cells"] + "), cells AS (SELECT r, c, CASE WHEN (r * 7 + c) % 53 = 0 THEN NULL ELSE a END AS a FROM cells0), med AS (SELECT median(a) AS m FROM cells)"
+
+
+def _gaps(spark, d):
+    return T.cells(spark, d).select("r", "c", F.when((F.col("r") * 7 + F.col("c")) % 53 != 0, F.col("a")).alias("z"))
+
+
+@query("sobel_slope_filled", "WITH " + _GAPS + ", z AS (SELECT r, c, coalesce(a, m) AS a FROM cells, med), s AS (" + ORACLE_SQL["sobel_slope"].replace(C, "WITH q AS (SELECT 1)").replace("cells", "z") + ") SELECT r, c, CASE WHEN cells.a IS NOT NULL THEN slope END AS slope FROM s JOIN cells USING (r, c)")
+def _(spark, d):
+    return rounded(G.sobel_slope(_gaps(spark, d), 30.0), "slope", digits=6)
+
+
+@query("geographic_slope", "WITH " + _GAPS + """
+, n AS (SELECT m.r, m.c, coalesce(m.a, 'nan'::DOUBLE) AS z, CASE WHEN w.r IS NOT NULL THEN coalesce(w.a, 'nan'::DOUBLE) END AS w, CASE WHEN e.r IS NOT NULL THEN coalesce(e.a, 'nan'::DOUBLE) END AS e, CASE WHEN u.r IS NOT NULL THEN coalesce(u.a, 'nan'::DOUBLE) END AS n, CASE WHEN s.r IS NOT NULL THEN coalesce(s.a, 'nan'::DOUBLE) END AS s,
+  111320.0::DOUBLE * cos(radians(28.0::DOUBLE - (m.r + 0.5::DOUBLE) * 0.001::DOUBLE)) * 0.001::DOUBLE AS kx, 110540.0::DOUBLE * 0.001::DOUBLE AS ky
+  FROM cells m LEFT JOIN cells w ON w.r = m.r AND w.c = m.c - 1 LEFT JOIN cells e ON e.r = m.r AND e.c = m.c + 1 LEFT JOIN cells u ON u.r = m.r - 1 AND u.c = m.c LEFT JOIN cells s ON s.r = m.r + 1 AND s.c = m.c),
+g AS (SELECT r, c, CASE WHEN w IS NOT NULL AND e IS NOT NULL THEN (e - w) / (2 * kx) WHEN e IS NOT NULL THEN (e - z) / kx WHEN w IS NOT NULL THEN (z - w) / kx ELSE 0 END AS dx, CASE WHEN n IS NOT NULL AND s IS NOT NULL THEN (s - n) / (2 * ky) WHEN s IS NOT NULL THEN (s - z) / ky WHEN n IS NOT NULL THEN (z - n) / ky ELSE 0 END AS dy FROM n)
+SELECT r, c, CASE WHEN NOT isnan(dx + dy) THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) END AS slope FROM g""")
+def _(spark, d):
+    return rounded(G.geographic_slope(_gaps(spark, d), top=28.0, step=0.001).select("r", "c", "slope"), "slope", digits=6)
+
+
 @query("nearest_sample", C + """
 , p AS (SELECT c_custkey AS id, (c_custkey * 7 % 1300) / 10.0::DOUBLE AS x, (c_custkey * 11 % 1300) / 10.0::DOUBLE AS y FROM customer),
 q AS (SELECT id, round_even(x, 0)::BIGINT AS c, round_even(130 - y, 0)::BIGINT AS r FROM p) SELECT id, coalesce(a, -1) AS a FROM q LEFT JOIN cells USING (r, c)""")
@@ -233,6 +255,32 @@ def _(spark, d):
     return G.chips(T.cells(spark, d), 10, (F.col("b") % 5).cast("int"), 0.4)
 
 
+@query("background_chips", C + """
+, s AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM cells), i AS (SELECT unnest(range(0, (SELECT h FROM s)::BIGINT - 8 + 1, 5)) AS row), j AS (SELECT unnest(range(0, (SELECT w FROM s)::BIGINT - 8 + 1, 5)) AS col)
+SELECT row, col, count(*) AS cells FROM i, j JOIN cells ON r >= row AND r < row + 8 AND c >= col AND c < col + 8 GROUP BY row, col HAVING count(*) FILTER (WHERE a > 150) = 0 ORDER BY md5('3:' || row || ':' || col), row, col LIMIT 40""")
+def _(spark, d):
+    return G.background_chips(T.cells(spark, d), 8, 5, F.col("a") > 150, 40, 3)
+
+
+_CHIPPED = C + ", x AS (SELECT r % 4 AS pair, (r // 16) * 100 + c // 8 AS chip, r, c, (b % 5 = 1)::INT AS label, (a > 40)::INT AS rule FROM cells)"
+
+
+def _chipped(spark, d):
+    cells = T.cells(spark, d).withColumn("pair", F.col("r") % 4)
+    chip_cells = cells.select("pair", (F.floor(F.col("r") / 16) * 100 + F.floor(F.col("c") / 8)).alias("chip"), "r", "c", (F.col("b") % 5 == 1).cast("int").alias("label"))
+    return G.rule_channel(chip_cells, cells.where("a > 40"))
+
+
+@query("rule_channel_chips", _CHIPPED + "SELECT * FROM x")
+def _(spark, d):
+    return _chipped(spark, d)
+
+
+@query("rule_report", _CHIPPED + "SELECT pair, count(DISTINCT (pair, chip)) AS chips, count(*) FILTER (WHERE rule = 1) AS rule_cells, count(*) FILTER (WHERE label = 1) AS label_cells, round(count(*) FILTER (WHERE rule = 1 AND label = 1) / nullif(count(*) FILTER (WHERE rule = 1 OR label = 1), 0), 9) AS iou FROM x GROUP BY ROLLUP (pair)")
+def _(spark, d):
+    return rounded(G.rule_report(_chipped(spark, d)), "iou")
+
+
 @query("dem_difference", C + "SELECT round(sum(CASE WHEN b - a < -5 THEN (a - b) * 900 ELSE 0 END), 3) AS lost_m3, round(sum(CASE WHEN b - a > 5 THEN (b - a) * 900 ELSE 0 END), 3) AS gained_m3, count(*) FILTER (WHERE b - a < -5) AS lost_cells, count(*) FILTER (WHERE b - a > 5) AS gained_cells, count(b - a) AS valid FROM cells")
 def _(spark, d):
     return rounded(G.dem_difference(T.cells(spark, d), "a", "b", 5, 5, 900), "lost_m3", "gained_m3", digits=3)
@@ -245,10 +293,12 @@ def _(spark, d):
     return rounded(G.lake_rim_level(_z(spark, d), F.col("z") < 20), "depth_sum", digits=6)
 
 
-@query("lake_visibility_audit", C + "SELECT (b % 40)::INT AS lake, count(*) AS cells, round(median(-a / 5), 6) AS median_vv, avg((-a / 5 < -16)::INT::DOUBLE) AS dark FROM cells GROUP BY 1 HAVING count(*) >= 3")
+@query("lake_visibility_audit", C + """
+, a AS (SELECT (b % 40)::INT AS lake, count(*) AS cells, round(median(-a / 5), 6) AS median_vv, round(median(-a / 4), 6) AS median_vh, avg((-a / 5 < -15)::INT::DOUBLE) AS dark FROM cells GROUP BY 1 HAVING count(*) >= 3)
+SELECT *, CASE WHEN dark > 0.5 THEN 'monitorable' WHEN dark < 0.2 AND median_vv > -12 THEN 'invisible' ELSE 'marginal' END AS class FROM a""")
 def _(spark, d):
-    v = T.cells(spark, d).select((F.col("b") % 40).cast("int").alias("lake"), (-F.col("a") / 5).alias("vv"))
-    return rounded(G.visibility_audit(v, "lake", "vv"), "median_vv", digits=6)
+    v = T.cells(spark, d).select((F.col("b") % 40).cast("int").alias("lake"), (-F.col("a") / 5).alias("vv"), (-F.col("a") / 4).alias("vh"))
+    return rounded(G.visibility_audit(v, "lake", "vv", "vh"), "median_vv", "median_vh", digits=6)
 
 
 @query("swath_edge", T.with_("lakes") + "SELECT round(lat, 1) AS lat, max(lon) AS lon FROM lakes GROUP BY 1")

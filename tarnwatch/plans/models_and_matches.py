@@ -9,6 +9,7 @@ from tarnwatch.operators import learning as L
 from tarnwatch.operators import matching as M
 from tarnwatch.plans import standins as T
 from tarnwatch.plans.evaluations import rounded
+from tarnwatch.plans.grids import _N
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -68,6 +69,17 @@ def _(spark, d):
     return M.label_pairs(pairs, labels)
 
 
+@query("eligible_pairs", f"""
+SELECT pair_id, tier_1, tier_2, CASE WHEN tier_1 IS NULL OR tier_2 IS NULL OR day(pair_id) % 5 = 0 THEN 'missing' WHEN gold = 'complete' THEN 'complete' ELSE 'incomplete' END AS state FROM ({ORACLE_SQL["label_pair_join"]})""")
+def _(spark, d):
+    e = T.table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    k = F.day("ts") % 4
+    labels = e.select("day", F.when(k == 0, "gold").when(k == 1, "auto").when(k == 2, "merged").alias("tier"))
+    uses = F.when(F.day("day") % 5 == 0, F.array(F.lit("train"))).otherwise(F.array(F.lit("train"), F.lit("eval")))
+    pairs = e.select("day").distinct().select(F.col("day").alias("pair_id"), F.col("day").alias("d1"), F.date_add("day", 3).alias("d2"), uses.alias("uses"))
+    return M.eligible_pairs(pairs, labels, "eval")
+
+
 @query("catalogue_match_check", T.with_("surveys") + """
 , s AS (SELECT lake_id AS id, name || CASE WHEN lake_id % 2 = 0 THEN ' Lake' ELSE '' END AS name, volume_m3 AS volume FROM surveys),
 p AS (SELECT name, arg_max(volume_m3 * (0.5 + lake_id % 10 / 10.0::DOUBLE), lake_id) AS published FROM surveys GROUP BY name)
@@ -94,6 +106,24 @@ def _(spark, d):
     return rounded(M.lut_bilinear(c, T.cells(spark, d).where("r % 20 = 0 AND c % 25 = 0").selectExpr("r AS line", "c AS pixel", "a AS value"), 20, 25), "value", digits=6)
 
 
+@query("calibrate_scene", T.with_("cells") + """
+, p AS (SELECT * FROM (VALUES ('vv', 1.0::DOUBLE), ('vh', 0.5::DOUBLE)) v(band, f)), t AS (SELECT band, r AS line, c AS pixel, (a + 1) * f AS value FROM cells, p WHERE r % 20 = 0 AND c % 25 = 0), m AS (SELECT max(line) AS ml, max(pixel) AS mp FROM t),
+k AS (SELECT band, r, c, (coalesce(b, 0) + 1) * f AS dn, r // 20 * 20 AS r0, c // 25 * 25 AS c0, least(r // 20 * 20 + 20, ml) AS r1, least(c // 25 * 25 + 25, mp) AS c1 FROM cells, p, m),
+f AS (SELECT *, CASE WHEN r1 > r0 THEN (r - r0) / 20.0::DOUBLE ELSE 0 END AS fr, CASE WHEN c1 > c0 THEN (c - c0) / 25.0::DOUBLE ELSE 0 END AS fc FROM k),
+l AS (SELECT f.band, r, c, dn, (1 - fr) * (1 - fc) * q.value + (1 - fr) * fc * w.value + fr * (1 - fc) * e.value + fr * fc * u.value AS lut FROM f JOIN t q ON q.band = f.band AND q.line = r0 AND q.pixel = c0 JOIN t w ON w.band = f.band AND w.line = r0 AND w.pixel = c1 JOIN t e ON e.band = f.band AND e.line = r1 AND e.pixel = c0 JOIN t u ON u.band = f.band AND u.line = r1 AND u.pixel = c1),
+d AS (SELECT *, 10 * log10(greatest(dn * dn / (lut * lut), 1e-10)) AS db FROM l)
+""" + _N + """
+, h AS (SELECT r, c, (-dx * sin(radians(35.0)) * sin(radians(100.0)) - dy * sin(radians(35.0)) * cos(radians(100.0)) + cos(radians(35.0))) / sqrt(dx * dx + dy * dy + 1) AS k FROM g)
+SELECT band, r, c, round(CASE WHEN k > 0 THEN db - 10 * log10(greatest(k, 1e-3)) ELSE db END, 6) + 0 AS gamma FROM d JOIN h USING (r, c)""")
+def _(spark, d):
+    c = T.cells(spark, d)
+    bands = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.lit(f).alias("f")) for n, f in (("vv", 1.0), ("vh", 0.5))]))
+    raw = c.select("r", "c", "a", F.coalesce("b", F.lit(0.0)).alias("b"), bands.alias("p")).select("p.band", "r", "c", ((F.col("a") + 1) * F.col("p.f")).alias("value"), ((F.col("b") + 1) * F.col("p.f")).alias("dn"))
+    table = raw.where("r % 20 = 0 AND c % 25 = 0").selectExpr("band", "r AS line", "c AS pixel", "value")
+    out = M.calibrated_scenes(raw.select("band", "r", "c", "dn"), table, c.selectExpr("r", "c", "a AS z"), ["band"], row_step=20, col_step=25, cell_m=30.0, incidence_deg=35.0, azimuth_deg=100.0)
+    return rounded(out, "gamma", digits=6)
+
+
 @query("region_metrics", T.with_("cells") + """
 , m AS (SELECT (r // 10)::BIGINT AS region, count(*) FILTER (WHERE a > 50 AND b > 50) AS tp, count(*) FILTER (WHERE a <= 50 AND b > 50) AS fp, count(*) FILTER (WHERE a > 50 AND b <= 50) AS fn FROM cells GROUP BY 1)
 SELECT region, round(tp / nullif(tp + fp + fn, 0), 9) AS iou, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall FROM m""")

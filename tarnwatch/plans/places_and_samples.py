@@ -68,6 +68,17 @@ def _(spark, d):
     return P.polygon_parity(T.lakes(spark, d).selectExpr("lake_id AS id", "lon AS x", "lat AS y"), edges)
 
 
+@query("clip_to_basin", T.with_("catalogue", "cells") + """
+, poly AS (SELECT event_id AS poly, 10.25 + event_id * 7 % 60 AS w, 20.75 + event_id * 7 % 60 AS e, 3.25 AS s, 3.75 + event_id * 5 % 40 AS n FROM catalogue),
+x AS (SELECT min(w) AS w, max(e) AS e, min(s) AS s, max(n) AS n FROM poly),
+t AS (SELECT DISTINCT r, c, true AS inside FROM cells JOIN poly ON c >= w AND c < e AND r >= s AND r < n)
+SELECT r, c, c::DOUBLE AS x, r::DOUBLE AS y, CASE WHEN inside THEN a END AS a FROM cells JOIN x ON c BETWEEN w AND e AND r BETWEEN s AND n LEFT JOIN t USING (r, c)""")
+def _(spark, d):
+    c = T.catalogue(spark, d).selectExpr("event_id AS poly", "10.25D + event_id * 7 % 60 AS w", "20.75D + event_id * 7 % 60 AS e", "3.25D AS s", "3.75D + event_id * 5 % 40 AS n")
+    edges = c.selectExpr("poly", "stack(4, w, s, e, s, e, s, e, n, e, n, w, n, w, n, w, s) AS (x1, y1, x2, y2)")
+    return P.clip_cells(T.cells(spark, d).selectExpr("r", "c", "CAST(c AS DOUBLE) AS x", "CAST(r AS DOUBLE) AS y", "a"), edges, "a", 1.0)
+
+
 @query("scene_date_candidates", T.with_("catalogue", "observations") + """
 , f AS (SELECT event_id AS want_id, observation_id AS scene_id, cloud_fraction AS cloud, abs(acquired_at - event_date)::INT AS off FROM catalogue JOIN observations ON acquired_at BETWEEN event_date - 7 AND event_date + 7)
 SELECT *, row_number() OVER (PARTITION BY want_id ORDER BY cloud, off, scene_id)::INT AS rank FROM f QUALIFY rank <= 6""")
