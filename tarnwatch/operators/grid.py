@@ -49,23 +49,23 @@ def class_histogram(cells: DataFrame, keys: Sequence[str], kind: str) -> DataFra
     return by.withColumn("share", F.col("cells") / F.sum("cells").over(whole))
 
 
-def multilook(cells: DataFrame, value: str, size: int = 5, keys: Sequence[str] = ()) -> DataFrame:
-    """GR-05: mean of size x size cells with reflected edges, in two separable passes.
+def multilook(cells: DataFrame, *values: str, size: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """GR-05: mean of size x size cells of each value with reflected edges, in two separable passes.
 
     Cells near an edge are copied once beyond it, so both passes are plain
     windows of a line.
     """
     h = size // 2
-    out = cells.select(*keys, "r", "c", F.col(value).alias("v"))
+    out = cells.select(*keys, "r", "c", *values)
     for axis, other in (("c", "r"), ("r", "c")):
         last = out.groupBy(*keys).agg(F.max(axis).alias("_last"))
         wide = out.join(F.broadcast(last), list(keys)) if keys else out.join(F.broadcast(last), F.lit(True))
         x = F.col(axis)
         copies = F.array_compact(F.array(F.struct(x.alias("at"), F.lit(True).alias("own")), F.when(x < h, F.struct((-1 - x).alias("at"), F.lit(False).alias("own"))), F.when(x > F.col("_last") - h, F.struct((2 * F.col("_last") + 1 - x).alias("at"), F.lit(False).alias("own")))))
-        wide = wide.select(*keys, other, F.inline(copies), "v")
+        wide = wide.select(*keys, other, F.inline(copies), *values)
         line = Window.partitionBy(*keys, other).orderBy("at").rangeBetween(-h, h)
-        out = wide.withColumn("v", F.sum("v").over(line) / size).where("own").select(*keys, F.col("at").alias(axis), other, "v")
-    return out.select(*keys, "r", "c", F.col("v").alias(value))
+        out = wide.withColumns({v: F.sum(v).over(line) / size for v in values}).where("own").select(*keys, F.col("at").alias(axis), other, *values)
+    return out.select(*keys, "r", "c", *values)
 
 
 def log_ratio(before: Column, after: Column, eps: float = 1e-6) -> Column:
@@ -75,9 +75,8 @@ def log_ratio(before: Column, after: Column, eps: float = 1e-6) -> Column:
 
 def detect_expansion(cells: DataFrame, before: str, after: str, threshold: float = -0.8) -> DataFrame:
     """GR-07: cells whose smoothed ratio between the dates falls below the threshold."""
-    a, b = multilook(cells, before), multilook(cells, after)
     ratio = log_ratio(F.col(before), F.col(after))
-    return a.join(b, ["r", "c"]).select("r", "c", ratio.alias("ratio"), (ratio < threshold).alias("expanded"))
+    return multilook(cells, before, after).select("r", "c", ratio.alias("ratio"), (ratio < threshold).alias("expanded"))
 
 
 def sigma0_db(dn: Column, lut: Column) -> Column:

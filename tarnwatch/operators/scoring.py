@@ -67,19 +67,22 @@ def disease_risk(wells: Column, density: Column, temp_index: Column) -> Column:
     return thousandths(norm01(wells, 0, 5) * (0.4 + 0.6 * norm01(density, 0, 500)) * temp_index)
 
 
+def _access_loss() -> Column:
+    route, near = F.col("asset_type").isin(*ROUTES), F.coalesce(F.col("distance_m") <= F.col("buffer_m"), F.lit(False))
+    return F.max(F.when(route & F.col("inundated"), 1.0).when(route & near, 0.6).otherwise(0.3))
+
+
 def exposure_rollup(exposures: DataFrame, default_population: int | None = None) -> DataFrame:
     """SC-06 and SC-09: what each run exposes, and how its access routes fare."""
     is_ = lambda *kinds: F.col("asset_type").isin(*kinds)
     people = F.sum(F.when(is_(*SETTLEMENTS), F.col("population")).otherwise(0))
-    near = F.coalesce(F.col("distance_m") <= F.col("buffer_m"), F.lit(False))
-    access = F.max(F.when(is_(*ROUTES) & F.col("inundated"), 1.0).when(is_(*ROUTES) & near, 0.6).otherwise(0.3))
     return exposures.groupBy("run_id").agg(
         (people if default_population is None else F.when(people == 0, F.lit(default_population)).otherwise(people)).alias("population"),
         F.count_if(is_(*SETTLEMENTS)).alias("settlements"),
         F.count_if(is_("bridge")).alias("bridges"),
         F.count_if(is_("well")).alias("wells"),
         F.count_if(is_("well") & F.col("inundated")).alias("inundated_wells"),
-        access.alias("access_loss"),
+        _access_loss().alias("access_loss"),
     )
 
 
@@ -135,18 +138,19 @@ def served_population(exposures: DataFrame) -> DataFrame:
 
 
 def rescue_sectors(exposures: DataFrame) -> DataFrame:
-    """SC-10: village, water-point and route sectors of each run, with their priority."""
-    rolled = exposure_rollup(exposures).select("run_id", F.col("access_loss"))
-    urgent = lambda people, u: thousandths(norm01(people, 0, 2000) * F.col("access_loss") * u)
-    villages = exposures.where(F.col("asset_type").isin(*SETTLEMENTS))
-    own = villages.select("run_id", F.concat_ws("-", F.lit("village"), "asset_id", "line").alias("sector"), F.lit("village").alias("kind"), "population", F.lit(1.0).alias("urgency"))
+    """SC-10: village, water-point and route sectors of each run, with their priority. Exposures are rolled up once; both joins are on the run."""
+    is_ = lambda *kinds: F.col("asset_type").isin(*kinds)
+    people = lambda *kinds: F.sum(F.when(is_(*kinds), F.col("population")).otherwise(0))
+    rolled = exposures.groupBy("run_id").agg(_access_loss().alias("access_loss"), people(*SETTLEMENTS).alias("people"), people("well").alias("own"), F.count_if(is_("well")).alias("wells"), F.count_if(is_(*ROUTES)).alias("routes"))
     served = served_population(exposures).groupBy("run_id").agg(F.sum("served").alias("served"))
-    wells = exposures.where("asset_type = 'well'").groupBy("run_id").agg(F.sum("population").alias("p")).join(served, "run_id")
-    wells = wells.select("run_id", F.lit("water-points").alias("sector"), F.lit("well").alias("kind"), F.greatest("p", "served").alias("population"), F.lit(0.7).alias("urgency"))
-    routes = exposures.groupBy("run_id").agg(F.count_if(F.col("asset_type").isin(*ROUTES)).alias("n"), F.sum(F.when(F.col("asset_type").isin(*SETTLEMENTS), F.col("population")).otherwise(0)).alias("population")).where("n > 0")
-    routes = routes.select("run_id", F.lit("access-routes").alias("sector"), F.lit("bridge").alias("kind"), "population", F.lit(0.5).alias("urgency"))
-    every = own.unionByName(wells).unionByName(routes).join(rolled, "run_id")
-    return every.select("run_id", "sector", "kind", "population", "access_loss", urgent(F.col("population"), F.col("urgency")).alias("priority"))
+    sector = lambda name, kind, n, u: F.struct(F.lit(name).alias("sector"), F.lit(kind).alias("kind"), n.cast("long").alias("population"), F.lit(u).alias("urgency"))
+    wells = F.when(F.col("wells") > 0, sector("water-points", "well", F.greatest("own", "served"), 0.7))
+    routes = F.when(F.col("routes") > 0, sector("access-routes", "bridge", F.col("people"), 0.5))
+    shared = rolled.join(served, "run_id", "left").select("run_id", "access_loss", F.inline(F.array_compact(F.array(wells, routes))))
+    villages = exposures.where(is_(*SETTLEMENTS)).select("run_id", F.concat_ws("-", F.lit("village"), "asset_id", "line").alias("sector"), F.lit("village").alias("kind"), "population", F.lit(1.0).alias("urgency"))
+    every = villages.join(rolled.select("run_id", "access_loss"), "run_id").unionByName(shared)
+    priority = thousandths(norm01(F.col("population"), 0, 2000) * F.col("access_loss") * F.col("urgency"))
+    return every.select("run_id", "sector", "kind", "population", "access_loss", priority.alias("priority"))
 
 
 def personnel(exposures: DataFrame) -> DataFrame:

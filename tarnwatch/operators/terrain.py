@@ -69,21 +69,24 @@ def flow_accumulation(flow: DataFrame, width: int) -> DataFrame:
 
 
 def hand(flow: DataFrame, accumulation: DataFrame, width: int, channel: int) -> DataFrame:
-    """HY-06: height above the first channel cell downstream, at least 0; 0 where none is reached."""
+    """HY-06: height above the first channel cell downstream, at least 0; 0 where none is reached.
+
+    Pointers double in each round. Only cells that have not met a channel or a
+    pit go on, so a main outlet is a join key of the cells beside it alone.
+    """
     scratch = Scratch(flow.sparkSession, "hand")
     acc = accumulation.select((F.col("r") * width + F.col("c")).alias("id"), (F.col("acc") >= channel).alias("channel"))
     base = scratch.cut(_numbered(flow, width).join(acc, "id"), "base")
-    state = base.select("id", F.when(F.col("channel") | F.col("to").isNull(), F.col("id")).otherwise(F.col("to")).alias("to"))
-    state = scratch.cut(state, "state")
-    while True:
-        jumped = state.join(state.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
-        jumped = scratch.cut(jumped, "state")
-        done = jumped.where("moved").isEmpty()
-        state = jumped.select("id", "to")
-        if done:
-            break
-    end = base.select(F.col("id").alias("to"), F.col("z").alias("zc"), F.col("channel").alias("end_channel"))
-    out = base.select("id", "z").join(state, "id").join(end, "to")
+    ends, rest = base.where(F.col("channel") | F.col("to").isNull()), base.where(~F.col("channel") & F.col("to").isNotNull())
+    first = rest.select("id", "to").join(ends.select(F.col("id").alias("to"), F.lit(True).alias("met")), "to", "left").select("id", "to", F.coalesce("met", F.lit(False)).alias("met"))
+    first = scratch.cut(first, "first")
+    finished, going = ends.select("id", F.col("id").alias("to"), F.lit(True).alias("met")).unionByName(first.where("met")), first.where("NOT met")
+    while not going.isEmpty():
+        ahead = finished.unionByName(going).select(F.col("id").alias("to"), F.col("to").alias("next"), "met")
+        moved = scratch.cut(going.drop("met").join(ahead, "to").select("id", F.col("next").alias("to"), "met"), "moved")
+        finished, going = finished.unionByName(moved.where("met")), moved.where("NOT met")
+    end = ends.select(F.col("id").alias("to"), F.col("z").alias("zc"), F.col("channel").alias("end_channel"))
+    out = base.select("id", "z").join(finished.select("id", "to"), "id").join(end, "to")
     height = F.when(F.col("end_channel"), F.greatest(F.lit(0.0), F.col("z") - F.col("zc"))).otherwise(0.0)
     return out.select((F.col("id") / width).cast("long").alias("r"), (F.col("id") % width).alias("c"), height.alias("hand"))
 

@@ -18,11 +18,11 @@ def _trailing(days: int):
     return Window.partitionBy("station").orderBy(_epoch()).rangeBetween(-(days - 1), 0)
 
 
-def antecedent_rain_rows(weather: DataFrame) -> DataFrame:
-    """TS-01: rain of the day and of the seven rows that end with it, whatever days are missing."""
+def antecedent_rain_rows(weather: DataFrame, *others: str) -> DataFrame:
+    """TS-01: rain of the day and of the seven rows that end with it, whatever days are missing; ``others`` are kept."""
     rows = Window.partitionBy("station").orderBy("day").rowsBetween(-6, 0)
     rain = F.coalesce("precip", F.lit(0.0))
-    return weather.select("station", "day", rain.alias("rain_24h"), F.sum(rain).over(rows).alias("rain_7d"))
+    return weather.select("station", "day", rain.alias("rain_24h"), F.sum(rain).over(rows).alias("rain_7d"), *others)
 
 
 def antecedent_rain_days(weather: DataFrame) -> DataFrame:
@@ -41,11 +41,10 @@ def thermal_state(weather: DataFrame, lake_elevation_m: float) -> DataFrame:
 
 
 def observation_weather(observations: DataFrame, weather: DataFrame, default_temp: float = 12.0) -> DataFrame:
-    """TS-03: weather of each observation's day; no rain and a default temperature where there is none."""
-    rain = antecedent_rain_rows(weather).join(weather.select("station", "day", "tmean"), ["station", "day"])
-    found = observations.join(rain, (observations["station"] == rain["station"]) & (observations["acquired_at"] == rain["day"]), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return found.select("observation_id", zero("rain_24h"), zero("rain_7d"), F.coalesce("tmean", F.lit(float(default_temp))).alias("temp"))
+    """TS-03: observations with the weather of their day; no rain and a default temperature where there is none."""
+    rain = antecedent_rain_rows(weather.select("station", "day", "precip", "tmean"), "tmean").withColumnRenamed("day", "_day")
+    found = observations.join(rain, (observations["station"] == rain["station"]) & (F.col("acquired_at") == F.col("_day")), "left").drop(rain["station"], "_day")
+    return found.withColumns({"rain_24h": F.coalesce("rain_24h", F.lit(0.0)), "rain_7d": F.coalesce("rain_7d", F.lit(0.0)), "temp": F.coalesce("tmean", F.lit(float(default_temp)))}).drop("tmean")
 
 
 def event_windows(events: DataFrame, weather: DataFrame, *, days: int = 30, most_nulls: int = 4) -> DataFrame:

@@ -42,6 +42,39 @@ def _(spark, d):
     return E.ape_summary(fitted.select("lake_type", "truth", "estimate"), "lake_type")
 
 
+@query("leakage_free_dataset")
+def _(spark, d):
+    metric = ((F.col("lon") - 80) * 98000).alias("x"), ((F.col("lat") - 27) * 110540).alias("y")
+    events = T.catalogue(spark, d).select(F.col("event_id").alias("id"), "lat", "lon", *metric, (F.col("area_m2") / 1e6).alias("area_km2"), F.when(F.col("event_id") % 3 != 0, 4500.0).alias("elev_m"))
+    lakes = T.lakes(spark, d).select(F.col("lake_id").alias("id"), "lat", "lon", *metric, (F.col("area_m2") / 1e6).alias("area_km2"), "elev_m")
+    corners = T.surveys(spark, d).selectExpr("lake_id AS poly", "lake_id * 37 % 1500 * 980D AS w", "lake_id * 91 % 800 * 1100D AS s", "500 + area_km2 * 300 AS side").selectExpr("poly", "w", "s", "w + side AS e", "s + side AS n")
+    glaciers = corners.selectExpr("poly", "stack(4, w, s, e, s, e, s, e, n, e, n, w, n, w, n, w, s) AS (x1, y1, x2, y2)")
+    out = L.leakage_free_dataset(events, lakes, glaciers, negatives=lakes.count() // 3)
+    return rounded(out, "log_area", "log_distance", "log_ice", digits=6)
+
+
+@query("stacked_prior")
+def _(spark, d):
+    s = T.scores(spark, d).withColumns({"season": F.month("event_date").isin(6, 7, 8, 9).cast("double"), "year": F.year("event_date"), "id": F.col("sample_id")})
+    found = L.stacked_prior(s, ["score"], ["score", "year", "season"], test="event_date >= DATE'2014-01-01'", trees=2, depth=2)
+    every = found.select("block", "label", F.expr("stack(2, 'stacked', stacked, 'plain', plain) AS (model, score)"))
+    return E.rank_auc(every, ["model"])
+
+
+@query("cross_calibrated")
+def _(spark, d):
+    s = T.scores(spark, d).select("sample_id", "block", "label", "score")
+    isotonic = L.cross_calibrated(s, method="isotonic").select("sample_id", F.round("calibrated", 6).alias("isotonic"))
+    return L.cross_calibrated(s).select("sample_id", "block", "label", F.round("calibrated", 6).alias("platt")).join(isotonic, "sample_id")
+
+
+@query("ridge_leave_groups_out")
+def _(spark, d):
+    s = T.surveys(spark, d).selectExpr("lake_id AS id", "name", "lake_type", "region", "log(area_km2) AS log_area", "volume_m3 AS truth", "0.104 * pow(area_km2 * 1e6, 1.421) AS law")
+    features, names = L.sparse_features(s, ["log_area"], {"lake_type": 1, "region": 5})
+    return L.ridge_leave_groups_out(features, "name", len(names), "law", "truth").select("id", "truth", F.round("estimate", 3).alias("estimate"))
+
+
 @query("score_lakes", T.with_("scores") + """
 , b AS (SELECT score FROM scores WHERE block = 0), n AS (SELECT count(*) AS n FROM b)
 SELECT sample_id AS id, score, round((SELECT count(*) FROM b WHERE b.score < scores.score) / (SELECT n FROM n), 9) AS percentile FROM scores WHERE block <> 0""")

@@ -50,7 +50,7 @@ SELECT observation_id, coalesce(rain_24h, 0) AS rain_24h, coalesce(rain_7d, 0) A
 FROM observations LEFT JOIN r ON r.station = basin_id % 2 AND acquired_at = day""")
 def _(spark, d):
     obs = T.observations(spark, d).withColumn("station", F.col("basin_id") % 2)
-    return weather.observation_weather(obs, T.climate(spark, d))
+    return weather.observation_weather(obs, T.climate(spark, d)).select("observation_id", "rain_24h", "rain_7d", "temp")
 
 
 def _events(spark, d):
@@ -150,9 +150,8 @@ def _(spark, d):
 def scored_runs(spark, d):
     """SC-18: every observation with its weather, exposures and scores, as one lazy job."""
     obs = T.observations(spark, d).withColumn("station", F.lit(0).cast("long"))
-    rain = weather.observation_weather(obs, T.climate(spark, d))
     rolled = scoring.exposure_rollup(T.exposures(spark, d))
-    runs = obs.join(rain, "observation_id").join(rolled, obs["observation_id"] == rolled["run_id"])
+    runs = weather.observation_weather(obs, T.climate(spark, d)).join(rolled, F.col("observation_id") == F.col("run_id"))
     runs = runs.withColumns(
         {
             "trend": F.element_at(F.array(*map(F.lit, ("stable", "slowly", "rapidly", "uncertain"))), (F.col("run_id") % 4 + 1).cast("int")),

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import scalars as S
-from tarnwatch.operators import corridor, evaluation, grid, lakes, ledger, scoring, spatial, terrain, weather
+from tarnwatch.operators import corridor, evaluation, grid, lakes, learning, ledger, scoring, spatial, terrain, weather
 from tarnwatch.operators.graph import connected
 from tarnwatch.scratch import Scratch
 from tarnwatch.streaming import jobs
@@ -204,3 +205,84 @@ def test_streams_register_once_and_score_new_rows(spark, tmp_path):
     for _ in range(2):
         jobs.score_stream(spark.readStream.schema(schema).json(landed), score, out, f"{marks}-scores").awaitTermination()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_ridge_of_all_other_groups_against_numpy(spark):
+    r = random.Random(5)
+    rows = [(i, f"g{i % 11}", r.choice("abc"), r.choice("xyz"), r.uniform(-2, 2), r.uniform(1, 9), r.uniform(1, 9)) for i in range(60)]
+    rows += [(60, "g12", "d", "x", 0.5, 2.0, 3.0), (61, "g1", "a", "w", 0.1, 2.0, 4.0)]  # a type of one group only, a rare region
+    df = spark.createDataFrame(rows, "id int, g string, t string, region string, size double, law double, truth double")
+    ready, names = learning.sparse_features(df, ["size"], {"t": 1, "region": 2})
+    assert names == ["size", "t_a", "t_b", "t_c", "t_d", "region_x", "region_y", "region_z"]
+    found = {x.id: x.estimate for x in learning.ridge_leave_groups_out(ready, "g", len(names), "law", "truth").collect()}
+    x = np.array([[size, *(float(t == k) for k in "abcd"), *(float(region == k) for k in "xyz")] for _, _, t, region, size, _, _ in rows])
+    y, groups = np.log([row[6] / row[5] for row in rows]), np.array([row[1] for row in rows])
+    assert len(found) == len(rows)
+    for i, row in enumerate(rows):
+        train = groups != row[1]
+        mean, sd = x[train].mean(0), x[train].std(0)
+        sd[sd == 0] = 1
+        z = (x[train] - mean) / sd
+        w = np.linalg.solve(z.T @ z + np.eye(len(names)), z.T @ (y[train] - y[train].mean()))
+        assert abs(found[row[0]] - row[5] * np.exp(y[train].mean() + (x[i] - mean) / sd @ w)) < 1e-8
+
+
+def test_leakage_free_dataset(spark):
+    """Events at the ends of a line of lakes; lakes beside an event are no stable ones, and give their area to it."""
+    place = lambda i, km: (i, 28.0, 84.0 + km / 98.0, km * 1000.0, 0.0)
+    schema = "id int, lat double, lon double, x double, y double, area_km2 double, elev_m double"
+    events = spark.createDataFrame([(*place(1, 0), 9.0, 5000.0), (*place(2, 1.9), 9.0, None), (*place(3, 100), None, 4000.0), (*place(4, 102), 2.0, 4000.0), (*place(5, 104), 3.0, None)], schema)
+    lakes = spark.createDataFrame([(*place(11, 0.2), 1.5, 4900.0), *[(*place(20 + i, 10.0 + i), 0.5, 4000.0) for i in range(4)], *[(*place(40 + i, 90.0 - i), 0.5, 4000.0) for i in range(9)], (*place(60, 95), None, 4000.0)], schema)
+    ice = spark.createDataFrame([(1, 0.0, 2000.0, 1000.0, 2000.0), (1, 1000.0, 2000.0, 1000.0, 3000.0), (1, 1000.0, 3000.0, 0.0, 3000.0), (1, 0.0, 3000.0, 0.0, 2000.0)], "poly int, x1 double, y1 double, x2 double, y2 double")
+    rows = learning.leakage_free_dataset(events, lakes, ice, negatives=6, k=2).collect()
+    breached = {r.source_id: r for r in rows if r.breached}
+    assert set(breached) == {1, 4}  # 2 and 5 have no elevation, 3 no area
+    assert abs(breached[1].log_area - np.log1p(1.5)) < 1e-12 and breached[1].elev_m == 4900
+    assert abs(breached[1].log_distance - np.log1p(2000)) < 1e-9 and abs(breached[1].log_ice - np.log1p(1.0)) < 1e-9 and breached[4].log_ice == 0
+    stable = [r.source_id for r in rows if not r.breached]
+    assert len(stable) == len(set(stable)) == 6 and not {11, 60} & set(stable)
+    assert len({r.block for r in rows if not r.breached and r.source_id < 40}) == 1 and breached[1].block != breached[4].block
+    assert sum(s < 40 for s in stable) == 3 and sum(s >= 40 for s in stable) == 3
+
+
+def test_calibration_across_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, i % 3, int(r.random() < 0.2 + 0.6 * (i % 10) / 9), (i % 10) / 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, block int, label int, score double")
+    for method in ("platt", "isotonic"):
+        got = learning.cross_calibrated(df, method=method).collect()
+        assert len(got) == 300 and all(0 <= x.calibrated <= 1 for x in got)
+        for b in range(3):
+            curve = sorted({(x.score, x.calibrated) for x in got if x.block == b})
+            assert len(curve) == 10 and all(p[1] <= q[1] + 1e-12 for p, q in zip(curve, curve[1:]))
+    one = learning.cross_calibrated(df.where("block = 0 OR label = 1"))  # the other blocks of 0 have one class
+    assert all(x.calibrated == x.score for x in one.where("block = 0").collect())
+
+
+def test_prior_helps_where_static_features_decide(spark):
+    rows = [(i, i % 3, int(i % 4 == 0), float(i % 4), float(i * 7 % 5), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, block int, label int, fixed double, noise double, late int")
+    got = learning.stacked_prior(df, ["fixed"], ["noise"], test="late = 0", trees=1, depth=2).collect()
+    assert sorted(x.id for x in got) == [i for i in range(120) if i % 2 == 0]
+    auc = lambda f: np.mean([(f(p) > f(q)) + 0.5 * (f(p) == f(q)) for p in got if p.label == 1 for q in got if q.label == 0])
+    assert auc(lambda x: x.stacked) > 0.99 and auc(lambda x: x.plain) < 0.8
+
+
+def test_trends_of_basins_without_water_or_with_one_date(spark):
+    a = spark.createDataFrame([(1, 1, 0.0, 1), (1, 2, 0.0, 2), (2, 1, 5.0, 3), (3, 1, 10.0, 4), (3, 2, 11.0, 5), (4, 1, 10.0, 6), (4, 2, 13.0, 7), (5, 1, 10.0, 8), (5, 2, 9.0, 9)], "basin_id int, acquired_at int, area double, observation_id int")
+    assert values(weather.trend_class(a), "basin_id", "trend", "confidence") == [(1, "stable", 0.9), (2, "uncertain", 0.3), (3, "slowly", 0.5), (4, "rapidly", 0.8), (5, "uncertain", 0.3)]
+
+
+def test_shadow_summary_without_gated_values_does_not_pass(spark):
+    rows = spark.createDataFrame([(None, 0.4, None, None, True, None)], "brier double, p double, width double, iou double, triggered boolean, evidence boolean")
+    got = {r.metric: r for r in evaluation.shadow_summary(rows).collect()}
+    assert got["overall"].passed is False and got["brier"].passed is None and got["triggered"].value == 1 and got["evidence"].value == 0
+    both = {r.metric: r.passed for r in evaluation.shadow_summary(rows.withColumns({"brier": F.lit(0.1), "iou": F.lit(0.65)})).collect()}
+    assert both["overall"] is True and both["iou"] is True
+
+
+def test_scene_verdict_needs_two_pairs_in_scope(spark):
+    gates = spark.createDataFrame([("a", 0.3, True), ("b", 0.3, True), ("c", 0.3, False), ("b", 0.5, False)], "pair string, tau double, passed boolean")
+    pairs = spark.createDataFrame([("a", True), ("b", True), ("c", True)], "pair string, in_scope boolean")
+    assert values(evaluation.scene_verdict(pairs, gates, 0.3), "pairs", "in_scope", "passed", "eligible") == [(3, 3, 2, True)]
+    assert not evaluation.scene_verdict(pairs.where("pair <> 'a'"), gates, 0.3).first().eligible
