@@ -56,7 +56,8 @@ def _(spark, d):
 @query("stacked_prior")
 def _(spark, d):
     s = T.scores(spark, d).withColumns({"season": F.month("event_date").isin(6, 7, 8, 9).cast("double"), "year": F.year("event_date"), "id": F.col("sample_id")})
-    found = L.stacked_prior(s, ["score"], ["score", "year", "season"], test="event_date >= DATE'2014-01-01'", trees=2, depth=2)
+    middle = s.agg(F.percentile_approx(F.unix_date("event_date"), 0.5)).first()[0]
+    found = L.stacked_prior(s, ["score"], ["score", "year", "season"], test=f"unix_date(event_date) >= {middle}", trees=2, depth=2)
     every = found.select("block", "label", F.expr("stack(2, 'stacked', stacked, 'plain', plain) AS (model, score)"))
     return E.rank_auc(every, ["model"])
 
