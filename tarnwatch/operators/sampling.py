@@ -48,6 +48,61 @@ def balanced_epoch(rows: DataFrame, kind: str, seed: int) -> DataFrame:
     return full.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_k", "_n", "_most")
 
 
+def stratified_parts(rows: DataFrame, kind: str, shares: dict[str, float], rest: str, seed: int) -> DataFrame:
+    """EV-19: each kind's rows (with an id) in seeded order into parts of floor(n x share) rows, and what is left into ``rest``."""
+    sizes = rows.groupBy(kind).agg(F.count("*").alias("_n"))
+    part, edge, edges = F.lit(rest), F.lit(0), []
+    for name, share in shares.items():
+        edge = edge + F.floor(F.col("_n") * share)
+        edges.append((name, edge))
+    for name, upto in reversed(edges):
+        part = F.when(F.col("_k") <= upto, name).otherwise(part)
+    return ranked(rows, kind, seed).join(sizes, kind).withColumn("part", part).drop("_k", "_n")
+
+
+def event_halves(rows: DataFrame, event: str, seed: int) -> DataFrame:
+    """EV-19: events in seeded order, in turn calibration and evaluation; all rows of an event are in one part."""
+    events = rows.select(F.col(event).alias("id")).distinct().withColumn("_all", F.lit(1))
+    side = ranked(events, "_all", seed).select(F.col("id").alias(event), F.when(F.col("_k") % 2 == 1, "calibration").otherwise("evaluation").alias("part"))
+    return rows.join(side, event)
+
+
+def named_holdout(rows: DataFrame, event: str, held: dict[str, tuple[str, ...]], rest: str = "train") -> DataFrame:
+    """EV-19: rows of named events into the part that names them, all others into ``rest``."""
+    part = F.lit(rest)
+    for name, events in held.items():
+        part = F.when(F.col(event).isin(*events), name).otherwise(part)
+    return rows.withColumn("part", part)
+
+
+def leaking_events(rows: DataFrame, event: str) -> DataFrame:
+    """EV-19: events that have rows in more than one part."""
+    return rows.groupBy(event).agg(F.countDistinct("part").alias("parts")).where("parts > 1")
+
+
+def band_split(chips: DataFrame, bands: int = 5) -> DataFrame:
+    """EV-19: lake chips (id, kind, row) by row into equal bands, every fifth band and the last whole one for validation; other chips train.
+
+    A chip's place is that within its grid row plus the chips of the rows
+    before, so no window holds all chips.
+    """
+    lakes = chips.where("kind = 'lake'")
+    by_row = lakes.groupBy("row").agg(F.count("*").alias("_n"))
+    before = by_row.select("row", F.coalesce(F.sum("_n").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # rows of the grid
+    size = lakes.agg(F.greatest(F.floor(F.count("*") / bands), F.lit(1)).alias("_size"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("id")) - 1 + F.col("_b")
+    band = F.floor(F.col("_place") / F.col("_size"))
+    valid = lakes.join(before, "row").withColumn("_place", place).join(F.broadcast(size), F.lit(True)).select("id", ((band == bands - 1) | (band % 5 == 4)).alias("_v"))
+    return chips.join(valid, "id", "left").withColumn("part", F.when(F.coalesce("_v", F.lit(False)), "val").otherwise("train")).drop("_v")
+
+
+def chip_report(chips: DataFrame) -> DataFrame:
+    """GR-43: chips and positive cells by kind and in all, with the range and middle of the lakes' elevations and areas; (kind, positive, elev_m, area_km2)."""
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    spans = [f(c).alias(f"{c}_{n}") for c in ("elev_m", "area_km2") for n, f in (("min", F.min), ("median", middle), ("max", F.max))]
+    return chips.rollup("kind").agg(F.count("*").alias("chips"), F.count_if(F.col("positive") > 0).alias("with_positive"), middle("positive").alias("positive_median"), F.max("positive").alias("positive_max"), *spans)
+
+
 def negative_dates(sites: DataFrame, events: DataFrame, k: int, clear_days: int, candidates: int, span_days: int, seed: int) -> DataFrame:
     """WN-11: k pseudo-dates of each site, not within some days of one of its events."""
     c = sites.select("site", F.explode(F.sequence(F.lit(1), F.lit(candidates))).alias("try"))

@@ -100,6 +100,52 @@ def _(spark, d):
     return M.stratified_sample(T.scores(spark, d).selectExpr("sample_id AS id", "block"), "block", 0.3, 3)
 
 
+@query("stratified_parts", T.with_("scores") + """
+, k AS (SELECT sample_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || sample_id), sample_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM scores)
+SELECT id, label, CASE WHEN k <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'calibration' ELSE 'test' END AS part FROM k""")
+def _(spark, d):
+    return M.stratified_parts(T.scores(spark, d).selectExpr("sample_id AS id", "label"), "label", {"train": 0.6, "calibration": 0.2}, "test", 3)
+
+
+@query("event_halves", T.with_("observations") + """
+, e AS (SELECT basin_id, row_number() OVER (ORDER BY md5('3:' || basin_id), basin_id) AS k FROM (SELECT DISTINCT basin_id FROM observations))
+SELECT observation_id, basin_id, CASE WHEN k % 2 = 1 THEN 'calibration' ELSE 'evaluation' END AS part FROM observations JOIN e USING (basin_id)""")
+def _(spark, d):
+    return M.event_halves(T.observations(spark, d).select("observation_id", "basin_id"), "basin_id", 3)
+
+
+@query("named_holdout", T.with_("surveys") + "SELECT lake_id, region, CASE WHEN region IN ('Brand#11', 'Brand#23') THEN 'test' WHEN region = 'Brand#35' THEN 'val' ELSE 'train' END AS part FROM surveys")
+def _(spark, d):
+    return M.named_holdout(T.surveys(spark, d).select("lake_id", "region"), "region", {"test": ("Brand#11", "Brand#23"), "val": ("Brand#35",)})
+
+
+@query("leaking_events", T.with_("surveys") + """
+SELECT lake_type, count(DISTINCT CASE WHEN region IN ('Brand#11', 'Brand#23') THEN 'test' ELSE 'train' END) AS parts FROM surveys GROUP BY lake_type HAVING parts > 1""")
+def _(spark, d):
+    return M.leaking_events(M.named_holdout(T.surveys(spark, d), "region", {"test": ("Brand#11", "Brand#23")}), "lake_type")
+
+
+_LAKE_CHIPS = ", chips AS (SELECT lake_id AS id, CASE WHEN lake_id % 5 = 0 THEN 'background' ELSE 'lake' END AS kind, lake_id * 7 % 90 AS row, lake_id * 11 % 40 AS positive, elev_m, area_m2 / 1e6 AS area_km2 FROM lakes)"
+
+
+def _lake_chips(spark, d):
+    return T.lakes(spark, d).selectExpr("lake_id AS id", "IF(lake_id % 5 = 0, 'background', 'lake') AS kind", "lake_id * 7 % 90 AS row", "lake_id * 11 % 40 AS positive", "elev_m", "area_m2 / 1e6D AS area_km2")
+
+
+@query("band_split", T.with_("lakes") + _LAKE_CHIPS + """
+, k AS (SELECT id, row_number() OVER (ORDER BY row, id) - 1 AS k, greatest(count(*) OVER () // 5, 1) AS size FROM chips WHERE kind = 'lake')
+SELECT id, kind, row, CASE WHEN k // size = 4 OR k // size % 5 = 4 THEN 'val' ELSE 'train' END AS part FROM chips LEFT JOIN k USING (id)""")
+def _(spark, d):
+    return M.band_split(_lake_chips(spark, d).select("id", "kind", "row"))
+
+
+@query("chip_report", T.with_("lakes") + _LAKE_CHIPS + """
+SELECT kind, count(*) AS chips, count(*) FILTER (WHERE positive > 0) AS with_positive, median(positive) AS positive_median, max(positive) AS positive_max, min(elev_m) AS elev_m_min, median(elev_m) AS elev_m_median, max(elev_m) AS elev_m_max,
+  min(area_km2) AS area_km2_min, round(median(area_km2), 9) AS area_km2_median, max(area_km2) AS area_km2_max FROM chips GROUP BY ROLLUP (kind)""")
+def _(spark, d):
+    return rounded(M.chip_report(_lake_chips(spark, d)), "area_km2_median")
+
+
 @query("balanced_epoch", T.with_("scores") + """
 , k AS (SELECT sample_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || sample_id), sample_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM scores),
 m AS (SELECT max(n) AS m FROM k) SELECT id, label, unnest(range(1, ((m - 1 - k) // n + 1)::BIGINT + 1)) AS draw FROM k, m""")
