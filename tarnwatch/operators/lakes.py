@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions.scalars import area_volume
 from tarnwatch.operators.corridor import edges_near, nearest_edge
-from tarnwatch.operators.grid import dilate, erode, label_components, local_std, nearest_sample, with_neighbours
+from tarnwatch.operators.grid import dilate, erode, label_components, local_std, nearest_sample, sobel_slope, with_neighbours
 from tarnwatch.operators.spatial import polygon_parity
 
 #: Fixed value: a mean depth below it means that the elevations show the water and not the bed.
@@ -119,6 +119,27 @@ def shape_features(edges: DataFrame) -> DataFrame:
     return by.select("poly", "area", "perimeter", (4 * F.lit(3.141592653589793) * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).alias("compactness"), F.when(narrow > 0, F.sqrt((half + root) / narrow)).alias("elongation"))
 
 
+def rim_features(cells: DataFrame, keys: Sequence[str], lake: Column, glacier: Column, cell_m: float, ring: int = 3) -> DataFrame:
+    """ML-11: of each window of cells (z) the slope of the lake's rim (mean and 90th percentile), relief, mean slope of the land and glacier share.
+
+    The rim is what ``ring`` steps reach from the lake; slopes are Sobel
+    slopes, and cells without an elevation have none. A window without a lake
+    has no rim. The distance to a glacier is JN-04.
+    """
+    keys = list(keys)
+    marked = cells.select(*keys, "r", "c", "z", F.coalesce(lake, F.lit(False)).alias("_lake"), F.coalesce(glacier, F.lit(False)).alias("_ice"))
+    steps = range(-ring, ring + 1)
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps if abs(i) + abs(j) <= ring])
+    reached = marked.where("_lake").select(*keys, "r", "c", F.explode(near).alias("o")).select(*keys, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
+    reached = reached.distinct().withColumn("_near", F.lit(True))
+    rows = marked.join(sobel_slope(marked, cell_m, keys), [*keys, "r", "c"]).join(reached, [*keys, "r", "c"], "left")
+    land = F.when(~F.col("_lake"), F.col("slope"))
+    rim = F.when(F.col("_near"), land)
+    return rows.groupBy(*keys).agg(
+        F.avg(rim).alias("rim_slope_mean"), F.percentile(rim, F.lit(0.9)).alias("rim_slope_p90"), (F.max("z") - F.min("z")).alias("relief"), F.avg(land).alias("land_slope_mean"), F.avg(F.col("_ice").cast("int")).alias("glacier_share")
+    )
+
+
 def slope_filter_points(points: DataFrame, slopes: DataFrame, *, x0: float, y0: float, step: float, steepest: float = 5.0) -> DataFrame:
     """GR-53: points (id, x, y) whose cell is less steep; what lies beyond the grid goes."""
     return nearest_sample(points, slopes, "slope", x0=x0, y0=y0, step=step, fill=float("inf")).where(F.col("slope") < steepest)

@@ -162,12 +162,15 @@ def rank_sectors(sectors: DataFrame) -> DataFrame:
 
 
 def sector_summary(ranked: DataFrame) -> DataFrame:
-    """WN-08: of each run the top sector, how many are cut off or at risk, and the worst of these states."""
+    """WN-08: of each run the top sector, how many are cut off or at risk, the worst of these states, and all that as a sentence."""
     cut, risk = F.col("access_loss") >= 1.0, (F.col("access_loss") >= 0.6) & (F.col("access_loss") < 1.0)
     top = F.min_by(F.struct("sector", "priority"), "rank")
     by = ranked.groupBy("run_id").agg(F.count("*").alias("sectors"), F.count_if(cut).alias("cut"), F.count_if(risk).alias("at_risk"), top.alias("_t"))
     state = F.when(F.col("cut") > 0, "cut").when(F.col("at_risk") > 0, "at_risk").otherwise("accessible")
-    return by.select("run_id", "sectors", "cut", "at_risk", state.alias("state"), F.col("_t.sector").alias("top_sector"), F.col("_t.priority").alias("top_priority"))
+    found = by.select("run_id", "sectors", "cut", "at_risk", state.alias("state"), F.col("_t.sector").alias("top_sector"), F.col("_t.priority").alias("top_priority"))
+    counts = F.when(F.col("cut") > 0, F.format_string("%d of %d sectors cut off", "cut", "sectors")).when(F.col("at_risk") > 0, F.format_string("%d of %d sectors at risk", "at_risk", "sectors"))
+    first = F.format_string("; first %s (%.3f)", "top_sector", "top_priority")
+    return found.withColumn("summary", F.concat(F.coalesce(counts, F.format_string("%d sectors accessible", "sectors")), first))
 
 
 def run_view(runs: DataFrame, scores: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -175,11 +175,19 @@ def interval(p: Column, q: float) -> Column:
     return F.struct(low.alias("low"), high.alias("high"), (high - low > 0.35).alias("inspect"))
 
 
-def top_reasons(contributions: Column, n: int = 3, p: Column | None = None) -> Column:
-    """SC-14: the n largest of array<struct<name, value>> by absolute value, as signed text, and the probability after them."""
+def top_reasons(contributions: Column, n: int = 3, p: Column | None = None, width: Column | None = None, widest: float = 0.35, raw: Column | None = None) -> Column:
+    """SC-14: the n largest of array<struct<name, value>> by absolute value, as signed text; the probability and the width of its interval after them.
+
+    ``raw`` (features of the same kind) takes the place of contributions that are null or empty.
+    """
     ordered = F.array_sort(F.transform(contributions, lambda c: F.struct((-F.abs(c["value"])).alias("k"), c["name"].alias("name"), c["value"].alias("value"))))
     text = F.transform(F.slice(ordered, 1, n), lambda c: F.concat(c["name"], F.format_string(" %+.3f", c["value"])))
-    return text if p is None else F.concat(text, F.array(F.format_string("probability %.3f", p)))
+    if raw is not None:
+        text = F.when(F.size(contributions) > 0, text).otherwise(F.transform(raw, lambda c: F.concat(c["name"], F.format_string(" %.3f", c["value"]))))
+    more = [] if p is None else [F.format_string("probability %.3f", p)]
+    if width is not None:
+        more.append(F.concat(F.format_string("interval %.3f wide", width), F.when(width > widest, ", to be inspected").otherwise("")))
+    return F.concat(text, F.array(*more)) if more else text
 
 
 def pre_breach_warning(expansion: Column, p: Column, least: float = 0.65) -> Column:

@@ -124,3 +124,23 @@ def snap_to_channel(accumulation: DataFrame, r: int, c: int, threshold: int, mos
     radius = F.greatest(F.abs(F.col("r") - r), F.abs(F.col("c") - c))
     near = accumulation.withColumn("radius", radius).where((F.col("radius") < most) & (F.col("acc") > threshold))
     return near.orderBy("radius", F.desc("acc"), "r", "c").limit(1).select("r", "c", "acc", "radius")
+
+
+def snap_polygons(accumulation: DataFrame, vertices: DataFrame, *, x0: float, y0: float, step: float, threshold: int, most: int = 100) -> DataFrame:
+    """HY-05: for each polygon (poly and its vertices x, y) the cell at the mean of its vertices, and the strongest cell of the first square around it that holds a channel cell.
+
+    Means beyond the grid have no row; without a channel cell near enough
+    to_r, to_c and radius are null. Channel cells meet polygons on squares of
+    ``most`` cells.
+    """
+    mean = vertices.groupBy("poly").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    source = mean.select("poly", F.rint((y0 - F.col("y")) / step).cast("long").alias("r"), F.rint((F.col("x") - x0) / step).cast("long").alias("c"))
+    source = source.join(accumulation.select("r", "c", "acc"), ["r", "c"])
+    square = lambda v: F.floor(F.col(v) / most)
+    around = lambda v: F.explode(F.sequence(square(v) - 1, square(v) + 1))
+    near = source.select("poly", "r", "c").withColumn("_sr", around("r")).withColumn("_sc", around("c"))
+    channel = accumulation.where(F.col("acc") > threshold).select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("acc").alias("strength"), square("r").alias("_sr"), square("c").alias("_sc"))
+    radius = F.greatest(F.abs(F.col("to_r") - F.col("r")), F.abs(F.col("to_c") - F.col("c")))
+    met = near.join(channel, ["_sr", "_sc"]).withColumn("radius", radius).where(F.col("radius") < most)
+    best = met.groupBy("poly").agg(F.min(F.struct("radius", (-F.col("strength")).alias("weakness"), "to_r", "to_c")).alias("best"))
+    return source.join(best, "poly", "left").select("poly", "r", "c", "acc", "best.to_r", "best.to_c", "best.radius")

@@ -356,6 +356,16 @@ def _(spark, d):
     return H.snap_to_channel(H.flow_accumulation(H.d8_direction(_z(spark, d)), WIDTH), 50, 50, 6)
 
 
+@query("snap_polygons", _ACC + """
+, v AS (SELECT p_partkey % 150 AS poly, p_partkey * 7 % 120 AS x, p_partkey * 13 % 120 AS y FROM part),
+src AS (SELECT poly, r, c, acc FROM (SELECT poly, round_even(100 - avg(y), 0)::BIGINT AS r, round_even(avg(x), 0)::BIGINT AS c FROM v GROUP BY 1) JOIN acc USING (r, c)),
+best AS (SELECT poly, min({'d': greatest(abs(a.r - src.r), abs(a.c - src.c)), 'n': -a.acc, 'r': a.r, 'c': a.c}) AS b FROM src JOIN acc a ON a.acc > 6 AND greatest(abs(a.r - src.r), abs(a.c - src.c)) < 10 GROUP BY 1)
+SELECT poly, src.r, src.c, src.acc, b.r AS to_r, b.c AS to_c, b.d AS radius FROM src LEFT JOIN best USING (poly)""")
+def _(spark, d):
+    v = T.table(spark, d, "part").selectExpr("p_partkey % 150 AS poly", "double(p_partkey * 7 % 120) AS x", "double(p_partkey * 13 % 120) AS y")
+    return H.snap_polygons(H.flow_accumulation(H.d8_direction(_z(spark, d)), WIDTH), v, x0=0.0, y0=100.0, step=1.0, threshold=6, most=10)
+
+
 @query("channel_scaling", C + "SELECT r, c, round(least(1, a / 8848), 9) AS dem, round(greatest(0, least(1, (-b / 3 + 30) / 30)), 9) AS sar, round(10 * log10(greatest(a, 0) + 1e-10), 9) AS db FROM cells")
 def _(spark, d):
     a, b = F.col("a"), F.col("b")

@@ -142,6 +142,22 @@ def _(spark, d):
     return rounded(rounded(L.shape_features(_edges(spark, d)), "area", "perimeter", "compactness", digits=6), "elongation", digits=5)
 
 
+@query("rim_features", C + """
+, k AS (SELECT r // 25 AS scene, r, c, a AS z, a > 250 AS lake, b > 70 AS ice FROM cells),
+g AS (SELECT m.scene, m.r, m.c, m.lake, m.z, i, j, coalesce(x.z, CASE WHEN j <> 0 THEN h.z END, v.z, m.z) AS v FROM k m, (SELECT unnest(range(-1, 2)) AS i) io, (SELECT unnest(range(-1, 2)) AS j) jo
+  LEFT JOIN k x ON x.scene = m.scene AND x.r = m.r + i AND x.c = m.c + j LEFT JOIN k h ON h.scene = m.scene AND h.r = m.r AND h.c = m.c + j LEFT JOIN k v ON v.scene = m.scene AND v.r = m.r + i AND v.c = m.c),
+d AS (SELECT scene, r, c, sum(v * j * (2 - abs(i))) / 240 AS gx, sum(v * i * (2 - abs(j))) / 240 AS gy FROM g GROUP BY 1, 2, 3),
+o AS (SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i), (SELECT unnest(range(-3, 4)) AS j) WHERE abs(i) + abs(j) <= 3),
+rim AS (SELECT DISTINCT scene, r + i AS r, c + j AS c, true AS rim FROM k, o WHERE lake),
+s AS (SELECT k.*, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, rim FROM k JOIN d USING (scene, r, c) LEFT JOIN rim USING (scene, r, c))
+SELECT scene, round(avg(slope) FILTER (WHERE rim AND NOT lake), 6) AS rim_slope_mean, round(quantile_cont(slope, 0.9) FILTER (WHERE rim AND NOT lake), 6) AS rim_slope_p90, round(max(z) - min(z), 6) AS relief,
+  round(avg(slope) FILTER (WHERE NOT lake), 6) AS land_slope_mean, round(avg(ice::INT), 6) AS glacier_share FROM s GROUP BY 1""")
+def _(spark, d):
+    cells = T.cells(spark, d).select(F.floor(F.col("r") / 25).alias("scene"), "r", "c", F.col("a").alias("z"), "b")
+    found = L.rim_features(cells, ["scene"], F.col("z") > 250, F.col("b") > 70, 30.0)
+    return rounded(found, "rim_slope_mean", "rim_slope_p90", "relief", "land_slope_mean", "glacier_share", digits=6)
+
+
 @query("slope_filter_points", C + """
 , p AS (SELECT c_custkey AS id, (c_custkey * 7 % 1000) / 10.0::DOUBLE AS x, (c_custkey * 11 % 1000) / 10.0::DOUBLE AS y FROM customer)
 SELECT id, x, y, b AS slope FROM p JOIN cells ON c = round_even(x, 0) AND r = round_even(100 - y, 0) WHERE b < 35""")

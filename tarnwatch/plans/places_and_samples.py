@@ -231,9 +231,9 @@ def _(spark, d):
     return jobs.new_scenes(o, known).select("source", "scene_id", "taken")
 
 
-@query("job_state_stream", "SELECT user_id AS job_id, arg_max(event_type, event_id) AS status, count(*) FILTER (WHERE event_type = 'failed') AS failures, arg_max(props, event_id) FILTER (WHERE event_type = 'error') AS last_error FROM events GROUP BY 1")
+@query("job_state_stream", "SELECT user_id AS job_id, arg_max(event_type, event_id) AS status, count(*) AS attempts, CASE WHEN arg_max(event_type, event_id) = 'error' THEN arg_max(props, event_id) END AS last_error, arg_max(props, event_id) FILTER (WHERE event_type = 'purchase') AS path FROM events GROUP BY 1")
 def _(spark, d):
-    e = T.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
+    e = T.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("path"))
     return jobs.job_states(e)
 
 

@@ -209,7 +209,8 @@ def _(spark, d):
 
 @query("sector_summary", f"""
 WITH ranked AS ({ORACLE_SQL["rank_sectors"]}), n AS (SELECT run_id, count(*) AS sectors, count(*) FILTER (WHERE access_loss >= 1) AS cut, count(*) FILTER (WHERE access_loss >= 0.6 AND access_loss < 1) AS at_risk FROM ranked GROUP BY run_id)
-SELECT n.*, CASE WHEN cut > 0 THEN 'cut' WHEN at_risk > 0 THEN 'at_risk' ELSE 'accessible' END AS state, sector AS top_sector, priority AS top_priority FROM n JOIN ranked USING (run_id) WHERE rank = 1""")
+SELECT n.*, CASE WHEN cut > 0 THEN 'cut' WHEN at_risk > 0 THEN 'at_risk' ELSE 'accessible' END AS state, sector AS top_sector, priority AS top_priority,
+  CASE WHEN cut > 0 THEN printf('%d of %d sectors cut off', cut, sectors) WHEN at_risk > 0 THEN printf('%d of %d sectors at risk', at_risk, sectors) ELSE printf('%d sectors accessible', sectors) END || printf('; first %s (%.3f)', sector, priority) AS summary FROM n JOIN ranked USING (run_id) WHERE rank = 1""")
 def _(spark, d):
     return ledger.sector_summary(ledger.rank_sectors(scoring.rescue_sectors(T.exposures(spark, d))))
 
@@ -358,11 +359,15 @@ def _(spark, d):
 @query("top_reasons", T.with_("observations") + """
 , c AS (SELECT observation_id, cloud_fraction, unnest([{'n': 'cloud', 'v': cloud_fraction - 0.5}, {'n': 'shift', 'v': alignment_error - 0.7}, {'n': 'area', 'v': 1 - floor(water_area_km2 * 1000) / 1000}, {'n': 'fixed', 'v': 0.3}]) AS x FROM observations),
 k AS (SELECT observation_id, cloud_fraction, x.n AS n, x.v AS v, row_number() OVER (PARTITION BY observation_id ORDER BY -abs(x.v), x.n) AS k FROM c)
-SELECT observation_id, string_agg(printf('%s %+.3f', n, v), ',' ORDER BY k) || printf(',probability %.3f', cloud_fraction) AS reasons FROM k WHERE k <= 3 GROUP BY observation_id, cloud_fraction""")
+SELECT observation_id, CASE WHEN observation_id % 5 = 0 THEN printf('cloud %.3f,shift %.3f', cloud_fraction, alignment_error) ELSE string_agg(printf('%s %+.3f', n, v), ',' ORDER BY k) END
+  || printf(',probability %.3f,interval %.3f wide', cloud_fraction, alignment_error / 2) || CASE WHEN alignment_error / 2 > 0.35 THEN ', to be inspected' ELSE '' END AS reasons
+FROM k JOIN (SELECT observation_id, alignment_error FROM observations) USING (observation_id) WHERE k <= 3 GROUP BY observation_id, cloud_fraction, alignment_error""")
 def _(spark, d):
     area = 1 - F.floor(F.col("water_area_km2") * 1000) / 1000
     pairs = {"cloud": F.col("cloud_fraction") - 0.5, "shift": F.col("alignment_error") - 0.7, "area": area, "fixed": F.lit(0.3)}
-    found = scoring.top_reasons(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs.items()]), p=F.col("cloud_fraction"))
+    named = lambda pairs: F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs.items()])
+    known = F.when(F.col("observation_id") % 5 != 0, named(pairs))
+    found = scoring.top_reasons(known, p=F.col("cloud_fraction"), width=F.col("alignment_error") / 2, raw=named({"cloud": F.col("cloud_fraction"), "shift": F.col("alignment_error")}))
     return T.observations(spark, d).select("observation_id", F.array_join(found, ",").alias("reasons"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,7 +46,31 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], pat
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """SM-02: the state of each job from its transitions (job_id, seq, status, error)."""
+    """SM-02: the state of each job from its transitions (job_id, seq, status, error, path).
+
+    Status and error are those of the last transition, so one without an error
+    clears it; the path is the last that was given; each transition is an attempt.
+    """
     return events.groupBy("job_id").agg(
-        F.max_by("status", "seq").alias("status"), F.count_if(F.col("status") == "failed").alias("failures"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("last_error")
+        F.max_by("status", "seq").alias("status"), F.count("*").alias("attempts"), F.max_by("error", "seq").alias("last_error"), F.max_by("path", F.when(F.col("path").isNotNull(), F.col("seq"))).alias("path")
     )
+
+
+def job_state_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """SM-02: keeps the states of all jobs in a streaming aggregation.
+
+    Each batch writes the jobs that it changed as a version of their own, which
+    a batch that runs again replaces. Transitions may come in any order.
+    """
+
+    def changed(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={n}")
+
+    return job_states(stream).writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each job's state."""
+    rows = spark.read.parquet(path)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("job_id", "version")]), "version")
+    return rows.groupBy("job_id").agg(newest.alias("job")).select("job_id", "job.*")

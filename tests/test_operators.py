@@ -207,6 +207,32 @@ def test_streams_register_once_and_score_new_rows(spark, tmp_path):
     assert spark.read.parquet(out).count() == 6
 
 
+def test_stream_of_job_states_over_three_runs(spark, tmp_path):
+    landed, out, marks = (str(tmp_path / n) for n in ("landed", "jobs", "marks"))
+    schema = "job_id string, seq int, status string, error string, path string"
+    batches = [
+        [("a", 1, "pending", None, None), ("b", 1, "pending", None, "old")],
+        [("a", 3, "failed", "disk full", None), ("a", 2, "pending", None, "p2")],
+        [("b", 2, "calibrated", None, "new"), ("a", 4, "calibrated", None, None), ("c", 9, "pending", None, None), ("a", 0, "queued", "late", "p0")],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(landed)
+        jobs.job_state_stream(spark.readStream.schema(schema).json(landed), out, marks).awaitTermination()
+        seen = [r for b in batches[: n + 1] for r in b]
+        found, whole = (sorted(map(tuple, df.collect())) for df in (jobs.current_jobs(spark, out), jobs.job_states(spark.createDataFrame(seen, schema))))
+        assert found == whole
+    assert found == [("a", "calibrated", 5, None, "p2"), ("b", "calibrated", 2, None, "new"), ("c", "pending", 1, None, None)]
+
+
+def test_rim_of_a_square_lake_on_a_slope(spark):
+    n, lake = 15, {(r, c) for r in (7, 8) for c in (7, 8)}
+    rows = [(k, r, c, 30.0 * c * (k + 1), (r, c) in lake and k == 0, r == 0) for k in (0, 1) for r in range(n) for c in range(n)]
+    df = spark.createDataFrame(rows, "k int, r int, c int, z double, lake boolean, ice boolean")
+    found = {x.k: x for x in lakes.rim_features(df, ["k"], F.col("lake"), F.col("ice"), 30.0).collect()}
+    assert abs(found[0].rim_slope_mean - 45) < 1e-9 and abs(found[0].rim_slope_p90 - 45) < 1e-9 and found[0].relief == 30.0 * 14
+    assert found[1].rim_slope_mean is None and found[1].rim_slope_p90 is None and abs(found[1].glacier_share - 1 / n) < 1e-12
+
+
 def test_ridge_of_all_other_groups_against_numpy(spark):
     r = random.Random(5)
     rows = [(i, f"g{i % 11}", r.choice("abc"), r.choice("xyz"), r.uniform(-2, 2), r.uniform(1, 9), r.uniform(1, 9)) for i in range(60)]
