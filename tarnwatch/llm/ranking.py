@@ -60,20 +60,36 @@ def with_source_totals(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, same).drop("_s", "_b")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Numbers the rows of equal (key, check) from 1, in order of part and place.
+
+    Counts of the parts before a row's own come from one row for each part, so
+    that no task sees more of a hot key than one part of the table.
+    """
+    of_key = Window.partitionBy("key", "check").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("key", "check", "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(of_key), F.lit(0))).drop("n")
+    here = F.row_number().over(Window.partitionBy("key", "check", "part").orderBy("place"))
+    return rows.join(parts, ["key", "check", "part"]).withColumn("copy", here + F.col("before")).drop("part", "before")
+
+
 def attached(df: DataFrame, decisions: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(whole, decision columns): rows as one struct each, joined with decisions keyed by (_id, _crc).
 
     Rows that repeat an id and text take the decisions of their copies one
-    each; then texts are shuffled to be numbered and again to be joined.
+    each. Then the rows are written once with their place, and only places are
+    numbered and matched; no text is shuffled if the matches can be broadcast.
     """
-    decisions = scratch.cut(decisions, "decisions")
+    place = [F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")]
+    told = F.struct(*[c for c in decisions.columns if c not in ("_id", "_crc")]).alias("told")
+    decisions = scratch.cut(decisions.select("_id", "_crc", told, *place), "decisions")
     own = packed(df, id_col, crc(text_col).cast("long"))
     if decisions.groupBy("_id", "_crc").count().where("count > 1").isEmpty():
         same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_crc"))
-        return own.join(sized(decisions), same).drop("own_id", "own_hash", "_id", "_crc")
-    name = lambda c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    copies = Window.partitionBy("key", "check").orderBy(F.lit(1))
-    own = own.select("whole", name("own_id").alias("key"), F.col("own_hash").alias("check")).withColumn("copy", F.row_number().over(copies))
-    told = decisions.select(name("_id").alias("key"), F.col("_crc").alias("check"), F.struct(*[c for c in decisions.columns if c not in ("_id", "_crc")]).alias("told"))
-    told = told.withColumn("copy", F.row_number().over(copies))
-    return own.join(told, ["key", "check", "copy"]).select("whole", "told.*")
+        return own.join(sized(decisions.select("_id", "_crc", "told.*")), same).drop("own_id", "own_hash", "_id", "_crc")
+    name = lambda c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("key")
+    own = scratch.cut(own.select("whole", name("own_id"), F.col("own_hash").alias("check"), *place), "rows")
+    told = _copies(decisions.select(name("_id"), F.col("_crc").alias("check"), "told", "part", "place")).drop("place")
+    met = _copies(own.select("key", "check", "part", "place")).join(told, ["key", "check", "copy"])
+    met = sized(scratch.cut(met.select("place", "told.*"), "met"))
+    return own.select("whole", "place").join(met, "place").drop("place")

@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from compare import TABLES, rows_of  # noqa: E402
-from tarnwatch.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, queries, repeats, secret_scan, sharding, toxicity  # noqa: E402
+from tarnwatch.llm import decontaminate, joins, language_id, mixing, near_dedup, neighbours, quality, queries, repeats, secret_scan, sharding, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id int, shard string"
 #: Names that operators use inside, none of which may clash with a column of the caller's.
@@ -84,6 +84,18 @@ def test_shards(odd, none):
     assert {(r.shard, r.slot) for r in attached.collect()} == {(r.shard, r.slot) for r in rows}
 
 
+def test_each_of_many_repeated_rows_gets_a_slot_of_its_own(spark, monkeypatch):
+    id_ = F.when(F.col("id") % 3 > 0, F.col("id") % 7)  # a third of all rows has no id
+    df = spark.range(0, 900, 1, 12).select(id_.alias("doc_id"), F.lit("same words").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"), F.col("id").alias("place"))
+    placed = sharding.interleaved_shards(df)
+    for limit in (None, 0):
+        if limit is not None:
+            monkeypatch.setattr(joins, "MOST_BYTES", limit)
+        rows = sharding.attach_shards(df, placed).collect()
+        assert sorted(r.place for r in rows) == list(range(900))
+        assert {(r.shard, r.slot) for r in rows} == {(r.shard, r.slot) for r in placed.collect()} and len({(r.shard, r.slot) for r in rows}) == 900
+
+
 def test_every_shard_has_the_mixture(spark):
     df = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 8 == 0, "small").otherwise("large").alias("source"))
     by = sharding.interleaved_shards(df).groupBy("shard").agg(F.count_if(F.col("_source") == "small").alias("n"))
