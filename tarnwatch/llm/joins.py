@@ -12,12 +12,16 @@ MOST_BROADCAST = 50_000
 SALTS = 64
 
 
+def every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+
+
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, by: str, scratch: Scratch) -> DataFrame:
     """Left join on ``key`` (null-safe is the caller's matter). ``by`` spreads the rows of a key over salts."""
     groups = scratch.cut(groups, "groups")
     if groups.count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(groups), key, "left")
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = groups.withColumn("_salt", every_salt())
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(salted, [key, "_salt"], "left").drop("_salt")
 
 

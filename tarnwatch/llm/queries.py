@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwatch.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, repeats, secret_scan, sharding, toxicity
+from tarnwatch.llm import decontaminate, filter_audit, language_id, mixing, near_dedup, neighbours, packing, phrases, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": near_dedup.op10_minhash,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_pack": packing.op13_pack,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_neighbours": neighbours.OP4_SQL,
     "op6_mix": mixing.OP6_SQL,
+    "op11_phrases": phrases.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
