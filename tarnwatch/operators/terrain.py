@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.operators.graph import connected
 from tarnwatch.operators.grid import EIGHT, with_neighbours
 from tarnwatch.scratch import Scratch
 
@@ -25,30 +30,185 @@ def _numbered(flow: DataFrame, width: int) -> DataFrame:
     return flow.select((F.col("r") * width + F.col("c")).alias("id"), (F.col("to_r") * width + F.col("to_c")).alias("to"), "z")
 
 
-def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-4) -> DataFrame:
+#: Cells on a side of the tiles in which depressions are filled; one task holds one tile.
+TILE = 256
+#: Stands for all that lies beyond the grid. Cell numbers are rows times 2^31 plus columns.
+_BEYOND = -1
+_ROUND = tuple((dr, dc) for _, dr, dc in EIGHT)
+
+
+def _tiled(cells: DataFrame, tile: int) -> DataFrame:
+    """Each cell in its own tile and in those it touches: adds _tr, _tc."""
+    near = lambda v: F.explode(F.array_distinct(F.array(*[F.floor((F.col(v) + k) / tile) for k in (-1, 0, 1)])))
+    return cells.withColumn("_tr", near("r")).withColumn("_tc", near("c"))
+
+
+def _block(rows: pd.DataFrame, value: str, at: tuple[int, int], tile: int) -> np.ndarray:
+    """Values of a tile and of the cells around it; NaN where there is none."""
+    block = np.full((tile + 2, tile + 2), np.nan)
+    block[rows["r"].to_numpy() - at[0] * tile + 1, rows["c"].to_numpy() - at[1] * tile + 1] = rows[value].to_numpy(dtype=float)
+    return block
+
+
+def _drains(block: np.ndarray) -> np.ndarray:
+    """Cells beside which one of the eight neighbours is missing."""
+    wide = np.pad(np.isnan(block), 1, constant_values=True)
+    open_ = np.zeros(block.shape, dtype=bool)
+    for dr, dc in _ROUND:
+        open_ |= wide[1 + dr : 1 + dr + block.shape[0], 1 + dc : 1 + dc + block.shape[1]]
+    return open_ & ~np.isnan(block)
+
+
+def _spills(tile: int, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One tile flooded from its rim and its drains: (kind 0, cell, label, level), and spill heights as (kind 1, label, label, height).
+
+    Every cell of the rim is a label of its own; a cell belongs to the label
+    whose water reaches it first. Of the heights between labels a spanning
+    forest is kept, as no way around uses another one.
+    """
+    z = _block(rows, "z", key, tile)
+    top, left = key[0] * tile - 1, key[1] * tile - 1
+    number = lambda i, j: ((i + top) << 31) + j + left
+    drains = _drains(z)
+    level, label = np.full(z.shape, np.inf), np.full(z.shape, _BEYOND - 1)
+    heap, between = [], []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(~np.isnan(z[1:-1, 1:-1]))), strict=True):
+        i, j = i + 1, j + 1
+        on_rim = i in (1, tile) or j in (1, tile)
+        if on_rim or drains[i, j]:
+            level[i, j], label[i, j] = z[i, j], number(i, j) if on_rim else _BEYOND
+            heap.append((z[i, j], i, j))
+        if on_rim:
+            if drains[i, j]:
+                between.append((z[i, j], _BEYOND, number(i, j)))
+            for dr, dc in _ROUND:  # ways into the next tile, given by one of both
+                a, b = i + dr, j + dc
+                if not (0 < a <= tile and 0 < b <= tile) and not np.isnan(z[a, b]) and number(i, j) < number(a, b):
+                    between.append((max(z[i, j], z[a, b]), number(i, j), number(a, b)))
+    links = len(between)
+    heapq.heapify(heap)
+    while heap:
+        w, i, j = heapq.heappop(heap)
+        for dr, dc in _ROUND:
+            a, b = i + dr, j + dc
+            if not (0 < a <= tile and 0 < b <= tile) or np.isnan(z[a, b]):
+                continue
+            if level[a, b] == np.inf:
+                level[a, b], label[a, b] = max(z[a, b], w), label[i, j]
+                heapq.heappush(heap, (level[a, b], a, b))
+            elif label[a, b] != label[i, j]:
+                between.append((max(level[a, b], w), *sorted((label[a, b], label[i, j]))))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = between[:links]
+    for height, x, y in sorted(set(between[links:])):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[p] = q
+            kept.append((height, x, y))
+    i, j = np.nonzero(~np.isnan(z[1:-1, 1:-1]))
+    i, j = i + 1, j + 1
+    cells = pd.DataFrame({"kind": 0, "a": number(i, j), "b": label[i, j], "w": level[i, j]})
+    return pd.concat([cells, pd.DataFrame({"kind": 1, "a": [k[1] for k in kept], "b": [k[2] for k in kept], "w": [float(k[0]) for k in kept]})]).astype({"kind": "int32", "a": "int64", "b": "int64", "w": "float64"})
+
+
+def _spill_levels(heights: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, level): the lowest height over which each label's water leaves the grid, by Boruvka's rounds.
+
+    Each group without the way out takes its lowest height to another one, and
+    its labels rise to it. What a label has risen to when its group meets the
+    way out is the largest height on its way along the minimum spanning tree.
+    Groups at least halve in a round.
+    """
+    edges = scratch.cut(heights, "heights")
+    state = edges.select(F.explode(F.array("a", "b")).alias("label")).where(F.col("label") != _BEYOND).distinct()
+    state = scratch.cut(state.select("label", F.col("label").alias("group"), F.lit(float("-inf")).alias("level")), "state")
+    while not edges.isEmpty():
+        both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where(F.col("a") != _BEYOND)
+        # one order of all edges, so that lowest ones never close a ring
+        lowest = both.groupBy("a").agg(F.min(F.struct("w", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "b")).alias("e"))
+        lowest = scratch.cut(lowest.select("a", "e.b", "e.w"), "lowest")
+        met = scratch.cut(connected(lowest.select("a", "b"), scratch).select(F.col("node").alias("group"), F.col("root")), "met")
+        risen = state.join(lowest.select(F.col("a").alias("group"), "w"), "group", "left").join(met, "group", "left")
+        state, _ = scratch.replace(risen.select("label", F.coalesce("root", "group").alias("group"), F.greatest("level", F.coalesce("w", "level")).alias("level")), "state")
+        for side in ("a", "b"):
+            edges = edges.join(met.withColumnRenamed("group", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+        edges = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
+        edges, _ = scratch.replace(edges, "heights")
+    return state.select("label", "level")
+
+
+def _flooded(tile: int, gradient: float, key: tuple, rows: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one tile, given the present levels around it; water rises by the gradient with each step inward."""
+    z, outer = _block(rows, "z", key, tile), _block(around, "level", key, tile)
+    top, left = key[0] * tile - 1, key[1] * tile - 1
+    inner = np.zeros(z.shape, dtype=bool)
+    inner[1:-1, 1:-1] = True
+    there = np.where(inner, z, outer)
+    level = np.where(inner & _drains(there), z, np.where(inner, np.inf, np.where(np.isnan(outer), np.inf, outer)))
+    heap = [(level[i, j], i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(level < np.inf)), strict=True)]
+    heapq.heapify(heap)
+    while heap:
+        w, i, j = heapq.heappop(heap)
+        if w > level[i, j]:
+            continue
+        for dr, dc in _ROUND:
+            a, b = i + dr, j + dc
+            if 0 < a <= tile and 0 < b <= tile and max(z[a, b], w + gradient) < level[a, b]:  # false for missing cells
+                level[a, b] = max(z[a, b], w + gradient)
+                heapq.heappush(heap, (level[a, b], a, b))
+    i, j = np.nonzero(~np.isnan(z) & inner)
+    return pd.DataFrame({"r": i + top, "c": j + left, "level": level[i, j]})
+
+
+def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-4, tile: int = TILE) -> DataFrame:
     """HY-02: raises pits until every cell drains to the edge; mode ``none`` returns the cells as they are.
 
-    From the edge inward: w = max(z, lowest neighbour's w + a small gradient),
-    until no cell changes. Rounds follow the longest way into a pit.
+    The level of a cell is the least over all ways from the edge of
+    max(z, level before + gradient); cells beside a missing one (or beside a
+    null) are edges. Tiles are flooded with a heap, each in one task.
+
+    With gradient 0, tiles are flooded once from their rims. Spill heights
+    between rim cells make a graph over the whole grid, whose minimum spanning
+    tree gives the level of each rim cell; a cell has the larger one of its
+    level in the tile and of the rim cell it drains to. Written tables grow
+    with the logarithm of the number of tiles, whatever the width of a pit.
+
+    With a gradient, so that filled plains drain, tiles are flooded again with
+    the levels found around them until none changes. A round passes one tile,
+    so rounds grow with the width of a pit in tiles.
     """
     if mode == "none":
         return cells
     scratch = Scratch(cells.sparkSession, "fill")
-    edge = with_neighbours(cells.select("r", "c", "z"))
-    border = F.least(*[F.col(x).isNotNull().cast("int") for x, _, _ in EIGHT]) == 0
-    border_z = F.when(border, F.col("z")).otherwise(F.lit(float("inf")))
-    water = scratch.cut(edge.select("r", "c", "z", border_z.alias("level"), border.alias("edge")), "level")
-    before = None
-    while True:
-        near = with_neighbours(water, "level")
-        lowest = F.least(*[F.col(x) for x, _, _ in EIGHT]) + gradient
-        level = F.when(F.col("edge"), F.col("z")).otherwise(F.least("level", F.greatest("z", lowest)))
-        water = scratch.cut(near.select("r", "c", "z", level.alias("level"), "edge"), "level")
-        open_cells = F.col("level") == float("inf")
-        now = water.agg(F.count_if(open_cells), F.sum(F.when(~open_cells, F.col("level").cast("decimal(30,9)")))).first()
-        if now == before:
-            return water.select("r", "c", F.col("level").alias("z"))
-        before = now
+    own = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"))
+    if gradient == 0:
+        spills = _tiled(own, tile).groupBy("_tr", "_tc").applyInPandas(lambda key, rows: _spills(tile, key, rows), "kind int, a long, b long, w double")
+        spills = scratch.cut(spills, "spills")
+        levels = _spill_levels(spills.where("kind = 1").select("a", "b", "w"), scratch).withColumnRenamed("label", "b")
+        found = spills.where("kind = 0").join(levels, "b", "left")
+        found = found.select(F.shiftright("a", 31).alias("r"), F.col("a").bitwiseAND(F.lit((1 << 31) - 1)).alias("c"), F.greatest("w", F.coalesce("level", "w")).alias("level"))
+    else:
+        tiles = own.withColumns({"_tr": F.floor(F.col("r") / tile), "_tc": F.floor(F.col("c") / tile)}).groupBy("_tr", "_tc")
+        rim = lambda v: F.pmod(F.col(v), F.lit(tile)).isin(0, tile - 1)
+        outer = F.when(F.col("z").isNotNull(), F.lit(float("inf")))
+        found = scratch.cut(own.where(rim("r") | rim("c")).select("r", "c", outer.alias("level")), "levels")
+        before = None
+        while True:
+            around = _tiled(found.where(rim("r") | rim("c")), tile).groupBy("_tr", "_tc")
+            flooded = tiles.cogroup(around).applyInPandas(lambda key, rows, near: _flooded(tile, gradient, key, rows, near), "r long, c long, level double")
+            # levels only ever sink, so a sum that stays the same shows that all stay
+            sunk = F.sum(F.when((rim("r") | rim("c")) & (F.col("level") < float("inf")), F.col("level").cast("decimal(38,12)")))
+            found, now = scratch.replace(flooded, "levels", sunk, F.count_if(F.col("level") == float("inf")))
+            if now == before:
+                break
+            before = now
+    return own.select("r", "c", "z").join(found, ["r", "c"], "left").select("r", "c", F.col("level").alias("z"))
 
 
 def flow_accumulation(flow: DataFrame, width: int) -> DataFrame:
