@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.operators.quantiles import grouped_quantiles, with_quantiles, with_total
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b, and ``empty`` where b is 0."""
@@ -148,8 +150,9 @@ def boundary_metrics(rows: DataFrame, cut: float) -> DataFrame:
 
 def threshold_at_far(rows: DataFrame, keys: list[str], far: float) -> DataFrame:
     """EV-14: the score that leaves a share ``far`` of negatives above it, and the recall there."""
-    cut = rows.groupBy(*keys).agg(F.percentile(F.when(F.col("label") != 1, F.col("score")), F.lit(1 - far)).alias("threshold"))
-    joined = rows.join(F.broadcast(cut), keys) if keys else rows.join(F.broadcast(cut), F.lit(True))
+    negative = F.when(F.col("label") != 1, F.col("score"))
+    cut = grouped_quantiles(rows, keys, {"threshold": negative}, [1 - far]).withColumn("threshold", F.col("threshold")[0])
+    joined = rows.join(cut, keys) if keys else rows.join(F.broadcast(cut), F.lit(True))
     pos, up = F.col("label") == 1, F.col("score") >= F.col("threshold")
     return joined.groupBy(*keys, "threshold").agg(ratio(F.count_if(pos & up), F.count_if(pos), None).alias("recall"), ratio(F.count_if(~pos & up), F.count_if(~pos), None).alias("false_alarms"))
 
@@ -166,7 +169,7 @@ def recall_at_false_alarms(inner: DataFrame, test: DataFrame, fold: str, shares:
     whose test rows hold one class only are left out. Thresholds of all shares
     are tried side by side, so rows are not multiplied.
     """
-    cut = inner.groupBy(fold).agg(F.percentile(F.when(F.col("label") != 1, F.col("score")), F.array(*[F.lit(1 - f) for f in shares])).alias("_cut"))
+    cut = grouped_quantiles(inner, [fold], {"_cut": F.when(F.col("label") != 1, F.col("score"))}, [1 - f for f in shares])
     pos, up = F.col("label") == 1, lambda i: F.col("score") >= F.col("_cut")[i]
     counts = [F.struct(F.lit(float(f)).alias("share"), F.count_if(pos & up(i)).alias("tp"), F.count_if(~pos & up(i)).alias("fp")) for i, f in enumerate(shares)]
     by = test.join(cut.where(F.col("_cut").isNotNull()), fold).groupBy(fold).agg(F.count_if(pos).alias("events"), F.count_if(~pos).alias("others"), F.array(*counts).alias("at"))
@@ -230,13 +233,16 @@ def conformal_summary(rows: DataFrame, key: str, alpha: float, least_groups: int
 def ape_summary(rows: DataFrame, kind: str, gate: float = 0.15) -> DataFrame:
     """EV-18: absolute percentage errors by kind and overall; (kind, truth, estimate)."""
     e = rows.where(F.col("truth") > 0).withColumn("ape", F.abs(F.col("estimate") - F.col("truth")) / F.col("truth"))
-    return e.rollup(kind).agg(F.count("*").alias("n"), F.avg("ape").alias("mean_ape"), F.percentile("ape", F.lit(0.5)).alias("median_ape")).withColumn("passed", F.col("mean_ape") < gate)
+    e = with_total(e, kind)
+    by = with_quantiles(e.groupBy(kind, "_total").agg(F.count("*").alias("n"), F.avg("ape").alias("mean_ape")), e, [kind, "_total"], {"median_ape": "ape"}, [0.5])
+    return by.select(kind, "n", "mean_ape", F.col("median_ape")[0].alias("median_ape"), (F.col("mean_ape") < gate).alias("passed"))
 
 
 def distribution_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """WN-15"""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    by = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    by = with_quantiles(by, rows, keys, {"_p": value}, [0.05, 0.5, 0.95])
+    return by.select(*keys, "n", "mean", "std", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 #: Gates of the mean Brier score and of the water IoU.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.operators.graph import connected
+from tarnwatch.operators.quantiles import grouped_quantiles, with_quantiles
 from tarnwatch.scratch import Scratch
 
 #: Neighbours in the order in which ties are resolved, as (name, row step, column step).
@@ -128,7 +129,7 @@ def sobel_slope(cells: DataFrame, cell_m: float, keys: Sequence[str] = ()) -> Da
     themselves.
     """
     rows = cells.select(*keys, "r", "c", F.nanvl(F.col("z").cast("double"), F.lit(None).cast("double")).alias("z"))
-    middle = rows.groupBy(*keys).agg(F.percentile("z", F.lit(0.5)).alias("_m"))
+    middle = grouped_quantiles(rows, keys, {"_m": "z"}, [0.5]).withColumn("_m", F.col("_m")[0])
     rows = (rows.join(middle, list(keys)) if keys else rows.join(F.broadcast(middle), F.lit(True))).select(*keys, "r", "c", F.coalesce("z", "_m").alias("z"), F.col("z").isNull().alias("_gap"))
     n = with_neighbours(rows, "z", keys)
     v = lambda *x: F.coalesce(*x, "z")
@@ -176,7 +177,7 @@ def resize_bilinear(cells: DataFrame, value: str, shape: tuple[int, int], to: tu
 
 def median_fill_scale(cells: DataFrame, value: str, keys: Sequence[str], default: float = -30.0) -> DataFrame:
     """GR-21: missing values take the median of their scene, then all are scaled from [-30, 0] to [0, 1]."""
-    middle = cells.groupBy(*keys).agg(F.coalesce(F.percentile(value, F.lit(0.5)), F.lit(default)).alias("_m"))
+    middle = grouped_quantiles(cells, keys, {"_m": value}, [0.5]).withColumn("_m", F.coalesce(F.col("_m")[0], F.lit(default)))
     v = F.coalesce(value, "_m")
     return cells.join(middle, list(keys)).withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v + 30) / 30))).drop("_m")
 
@@ -372,8 +373,9 @@ DARK_DB, CLEAR_SHARE, HIDDEN_SHARE, HIDDEN_DB = -15.0, 0.5, 0.2, -12.0
 
 def visibility_audit(cells: DataFrame, lake: str, vv: str, vh: str, least_cells: int = 3) -> DataFrame:
     """GR-50: median backscatter, dark share and class of each lake's cells; lakes of too few cells are left out."""
-    middle = lambda v: F.percentile(v, F.lit(0.5))
-    by = cells.groupBy(lake).agg(F.count("*").alias("cells"), middle(vv).alias("median_vv"), middle(vh).alias("median_vh"), F.avg((F.col(vv) < DARK_DB).cast("double")).alias("dark"))
+    by = cells.groupBy(lake).agg(F.count("*").alias("cells"), F.avg((F.col(vv) < DARK_DB).cast("double")).alias("dark"))
+    by = with_quantiles(by, cells, [lake], {"median_vv": vv, "median_vh": vh}, [0.5]).withColumns({c: F.col(c)[0] for c in ("median_vv", "median_vh")})
+    by = by.select(lake, "cells", "median_vv", "median_vh", "dark")
     hidden = (F.col("dark") < HIDDEN_SHARE) & (F.col("median_vv") > HIDDEN_DB)
     return by.where(F.col("cells") >= least_cells).withColumn("class", F.when(F.col("dark") > CLEAR_SHARE, "monitorable").when(hidden, "invisible").otherwise("marginal"))
 

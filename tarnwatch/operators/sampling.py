@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.operators.quantiles import with_quantiles, with_total
+
 
 def _order(seed: int, key: str = "id"):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
@@ -98,9 +100,13 @@ def band_split(chips: DataFrame, bands: int = 5) -> DataFrame:
 
 def chip_report(chips: DataFrame) -> DataFrame:
     """GR-43: chips and positive cells by kind and in all, with the range and middle of the lakes' elevations and areas; (kind, positive, elev_m, area_km2)."""
-    middle = lambda c: F.percentile(c, F.lit(0.5))
-    spans = [f(c).alias(f"{c}_{n}") for c in ("elev_m", "area_km2") for n, f in (("min", F.min), ("median", middle), ("max", F.max))]
-    return chips.rollup("kind").agg(F.count("*").alias("chips"), F.count_if(F.col("positive") > 0).alias("with_positive"), middle("positive").alias("positive_median"), F.max("positive").alias("positive_max"), *spans)
+    rows = with_total(chips, "kind")
+    spans = [f(c).alias(f"{c}_{n}") for c in ("elev_m", "area_km2") for n, f in (("min", F.min), ("max", F.max))]
+    by = rows.groupBy("kind", "_total").agg(F.count("*").alias("chips"), F.count_if(F.col("positive") > 0).alias("with_positive"), F.max("positive").alias("positive_max"), *spans)
+    middles = {f"{c}_median": c for c in ("positive", "elev_m", "area_km2")}
+    by = with_quantiles(by, rows, ["kind", "_total"], middles, [0.5]).withColumns({c: F.col(c)[0] for c in middles})
+    columns = [f"{c}_{n}" for c in ("elev_m", "area_km2") for n in ("min", "median", "max")]
+    return by.select("kind", "chips", "with_positive", "positive_median", "positive_max", *columns)
 
 
 def negative_dates(sites: DataFrame, events: DataFrame, k: int, clear_days: int, candidates: int, span_days: int, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.scalars import EARTH_RADIUS_KM, great_circle_km
@@ -115,18 +115,107 @@ def arrival_horizons(assets: DataFrame, sectors: DataFrame) -> DataFrame:
     return found.withColumn("available", F.col("minutes").isNotNull())
 
 
+#: Fine squares on a side of a coarse one, and where the squares begin, as parts of their side: off round numbers, so that
+#: corners of squares and of polygons hardly ever coincide.
+COARSE = 16
+_ORIGIN = (0.381966, 0.236068)
+
+
+def _place(v: Column, side: float, axis: int) -> Column:
+    return F.floor(v / side - _ORIGIN[axis]).cast("long")
+
+
+def _corner(k: Column, side: float, axis: int) -> Column:
+    return (k + _ORIGIN[axis]) * side
+
+
+def _edge_squares(edges: DataFrame, side: float) -> DataFrame:
+    """Edges once for each square (_r, _c) that they pass: cut into rows of squares, and then into squares by where they run in the row."""
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("_r", F.explode(F.sequence(_place(low, side, 1), _place(high, side, 1))))
+    at = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    bottom, top = F.greatest(low, _corner(F.col("_r"), side, 1)), F.least(high, _corner(F.col("_r") + 1, side, 1))
+    a, b = F.coalesce(at(bottom), "x1"), F.coalesce(at(top), "x2")
+    slack = side * 1e-9  # a square too many does no harm
+    return rows.withColumn("_c", F.explode(F.sequence(_place(F.least(a, b) - slack, side, 0), _place(F.greatest(a, b) + slack, side, 0))))
+
+
+def _cover_of(edges: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
+    """Border squares (poly, _r, _c, odd, edges of the square) and runs of squares without edges inside (poly, _r, _from, _to).
+
+    ``odd`` tells whether the square's lower left corner is inside. It and the
+    state of each run come from one pass over a polygon's crossings with the
+    lower line of a row of squares, from right to left.
+    """
+    passed = _edge_squares(edges, side)
+    y0 = _corner(F.col("_r"), side, 1)
+    crosses = (F.col("y1") > y0) != (F.col("y2") > y0)
+    x = F.col("x1") + (F.col("x2") - F.col("x1")) * (y0 - F.col("y1")) / (F.col("y2") - F.col("y1"))
+    none = F.lit(None).cast("long")
+    rows = edges.withColumn("_r", F.explode(F.sequence(_place(F.least("y1", "y2"), side, 1), _place(F.greatest("y1", "y2"), side, 1))))
+    crossings = rows.where(crosses).select("poly", "_r", x.alias("x"), F.lit(1).alias("one"), none.alias("_c"), none.alias("_to"))
+    border = passed.select("poly", "_r", "_c").distinct()
+    row = Window.partitionBy("poly", "_r").orderBy("_c")
+    ends = border.withColumn("_next", F.lead("_c").over(row))
+    asked = F.explode(F.array(F.struct("_c", none.alias("_to")), F.struct((F.col("_c") + 1).alias("_c"), (F.col("_next") - 1).alias("_to"))))
+    asked = ends.select("poly", "_r", asked.alias("q")).select("poly", "_r", "q._c", "q._to", F.col("q._to").isNull().alias("is_border"))
+    asked = asked.where("is_border OR _to >= _c").dropDuplicates(["poly", "_r", "_c", "is_border"])
+    asked = asked.select("poly", "_r", _corner(F.col("_c"), side, 0).alias("x"), F.lit(0).alias("one"), "_c", "_to")
+    leftward = Window.partitionBy("poly", "_r").orderBy(F.desc("x"), "one").rowsBetween(Window.unboundedPreceding, 0)
+    told = crossings.unionByName(asked).withColumn("odd", F.sum("one").over(leftward) % 2).where("one = 0")
+    inner = told.where("_to IS NOT NULL AND odd = 1").select("poly", "_r", F.col("_c").alias("_from"), "_to")
+    corners = told.where("_to IS NULL").select("poly", "_r", "_c", "odd")
+    return passed.join(corners, ["poly", "_r", "_c"]), inner
+
+
+def polygon_cover(edges: DataFrame, side: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A cover of polygons (poly and its edges) by squares of two sizes, as three tables.
+
+    Coarse squares that lie inside (poly, _r, _c); fine squares that lie inside
+    within coarse ones that have edges (the same columns); and fine squares
+    with edges: one row for each edge, with the state of the lower left corner.
+    Rows grow with a polygon's area in coarse squares and its length in fine ones.
+    """
+    scratch = Scratch(edges.sparkSession, "cover")
+    edges = scratch.cut(edges.select("poly", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]), "edges")
+    wide = side * COARSE
+    coarse_border, coarse_runs = _cover_of(edges, wide)
+    coarse = coarse_runs.select("poly", "_r", F.explode(F.sequence("_from", "_to")).alias("_c"))
+    border, runs = _cover_of(edges, side)
+    # fine squares need not lie within one coarse square: one that touches a coarse square with edges is kept
+    middle = lambda k, axis, shift: _place(_corner(F.col(k) + shift, side, axis), wide, axis)
+    cut = runs.withColumn("_wr", F.explode(F.array_distinct(F.array(middle("_r", 1, 0), middle("_r", 1, 1)))))
+    cut = cut.withColumn("_wc", F.explode(F.sequence(middle("_from", 0, 0), middle("_to", 0, 1))))
+    near = coarse_border.select("poly", F.col("_r").alias("_wr"), F.col("_c").alias("_wc")).distinct()
+    cut = cut.join(near, ["poly", "_wr", "_wc"], "left_semi")
+    first, last = _place(_corner(F.col("_wc"), wide, 0), side, 0), _place(_corner(F.col("_wc") + 1, wide, 0), side, 0)
+    cut = cut.withColumns({"_a": F.greatest("_from", first), "_b": F.least("_to", last)}).where("_a <= _b")
+    fine = cut.select("poly", "_r", F.explode(F.sequence("_a", "_b")).alias("_c")).distinct()
+    return scratch.cut(coarse, "coarse"), scratch.cut(fine, "fine"), scratch.cut(border, "border")
+
+
 def polygon_parity(points: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFrame:
     """GR-17, GR-18: points (id, x, y) inside polygons given as edges (poly, x1, y1, x2, y2), by crossing parity.
 
-    An edge is put in the rows of squares it spans, a point in its own, so a
-    point only meets edges that its horizontal ray may cross.
+    Points meet a cover of the polygons by squares of side ``cell`` and sixteen
+    times that. Those in a square inside a polygon need no test. Those in a
+    square with edges go from the square's lower left corner, whose state is
+    known, up to their height and then right, and meet the square's edges only.
+    So every join has a square as its key, whatever lies on a point's latitude.
     """
-    band = lambda y: F.floor(y / cell)
-    e = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    p = points.withColumn("_band", band(F.col("y")))
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    left_of = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    return p.join(e, "_band").where(spans & left_of).groupBy("id", "poly").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("id", "poly")
+    coarse, fine, border = polygon_cover(edges, cell)
+    p = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    at = lambda side: p.withColumns({"_r": _place(F.col("y"), side, 1), "_c": _place(F.col("x"), side, 0)})
+    inside = at(cell * COARSE).join(coarse, ["_r", "_c"]).select("id", "poly").unionByName(at(cell).join(fine, ["_r", "_c"]).select("id", "poly"))
+    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
+    x0, y0 = _corner(F.col("_c"), cell, 0), _corner(F.col("_r"), cell, 1)
+    up = y1 + (y2 - y1) * (x0 - x1) / F.nullif(x2 - x1, F.lit(0.0))
+    upward = ((x1 > x0) != (x2 > x0)) & (up > y0) & (up <= y)
+    right = x1 + (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0))
+    rightward = ((y1 > y) != (y2 > y)) & (right > x0) & (right <= x)
+    met = at(cell).join(border, ["_r", "_c"]).withColumn("crossed", upward.cast("int") + rightward.cast("int"))
+    tested = met.groupBy("id", "poly").agg(((F.max("odd") + F.sum("crossed")) % 2).alias("odd")).where("odd = 1").select("id", "poly")
+    return inside.unionByName(tested).distinct()
 
 
 def clip_cells(cells: DataFrame, edges: DataFrame, value: str, band: float) -> DataFrame:

@@ -5,7 +5,8 @@ import math
 import random
 
 import pytest
-from tarnwatch.operators import outlines, terrain
+from pyspark.sql import functions as F
+from tarnwatch.operators import outlines, quantiles, spatial, terrain
 
 WIDTH = 30
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -130,3 +131,48 @@ def test_simplified_rings(spark, tolerance):
     found = rings_of(outlines.simplified(spark.createDataFrame(rows, "ring long, seq long, x double, y double"), tolerance))
     for ring in (0, 1, 2, 9):
         assert found[ring] == plain_simplified([(x, y) for i, _, x, y in rows if i == ring], tolerance)
+
+
+def star(rng, x, y, size, corners):
+    angles = sorted(rng.random() * 2 * math.pi for _ in range(corners))
+    return [(x + size * (0.3 + rng.random()) * math.cos(a), y + size * (0.3 + rng.random()) * math.sin(a)) for a in angles]
+
+
+def is_inside(x, y, edges):
+    return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
+
+
+def test_points_in_a_thousand_polygons_of_one_band(spark):
+    rng = random.Random(21)
+    shapes = {k: [star(rng, k * 0.4 - 200, 27 + rng.random(), 0.5, rng.randint(3, 9))] for k in range(1000)}
+    shapes[1000] = [star(rng, -100, 20, 60, 40), [(-101, 19), (-99, 19), (-99, 21), (-101, 21)]]  # a wide one with a hole
+    shapes[1001] = [[(0, 0), (40, 0), (40, 0.001), (0, 0.001)], [(-3, -9), (-3, 40), (-2.9, 40), (-2.9, -9)]]
+    edges = {k: [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True)] for k, rings in shapes.items()}
+    points = [(i, rng.uniform(-210, 210), rng.choice([27.5, rng.uniform(-10, 60), 0.0005])) for i in range(1500)]
+    boxes = {k: (min(min(e[0], e[2]) for e in of), max(max(e[0], e[2]) for e in of)) for k, of in edges.items()}
+    expected = {(i, k) for i, x, y in points for k, of in edges.items() if boxes[k][0] <= x <= boxes[k][1] and is_inside(x, y, of)}
+    table = spark.createDataFrame([(k, *map(float, e)) for k, of in edges.items() for e in of], "poly int, x1 double, y1 double, x2 double, y2 double")
+    places = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in points], "id int, x double, y double")
+    for cell in (0.25, 2.0):
+        assert {(r.id, r.poly) for r in spatial.polygon_parity(places, table, cell).collect()} == expected
+    coarse, fine, border = spatial.polygon_cover(table, 0.25)
+    assert not coarse.isEmpty() and not fine.isEmpty()
+    assert spatial.polygon_parity(places, table.where("poly < 0")).count() == 0
+    hot = border.groupBy("_r", "_c").count().agg({"count": "max"}).head()[0]
+    assert hot < 100  # no square is the key of a large part of all edges
+
+
+def test_quantiles_of_skewed_groups(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    rng = random.Random(8)
+    rows = [("all", rng.choice([rng.gauss(0, 1e6), rng.random(), 7.0, -1e300, 1e300]), float(k % 3)) for k in range(3000)]
+    rows += [("few", 2.0, None), ("few", 3.0, None), ("none", None, 1.0), (None, 4.0, 5.0), (None, float("nan"), 6.0), ("one", 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    levels = [0.0, 0.05, 0.5, 0.9, 1.0]
+    found = {r.k: (r.x, r.y) for r in quantiles.grouped_quantiles(df, ["k"], {"x": "a", "y": F.col("b") * 2}, levels).collect()}
+    clean = df.withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
+    want = clean.groupBy("k").agg(F.percentile("a", F.array(*[F.lit(q) for q in levels])).alias("x"), F.percentile(F.col("b") * 2, F.array(*[F.lit(q) for q in levels])).alias("y"))
+    assert found == {r.k: (r.x, r.y) for r in want.collect()}
+    whole = quantiles.grouped_quantiles(df.where("k = 'all'"), [], {"x": "a"}, [0.25]).head().x
+    assert whole == df.where("k = 'all'").agg(F.percentile("a", F.array(F.lit(0.25)))).head()[0]
+    assert quantiles.grouped_quantiles(df.where("k = '-'"), ["k"], {"x": "a"}, [0.5]).count() == 0
