@@ -8,12 +8,14 @@ lengths that fits into one sequence.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from tarnwatch.llm import joins, words
 from tarnwatch.scratch import Scratch
 
 #: Words whose ids a Python worker keeps; later ones are encoded whenever they occur.
-MOST_WORDS_KEPT = 400_000
+MOST_WORDS_KEPT = 1_000_000
 
 
 class _Encoder:
@@ -46,43 +48,37 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.place: dict[str, int] = {}
-        self.ids, self.limits = np.zeros(1 << 16, dtype="<u4"), [0]
-
-    def _keep(self, new: list[list[int]]) -> None:
-        flat = np.fromiter((i for x in new for i in x), dtype="<u4")
-        end = self.limits[-1]
-        if end + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), dtype="<u4")])
-        self.ids[end : end + len(flat)] = flat
-        for x in new:
-            end += len(x)
-            self.limits.append(end)
-
-    def _of_words(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, length) of each word; what is beyond the bound is forgotten at the next call."""
-        if len(self.place) < len(self.limits) - 1:
-            del self.limits[len(self.place) + 1 :]
-        missing = [w for w in unique if w not in self.place]
-        self._keep([e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)])
-        kept = len(self.place)
-        own = {w: kept + k for k, w in enumerate(missing)}
-        for w in missing[: MOST_WORDS_KEPT - kept]:
-            self.place[w] = own[w]
-        at = np.fromiter((own[w] if w in own else self.place[w] for w in unique), dtype=np.int64, count=len(unique))
-        limits = np.array(self.limits, dtype=np.int64)
-        return self.ids, limits[at], limits[at + 1] - limits[at]
+        self.kept = pa.array([], pa.large_string())
+        self.ids, self.limits = np.zeros(1, dtype="<u4"), np.ones(1, dtype=np.int64)  # one id that no word has
+
+    def _of_words(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length) of each word; words beyond the bound are encoded and not kept."""
+        at = pc.index_in(unique, self.kept)
+        missing = unique.filter(pc.is_null(at))
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(missing.to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        ids = np.concatenate([self.ids, np.array(list(itertools.chain.from_iterable(new)), dtype="<u4")])
+        limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum(lengths)])
+        is_new = np.asarray(at.is_null())
+        place = np.asarray(at.fill_null(0)).astype(np.int64)
+        place[is_new] = len(self.kept) + np.arange(len(new))
+        more = missing.slice(0, max(0, MOST_WORDS_KEPT - len(self.kept)))
+        if len(more):
+            self.kept = pa.concat_arrays([self.kept, more])
+            self.limits = limits[: len(self.kept) + 1]
+            self.ids = ids[: self.limits[-1]]
+        return ids, limits[place], limits[place + 1] - limits[place]
 
     def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, ids, limits) of runs of rows; each text's ids are followed by ``end``."""
         inside = np.ones(256, dtype=bool)
         inside[list(words.SPACES)] = False
-        for first, rows, data, offsets in words.parts(texts, 1 << 22):
+        for first, rows, data, offsets in words.parts(texts, 1 << 23):
             starts, ends, row = words.word_spans(data, offsets, inside)
             limits = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
             word = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(limits), pa.py_buffer(data[inside[data]]))
             found = word.dictionary_encode()
-            ids, start, length = self._of_words(found.dictionary.to_pylist())
+            ids, start, length = self._of_words(found.dictionary)
             code = np.asarray(found.indices)
             n = np.append(length[code], np.ones(rows, dtype=np.int64))
             source = np.append(start[code], np.full(rows, -1, dtype=np.int64))

@@ -201,7 +201,7 @@ def test_ids_when_no_more_words_are_kept(monkeypatch):
     for texts in (["one two three four", "five"], ["four five six one", "", "seven one"], ["two eight"]):
         mine = [ids[limits[k] : limits[k + 1]].tolist() for _, rows, ids, limits in encoder.encode(pa.array(texts), 0) for k in range(rows)]
         assert mine == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
-    assert len(encoder.place) == 3
+    assert len(encoder.kept) == 3
 
 
 @settings(max_examples=40, deadline=None)
