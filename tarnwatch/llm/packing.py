@@ -9,6 +9,7 @@ lengths that fits into one sequence.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,17 @@ from tarnwatch.scratch import Scratch
 MOST_WORDS_KEPT = 1_000_000
 
 
+#: How a tokenizer must split a text for its parts to be encoded apart: contractions, letters, single digits, all else. A fixed value.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class _Encoder:
-    """Token ids of texts. Blanks end a word for every tokenizer that drops them, so each different word is encoded once.
+    """Token ids of texts. Where a tokenizer lower-cases, drops blanks and splits by ``_PARTS``, each different word is encoded once.
 
-    Right for tokenizers whose result for a text is that of its blank-separated
-    words one after the other, as with the lower-casing one with word ends.
+    Then a text's ids are those of its blank-separated words in turn, and those
+    of an ASCII word without an apostrophe are those of its runs of letters,
+    digits and other characters, A-Z as a-z. ("<" may begin a special token, so
+    words with it stay whole.) Texts of other tokenizers are encoded one by one.
     """
 
     _made: dict[str, _Encoder] = {}
@@ -48,6 +55,19 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rule = json.load(f)
+        steps = lambda name, of: (x := rule.get(name) or {}).get(of) or [x]
+        splits = [x.get("pattern", {}).get("Regex") for x in steps("pre_tokenizer", "pretokenizers")]
+        self.by_words = splits[0] == _PARTS and {"type": "Lowercase"} in steps("normalizer", "normalizers")
+        self.inside = np.ones(256, dtype=bool)
+        self.inside[list(words.SPACES)] = False
+        self.kind = np.full(256, 3, dtype=np.uint8)
+        self.kind[48:58], self.kind[65:91], self.kind[97:123] = 2, 1, 1
+        self.folded = np.arange(256, dtype=np.uint8)
+        self.folded[65:91] += 32
+        self.whole = np.arange(256) > 127
+        self.whole[[0x27, 0x3C]] = True
         self.kept = pa.array([], pa.large_string())
         self.ids, self.limits = np.zeros(1, dtype="<u4"), np.ones(1, dtype=np.int64)  # one id that no word has
 
@@ -69,15 +89,33 @@ class _Encoder:
             self.ids = ids[: self.limits[-1]]
         return ids, limits[place], limits[place + 1] - limits[place]
 
+    def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """(text of each chunk, chunk), in order."""
+        starts, ends, row = words.word_spans(data, offsets, self.inside)
+        size = ends - starts
+        letters = data[self.inside[data]]
+        heads = np.cumsum(size) - size
+        simple = np.ones(len(starts), dtype=bool)
+        if len(starts):
+            simple = np.repeat(~np.logical_or.reduceat(self.whole[letters], heads), size)
+            letters = np.where(simple, self.folded[letters], letters)
+        kind = self.kind[letters]
+        begins = simple & ((kind == 2) | np.append(True, kind[1:] != kind[:-1])[: len(kind)])
+        begins[heads] = True
+        at = np.flatnonzero(begins)
+        limits = np.append(at, len(letters)).astype(np.int64)
+        word = np.searchsorted(heads, at, side="right") - 1
+        return row[word], pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(limits), pa.py_buffer(letters))
+
     def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, ids, limits) of runs of rows; each text's ids are followed by ``end``."""
-        inside = np.ones(256, dtype=bool)
-        inside[list(words.SPACES)] = False
         for first, rows, data, offsets in words.parts(texts, 1 << 23):
-            starts, ends, row = words.word_spans(data, offsets, inside)
-            limits = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-            word = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(limits), pa.py_buffer(data[inside[data]]))
-            found = word.dictionary_encode()
+            if not self.by_words:
+                found = self.tokenizer.encode_batch_fast([t or "" for t in texts.slice(first, rows).to_pylist()], add_special_tokens=False)
+                yield first, rows, np.array([i for e in found for i in (*e.ids, end)], dtype="<u4"), np.cumsum([0, *[len(e.ids) + 1 for e in found]])
+                continue
+            row, chunk = self._chunks(data, offsets)
+            found = chunk.dictionary_encode()
             ids, start, length = self._of_words(found.dictionary)
             code = np.asarray(found.indices)
             n = np.append(length[code], np.ones(rows, dtype=np.int64))

@@ -188,13 +188,21 @@ def test_op13_is_near_the_bound(spark, sf):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=6))
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("aZ9,.'<|>e\u0301İßΣ \t\n-", max_size=30), st.sampled_from(["<|endoftext|>x", "a<|STARTOFTEXT|>", "don'tX9,,a", "H\u0331 12ab"])), max_size=6))
 def test_ids_of_words_are_those_of_texts(texts):
     encoder = packing._Encoder.of(TOKENIZER)
+    assert encoder.by_words
     mine = [ids[limits[k] : limits[k + 1]].tolist() for _, rows, ids, limits in encoder.encode(pa.array(texts, pa.string()), 7) for k in range(rows)]
     assert mine == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in texts]
 
 
+def test_ids_of_another_tokenizer():
+    encoder = packing._Encoder.of(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words, 12!", None, ""]
+    mine = [ids[limits[k] : limits[k + 1]].tolist() for _, rows, ids, limits in encoder.encode(pa.array(texts), 3) for k in range(rows)]
+    assert not encoder.by_words and mine == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [3] for t in texts]
+
+
 def test_ids_when_no_more_words_are_kept(monkeypatch):
     monkeypatch.setattr(packing, "MOST_WORDS_KEPT", 3)
     encoder = packing._Encoder(TOKENIZER)
