@@ -93,7 +93,9 @@ def _gradient(low: str, high: str, cell: Column) -> Column:
 
 
 def slope_degrees(cells: DataFrame, cell_m: float | tuple[Column, Column], keys: Sequence[str] = (), nodata: float | None = None) -> DataFrame:
-    """GR-10, GR-12: slope of (r, c, z), and the unit normal of the surface.
+    """GR-10, GR-12: slope of (r, c, z), and the unit normal of the surface (east, north, up).
+
+    Rows go south, so a surface that rises with the rows leans to the north.
 
     ``cell_m`` is the width of a cell, or its width and height as columns of r
     and c. Where ``nodata`` is given, cells whose gradient needs such a value,
@@ -108,7 +110,7 @@ def slope_degrees(cells: DataFrame, cell_m: float | tuple[Column, Column], keys:
     out = n.select(*keys, "r", "c", F.nanvl("z", F.lit(None).cast("double")).alias("z"), F.nanvl(dx, F.lit(None).cast("double")).alias("dx"), F.nanvl(dy, F.lit(None).cast("double")).alias("dy"))
     length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + 1)
     return out.withColumns(
-        {"slope": F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))), "nx": -F.col("dx") / length, "ny": -F.col("dy") / length, "nz": 1 / length}
+        {"slope": F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))), "nx": -F.col("dx") / length, "ny": F.col("dy") / length, "nz": 1 / length}
     )
 
 

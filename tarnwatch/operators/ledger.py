@@ -156,9 +156,9 @@ def decode_payload(payloads: DataFrame) -> DataFrame:
 
 
 def rank_sectors(sectors: DataFrame) -> DataFrame:
-    """WN-08: sectors of each run by falling priority."""
-    order = Window.partitionBy("run_id").orderBy(F.desc("priority"), "sector")
-    return sectors.withColumn("rank", F.row_number().over(order))
+    """WN-08: sectors of each run by falling priority; equal ones keep their place."""
+    order = Window.partitionBy("run_id").orderBy(F.desc("priority"), "place")
+    return sectors.withColumn("rank", F.row_number().over(order)).drop("place")
 
 
 def sector_summary(ranked: DataFrame) -> DataFrame:

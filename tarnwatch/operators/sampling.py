@@ -42,12 +42,21 @@ def quota_sample(rows: DataFrame, block: str, quotas: DataFrame, seed: int, tota
 
 
 def balanced_epoch(rows: DataFrame, kind: str, seed: int) -> DataFrame:
-    """WN-10: every kind drawn up to the size of the largest, its rows in turn."""
+    """WN-10: as many rows of every kind as the largest has, drawn with replacement: (..., draw).
+
+    A draw is a seeded digest of the kind and its number, modulo the kind's
+    size, and takes the row of that place in seeded order. Draws are listed in
+    parts of 4,096 and meet rows by kind and place, so no kind is one task's.
+    """
     sizes = rows.groupBy(kind).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n").alias("_most"))
-    full = ranked(rows, kind, seed).join(sizes, kind).join(F.broadcast(largest), F.lit(True))
-    times = F.floor((F.col("_most") - F.col("_k")) / F.col("_n")) + 1
-    return full.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_k", "_n", "_most")
+    most = F.broadcast(sizes.agg(F.max("_n").alias("_most")))  # one row
+    parts = sizes.join(most, F.lit(True)).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_most") - 1) / 4096))))
+    numbers = F.sequence(F.col("_p") * 4096 + 1, F.least(F.col("_most"), (F.col("_p") + 1) * 4096))
+    draws = parts.select(F.col(kind).alias("_kind"), "_n", F.explode(numbers).alias("draw"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_kind").cast("string"), F.lit("")), F.col("draw").cast("string")))
+    draws = draws.select("_kind", "draw", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.col("_n") + 1).alias("_at"))
+    places = ranked(rows, kind, seed)
+    return draws.join(places, F.col("_kind").eqNullSafe(F.col(kind)) & (F.col("_at") == F.col("_k"))).select(*rows.columns, "draw")
 
 
 def stratified_parts(rows: DataFrame, kind: str, shares: dict[str, float], rest: str, seed: int) -> DataFrame:

@@ -73,9 +73,12 @@ def _access_loss() -> Column:
 
 
 def exposure_rollup(exposures: DataFrame, default_population: int | None = None) -> DataFrame:
-    """SC-06 and SC-09: what each run exposes, and how its access routes fare."""
+    """SC-06 and SC-09: what each run exposes, and how its access routes fare.
+
+    People are those of settlements; villages are counted with them, without their people.
+    """
     is_ = lambda *kinds: F.col("asset_type").isin(*kinds)
-    people = F.sum(F.when(is_(*SETTLEMENTS), F.col("population")).otherwise(0))
+    people = F.sum(F.when(is_("settlement"), F.coalesce("population", F.lit(0))).otherwise(0))
     return exposures.groupBy("run_id").agg(
         (people if default_population is None else F.when(people == 0, F.lit(default_population)).otherwise(people)).alias("population"),
         F.count_if(is_(*SETTLEMENTS)).alias("settlements"),
@@ -120,37 +123,49 @@ def fuse(runs: DataFrame) -> DataFrame:
     return out.withColumn("reasons", F.when(F.col("severity").isin("elevated", "critical"), F.concat(reasons, more)).otherwise(reasons))
 
 
+#: A fixed value: the distance of a village that has none, or that is 0.
+NO_DISTANCE = 9999.0
+
+
 def served_population(exposures: DataFrame) -> DataFrame:
-    """SC-11: people a well serves: its own, else those of the village whose distance differs least, else of the smallest village."""
-    well, village = F.col("asset_type") == "well", F.col("asset_type").isin(*SETTLEMENTS)
-    d, people = F.col("distance_m"), F.when(village, F.col("population"))
-    here = F.when(village & d.isNotNull(), F.struct(d.alias("d"), F.col("population").alias("p")))
+    """SC-11: people a well serves: its own, else those of the village whose distance differs least, else of the smallest village.
+
+    Of equally near villages the first of the run, by line and asset, counts. A
+    run without villages serves nobody.
+    """
+    well, village = F.col("asset_type") == "well", F.col("asset_type") == "village"
+    d = F.when(village, F.coalesce(F.nullif("distance_m", F.lit(0.0)), F.lit(NO_DISTANCE))).otherwise(F.col("distance_m"))
+    people = F.coalesce("population", F.lit(0))
     run = Window.partitionBy("run_id")
-    # of villages at one distance the smallest is the last before a well, from either side
-    below, above = run.orderBy(d.asc(), well, F.desc("population")), run.orderBy(d.desc(), well, F.desc("population"))
-    seen = lambda w: F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    gap = lambda v: F.when(v.isNotNull() & d.isNotNull(), F.struct(F.abs(d - v["d"]).alias("gap"), v["p"].alias("p")))
-    rows = exposures.where(well | village).withColumns({"_below": seen(below), "_above": seen(above), "_smallest": F.min(people).over(run)}).where(well)
-    by = rows.select(
-        "run_id", F.col("asset_id").alias("well"), "line", F.col("population").alias("own"), F.least(gap(F.col("_below")), gap(F.col("_above")))["p"].alias("nearest"), F.col("_smallest").alias("smallest")
-    )
-    return by.select("run_id", "well", "line", F.coalesce(F.when(F.col("own") > 0, F.col("own")), "nearest", "smallest", F.lit(0)).alias("served"))
+    # running minima: of the villages up to a well, from either side, the nearest one and its first line
+    side = lambda order, far: F.min(F.when(village, F.struct(far.alias("far"), "line", "asset_id", people.alias("p"), F.col("_d").alias("d")))).over(run.orderBy(order, well).rowsBetween(Window.unboundedPreceding, 0))
+    gap = lambda v: F.when(v.isNotNull(), F.struct(F.abs(F.col("_d") - v["d"]).alias("gap"), v["line"].alias("line"), v["asset_id"].alias("asset_id"), v["p"].alias("p")))
+    rows = exposures.where(well | village).withColumn("_d", d)
+    rows = rows.withColumns({"_below": side(F.col("_d").asc(), -F.col("_d")), "_above": side(F.col("_d").desc(), F.col("_d")), "_smallest": F.min(F.when(village, people)).over(run)}).where(well)
+    nearest = F.when(F.col("_d").isNotNull(), F.least(gap(F.col("_below")), gap(F.col("_above")))["p"])
+    own = F.when(people > 0, people)
+    served = F.when(F.col("_smallest").isNull(), 0).otherwise(F.coalesce(own, nearest, "_smallest"))
+    return rows.select("run_id", F.col("asset_id").alias("well"), "line", served.alias("served"))
 
 
 def rescue_sectors(exposures: DataFrame) -> DataFrame:
-    """SC-10: village, water-point and route sectors of each run, with their priority. Exposures are rolled up once; both joins are on the run."""
+    """SC-10: village, water-point and route sectors of each run, with their priority and place (villages by line, wells, routes).
+
+    Exposures are rolled up once; both joins are on the run.
+    """
     is_ = lambda *kinds: F.col("asset_type").isin(*kinds)
     people = lambda *kinds: F.sum(F.when(is_(*kinds), F.col("population")).otherwise(0))
-    rolled = exposures.groupBy("run_id").agg(_access_loss().alias("access_loss"), people(*SETTLEMENTS).alias("people"), people("well").alias("own"), F.count_if(is_("well")).alias("wells"), F.count_if(is_(*ROUTES)).alias("routes"))
+    rolled = exposures.groupBy("run_id").agg(_access_loss().alias("access_loss"), people("village").alias("people"), people("well").alias("own"), F.count_if(is_("well")).alias("wells"), F.count_if(is_(*ROUTES)).alias("routes"))
     served = served_population(exposures).groupBy("run_id").agg(F.sum("served").alias("served"))
-    sector = lambda name, kind, n, u: F.struct(F.lit(name).alias("sector"), F.lit(kind).alias("kind"), n.cast("long").alias("population"), F.lit(u).alias("urgency"))
-    wells = F.when(F.col("wells") > 0, sector("water-points", "well", F.greatest("own", "served"), 0.7))
-    routes = F.when(F.col("routes") > 0, sector("access-routes", "bridge", F.col("people"), 0.5))
+    place = lambda kind, line, asset: F.struct(F.lit(kind).alias("kind"), line.cast("long").alias("line"), asset.cast("long").alias("asset"))
+    sector = lambda name, kind, n, u, k: F.struct(F.lit(name).alias("sector"), F.lit(kind).alias("kind"), n.cast("long").alias("population"), F.lit(u).alias("urgency"), place(k, F.lit(0), F.lit(0)).alias("place"))
+    wells = F.when(F.col("wells") > 0, sector("water-points", "well", F.greatest("own", "served"), 0.7, 1))
+    routes = F.when(F.col("routes") > 0, sector("access-routes", "bridge", F.col("people"), 0.5, 2))
     shared = rolled.join(served, "run_id", "left").select("run_id", "access_loss", F.inline(F.array_compact(F.array(wells, routes))))
-    villages = exposures.where(is_(*SETTLEMENTS)).select("run_id", F.concat_ws("-", F.lit("village"), "asset_id", "line").alias("sector"), F.lit("village").alias("kind"), "population", F.lit(1.0).alias("urgency"))
+    villages = exposures.where(is_("village")).select("run_id", F.concat_ws("-", F.lit("village"), "asset_id", "line").alias("sector"), F.lit("village").alias("kind"), F.coalesce("population", F.lit(0)).cast("long").alias("population"), F.lit(1.0).alias("urgency"), place(0, F.col("line"), F.col("asset_id")).alias("place"))
     every = villages.join(rolled.select("run_id", "access_loss"), "run_id").unionByName(shared)
     priority = thousandths(norm01(F.col("population"), 0, 2000) * F.col("access_loss") * F.col("urgency"))
-    return every.select("run_id", "sector", "kind", "population", "access_loss", priority.alias("priority"))
+    return every.select("run_id", "sector", "kind", "population", "access_loss", priority.alias("priority"), "place")
 
 
 def personnel(exposures: DataFrame) -> DataFrame:

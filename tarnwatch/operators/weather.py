@@ -47,8 +47,8 @@ def observation_weather(observations: DataFrame, weather: DataFrame, default_tem
     return found.withColumns({"rain_24h": F.coalesce("rain_24h", F.lit(0.0)), "rain_7d": F.coalesce("rain_7d", F.lit(0.0)), "temp": F.coalesce("tmean", F.lit(float(default_temp)))}).drop("tmean")
 
 
-def event_windows(events: DataFrame, weather: DataFrame, *, days: int = 30, most_nulls: int = 4) -> DataFrame:
-    """TS-05 to TS-08: features of the days that end with each event; windows with too many nulls are dropped.
+def _window_days(events: DataFrame, weather: DataFrame, days: int) -> DataFrame:
+    """Events with each day of the window that ends with them, _ago days before.
 
     The join is an equality on the station and the week, with each event in the
     weeks its window touches, so that no event meets all days of a station.
@@ -57,7 +57,15 @@ def event_windows(events: DataFrame, weather: DataFrame, *, days: int = 30, most
     e = events.withColumn("_week", F.explode(F.sequence(week(F.date_sub("event_date", days - 1)), week("event_date"))))
     w = weather.withColumn("_week", week("day"))
     ago = F.datediff("event_date", "day")
-    joined = e.join(w, ["station", "_week"]).where((ago >= 0) & (ago < days)).withColumn("_ago", ago)
+    return e.join(w, ["station", "_week"]).where((ago >= 0) & (ago < days)).withColumn("_ago", ago)
+
+
+def event_windows(events: DataFrame, weather: DataFrame, *, days: int = 30, most_nulls: int = 4) -> DataFrame:
+    """TS-05 to TS-08: features of the days that end with each event; windows with too many nulls are dropped.
+
+    Temperatures are corrected for altitude.
+    """
+    joined = _window_days(events, weather, days)
     rain = F.coalesce("precip", F.lit(0.0))
     lapse = LAPSE_C_PER_KM * (F.col("elev_m") - F.col("station_elev")) / 1000
     cycle = (F.col("tmin") - lapse < 0) & (F.col("tmax") - lapse > 0) & (F.col("_ago") < 14)
@@ -91,16 +99,27 @@ def event_features(events: DataFrame, weather: DataFrame, static: DataFrame, *,
     return full.join(static, "event_id", "left")
 
 
-def latest_window_fallback(full: DataFrame, weather: DataFrame, *, least_days: int = 15) -> DataFrame:
-    """TS-11: the full features where there are any, else rain and melt sums of stations with enough days."""
-    part = weather.groupBy("station").agg(F.sum("precip").alias("p_rain"), F.sum(F.greatest(F.lit(0.0), F.col("tmean"))).alias("p_melt"), F.count("precip").alias("n"))
-    joined = part.join(full, "station", "left")
-    enough = F.col("n") >= least_days
+def latest_window_fallback(observations: DataFrame, weather: DataFrame, *, days: int = 30, most_nulls: int = 4) -> DataFrame:
+    """TS-11: features of the window that ends with each observation (event_id, station, event_date, elev_m, rain_24h, rain_7d).
+
+    Where the window is complete enough they are those of ``event_windows``.
+    Else the observation's own rain counts, and melt is the sum over the days
+    that have a temperature, corrected for altitude, if these are half of the
+    window; what has no source is null. ``basis`` is full, partial or none.
+    """
+    full = event_windows(observations, weather, days=days, most_nulls=most_nulls).select("event_id", "rain_30d", F.col("rain_7d").alias("_week_rain"), "rain_max", F.col("melt_degree_days").alias("_melt"))
+    lapse = LAPSE_C_PER_KM * (F.col("elev_m") - F.coalesce("station_elev", "elev_m")) / 1000
+    warm = F.sum(F.greatest(F.lit(0.0), F.col("tmean") - lapse))
+    part = _window_days(observations, weather, days).groupBy("event_id").agg(F.when(F.count("tmean") >= days // 2, F.round(warm, 2)).alias("_part"))
+    joined = observations.join(full, "event_id", "left").join(part, "event_id", "left")
+    has = F.col("rain_30d").isNotNull()
     return joined.select(
-        "station",
-        F.coalesce("rain_30d", F.when(enough, F.col("p_rain"))).alias("rain"),
-        F.coalesce("melt_degree_days", F.when(enough, F.col("p_melt"))).alias("melt"),
-        F.when(F.col("rain_30d").isNotNull(), "full").when(enough, "partial").otherwise("none").alias("basis"),
+        "event_id",
+        "rain_30d",
+        F.when(has, F.col("_week_rain")).otherwise(F.col("rain_7d")).alias("rain_7d"),
+        F.when(has, F.col("rain_max")).otherwise(F.col("rain_24h")).alias("rain_max"),
+        F.when(has, F.col("_melt")).otherwise(F.col("_part")).alias("melt"),
+        F.when(has, "full").when(F.col("_part").isNotNull(), "partial").otherwise("none").alias("basis"),
     )
 
 

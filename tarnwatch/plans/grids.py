@@ -83,7 +83,7 @@ def _(spark, d):
 
 
 @query("gamma0_terrain_correct", C + _N + """
-, k AS (SELECT r, c, (-dx / sqrt(dx*dx+dy*dy+1)) * sin(radians(35.0)) * sin(radians(100.0)) + (-dy / sqrt(dx*dx+dy*dy+1)) * sin(radians(35.0)) * cos(radians(100.0)) + 1 / sqrt(dx*dx+dy*dy+1) * cos(radians(35.0)) AS k FROM g)
+, k AS (SELECT r, c, (-dx / sqrt(dx*dx+dy*dy+1)) * sin(radians(35.0)) * sin(radians(100.0)) + (dy / sqrt(dx*dx+dy*dy+1)) * sin(radians(35.0)) * cos(radians(100.0)) + 1 / sqrt(dx*dx+dy*dy+1) * cos(radians(35.0)) AS k FROM g)
 SELECT r, c, round(CASE WHEN k > 0 THEN -b / 5 - 10 * log10(greatest(k, 1e-3)) ELSE -b / 5 END, 6) + 0 AS gamma FROM k JOIN cells USING (r, c)""")
 def _(spark, d):
     s = G.slope_degrees(_z(spark, d), 30.0).join(T.cells(spark, d).select("r", "c", "b"), ["r", "c"])

@@ -250,12 +250,15 @@ def _(spark, d):
 
 
 @query("latest_window_fallback", T.with_("weather") + """
-, p AS (SELECT station, sum(precip) AS rain, sum(greatest(0, tmean)) AS melt, count(precip) AS n FROM weather GROUP BY 1)
-SELECT station, round(CASE WHEN station % 2 = 0 THEN 7.5 WHEN n >= 15 THEN rain END, 6) AS rain, round(CASE WHEN station % 2 = 0 THEN 1.5 WHEN n >= 15 THEN melt END, 6) AS melt, CASE WHEN station % 2 = 0 THEN 'full' WHEN n >= 15 THEN 'partial' ELSE 'none' END AS basis FROM p""")
+, o AS (SELECT station * 100000 + (day - DATE '1970-01-01') AS event_id, station, day AS event_date, precip * 0.5::DOUBLE AS rain_24h, precip * 3 AS rain_7d FROM weather),
+j AS (SELECT o.event_id, w.precip, w.tmean - 6.5 * (5010.0 - w.station_elev) / 1000 AS t, o.event_date - w.day AS ago FROM o JOIN weather w ON w.station = o.station AND o.event_date - w.day BETWEEN 0 AND 29),
+f AS (SELECT event_id, sum(coalesce(precip, 0)) AS r30, sum(coalesce(precip, 0)) FILTER (ago < 7) AS r7, max(coalesce(precip, 0)) AS most, sum(greatest(0, t)) AS melt, count(t) AS n, 60 - count(precip) - count(t) AS nulls FROM j GROUP BY event_id)
+SELECT event_id, round(CASE WHEN nulls <= 4 THEN r30 END, 6) AS rain_30d, round(CASE WHEN nulls <= 4 THEN r7 ELSE rain_7d END, 6) AS rain_7d, round(CASE WHEN nulls <= 4 THEN most ELSE rain_24h END, 6) AS rain_max,
+  round(CASE WHEN nulls <= 4 THEN melt WHEN n >= 15 THEN round(melt, 2) END, 6) AS melt, CASE WHEN nulls <= 4 THEN 'full' WHEN n >= 15 THEN 'partial' ELSE 'none' END AS basis FROM o LEFT JOIN f USING (event_id)""")
 def _(spark, d):
     w = T.weather(spark, d)
-    full = w.select("station").distinct().where("station % 2 = 0").selectExpr("station", "7.5D AS rain_30d", "1.5D AS melt_degree_days")
-    return rounded(weather.latest_window_fallback(full, w), "rain", "melt", digits=6)
+    o = w.selectExpr("station * 100000 + unix_date(day) AS event_id", "station", "day AS event_date", "5010.0D AS elev_m", "precip * 0.5D AS rain_24h", "precip * 3 AS rain_7d")
+    return rounded(weather.latest_window_fallback(o, w), "rain_30d", "rain_7d", "rain_max", "melt", digits=6)
 
 
 @query("scalar_functions", T.with_("lakes") + f"""

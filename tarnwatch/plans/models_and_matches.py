@@ -147,7 +147,7 @@ f AS (SELECT *, CASE WHEN r1 > r0 THEN (r - r0) / 20.0::DOUBLE ELSE 0 END AS fr,
 l AS (SELECT f.band, r, c, dn, (1 - fr) * (1 - fc) * q.value + (1 - fr) * fc * w.value + fr * (1 - fc) * e.value + fr * fc * u.value AS lut FROM f JOIN t q ON q.band = f.band AND q.line = r0 AND q.pixel = c0 JOIN t w ON w.band = f.band AND w.line = r0 AND w.pixel = c1 JOIN t e ON e.band = f.band AND e.line = r1 AND e.pixel = c0 JOIN t u ON u.band = f.band AND u.line = r1 AND u.pixel = c1),
 d AS (SELECT *, 10 * log10(greatest(dn * dn / (lut * lut), 1e-10)) AS db FROM l)
 """ + _N + """
-, h AS (SELECT r, c, (-dx * sin(radians(35.0)) * sin(radians(100.0)) - dy * sin(radians(35.0)) * cos(radians(100.0)) + cos(radians(35.0))) / sqrt(dx * dx + dy * dy + 1) AS k FROM g)
+, h AS (SELECT r, c, (-dx * sin(radians(35.0)) * sin(radians(100.0)) + dy * sin(radians(35.0)) * cos(radians(100.0)) + cos(radians(35.0))) / sqrt(dx * dx + dy * dy + 1) AS k FROM g)
 SELECT band, r, c, round(CASE WHEN k > 0 THEN db - 10 * log10(greatest(k, 1e-3)) ELSE db END, 6) + 0 AS gamma FROM d JOIN h USING (r, c)""")
 def _(spark, d):
     c = T.cells(spark, d)

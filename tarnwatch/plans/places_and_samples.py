@@ -148,7 +148,8 @@ def _(spark, d):
 
 @query("balanced_epoch", T.with_("scores") + """
 , k AS (SELECT sample_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || sample_id), sample_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM scores),
-m AS (SELECT max(n) AS m FROM k) SELECT id, label, unnest(range(1, ((m - 1 - k) // n + 1)::BIGINT + 1)) AS draw FROM k, m""")
+z AS (SELECT label, max(n) AS n FROM k GROUP BY label), d AS (SELECT label, n, unnest(range(1, (SELECT max(n) FROM z) + 1)) AS draw FROM z)
+SELECT k.id, d.label, d.draw FROM d JOIN k ON k.label = d.label AND k.k = ('0x' || substr(md5('3:' || d.label || ':' || d.draw), 1, 15))::BIGINT % d.n""")
 def _(spark, d):
     return M.balanced_epoch(T.scores(spark, d).selectExpr("sample_id AS id", "label"), "label", 3)
 

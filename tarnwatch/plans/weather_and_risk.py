@@ -137,7 +137,7 @@ def _(spark, d):
 
 
 _ROLLUP_SQL = """
-, roll AS (SELECT run_id, sum(CASE WHEN asset_type IN ('village','settlement') THEN population ELSE 0 END)::BIGINT AS population, count(*) FILTER (WHERE asset_type IN ('village','settlement')) AS settlements,
+, roll AS (SELECT run_id, sum(CASE WHEN asset_type = 'settlement' THEN population ELSE 0 END)::BIGINT AS population, count(*) FILTER (WHERE asset_type IN ('village','settlement')) AS settlements,
   count(*) FILTER (WHERE asset_type = 'bridge') AS bridges, count(*) FILTER (WHERE asset_type = 'well') AS wells, count(*) FILTER (WHERE asset_type = 'well' AND inundated) AS inundated_wells,
   max(CASE WHEN asset_type IN ('bridge','road') AND inundated THEN 1.0 WHEN asset_type IN ('bridge','road') AND distance_m <= buffer_m THEN 0.6 ELSE 0.3 END)::DOUBLE AS access_loss FROM exposures GROUP BY run_id)"""
 
@@ -186,9 +186,9 @@ def _(spark, d):
 
 
 _SERVED_SQL = """
-, wv AS (SELECT w.run_id, w.asset_id AS well, w.line, max(w.population) AS own, arg_min(v.population, (abs(w.distance_m - v.distance_m), v.population)) AS nearest, min(v.population) AS smallest
-  FROM exposures w LEFT JOIN exposures v ON v.run_id = w.run_id AND v.asset_type IN ('village','settlement') WHERE w.asset_type = 'well' GROUP BY ALL),
-served AS (SELECT run_id, well, line, coalesce(CASE WHEN own > 0 THEN own END, nearest, smallest, 0) AS served FROM wv)"""
+, wv AS (SELECT w.run_id, w.asset_id AS well, w.line, max(w.population) AS own, count(v.line) AS villages, arg_min(v.population, (abs(w.distance_m - coalesce(nullif(v.distance_m, 0), 9999)), v.line, v.asset_id)) AS nearest
+  FROM exposures w LEFT JOIN exposures v ON v.run_id = w.run_id AND v.asset_type = 'village' WHERE w.asset_type = 'well' GROUP BY ALL),
+served AS (SELECT run_id, well, line, CASE WHEN villages = 0 THEN 0 WHEN own > 0 THEN own ELSE nearest END AS served FROM wv)"""
 
 
 @query("served_population", T.with_("exposures").replace("(l_quantity * 10)", "(CASE WHEN l_quantity > 25 THEN 0 ELSE l_quantity * 10 END)") + _SERVED_SQL + "SELECT * FROM served")
@@ -198,11 +198,11 @@ def _(spark, d):
 
 
 @query("rank_sectors", T.with_("exposures") + _ROLLUP_SQL + _SERVED_SQL + """
-, sec AS (SELECT run_id, concat_ws('-', 'village', asset_id, line) AS sector, 'village' AS kind, population, 1.0 AS u FROM exposures WHERE asset_type IN ('village','settlement')
-  UNION ALL SELECT run_id, 'water-points', 'well', greatest(p, s), 0.7 FROM (SELECT run_id, sum(population)::BIGINT AS p FROM exposures WHERE asset_type = 'well' GROUP BY 1) JOIN (SELECT run_id, sum(served)::BIGINT AS s FROM served GROUP BY 1) USING (run_id)
-  UNION ALL SELECT run_id, 'access-routes', 'bridge', sum(CASE WHEN asset_type IN ('village','settlement') THEN population ELSE 0 END)::BIGINT, 0.5 FROM exposures GROUP BY run_id HAVING count(*) FILTER (WHERE asset_type IN ('bridge','road')) > 0),
-p AS (SELECT run_id, sector, kind, sec.population, access_loss, floor((least(1.0::DOUBLE, sec.population / 2000.0::DOUBLE) * access_loss * u::DOUBLE) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE AS priority FROM sec JOIN roll USING (run_id))
-SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, sector)::INT AS rank FROM p""")
+, sec AS (SELECT run_id, concat_ws('-', 'village', asset_id, line) AS sector, 'village' AS kind, population, 1.0 AS u, (0, line, asset_id) AS place FROM exposures WHERE asset_type = 'village'
+  UNION ALL SELECT run_id, 'water-points', 'well', greatest(p, s), 0.7, (1, 0, 0) FROM (SELECT run_id, sum(population)::BIGINT AS p FROM exposures WHERE asset_type = 'well' GROUP BY 1) JOIN (SELECT run_id, sum(served)::BIGINT AS s FROM served GROUP BY 1) USING (run_id)
+  UNION ALL SELECT run_id, 'access-routes', 'bridge', sum(CASE WHEN asset_type = 'village' THEN population ELSE 0 END)::BIGINT, 0.5, (2, 0, 0) FROM exposures GROUP BY run_id HAVING count(*) FILTER (WHERE asset_type IN ('bridge','road')) > 0),
+p AS (SELECT run_id, sector, kind, sec.population, access_loss, floor((least(1.0::DOUBLE, sec.population / 2000.0::DOUBLE) * access_loss * u::DOUBLE) * 1000.0::DOUBLE + 0.500000001::DOUBLE) / 1000.0::DOUBLE AS priority, place FROM sec JOIN roll USING (run_id))
+SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY run_id ORDER BY priority DESC, place)::INT AS rank FROM p""")
 def _(spark, d):
     return ledger.rank_sectors(scoring.rescue_sectors(T.exposures(spark, d)))
 
