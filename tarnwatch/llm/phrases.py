@@ -75,7 +75,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-_PAIRS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+#: Different pairs that a task adds up before it sends them (24 bytes each, and as much again while sorting).
+PAIRS_HELD = 2_000_000
 
 
 def _record_batch(row: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
@@ -102,13 +103,48 @@ def _slices(batches: Iterator[pa.RecordBatch], records: int = 1000) -> Iterator[
             yield batch.slice(at, records)
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        _, _, left, right = _neighbours(batch)
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        heads = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))) if len(left) else order
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (left[heads], right[heads], np.diff(np.append(heads, len(left))))], schema=_PAIRS)
+def _counted_pairs(left: list[np.ndarray], right: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, with their counts added up."""
+    a, b, k = np.concatenate(left), np.concatenate(right), np.concatenate(n)
+    order = np.lexsort((b, a))
+    a, b, k = a[order], b[order], k[order]
+    heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    return a[heads], b[heads], np.add.reduceat(k, heads) if len(heads) else k
+
+
+def _pair_counts(relation: DataFrame) -> DataFrame:
+    """(left, right, a) of all pairs of neighbours.
+
+    A task adds up its pairs, some million at a time, and sends them sorted in
+    arrays, one for each of many buckets of pairs: like numbers side by side
+    take half the space of a row for each pair. A bucket is a hash of both
+    sides, so no common word is a hot key, and counts need no second shuffle.
+    """
+    buckets = max(64, 4 * int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(left: list, right: list, n: list) -> pa.RecordBatch:
+        a, b, k = _counted_pairs(left, right, n)
+        bucket = (words.mixed(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        limits = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(limits), pa.array(v[order])) for v in (a, b, k)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *lists], ["bucket", "left", "right", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, n, held = [], [], [], 0
+        for batch in _slices(batches):
+            _, _, a, b = _neighbours(batch)
+            a, b, k = _counted_pairs([a], [b], [np.ones(len(a), dtype=np.int64)])
+            left, right, n, held = [*left, a], [*right, b], [*n, k], held + len(a)
+            if held >= PAIRS_HELD:
+                yield packed(left, right, n)
+                left, right, n, held = [], [], [], 0
+        if held:
+            yield packed(left, right, n)
+
+    sent = relation.mapInArrow(counted, "bucket int, left array<long>, right array<long>, n array<long>").where(F.size("left") > 0).repartition("bucket")
+    pairs = sent.select("bucket", F.explode(F.arrays_zip("left", "right", "n")).alias("p")).select("bucket", "p.left", "p.right", "p.n")
+    return pairs.groupBy("bucket", "left", "right").agg(F.sum("n").alias("a")).drop("bucket")
 
 
 def _numbered(groups: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -233,8 +269,7 @@ def frequent_phrases(docs: DataFrame, *, most_words: int = 4, least: int = 30, t
     tables = [single.select("lang", "gram", F.col("word").alias("phrase"), "a", none.alias("left"), none.alias("right"), F.col("word").alias("last"), *[v.alias(k) for k, v in sizes.items()])]
     relation = scratch.cut(_first_relation(docs, single), "relation1")
     for size in range(2, most_words + 1):
-        pairs = relation.mapInArrow(_pair_counts, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a"))
-        groups = _numbered(pairs.where(F.col("a") >= least), scratch, "frequent")
+        groups = _numbered(_pair_counts(relation).where(F.col("a") >= least), scratch, "frequent")
         named = _attached(_attached(groups, tables[-1], "left"), tables[-1], "right").select(
             F.col("left_lang").alias("lang"),
             "gram",
