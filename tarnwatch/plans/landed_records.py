@@ -10,6 +10,7 @@ from tarnwatch.operators import grid as G
 from tarnwatch.plans import grids
 from tarnwatch.plans import standins as T
 from tarnwatch.plans.evaluations import rounded
+from tarnwatch.sources import keyed as K
 from tarnwatch.sources import readers as R
 from tarnwatch.sources import tables as B
 
@@ -98,14 +99,37 @@ def _(spark, d):
 
 
 @query("operational_dispatches", """
-SELECT event_id::VARCHAR AS dispatch_id, event_id % 500 AS bytes, (event_id % 7 = 0)::INT + (event_id % 500 > 250 OR event_id % 13 = 0)::INT AS broken FROM events""")
+SELECT event_id::VARCHAR AS dispatch_id, event_id % 500 AS bytes, (event_id % 7 = 0)::INT + (event_id % 500 > 250)::INT + 2 * (event_id % 13 = 0)::INT - (event_id % 13 = 0 AND event_id % 500 > 250)::INT AS broken FROM events""")
 def _(spark, d):
     k = F.col("event_id")
-    json = F.to_json(F.struct(k.cast("string").alias("dispatch_id"), F.when(k % 7 != 0, F.col("user_id").cast("string")).alias("run_id"), F.when(k % 13 != 0, k % 500).alias("payload_bytes"), (k % 500).cast("string").alias("channel")))
+    texts = [(k % 500).cast("string").alias(c) for c in ("alert_id", "geofence_id", "payload", "channel", "recipient_group")]
+    json = F.to_json(F.struct(k.cast("string").alias("dispatch_id"), F.when(k % 7 != 0, F.col("user_id").cast("string")).alias("review_id"), F.when(k % 13 != 0, k % 500).alias("payload_bytes"), *texts))
     rows = B.operational_rows(T.table(spark, d, "events").select(json.alias("json")), "dispatches")
     return rows.select("dispatch_id", F.col("channel").cast("long").alias("bytes"), F.size("broken").alias("broken"))
 
 
+@query("broken_rules", """
+WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'reject' ELSE 'postpone' END AS decision FROM events),
+s AS (SELECT DISTINCT 's' || user_id AS score_id, (user_id % 12) / 10.0::DOUBLE AS confidence FROM e WHERE user_id % 10 <> 0),
+x AS (SELECT 'd' || event_id AS id, CASE WHEN event_id % 35 = 0 THEN 'none' ELSE event_id::VARCHAR END AS review, event_id % 300 AS bytes FROM e WHERE event_id % 5 = 0),
+j AS (SELECT 'j' || event_id AS id, user_id, min('j' || event_id) OVER (PARTITION BY user_id) AS first FROM e)
+SELECT 'scores' AS "table", score_id AS key, 'confidence BETWEEN 0 AND 1' AS rule FROM s WHERE confidence > 1
+UNION ALL SELECT 'reviews', event_id::VARCHAR, 'score_id is not in scores' FROM e WHERE user_id % 10 = 0
+UNION ALL SELECT 'dispatches', id, 'payload_bytes <= 250' FROM x WHERE bytes > 250
+UNION ALL SELECT 'dispatches', id, 'review_id is not in reviews' FROM x WHERE review = 'none'
+UNION ALL SELECT 'dispatches', id, 'review is not a confirmation' FROM x JOIN e ON review = event_id::VARCHAR WHERE decision <> 'confirm'
+UNION ALL SELECT 'acquisition_jobs', id, '(source, provider_product_id) is not unique' FROM j WHERE id > first""")
+def _(spark, d):
+    e = T.table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "reject").otherwise("postpone").alias("decision"))
+    rows = {
+        "scores": e.where("user_id % 10 <> 0").select("user_id").distinct().selectExpr("concat('s', user_id) AS score_id", "'r' AS run_id", "0.5D AS hazard_score", "0.5D AS exposure_priority", "user_id % 12 / 10D AS confidence", "'watch' AS severity", "'[]' AS reasons_json"),
+        "reviews": e.selectExpr("string(event_id) AS review_id", "concat('s', user_id) AS score_id", "'r' AS reviewer", "decision"),
+        "dispatches": e.where("event_id % 5 = 0").selectExpr("concat('d', event_id) AS dispatch_id", "IF(event_id % 35 = 0, 'none', string(event_id)) AS review_id", "int(event_id % 300) AS payload_bytes", *[f"'x' AS {c}" for c in ("alert_id", "geofence_id", "payload", "channel", "recipient_group")]),
+        "acquisition_jobs": e.selectExpr("concat('j', event_id) AS job_id", "'s1' AS source", "string(user_id) AS provider_product_id", "'ready' AS status"),
+    }
+    return K.broken_rules(rows)
+
+
 _SURVEY_SQL = """
 WITH s AS (SELECT 'Lake-' || p_size AS lake, CASE WHEN p_size % 4 <> 0 THEN DATE '2020-01-01' + p_size::INT END AS surveyed, 27 + p_partkey % 100 / 50.0::DOUBLE AS lat, 84 + p_partkey % 70 / 2.0::DOUBLE AS lon, p_partkey % 40 - 4.0::DOUBLE AS depth FROM part WHERE p_partkey % 6 <> 0),
 k AS (SELECT * FROM s WHERE depth > 0 AND lon BETWEEN 80 AND 105 AND lat BETWEEN 25 AND 36)"""

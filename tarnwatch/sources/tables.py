@@ -5,33 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of the operational tables, with the rules that a row must meet.
-TABLES = {
-    "basins": ("basin_id string, name string, boundary_geojson string, crs string, created_at string", ("basin_id", "name", "boundary_geojson"), ()),
-    "observations": (
-        "observation_id string, basin_id string, acquired_at string, source string, raster_uri string, quality_score double, cloud_fraction double, water_area_km2 double, status string",
-        ("observation_id", "basin_id", "acquired_at", "source", "raster_uri"), ("cloud_fraction IS NULL OR cloud_fraction BETWEEN 0 AND 1", "quality_score IS NULL OR quality_score BETWEEN 0 AND 1"),
-    ),
-    "runs": ("run_id string, observation_id string, processing_version string, corridor_geojson string, change_stats_json string, started_at string, finished_at string", ("run_id", "observation_id", "processing_version"), ()),
-    "scores": (
-        "score_id string, run_id string, hazard_score double, exposure_priority double, disease_risk double, confidence double, severity string", ("score_id", "run_id", "hazard_score", "exposure_priority", "confidence", "severity"),
-        ("severity IN ('informational', 'watch', 'elevated', 'critical')", "confidence BETWEEN 0 AND 1"),
-    ),
-    "assets": ("asset_id string, basin_id string, asset_type string, name string, geometry_geojson string, population long", ("asset_id", "basin_id", "asset_type"), ()),
-    "exposures": ("run_id string, asset_id string, distance_m double, buffer_m double, inundated boolean", ("run_id", "asset_id"), ()),
-    "reviews": ("review_id string, run_id string, reviewer string, decision string, note string, decided_at string", ("review_id", "run_id", "reviewer", "decision"), ()),
-    "dispatches": ("dispatch_id string, run_id string, channel string, payload_json string, payload_bytes int, dispatched_at string", ("dispatch_id", "run_id"), ("payload_bytes <= 250",)),
-    "audit_log": ("entry_id long, entity string, action string, detail_json string, created_at string", ("entry_id", "action"), ()),
-    "acquisition_jobs": ("job_id string, source string, product string, status string, local_path string, last_error string, attempts int", ("job_id", "source", "status"), ()),
-}
+from tarnwatch.functions.projection import degrees_from_utm
+from tarnwatch.sources.keyed import TABLES, typed_rows
 
 
 def operational_rows(documents: DataFrame, table: str) -> DataFrame:
-    """SRC-16: (json) records as rows of a table, each with the list of rules that it breaks (empty for a good row)."""
-    schema, required, rules = TABLES[table]
-    rows = documents.select(F.from_json("json", schema).alias("r")).select("r.*")
-    broken = [F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in required] + [F.when(~F.coalesce(F.expr(r), F.lit(False)), F.lit(r)) for r in rules]
-    return rows.withColumn("broken", F.array_compact(F.array(*broken)))
+    """SRC-16: (json) records as rows of a table, each with the list of its own rules that it breaks (empty for a good row)."""
+    t = TABLES[table]
+    broken = [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in (t.key, *t.required)] + [F.when(~F.coalesce(F.expr(r), F.lit(False)), F.lit(r)) for r in t.rules]
+    return typed_rows(documents, table).withColumn("broken", F.array_compact(F.array(*broken)))
 
 
 #: West, east, south, north of the surveys' area.
@@ -54,6 +36,14 @@ def survey_points(rows: DataFrame) -> DataFrame:
     return out.where((F.col("depth") > 0) & (F.col("lat") != 0) & (F.col("lon") != 0) & F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 
+def survey_points(rows: DataFrame, zone: int = 45) -> DataFrame:
+    """SRC-09: (lake, surveyed, depth, lat, lon, east, north) soundings as places in degrees; metres of a UTM zone where degrees are missing, and only depths above 0."""
+    lat, lon = degrees_from_utm(F.col("east"), F.col("north"), zone)
+    depth = F.col("depth").try_cast("double")
+    placed = rows.select("lake", "surveyed", depth.alias("depth"), F.coalesce("lat", lat).alias("lat"), F.coalesce("lon", lon).alias("lon"))
+    return placed.where((F.col("depth") > 0) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+
+
 def survey_records(points: DataFrame) -> DataFrame:
     """SRC-09: count, depths and bounds of each lake's survey."""
     return points.groupBy("lake", "surveyed").agg(
