@@ -49,6 +49,11 @@ def threshold_sweep(rows: DataFrame, thresholds: Sequence[float], chip: str, gat
     return confusion_metrics(pooled).withColumn("passed", F.col("iou") > gate)
 
 
+def best_by_iou(sweep: DataFrame) -> DataFrame:
+    """EV-02: the row of a sweep with the largest pooled IoU, the lowest threshold of equal ones. A sweep has one short row for each threshold."""
+    return sweep.orderBy(F.desc("iou"), "tau").limit(1)
+
+
 def event_metrics(rows: DataFrame, event: str, chip: str) -> DataFrame:
     """EV-03: before and after a filter, for each chip, event and all; (event, chip, truth, before, after)."""
     cut = lambda p: [F.count_if(F.col("truth") & F.col(p)), F.count_if(~F.col("truth") & F.col(p)), F.count_if(F.col("truth") & ~F.col(p))]

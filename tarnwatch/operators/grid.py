@@ -7,6 +7,7 @@ are full rectangles; ``keys`` (scene, tile) partition them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,6 +158,13 @@ def nearest_sample(points: DataFrame, cells: DataFrame, value: str, *, x0: float
     return at.join(cells.select("r", "c", value), ["r", "c"], "left").withColumn(value, F.coalesce(value, F.lit(float(fill))))
 
 
+def clipped_sample(points: DataFrame, cells: DataFrame, value: str, *, x0: float, y0: float, step: float, shape: tuple[int, int]) -> DataFrame:
+    """GR-14: value of the cell that each (id, x, y) lies in, from the grid's upper left corner; the nearest edge cell for places beyond the grid."""
+    inside = lambda v, n: F.least(F.greatest(v.cast("long"), F.lit(0)), F.lit(n - 1))
+    at = points.withColumns({"c": inside((F.col("x") - x0) / step, shape[1]), "r": inside((y0 - F.col("y")) / step, shape[0])})
+    return at.join(cells.select("r", "c", value), ["r", "c"], "left")
+
+
 def resize_nearest(cells: DataFrame, value: str, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
     """GR-20: each cell of the new grid takes floor(i * source / target)."""
     spark = cells.sparkSession
@@ -248,8 +256,15 @@ def windowed_fraction(cells: DataFrame, water: Column, valid: Column, half: int)
     return out.select("r", "c", F.coalesce(F.col("w") / F.nullif(F.col("v"), F.lit(0)), F.lit(0.0)).alias("water"), (F.col("v") / F.col("k")).alias("valid"))
 
 
+def cell_area_km2(width: float, height: float, south: float | None = None, north: float | None = None) -> float:
+    """FN-12: area of a cell in metres, or in degrees where the grid's southern and northern bounds are given: that at the middle latitude."""
+    if south is None or north is None:
+        return abs(width * height) / 1e6
+    return abs(width) * DEGREE_M[0] * math.cos(math.radians((south + north) / 2)) * abs(height) * DEGREE_M[1] / 1e6
+
+
 def change_stats(mask: DataFrame, keys: Sequence[str], true: Column, cell_km2: float) -> DataFrame:
-    """GR-29"""
+    """GR-29: true cells and their area; see ``cell_area_km2`` for grids in degrees."""
     return mask.groupBy(*keys).agg(F.count_if(true).alias("cells")).withColumn("km2", F.col("cells") * cell_km2)
 
 

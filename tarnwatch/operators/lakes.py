@@ -166,12 +166,12 @@ def lake_grid_positions(lakes: DataFrame, geolocation: DataFrame, radius: float)
     return edges_near(lakes.select("id", "x", "y"), cells, radius).groupBy("id").agg(best.alias("b")).select("id", "b.r", "b.c")
 
 
-def refined_labels(scenes: DataFrame, inventory: DataFrame, cells: DataFrame, *, least_valid: float = 0.5, water: float = 0.5, eroded: int = 2) -> DataFrame:
-    """GR-39: label of each cell (r, c) by the scene nearest in time that sees it, else by the eroded inventory.
+def refined_labels(scenes: DataFrame, inventory: DataFrame, cells: DataFrame, *, least_valid: float = 0.5, water: float = 0.5, eroded: int = 2, most_days: int = 21) -> DataFrame:
+    """GR-39: label of each cell (r, c) by the scene nearest in time that sees it, within ``most_days``, else by the eroded inventory.
 
     ``scenes``: (r, c, days, scene, water, valid) with shares of each scene's window; ``inventory``: (r, c) of lake cells.
     """
-    seen = F.col("valid") >= least_valid
+    seen = (F.col("valid") >= least_valid) & (F.col("days") <= most_days)
     nearest = scenes.where(seen).groupBy("r", "c").agg(F.min(F.struct("days", "scene", "water")).alias("b")).select("r", "c", (F.col("b.water") > water).cast("int").alias("label"), F.lit("scene").alias("source"))
     fallback = erode(inventory, eroded).select("r", "c", F.lit(1).alias("_f"))
     out = cells.select("r", "c").join(nearest, ["r", "c"], "left").join(fallback, ["r", "c"], "left")

@@ -1,12 +1,15 @@
-"""Registered queries of outlines and filled terrain, with their SQL."""
+"""Registered queries of outlines, filled terrain, samples and areas, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnwatch.operators import evaluation as E
+from tarnwatch.operators import grid as G
 from tarnwatch.operators import outlines as O
 from tarnwatch.operators import terrain as H
 from tarnwatch.plans import standins as T
+from tarnwatch.plans.evaluations import rounded
 from tarnwatch.plans.grids import WIDTH
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -66,3 +69,26 @@ def _(spark, d):
 @query("spill_levels")
 def _(spark, d):
     return H.fill_depressions(T.cells(spark, d).select("r", "c", F.col("a").alias("z")), gradient=0, tile=64)
+
+
+@query("clipped_sample", T.with_("cells") + f"""
+, p AS (SELECT c_custkey AS id, (c_custkey * 7 % 1300) / 10.0::DOUBLE - 9 AS x, (c_custkey * 11 % 1300) / 10.0::DOUBLE AS y FROM customer), m AS (SELECT max(r) AS h FROM cells),
+q AS (SELECT id, least(greatest(trunc(x)::BIGINT, 0), {WIDTH} - 1) AS c, least(greatest(trunc(120 - y)::BIGINT, 0), h) AS r FROM p, m) SELECT id, a FROM q LEFT JOIN cells USING (r, c)""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    p = T.table(spark, d, "customer").select(k.alias("id"), ((k * 7 % 1300) / 10.0 - 9).alias("x"), ((k * 11 % 1300) / 10.0).alias("y"))
+    return G.clipped_sample(p, T.cells(spark, d), "a", x0=0.0, y0=120.0, step=1.0, shape=T.shape(spark, d)).select("id", "a")
+
+
+@query("degree_change_stats", T.with_("cells") + """
+SELECT r // 10 AS scene, count(*) FILTER (WHERE a > 60) AS cells, round(count(*) FILTER (WHERE a > 60) * (0.001 * 111320 * cos(radians(27.9)) * 0.001 * 110540 / 1000000), 9) AS km2 FROM cells GROUP BY 1""")
+def _(spark, d):
+    scenes = T.cells(spark, d).withColumn("scene", F.floor(F.col("r") / 10))
+    return rounded(G.change_stats(scenes, ["scene"], F.col("a") > 60, G.cell_area_km2(0.001, 0.001, 27.8, 28.0)), "km2")
+
+
+@query("best_by_iou", T.with_("scores") + """
+, c AS (SELECT tau, count(*) FILTER (WHERE label = 1 AND score >= tau) AS tp, count(*) FILTER (WHERE label <> 1 AND score >= tau) AS fp, count(*) FILTER (WHERE label = 1 AND score < tau) AS fn FROM scores, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS tau) GROUP BY tau)
+SELECT tau, round(tp / (tp + fp + fn), 9) AS iou FROM c ORDER BY tp / (tp + fp + fn) DESC, tau LIMIT 1""")
+def _(spark, d):
+    return rounded(E.best_by_iou(E.threshold_sweep(T.scores(spark, d), [0.1, 0.3, 0.5, 0.7, 0.9], "block")), "iou").select("tau", "iou")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tarnwatch.operators import outlines, quantiles, spatial, terrain
+from tarnwatch.operators import grid, ledger, outlines, quantiles, scoring, spatial, terrain
 
 WIDTH = 30
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -176,3 +176,30 @@ def test_quantiles_of_skewed_groups(spark, monkeypatch):
     whole = quantiles.grouped_quantiles(df.where("k = 'all'"), [], {"x": "a"}, [0.25]).head().x
     assert whole == df.where("k = 'all'").agg(F.percentile("a", F.array(F.lit(0.25)))).head()[0]
     assert quantiles.grouped_quantiles(df.where("k = '-'"), ["k"], {"x": "a"}, [0.5]).count() == 0
+
+
+def test_a_surface_that_rises_to_the_north_leans_south(spark):
+    """Rows go south: z falls with the row, at 45 degrees."""
+    df = spark.createDataFrame([(r, c, 30.0 * (4 - r)) for r in range(5) for c in range(5)], "r int, c int, z double")
+    s = grid.slope_degrees(df, 30.0)
+    north, south = (grid.local_incidence_cos(F.col("nx"), F.col("ny"), F.col("nz"), 45.0, a) for a in (0.0, 180.0))
+    for r in s.select("nx", "ny", "nz", "slope", north.alias("from_north"), south.alias("from_south")).collect():
+        assert (r.nx, r.slope) == (0.0, pytest.approx(45)) and r.ny == pytest.approx(-math.sqrt(0.5)) and r.nz == pytest.approx(math.sqrt(0.5))
+        assert r.from_north == pytest.approx(0, abs=1e-12) and r.from_south == pytest.approx(1)
+
+
+def test_sectors_by_hand(spark):
+    rows = [
+        (1, 11, 1, "village", 400, 30.0, 100.0, False), (1, 12, 2, "village", 900, 50.0, 100.0, False), (1, 13, 3, "settlement", 5000, 40.0, 100.0, False), (1, 14, 4, "village", 100, None, 100.0, False),
+        (1, 20, 5, "well", None, 40.0, 100.0, True), (1, 21, 6, "well", 70, 1.0, 100.0, False), (1, 22, 7, "well", 0, None, 100.0, False), (1, 23, 8, "well", 0, 9000.0, 100.0, False),
+        (1, 30, 9, "road", None, 10.0, 50.0, True), (2, 40, 1, "well", 60, 5.0, 100.0, False),
+    ]
+    e = spark.createDataFrame(rows, "run_id long, asset_id long, line int, asset_type string, population long, distance_m double, buffer_m double, inundated boolean").repartition(3)
+    # 20 lies between both villages: the first line; 22 has no distance: the smallest; 23 is nearest to the one without
+    assert {r.well: r.served for r in scoring.served_population(e).collect()} == {20: 400, 21: 70, 22: 100, 23: 100, 40: 0}
+    roll = {r.run_id: r for r in scoring.exposure_rollup(e, default_population=1240).collect()}
+    assert (roll[1].population, roll[1].settlements, roll[2].population) == (5000, 4, 1240)
+    ranked = ledger.rank_sectors(scoring.rescue_sectors(e)).where("run_id = 1").orderBy("rank").collect()
+    assert [(r.sector, r.population) for r in ranked] == [("village-12-2", 900), ("access-routes", 1400), ("water-points", 670), ("village-11-1", 400), ("village-14-4", 100)]
+    same = scoring.rescue_sectors(e.withColumn("population", F.lit(0)))
+    assert [r.sector for r in ledger.rank_sectors(same).where("run_id = 1").orderBy("rank").collect()] == ["village-11-1", "village-12-2", "village-14-4", "water-points", "access-routes"]
