@@ -303,4 +303,5 @@ def _links_in_buckets(members: DataFrame, sets: DataFrame, percent: int, scratch
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs)
-    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    # two rows of one id may both be its component's; ``kept_row`` tells which of them stays
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("kept").alias("kept_row"))
