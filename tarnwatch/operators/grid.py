@@ -324,9 +324,12 @@ def first_valid_label(classes: DataFrame, fill: int = 255) -> DataFrame:
     return classes.groupBy("r", "c").agg(F.coalesce(F.min_by(F.when(clear, F.col("kind")), F.when(clear, F.col("priority"))), F.lit(fill)).alias("label"))
 
 
-def candidate_label(kind: Column, index: Column, threshold: float) -> Column:
-    """GR-40"""
-    return F.when(~kind.isin(0, 1), 255).when(index > threshold, 1).otherwise(0)
+def candidate_label(kind: Column, index: Column, threshold: float, *, clear: Sequence[int] = (0, 1), snow: Column | None = None, most_snow: float | None = None) -> Column:
+    """GR-40: 255 where the class is not a clear one, 1 where the water index is above the threshold and the snow index (if given) below its limit, else 0."""
+    water = index > threshold
+    if snow is not None and most_snow is not None:
+        water = water & F.coalesce(snow < most_snow, F.lit(False))
+    return F.when(~F.coalesce(kind.isin(*clear), F.lit(False)), 255).when(F.coalesce(water, F.lit(False)), 1).otherwise(0)
 
 
 def weak_label(rules: Sequence[tuple[Column, int]], default: int = 0) -> Column:

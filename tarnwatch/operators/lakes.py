@@ -178,6 +178,25 @@ def refined_labels(scenes: DataFrame, inventory: DataFrame, cells: DataFrame, *,
     return out.select("r", "c", F.coalesce("label", "_f", F.lit(0)).alias("label"), F.coalesce("source", F.lit("inventory")).alias("source"))
 
 
+def region_label(labels: DataFrame, region: DataFrame, buffer: float, side: float) -> DataFrame:
+    """GR-40: labels of cells (r, c, x, y, label) in or within ``buffer`` of a region (poly and its edges); 255 elsewhere.
+
+    ``side`` is that of the squares in which the region's cover is built.
+    """
+    places = labels.select(F.struct("r", "c").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    near = polygon_parity(places, region, side).select("id").unionByName(edges_near(places, region.select("x1", "y1", "x2", "y2"), buffer).select("id")).distinct()
+    found = labels.join(near.select("id.r", "id.c", F.lit(True).alias("_in")), ["r", "c"], "left")
+    return found.withColumn("label", F.when(F.col("_in"), F.col("label")).otherwise(255)).drop("_in")
+
+
+def edited_label(labels: DataFrame, include: DataFrame, exclude: DataFrame, side: float) -> DataFrame:
+    """GR-40: labels of cells (r, c, x, y, label) after an analyst's polygons (poly and its edges): 1 within the first ones, then 0 within the others."""
+    places = labels.select(F.struct("r", "c").alias("id"), "x", "y")
+    marks = [polygon_parity(places, edges, side).select("id.r", "id.c").distinct().withColumn(name, F.lit(True)) for edges, name in ((include, "_on"), (exclude, "_off"))]
+    found = labels.join(marks[0], ["r", "c"], "left").join(marks[1], ["r", "c"], "left")
+    return found.withColumn("label", F.when(F.col("_off"), 0).when(F.col("_on"), 1).otherwise(F.col("label"))).drop("_on", "_off")
+
+
 def arrival_time(cells: DataFrame, keys: Sequence[str], cell_m: float) -> DataFrame:
     """SC-20: minutes from the highest cell of each scene, at the speed of a shallow wave between 7 and 10 m/s; cells (keys, r, c, z, depth)."""
     source = cells.groupBy(*keys).agg(F.min(F.struct((-F.col("z")).alias("k"), "r", "c")).alias("s")).select(*keys, F.col("s.r").alias("_r"), F.col("s.c").alias("_c"))

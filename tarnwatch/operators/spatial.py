@@ -238,6 +238,18 @@ def scene_date_candidates(wanted: DataFrame, scenes: DataFrame, days: int = 7, k
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("want_id", "scene_id", "cloud", "off", "rank")
 
 
+def scene_date_status(wanted: DataFrame, candidates: DataFrame, most_cloud: float = 30.0) -> DataFrame:
+    """JN-09: one row for each wanted date with its best scene, from ``scene_date_candidates``.
+
+    ``status`` is found or no_scenes, ``clear`` whether the best scene's cloud
+    is within the limit (null without a scene), ``fallbacks`` how many follow it.
+    """
+    best = candidates.where("rank = 1").select("want_id", "scene_id", "cloud", "off")
+    others = candidates.groupBy("want_id").agg((F.count("*") - 1).alias("fallbacks"))
+    found = wanted.select("want_id").join(best, "want_id", "left").join(others, "want_id", "left")
+    return found.select("want_id", F.when(F.col("scene_id").isNull(), "no_scenes").otherwise("found").alias("status"), "scene_id", "cloud", "off", (F.col("cloud") <= most_cloud).alias("clear"), F.coalesce("fallbacks", F.lit(0)).alias("fallbacks"))
+
+
 def scene_pair_pick(scenes: DataFrame, key: str, target_days: int, most_days: int) -> DataFrame:
     """JN-14: the pair of a key's scenes whose gap is nearest to the target; the earliest pair wins ties."""
     span = lambda d: F.floor(F.unix_date(d) / most_days)

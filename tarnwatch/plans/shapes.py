@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tarnwatch.operators import evaluation as E
 from tarnwatch.operators import grid as G
+from tarnwatch.operators import lakes as L
 from tarnwatch.operators import outlines as O
+from tarnwatch.operators import spatial as P
 from tarnwatch.operators import terrain as H
 from tarnwatch.plans import standins as T
 from tarnwatch.plans.evaluations import rounded
@@ -92,3 +94,31 @@ def _(spark, d):
 SELECT tau, round(tp / (tp + fp + fn), 9) AS iou FROM c ORDER BY tp / (tp + fp + fn) DESC, tau LIMIT 1""")
 def _(spark, d):
     return rounded(E.best_by_iou(E.threshold_sweep(T.scores(spark, d), [0.1, 0.3, 0.5, 0.7, 0.9], "block")), "iou").select("tau", "iou")
+
+
+_STATUS = """
+, w AS (SELECT event_id, event_date + (event_id % 3 * 1200)::INT AS day FROM catalogue),
+f AS (SELECT event_id AS want_id, observation_id AS scene_id, cloud_fraction * 100 AS cloud, abs(acquired_at - day)::INT AS off FROM w JOIN observations ON acquired_at BETWEEN day - 7 AND day + 7),
+k AS (SELECT *, row_number() OVER (PARTITION BY want_id ORDER BY cloud, off, scene_id) AS rank FROM f QUALIFY rank <= 6)
+SELECT event_id AS want_id, CASE WHEN min(scene_id) IS NULL THEN 'no_scenes' ELSE 'found' END AS status, min(scene_id) FILTER (rank = 1) AS scene_id, min(cloud) FILTER (rank = 1) AS cloud, min(off) FILTER (rank = 1) AS off,
+  min(cloud) FILTER (rank = 1) <= 30 AS clear, greatest(count(scene_id) - 1, 0) AS fallbacks FROM w LEFT JOIN k ON want_id = event_id GROUP BY event_id"""
+
+
+@query("scene_date_status", T.with_("catalogue", "observations") + _STATUS)
+def _(spark, d):
+    """Some dates lie after the last scene."""
+    w = T.catalogue(spark, d).selectExpr("event_id AS want_id", "date_add(event_date, int(event_id % 3 * 1200)) AS day")
+    s = T.observations(spark, d).selectExpr("observation_id AS scene_id", "cloud_fraction * 100 AS cloud", "acquired_at AS taken")
+    return P.scene_date_status(w, P.scene_date_candidates(w, s))
+
+
+@query("region_and_edits", T.with_("cells") + """
+, l AS (SELECT r, c, CASE WHEN (b % 7)::INT NOT IN (0, 1, 2, 3) THEN 255 WHEN a > 60 AND b < 80 THEN 1 ELSE 0 END AS label, c::DOUBLE AS x, r::DOUBLE AS y FROM cells),
+g AS (SELECT *, sqrt(pow(greatest(10.3 - x, 0, x - 60.3), 2) + pow(greatest(20.3 - y, 0, y - 70.3), 2)) <= 5 AS near FROM l)
+SELECT r, c, CASE WHEN x BETWEEN 30.4 AND 50.4 AND y BETWEEN 30.4 AND 80.4 THEN 0 WHEN x BETWEEN 5.4 AND 40.4 AND y BETWEEN 25.4 AND 40.4 THEN 1 WHEN near THEN label ELSE 255 END AS label FROM g""")
+def _(spark, d):
+    a, b = F.col("a"), F.col("b")
+    labels = T.cells(spark, d).select("r", "c", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), G.candidate_label((b % 7).cast("int"), a, 60, clear=(0, 1, 2, 3), snow=b, most_snow=80).alias("label"))
+    box = lambda w, s, e, n: spark.createDataFrame([(1, w, s, e, s), (1, e, s, e, n), (1, e, n, w, n), (1, w, n, w, s)], "poly int, x1 double, y1 double, x2 double, y2 double")
+    inside = L.region_label(labels, box(10.3, 20.3, 60.3, 70.3), 5.0, 4.0)
+    return L.edited_label(inside, box(5.4, 25.4, 40.4, 40.4), box(30.4, 30.4, 50.4, 80.4), 4.0).select("r", "c", "label")
