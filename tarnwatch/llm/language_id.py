@@ -126,6 +126,11 @@ def identify(
     rejected are texts without any trigram (null, empty, no letters), texts
     likelier to be random bytes than a language, and posteriors below
     ``least``. Missing evidence is neutral; repeated rows get equal results.
+    Trigrams of a text depend on each other, so a text of more than
+    ``MOST_EVIDENCE`` of them counts as so many: its likelihood is the mean one
+    of a trigram to that power, over the whole text. Ties go to the first of
+    ``languages``. Long texts are read whole, in parts; an empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
     scratch = Scratch(df.sparkSession, "language")
     none = F.lit(None).cast("string")

@@ -140,10 +140,10 @@ def fit(chosen: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndar
     return Model(chosen, w[:k], float(w[k]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, seed: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, seed: int = 5, positives: int = POSITIVES, others: int = UNLABELLED) -> DataFrame:
     """Scores every text: doc_id, held_out, score (0 to 1, higher is likelier toxic), predicted.
 
-    Learns from up to 4,000 documents labelled toxic and up to 12,000 others
+    Learns from up to ``positives`` documents labelled toxic and up to ``others``
     taken whatever their label, none of them held out. The class prior is the
     labelled share of toxic documents that are not held out. Tasks hash their
     texts' words and word beginnings into 2^20 buckets and count them; one
@@ -165,10 +165,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3
     marked = scratch.cut(marked.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("toxic")), "marked")
     n, toxic = marked.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     prior = min(0.9, max(1e-3, (toxic or 0) / max(n, 1)))
-    positive = seeded_sample(marked.where("toxic").select("id"), POSITIVES, seed).withColumn("positive", F.lit(True))
+    positive = seeded_sample(marked.where("toxic").select("id"), positives, seed).withColumn("positive", F.lit(True))
     ids = texts.where("not held_out").select(F.col("doc_id").alias("id"))
-    unlabelled = seeded_sample(ids, UNLABELLED, seed + 1).withColumn("positive", F.lit(False))
-    sample = scratch.cut(positive.union(unlabelled), "sample")  # 16,000 rows at most
+    unlabelled = seeded_sample(ids, others, seed + 1).withColumn("positive", F.lit(False))
+    sample = scratch.cut(positive.union(unlabelled), "sample")  # positives + others rows at most
     taken = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("positive", "text")
     taken = scratch.cut(taken.mapInArrow(_distinct, "positive boolean, key long, buckets array<int>"), "features")
     taken = scratch.cut(taken.groupBy("positive", "key").agg(F.min("buckets").alias("buckets")), "without-copies")
