@@ -61,7 +61,7 @@ def multilook(cells: DataFrame, *values: str, size: int = 5, keys: Sequence[str]
     out = cells.select(*keys, "r", "c", *values)
     for axis, other in (("c", "r"), ("r", "c")):
         last = out.groupBy(*keys).agg(F.max(axis).alias("_last"))
-        wide = out.join(F.broadcast(last), list(keys)) if keys else out.join(F.broadcast(last), F.lit(True))
+        wide = out.join(last, list(keys)) if keys else out.join(F.broadcast(last), F.lit(True))
         x = F.col(axis)
         copies = F.array_compact(F.array(F.struct(x.alias("at"), F.lit(True).alias("own")), F.when(x < h, F.struct((-1 - x).alias("at"), F.lit(False).alias("own"))), F.when(x > F.col("_last") - h, F.struct((2 * F.col("_last") + 1 - x).alias("at"), F.lit(False).alias("own")))))
         wide = wide.select(*keys, other, F.inline(copies), *values)

@@ -202,7 +202,7 @@ def arrival_time(cells: DataFrame, keys: Sequence[str], cell_m: float) -> DataFr
     source = cells.groupBy(*keys).agg(F.min(F.struct((-F.col("z")).alias("k"), "r", "c")).alias("s")).select(*keys, F.col("s.r").alias("_r"), F.col("s.c").alias("_c"))
     dr, dc = F.col("r") - F.col("_r"), F.col("c") - F.col("_c")
     speed = F.greatest(F.lit(7.0), F.least(F.lit(10.0), F.sqrt(9.81 * F.greatest(F.col("depth"), F.lit(0.1)))))
-    return cells.join(F.broadcast(source), list(keys)).select(*keys, "r", "c", (F.sqrt((dr * dr + dc * dc).cast("double")) * cell_m / speed / 60.0).alias("minutes"))
+    return cells.join(source, list(keys)).select(*keys, "r", "c", (F.sqrt((dr * dr + dc * dc).cast("double")) * cell_m / speed / 60.0).alias("minutes"))
 
 
 def sector_times(times: DataFrame, sectors: DataFrame, keys: Sequence[str]) -> DataFrame:

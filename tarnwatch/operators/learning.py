@@ -188,7 +188,7 @@ def isotonic_fit(scores: DataFrame) -> list[tuple[float, float]]:
 def residual_features(rows: DataFrame, kind: str, least: int = 5) -> DataFrame:
     """ML-09: log area and a kind whose rare values are one."""
     by = rows.groupBy(kind).agg(F.count("*").alias("_n"))
-    return rows.join(F.broadcast(by), kind).withColumns({"log_area": F.log("area"), kind: F.when(F.col("_n") >= least, F.col(kind)).otherwise("other")}).drop("_n")
+    return rows.join(by, kind).withColumns({"log_area": F.log("area"), kind: F.when(F.col("_n") >= least, F.col(kind)).otherwise("other")}).drop("_n")
 
 
 def residual_ridge(rows: DataFrame, features: Sequence[str], law: str, truth: str, penalty: float = 1.0) -> DataFrame:
