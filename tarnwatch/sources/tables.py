@@ -36,7 +36,7 @@ def survey_points(rows: DataFrame) -> DataFrame:
     return out.where((F.col("depth") > 0) & (F.col("lat") != 0) & (F.col("lon") != 0) & F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 
-def survey_points(rows: DataFrame, zone: int = 45) -> DataFrame:
+def projected_survey_points(rows: DataFrame, zone: int = 45) -> DataFrame:
     """SRC-09: (lake, surveyed, depth, lat, lon, east, north) soundings as places in degrees; metres of a UTM zone where degrees are missing, and only depths above 0."""
     lat, lon = degrees_from_utm(F.col("east"), F.col("north"), zone)
     depth = F.col("depth").try_cast("double")

@@ -48,7 +48,7 @@ def test_projection_within_a_millimetre(spark):
 def test_survey_points_take_metres(spark):
     e, n = integrated(27.898, 86.925, 45)
     rows = [("a", "2002", "12.5", None, None, e, n), ("a", "2002", "3", 27.9, 86.9, None, None), ("a", "2002", "x", 27.9, 86.9, None, None), ("a", "2002", "4", None, None, None, n), ("a", "2002", "-1", 27.9, 86.9, None, None)]
-    found = tables.survey_points(spark.createDataFrame(rows, "lake string, surveyed string, depth string, lat double, lon double, east double, north double")).orderBy("depth").collect()
+    found = tables.projected_survey_points(spark.createDataFrame(rows, "lake string, surveyed string, depth string, lat double, lon double, east double, north double")).orderBy("depth").collect()
     assert [r.depth for r in found] == [3.0, 12.5] and abs(found[1].lat - 27.898) < 1e-8 and abs(found[1].lon - 86.925) < 1e-8
 
 
