@@ -6,7 +6,9 @@ grid squares whose side is the radius at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwatch.operators.spatial import polygon_parity
@@ -99,17 +101,182 @@ def segments_distance(a: list[Column], b: list[Column]) -> Column:
     return F.when(crossing, 0.0).otherwise(ends)
 
 
+def _meeting(pieces: DataFrame, edges: DataFrame, side: float) -> DataFrame:
+    """Pieces (px1, py1, px2, py2, ...) beside the edges whose squares touch theirs, each pair once: in the first square that they share."""
+    first = lambda a, b: F.floor(F.least(a, b) / side)
+    upto = lambda a, b: F.sequence(first(a, b) - 1, F.floor(F.greatest(a, b) / side) + 1)
+    p = pieces.withColumn("_sx", F.explode(upto("px1", "px2"))).withColumn("_sy", F.explode(upto("py1", "py2")))
+    both = p.join(_in_squares(edges, side), ["_sx", "_sy"])
+    own = lambda s, a, b: F.col(s) == F.greatest(first("p" + a, "p" + b) - 1, first(a, b))
+    return both.where(own("_sx", "x1", "x2") & own("_sy", "y1", "y2")).drop("_sx", "_sy")
+
+
+def _covered_line(x: Column, y: Column, ux: Column, uy: Column, edge: list[Column], radius: float) -> Column:
+    """Where a line from (x, y) along (ux, uy) is within the radius of an edge: one stretch, as what surrounds a segment is convex."""
+    x1, y1, x2, y2 = edge
+    length = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    ex, ey = F.when(length > 0, (x2 - x1) / length).otherwise(1.0), F.when(length > 0, (y2 - y1) / length).otherwise(0.0)
+
+    def disc(cx, cy):
+        along, off = (cx - x) * ux + (cy - y) * uy, (cx - x) * uy - (cy - y) * ux
+        half = F.when(F.abs(off) < radius, F.sqrt(F.greatest(F.lit(0.0), radius * radius - off * off)))
+        return along - half, along + half
+
+    def slab(at, slope, low, high):
+        level, by = F.abs(slope) < 1e-12, F.nullif(slope, F.lit(0.0))
+        everywhere = F.when((at >= low) & (at <= high), F.lit(1e300))
+        return F.when(level, -everywhere).otherwise(F.least((low - at) / by, (high - at) / by)), F.when(level, everywhere).otherwise(F.greatest((low - at) / by, (high - at) / by))
+
+    a = slab((x - x1) * ex + (y - y1) * ey, ux * ex + uy * ey, F.lit(0.0), length)
+    b = slab((x - x1) * ey - (y - y1) * ex, ux * ey - uy * ex, F.lit(-radius), F.lit(radius))
+    low, high = F.greatest(a[0], b[0]), F.least(a[1], b[1])
+    beside = a[0].isNotNull() & b[0].isNotNull() & (low < high)
+    one, two = disc(x1, y1), disc(x2, y2)
+    return F.struct(F.least(one[0], two[0], F.when(beside, low)).alias("s"), F.greatest(one[1], two[1], F.when(beside, high)).alias("e"))
+
+
+def _covered_circle(met: DataFrame, radius: float) -> DataFrame:
+    """(piece, s, e): angles of the circle around (cx, cy) that are nearer than the radius to the edge beside it, one arc.
+
+    A point q of the edge covers the arc that looks toward q; the outermost
+    angles are those of q beneath the places where the circle leaves the band
+    along the edge, or of the edge's ends.
+    """
+    c, turn = F.col, 2 * math.pi
+    dx, dy, w = c("x2") - c("x1"), c("y2") - c("y1"), c("_w")
+    m = met.withColumn("_w", F.sqrt(dx * dx + dy * dy)).withColumns({"_ex": F.when(w > 0, dx / w).otherwise(1.0), "_ey": F.when(w > 0, dy / w).otherwise(0.0)})
+    m = m.withColumns({"_off": (c("y1") - c("cy")) * c("_ex") - (c("x1") - c("cx")) * c("_ey"), "_a": (c("x1") - c("cx")) * c("_ex") + (c("y1") - c("cy")) * c("_ey")})
+    m = m.withColumn("_h", F.greatest(F.abs("_off"), F.lit(1e-12 * radius))).where(c("_h") < 2 * radius)
+    wide = F.sqrt(4 * radius * radius - c("_h") * c("_h"))
+    m = m.withColumns({"_s0": F.greatest(c("_a"), -wide), "_s1": F.least(c("_a") + w, wide), "_turn": F.sqrt(c("_h") * (2 * radius - c("_h")))})
+    # on the edge's own line its points near the centre tell no direction
+    least, on_line = 1e-6 * radius, c("_h") < 1e-7 * radius
+    m = m.withColumns({"_s0": F.when(on_line & (F.abs("_s0") <= least), least).otherwise(c("_s0")), "_s1": F.when(on_line & (F.abs("_s1") <= least), -least).otherwise(c("_s1"))}).where("_s0 <= _s1")
+    m = m.withColumns({"_low": F.greatest(c("_s0"), F.least(c("_s1"), -c("_turn"))), "_high": F.greatest(c("_s0"), F.least(c("_s1"), c("_turn")))})
+    half = lambda v: F.acos(F.least(F.lit(1.0), F.sqrt(c("_h") * c("_h") + c(v) * c(v)) / (2 * radius)))
+    m = m.withColumns({"_low": F.atan2(c("_low"), c("_h")) - half("_low"), "_high": F.atan2(c("_high"), c("_h")) + half("_high")})
+    # an edge to the left of its own direction turns angles from the normal backward
+    left = c("_off") >= 0
+    normal = F.when(left, F.atan2(c("_ex"), -c("_ey"))).otherwise(F.atan2(-c("_ex"), c("_ey")))
+    m = m.withColumn("s", F.pmod(F.when(left, normal - c("_high")).otherwise(normal + c("_low")), F.lit(turn)))
+    return m.select("piece", "s", (c("s") + F.least(c("_high") - c("_low"), F.lit(turn))).alias("e")).where("e > s")
+
+
+def _uncovered(pieces: DataFrame, spans: DataFrame) -> DataFrame:
+    """Stretches (s, e) between 0 and piece.whole of each piece that no span (piece, s, e) covers."""
+    whole = F.col("piece.whole")
+    rows = spans.select("piece", F.greatest("s", F.lit(0.0)).alias("s"), "e").where("e > s").unionByName(pieces.select("piece", whole.alias("s"), whole.alias("e")))
+    before = Window.partitionBy("piece").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = rows.select("piece", F.coalesce(F.max("e").over(before), F.lit(0.0)).alias("s"), F.least("s", whole).alias("e"))
+    return gaps.where("e > s")
+
+
+def corridor_outline(edges: DataFrame, radius: float) -> DataFrame:
+    """Outline of all that is within the radius of any edge (x1, y1, x2, y2), holes included, as unordered pieces.
+
+    A piece is straight (x1, y1, x2, y2; cx null), or an arc around (cx, cy)
+    from angle t0 to t1 with those ends. Sides of edges and circles around
+    their ends are the candidates; what other edges cover of each is a set of
+    stretches, and the gaps between them are the outline. Work grows with the
+    pairs of edges within two radii.
+    """
+    scratch = Scratch(edges.sparkSession, "outline")
+    e = scratch.cut(edges.select("x1", "y1", "x2", "y2").where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL").distinct(), "edges")
+    cols = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    ends = e.select("x1", "y1").union(e.select("x2", "y2")).distinct().toDF("cx", "cy")
+    circles = ends.select(F.struct("cx", "cy", F.lit(2 * math.pi).alias("whole")).alias("piece"), "cx", "cy", *[F.col(c).alias(p) for c, p in (("cx", "px1"), ("cy", "py1"), ("cx", "px2"), ("cy", "py2"))])
+    arcs = _covered_circle(_meeting(circles, e, 2 * radius), radius)
+    arcs = arcs.unionByName(arcs.select("piece", F.lit(0.0).alias("s"), (F.col("e") - 2 * math.pi).alias("e")))  # what runs over the zero angle
+    point = lambda t: (F.col("piece.cx") + radius * F.cos(t), F.col("piece.cy") + radius * F.sin(t))
+    a, b = point("s"), point("e")
+    round_ = _uncovered(circles, arcs).select(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"), F.col("piece.cx").alias("cx"), F.col("piece.cy").alias("cy"), F.col("s").alias("t0"), F.col("e").alias("t1"))
+
+    length = F.sqrt((cols[2] - cols[0]) * (cols[2] - cols[0]) + (cols[3] - cols[1]) * (cols[3] - cols[1]))
+    sides = e.withColumn("whole", length).where("whole > 0").withColumn("ux", (cols[2] - cols[0]) / F.col("whole")).withColumn("uy", (cols[3] - cols[1]) / F.col("whole"))
+    sides = sides.withColumn("to", F.explode(F.array(F.lit(radius), F.lit(-radius)))).select(
+        F.struct((cols[0] - F.col("uy") * F.col("to")).alias("x"), (cols[1] + F.col("ux") * F.col("to")).alias("y"), "ux", "uy", "whole").alias("piece"), *[c.alias("p" + n) for c, n in zip(cols, ("x1", "y1", "x2", "y2"), strict=True)]
+    )
+    at = [F.col(f"piece.{c}") for c in ("x", "y", "ux", "uy")]
+    lines = _meeting(sides, e, 2 * radius).select("piece", _covered_line(*at, cols, radius * (1 - 1e-9)).alias("span")).where("span.s IS NOT NULL").select("piece", "span.s", "span.e")
+    end = lambda t: (at[0] + F.col(t) * at[2], at[1] + F.col(t) * at[3])
+    a, b = end("s"), end("e")
+    none = F.lit(None).cast("double")
+    straight = _uncovered(sides, lines).select(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"), none.alias("cx"), none.alias("cy"), none.alias("t0"), none.alias("t1"))
+    return scratch.cut(straight.unionByName(round_), "outline")
+
+
+def _arc_distance(a: list[Column], radius: float) -> Column:
+    """From a segment to an arc (cx, cy, t0, t1 and its ends): 0 where they meet."""
+    x1, y1, x2, y2 = a
+    cx, cy, t0, t1 = [F.col(c) for c in ("cx", "cy", "t0", "t1")]
+    faces = lambda x, y: F.pmod(F.atan2(y - cy, x - cx) - t0, F.lit(2 * math.pi)) <= t1 - t0
+    off = lambda x, y: F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) - radius
+    dx, dy = x2 - x1, y2 - y1
+    q, b, c = F.nullif(dx * dx + dy * dy, F.lit(0.0)), (x1 - cx) * dx + (y1 - cy) * dy, (x1 - cx) * (x1 - cx) + (y1 - cy) * (y1 - cy) - radius * radius
+    root = F.sqrt(F.greatest(F.lit(0.0), b * b - q * c))
+    meets = lambda t: (t >= 0) & (t <= 1) & faces(x1 + t * dx, y1 + t * dy)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -b / q))  # nearest to the centre
+    nearest = F.when(q.isNotNull(), F.struct((x1 + t * dx).alias("x"), (y1 + t * dy).alias("y"))).otherwise(F.struct(x1.alias("x"), y1.alias("y")))
+    own = [F.when(faces(x, y), F.abs(off(x, y))) for x, y in ((x1, y1), (x2, y2), (nearest["x"], nearest["y"]))]
+    ends = [segment_distance(F.col(x), F.col(y), *a) for x, y in (("x1", "y1"), ("x2", "y2"))]
+    return F.when((b * b - q * c >= 0) & (meets((-b - root) / q) | meets((-b + root) / q)), 0.0).otherwise(F.least(*own, *ends))
+
+
+def nearest_outline(shapes: DataFrame, outline: DataFrame, radius: float) -> DataFrame:
+    """(id, distance) of each shape (id and its edges, a point is an edge of no length) to the nearest piece of an outline of the radius.
+
+    The search doubles its reach until every shape has met a piece.
+    """
+    scratch = Scratch(shapes.sparkSession, "bank")
+    names = ("x1", "y1", "x2", "y2")
+    left = scratch.cut(shapes.select("id", *[F.col(c).alias("p" + c) for c in names]), "left")
+    own, reach, found = [F.col("p" + c) for c in names], radius, None
+    # the box of a piece: an arc is looked for in all of its circle's
+    box = [F.when(F.col("cx").isNull(), F.col(n)).otherwise(F.col("c" + n[0]) + (radius if n[1] == "2" else -radius)) for n in names]
+    boxed = outline.select(F.struct(*outline.columns).alias("o"), *[b.alias(n) for b, n in zip(box, names, strict=True)])
+    if outline.isEmpty():
+        return left.select("id", F.lit(None).cast("double").alias("distance")).distinct()
+    while True:
+        near = _meeting(left, boxed, reach).select("id", *["p" + c for c in names], "o.*")
+        d = F.when(F.col("cx").isNull(), segments_distance(own, [F.col(c) for c in names])).otherwise(_arc_distance(own, radius))
+        met = scratch.cut(near.withColumn("d", d).where(F.col("d") <= reach).groupBy("id").agg(F.min("d").alias("distance")), "met")
+        found = met if found is None else found.unionByName(met)
+        left = scratch.cut(left.join(met, "id", "left_anti"), "left")
+        if left.isEmpty():
+            return found
+        reach *= 2
+
+
 def exposure_corridor(path: DataFrame, rivers: DataFrame, assets: DataFrame, *, buffer_m: float = 125.0, reach_m: float = 500.0, widest_m: float = 200.0) -> DataFrame:
-    """HY-09: assets (id, x, y, tolerance_m) whose tolerance meets the corridor, nearest to its edge first.
+    """HY-09: assets whose tolerance meets the corridor, with the distance to its edge, nearest first.
 
     Rivers (river and its edges) within ``reach_m`` of the flow path are the
     corridor with ``buffer_m`` on either side, or the path itself where there
-    is no such river. The distance is that to the corridor's edge, from inside
-    to the edge of the nearest river. ``widest_m`` bounds the tolerances.
+    is no such river. Assets are points (id, x, y, tolerance_m), or shapes
+    with a row for each edge (id, x1, y1, x2, y2, filled, tolerance_m); what
+    lies inside a filled one belongs to it. The distance is that to the
+    outline of the whole corridor, 0 where an asset crosses it. ``inside``
+    says that some part is in the corridor. ``widest_m`` bounds the tolerances.
     """
-    own, way = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"p{c}") for c in ("x1", "y1", "x2", "y2")]
-    near = _in_squares(rivers, reach_m).join(_in_squares(path, reach_m, 1).select("_sx", "_sy", *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")]), ["_sx", "_sy"])
-    reached = Scratch(path.sparkSession, "corridor").cut(near.where(segments_distance(own, way) <= reach_m).select("river").distinct(), "reached")
-    edges = path.select("x1", "y1", "x2", "y2") if reached.isEmpty() else rivers.join(reached, "river", "left_semi").select("x1", "y1", "x2", "y2")
-    met = edges_near(assets, edges, buffer_m + widest_m).groupBy("id", "tolerance_m").agg(F.min("distance").alias("d")).where(F.col("d") <= buffer_m + F.col("tolerance_m"))
-    return met.select("id", "tolerance_m", F.round(F.abs(F.col("d") - buffer_m), 1).alias("distance_m"), (F.col("d") <= buffer_m).alias("inside")).orderBy("distance_m", "id")
+    names = ("x1", "y1", "x2", "y2")
+    own, way = [F.col(c) for c in names], [F.col(f"p{c}") for c in names]
+    as_pieces = lambda df, *keep: df.select(*keep, *[F.col(c).alias("p" + c) for c in names])
+    scratch = Scratch(path.sparkSession, "corridor")
+    reached = scratch.cut(_meeting(as_pieces(path), rivers, reach_m).where(segments_distance(own, way) <= reach_m).select("river").distinct(), "reached")
+    edges = scratch.cut(path.select(*names) if reached.isEmpty() else rivers.join(reached, "river", "left_semi").select(*names), "edges")
+    if "x" in assets.columns:
+        assets = assets.selectExpr("id", "tolerance_m", "x AS x1", "y AS y1", "x AS x2", "y AS y2", "false AS filled")
+    filled = assets.where("filled").select(F.col("id").alias("poly"), *names)
+    holds = lambda points: polygon_parity(points, filled, buffer_m + widest_m).select(F.col("poly").alias("id")).distinct()
+    number = F.struct(*names).alias("id")
+
+    near = _meeting(as_pieces(assets, "id", "tolerance_m"), edges, buffer_m + widest_m).select("id", "tolerance_m", segments_distance(own, way).alias("d"))
+    around = holds(edges.select(number, F.col("x1").alias("x"), F.col("y1").alias("y"))).join(assets.select("id", "tolerance_m").distinct(), "id").withColumn("d", F.lit(0.0))
+    met = near.unionByName(around).groupBy("id", "tolerance_m").agg(F.min("d").alias("d")).where(F.col("d") <= buffer_m + F.col("tolerance_m"))
+    met = scratch.cut(met, "met")
+    outline = corridor_outline(edges, buffer_m)
+    far = nearest_outline(assets.join(met, "id", "left_semi"), outline, buffer_m)
+    crossed = holds(outline.select(number, F.col("x1").alias("x"), F.col("y1").alias("y"))).withColumn("_crossed", F.lit(True))
+    distance = F.when(F.col("_crossed"), 0.0).otherwise(F.col("distance"))
+    out = met.join(far, "id").join(crossed, "id", "left")
+    return out.select("id", "tolerance_m", F.round(distance, 1).alias("distance_m"), (F.col("d") <= buffer_m).alias("inside")).orderBy("distance_m", "id")
