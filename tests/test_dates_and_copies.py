@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tarnwatch.operators import spatial
+from tarnwatch.operators import corridor, scoring, spatial
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -67,3 +67,19 @@ def test_pair_of_days_with_many_scenes(spark):
         best = min((abs((u - t).days - 12), t, u, i, j) for i, t in own for j, u in own if 0 < (u - t).days <= 30)
         assert (row.off, row.first, row.second) == (best[0], best[3], best[4])
     assert most_rows(df) < 100  # pairs of scenes are a hundred thousand
+
+
+def test_a_well_listed_twice_is_one_row(spark):
+    rows = [(1, 11, 1, "village", 400, 30.0), (1, 12, 2, "village", 900, 50.0), (1, 20, 5, "well", 0, 44.0), (1, 20, 5, "well", 0, 31.0), (1, 21, 6, "well", 0, 49.0), (1, 21, 6, "well", 80, 31.0)]
+    e = spark.createDataFrame(rows, "run_id long, asset_id long, line int, asset_type string, population long, distance_m double").repartition(2)
+    assert sorted((r.well, r.line, r.served) for r in scoring.served_population(e).collect()) == [(20, 5, 400), (21, 6, 80)]
+
+
+def test_own_bank_of_a_point_below_two_corridors(spark):
+    rivers = spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 0.0), (2, 0.0, 100.0, 1000.0, 100.0)], "river int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 500.0, 10.0, 50.0), (2, 500.0, 250.0, 50.0), (3, 500.0, 300.0, 50.0)], "id int, x double, y double, tolerance_m double")
+    found = {own: {r.id: (r.distance_m, r.inside) for r in corridor.exposure_corridor(rivers.drop("river"), rivers, points, own_bank=own).collect()} for own in (True, False)}
+    assert found[True] == {1: (115.0, True), 2: (25.0, False)}
+    assert found[False] == {1: (135.0, True), 2: (25.0, False)}
+    with pytest.raises(ValueError):
+        corridor.exposure_corridor(rivers.drop("river"), rivers, points.selectExpr("id", "x AS x1", "y AS y1", "x AS x2", "y AS y2", "false AS filled", "tolerance_m"), own_bank=True)
