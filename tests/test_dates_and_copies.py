@@ -1,11 +1,12 @@
 """Rows that repeat a date or a place: results beside plain versions, and joins that do not grow with the square of the copies."""
 
 import datetime
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
-from tarnwatch.operators import corridor, scoring, spatial
+from tarnwatch.operators import corridor, grid, scoring, spatial
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -83,3 +84,50 @@ def test_own_bank_of_a_point_below_two_corridors(spark):
     assert found[False] == {1: (135.0, True), 2: (25.0, False)}
     with pytest.raises(ValueError):
         corridor.exposure_corridor(rivers.drop("river"), rivers, points.selectExpr("id", "x AS x1", "y AS y1", "x AS x2", "y AS y2", "false AS filled", "tolerance_m"), own_bank=True)
+
+
+def test_copies_of_places_and_shapes(spark):
+    r = random.Random(7)
+    spots = [(r.randrange(20) / 4, r.randrange(20) / 4) for _ in range(15)]
+    points = spark.createDataFrame([(i, *spots[i % 15]) for i in range(600)], "id int, x double, y double")
+    ring = lambda k, x, y: [(k, x, y, x + 1.1, y), (k, x + 1.1, y, x + 1.1, y + 0.7), (k, x + 1.1, y + 0.7, x, y + 0.7), (k, x, y + 0.7, x, y)]
+    corners = [(x - 0.3, y - 0.2) for x, y in spots[:4]]
+    edges = spark.createDataFrame([e for k in range(80) for e in ring(k, *corners[k % 4])], "poly int, x1 double, y1 double, x2 double, y2 double")
+    inside = {(i, k) for i in range(600) for k in range(80) for (x, y), (w, s) in [(spots[i % 15], corners[k % 4])] if w <= x < w + 1.1 and s <= y < s + 0.7}
+    assert sorted((p.id, p.poly) for p in spatial.polygon_parity(points, edges).collect()) == sorted(inside)
+    far = {p.id: p.distance for p in corridor.nearest_polygon_distance(points, edges, 0.25).collect()}
+    for i, (x, y) in ((i, spots[i % 15]) for i in range(600)):
+        assert far[i] == pytest.approx(min(math.hypot(max(w - x, 0, x - w - 1.1), max(s - y, 0, y - s - 0.7)) for w, s in corners))
+    df = corridor.area_within_radius(points, edges, 9.0)  # the disc holds all
+    assert {round(p.area, 6) for p in df.collect()} == {round(80 * 1.1 * 0.7, 6)}
+    assert most_rows(df) < 6000  # 15 places meet 320 edges; points and edges are 192,000 pairs
+    nowhere = points.union(spark.createDataFrame([(900, None, 1.0)], points.schema))
+    assert {p.id: p.distance for p in corridor.nearest_polygon_distance(nowhere, edges, 0.25).collect()}[900] is None
+
+
+def test_clusters_of_copies_follow_the_sequential_rule(spark):
+    r = random.Random(8)
+    spots = [(30 + r.randrange(10) / 50, 80 + r.randrange(10) / 50) for _ in range(40)]
+    rows = [(i, *spots[r.randrange(40)]) for i in range(400)] + [(500, None, 80.0), (501, None, 80.0)]
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+    near = {(a.id, a.other) for a in spatial.pairs_within(points, points, 3.0).collect()}
+    centres, expected = [], {}
+    for i, *_ in rows:
+        expected[i] = next((c for c in centres if (i, c) in near), i)
+        if expected[i] == i:
+            centres.append(i)
+    assert {p.id: p.centre for p in spatial.greedy_radius_clusters(points, 3.0).collect()} == expected
+
+
+def test_lines_longer_than_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(grid, "STRETCH", 5)
+    r = random.Random(9)
+    z = {(i, j): float(r.randrange(50)) for i in range(-7, 17) for j in range(13) if r.random() < 0.9}
+    cells = spark.createDataFrame([(*k, v) for k, v in z.items()], "r long, c long, z double")
+    got = grid.with_neighbours(cells).collect()
+    assert len(got) == len(z)
+    steps = {"n": (-1, 0), "s": (1, 0), "w": (0, -1), "e": (0, 1)}
+    assert all(g[k] == z.get((g.r + a, g.c + b)) for g in got for k, (a, b) in steps.items())
+    mask = {k for k, v in z.items() if v < 46}
+    opened = {(i + a, j + b) for i, j in mask if all((i + a, j + b) in mask for a in (-1, 0, 1) for b in (-1, 0, 1)) for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    assert opened and {(p.r, p.c) for p in grid.open_mask(cells.where("z < 46"), 1).collect()} == opened
