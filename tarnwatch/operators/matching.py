@@ -64,15 +64,23 @@ def seasonal_negative_dates(sites: DataFrame, positives: DataFrame, seed: int) -
     return s.join(ranked.select("slot", "k", "event_date"), ["slot", "k"]).select("site", "event_date")
 
 
+#: Parts into which the cells of a key are dealt where they meet one row of it.
+SALTS = 64
+
+
 def lut_bilinear(cells: DataFrame, table: DataFrame, row_step: int, col_step: int, keys: Sequence[str] = ()) -> DataFrame:
     """GR-09, GR-15: values of a sparse (line, pixel, value) lookup on a regular raster, at every cell; ``keys`` (scene, band) have a table each.
 
     A cell joins the four corners of its box by equality; beyond the last
-    corner the nearest one counts.
+    corner the nearest one counts. A key's last corner is one row for each of
+    its salts, so that no task takes all cells of a scene or band.
     """
     last = table.groupBy(*keys).agg(F.max("line").alias("_l"), F.max("pixel").alias("_p"))
     c = cells.select(*keys, "r", "c")
-    c = c.join(last, list(keys)) if keys else c.join(F.broadcast(last), F.lit(True))
+    if keys:
+        last = last.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        c = c.withColumn("_s", F.pmod(F.xxhash64("r", "c"), F.lit(SALTS)).cast("int"))
+    c = c.join(last, [*keys, "_s"]).drop("_s") if keys else c.join(F.broadcast(last), F.lit(True))
     low_r, low_c = F.least(F.floor(F.col("r") / row_step) * row_step, F.col("_l")), F.least(F.floor(F.col("c") / col_step) * col_step, F.col("_p"))
     c = c.withColumns({"r0": low_r, "c0": low_c, "r1": F.least(low_r + row_step, F.col("_l")), "c1": F.least(low_c + col_step, F.col("_p"))})
     fr = F.when(F.col("r1") > F.col("r0"), (F.col("r") - F.col("r0")) / row_step).otherwise(0.0)
