@@ -56,8 +56,8 @@ def leakage_free_dataset(events: DataFrame, lakes: DataFrame, glaciers: DataFram
     """
     scratch = Scratch(events.sparkSession, "dataset")
     measured = lakes.select(F.col("id").alias("other"), F.col("area_km2").alias("_a"), F.col("elev_m").alias("_e"))
-    found = nearest_within(events, lakes, match_km).join(measured, "other", "left").select("id", "_a", "_e")
-    sites = events.join(found, "id").withColumns({"area_km2": F.coalesce("_a", "area_km2"), "elev_m": F.coalesce("_e", "elev_m")}).where("area_km2 > 0 AND elev_m IS NOT NULL")
+    found = nearest_within(events, lakes, match_km).join(measured.hint("merge"), "other", "left").select("id", "_a", "_e")
+    sites = events.join(found.hint("merge"), "id").withColumns({"area_km2": F.coalesce("_a", "area_km2"), "elev_m": F.coalesce("_e", "elev_m")}).where("area_km2 > 0 AND elev_m IS NOT NULL")
     columns = ("id", "lat", "lon", "x", "y", "area_km2", "elev_m")
     sites = scratch.cut(sites.select(*columns), "events")
     model = fit_blocks(sites, k, seed)
@@ -69,7 +69,7 @@ def leakage_free_dataset(events: DataFrame, lakes: DataFrame, glaciers: DataFram
     both = blocks.withColumn("breached", F.lit(1)).unionByName(drawn.withColumn("breached", F.lit(0)))
     both = scratch.cut(both.withColumns({"source_id": F.col("id"), "id": F.concat_ws("-", "breached", "id")}), "rows")
     far, ice = nearest_polygon_distance(both, glaciers, first_radius), area_within_radius(both, glaciers, CONTEXT_M)
-    out = both.join(far, "id", "left").join(ice.withColumnRenamed("area", "ice_m2"), "id", "left")
+    out = both.join(far.hint("merge"), "id", "left").join(ice.withColumnRenamed("area", "ice_m2").hint("merge"), "id", "left")
     logs = {"log_area": F.log1p("area_km2"), "log_distance": F.log1p("distance"), "log_ice": F.log1p(F.col("ice_m2") / 1e6)}
     return out.withColumns(logs).na.drop(subset=["elev_m", *logs]).select("id", "source_id", "breached", "block", "lat", "lon", "elev_m", *logs)
 
