@@ -1,8 +1,9 @@
 """Maps, masks and neighbourhoods on cell tables (r, c, value...), one row for each cell.
 
 Neighbours come from windows along columns and then along rows: two shuffles,
-whatever the number of neighbours, and a group is one line of the grid. Grids
-are full rectangles; ``keys`` (scene, tile) partition them.
+whatever the number of neighbours, and a group is a stretch of a line of the
+grid, however long the line. Grids are full rectangles; ``keys`` (scene, tile)
+partition them.
 """
 
 from __future__ import annotations
@@ -21,14 +22,28 @@ from tarnwatch.scratch import Scratch
 EIGHT = (("n", -1, 0), ("ne", -1, 1), ("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1))
 
 
+#: Cells of a line that one group of a window holds.
+STRETCH = 4096
+
+
+def _stretches(cells: DataFrame, axis: str, halo: int) -> tuple[DataFrame, Column]:
+    """Cells with the stretch ``_b`` of the line along an axis, copied to the next one within ``halo`` of its ends; and which rows are no copies."""
+    own, at = F.floor(F.col(axis) / STRETCH), F.pmod(F.col(axis), F.lit(STRETCH))
+    copies = F.array_compact(F.array(own, F.when(at < halo, own - 1), F.when(at >= STRETCH - halo, own + 1)))
+    return cells.withColumn("_b", F.explode(copies)), F.col("_b") == own
+
+
 def with_neighbours(cells: DataFrame, value: str = "z", keys: Sequence[str] = ()) -> DataFrame:
     """Adds the value of the eight neighbours; null beyond the edge."""
-    down, along = Window.partitionBy(*keys, "c").orderBy("r"), Window.partitionBy(*keys, "r").orderBy("c")
     near = lambda f, axis, step, w, v: F.when(f(axis).over(w) == F.col(axis) + step, f(v).over(w))
-    out = cells.withColumns({"n": near(F.lag, "r", -1, down, value), "s": near(F.lead, "r", 1, down, value)})
+    out, own = _stretches(cells, "r", 1)
+    down = Window.partitionBy(*keys, "c", "_b").orderBy("r")
+    out = out.withColumns({"n": near(F.lag, "r", -1, down, value), "s": near(F.lead, "r", 1, down, value)}).where(own).drop("_b")
+    out, own = _stretches(out, "c", 1)
+    along = Window.partitionBy(*keys, "r", "_b").orderBy("c")
     return out.withColumns(
         {a + x: near(f, "c", step, along, col) for f, step, x in ((F.lag, -1, "w"), (F.lead, 1, "e")) for a, col in (("n", "n"), ("", value), ("s", "s"))}
-    )
+    ).where(own).drop("_b")
 
 
 def ndwi(green: Column, nir: Column, zero_safe: bool = False) -> Column:
@@ -207,6 +222,28 @@ def erode(mask: DataFrame, n: int = 1, box: bool = False) -> DataFrame:
     return votes.groupBy("r", "c").count().where(F.col("count") == len(near)).select("r", "c")
 
 
+def _line_totals(cells: DataFrame, other: str, axis: str, h: int, total, values: Sequence[str]) -> DataFrame:
+    """Totals of each value over the cells within ``h`` along an axis."""
+    rows, own = _stretches(cells, axis, h)
+    line = Window.partitionBy(other, "_b").orderBy(axis).rangeBetween(-h, h)
+    return rows.select("r", "c", "_b", *[total(v).over(line).alias(v) for v in values]).where(own).drop("_b")
+
+
+def open_mask(mask: DataFrame, n: int = 1) -> DataFrame:
+    """GR-23: erosion and then dilation by the box of n steps.
+
+    What is left are true cells, and so are all cells between one and the
+    centre of its box: lines and then columns of true cells tell both.
+    """
+    out = mask.select("r", "c", F.lit(1).alias("k"))
+    for other, axis in (("c", "r"), ("r", "c")):
+        out = _line_totals(out, other, axis, n, F.sum, ["k"])
+        out = out.withColumn("k", (F.col("k") == 2 * n + 1).cast("int"))
+    for other, axis in (("r", "c"), ("c", "r")):
+        out = _line_totals(out, other, axis, n, F.max, ["k"])
+    return out.where("k = 1").select("r", "c")
+
+
 def close_mask(mask: DataFrame) -> DataFrame:
     """GR-24: dilation and then erosion by the 3 x 3 box."""
     return erode(dilate(mask, 1, box=True), 1, box=True)
@@ -239,10 +276,9 @@ def largest_region(labels: DataFrame) -> DataFrame:
 def local_std(cells: DataFrame, value: str, size: int = 3) -> DataFrame:
     """GR-26: population deviation in a window clipped to the grid, from running sums of the value and its square."""
     h = size // 2
-    line = lambda other, axis: Window.partitionBy(other).orderBy(axis).rangeBetween(-h, h)
     out = cells.select("r", "c", F.col(value).alias("x"), (F.col(value) * F.col(value)).alias("xx"), F.lit(1).alias("k"))
     for other, axis in (("r", "c"), ("c", "r")):
-        out = out.select("r", "c", *[F.sum(v).over(line(other, axis)).alias(v) for v in ("x", "xx", "k")])
+        out = _line_totals(out, other, axis, h, F.sum, ("x", "xx", "k"))
     mean = F.col("x") / F.col("k")
     return out.select("r", "c", F.sqrt(F.greatest(F.lit(0.0), F.col("xx") / F.col("k") - mean * mean)).alias("std"))
 
