@@ -39,7 +39,8 @@ _ROUND = tuple((dr, dc) for _, dr, dc in EIGHT)
 
 def _tiled(cells: DataFrame, tile: int) -> DataFrame:
     """Each cell in its own tile and in those it touches: adds _tr, _tc."""
-    near = lambda v: F.explode(F.array_distinct(F.array(*[F.floor((F.col(v) + k) / tile) for k in (-1, 0, 1)])))
+    at = lambda v, k=0: F.floor((F.col(v) + k) / tile)
+    near = lambda v: F.explode(F.when(F.pmod(F.col(v), F.lit(tile)).isin(0, tile - 1), F.array_distinct(F.array(at(v, -1), at(v), at(v, 1)))).otherwise(F.array(at(v))))
     return cells.withColumn("_tr", near("r")).withColumn("_tc", near("c"))
 
 
@@ -143,27 +144,90 @@ def _spill_levels(heights: DataFrame, scratch: Scratch) -> DataFrame:
     return state.select("label", "level")
 
 
-def _flooded(tile: int, gradient: float, key: tuple, rows: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-    """Levels of one tile, given the present levels around it; water rises by the gradient with each step inward."""
-    z, outer = _block(rows, "z", key, tile), _block(around, "level", key, tile)
-    top, left = key[0] * tile - 1, key[1] * tile - 1
-    inner = np.zeros(z.shape, dtype=bool)
-    inner[1:-1, 1:-1] = True
-    there = np.where(inner, z, outer)
-    level = np.where(inner & _drains(there), z, np.where(inner, np.inf, np.where(np.isnan(outer), np.inf, outer)))
-    heap = [(level[i, j], i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(level < np.inf)), strict=True)]
+def _packed(tile: int, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One tile as one row: places and heights of its cells (NaN for a null), and places of the cells around it."""
+    at, z = rows["at"].to_numpy(), rows["z"].to_numpy(dtype=float)
+    i, j = np.divmod(at, tile + 2)
+    own = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
+    return pd.DataFrame({"_tr": key[0], "_tc": key[1], "at": [at[own]], "z": [z[own]], "around": [at[~own & ~np.isnan(z)]]}).head(int(own.any()))
+
+
+def _flooded(tile: int, gradient: float, cells: pd.DataFrame, around: pd.DataFrame) -> np.ndarray:
+    """Levels of one packed tile, given the present levels around it; water rises by the gradient with each step inward. NaN where there is no cell, infinite where no water has come yet.
+
+    All cells take the lowest way over a neighbour at once, as long as many
+    sink by that; what still sinks then (along few, long ways) goes through a heap.
+    """
+    side = tile + 2
+    z, there, level = np.full((side, side), np.nan), np.full((side, side), np.nan), np.full((side, side), np.inf)
+    z.ravel()[cells["at"].iloc[0]] = cells["z"].iloc[0]
+    there.ravel()[cells["around"].iloc[0]] = 0.0
+    level.ravel()[around["at"].to_numpy()] = around["level"].to_numpy()
+    cell = ~np.isnan(z)
+    level = np.where(_drains(np.where(cell, z, there)) & cell, z, level)
+    rows, cols = cell.any(axis=1).nonzero()[0], cell.any(axis=0).nonzero()[0]
+    if not len(rows):
+        return z
+    box = np.s_[rows[0] - 1 : rows[-1] + 2, cols[0] - 1 : cols[-1] + 2]
+    now, floor = level[box], np.where(cell, z, np.inf)[box]  # water stops at infinite floors: where no cell is, and around the tile
+    inner, sinks = now[1:-1, 1:-1], np.zeros(now.shape, dtype=bool)
+    for _ in range(2 * tile):
+        low = np.minimum(np.minimum(now[:-2], now[1:-1]), now[2:])
+        low = np.maximum(np.minimum(np.minimum(low[:, :-2], low[:, 1:-1]), low[:, 2:]) + gradient, floor[1:-1, 1:-1])
+        np.less(low, inner, out=sinks[1:-1, 1:-1])
+        np.minimum(low, inner, out=inner)
+        if np.count_nonzero(sinks) * 256 < sinks.size:
+            break
+    if sinks.any():
+        now[...] = _sunk(now, floor, sinks, gradient)
+    return np.where(cell, level, np.nan)
+
+
+def _sunk(level: np.ndarray, floor: np.ndarray, sinks: np.ndarray, gradient: float) -> np.ndarray:
+    """Levels after all that follows from the cells that have just sunk."""
+    width, at = level.shape[1], np.flatnonzero(sinks)
+    steps = [dr * width + dc for dr, dc in _ROUND]
+    heap = list(zip(level.ravel()[at].tolist(), at.tolist(), strict=True))
     heapq.heapify(heap)
+    levels, floors = level.ravel().tolist(), floor.ravel().tolist()
     while heap:
-        w, i, j = heapq.heappop(heap)
-        if w > level[i, j]:
+        w, k = heapq.heappop(heap)
+        if w > levels[k]:
             continue
-        for dr, dc in _ROUND:
-            a, b = i + dr, j + dc
-            if 0 < a <= tile and 0 < b <= tile and max(z[a, b], w + gradient) < level[a, b]:  # false for missing cells
-                level[a, b] = max(z[a, b], w + gradient)
-                heapq.heappush(heap, (level[a, b], a, b))
-    i, j = np.nonzero(~np.isnan(z) & inner)
-    return pd.DataFrame({"r": i + top, "c": j + left, "level": level[i, j]})
+        w += gradient
+        for step in steps:
+            n = k + step
+            h = floors[n]
+            if h < w:
+                h = w
+            if h < levels[n]:
+                levels[n] = h
+                heapq.heappush(heap, (h, n))
+    return np.array(levels).reshape(level.shape)
+
+
+def _handed_on(tile: int, gradient: float, key: tuple, cells: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    """Levels that a flooded tile shows to the tiles beside it: their keys, places there and levels."""
+    parts = [pd.DataFrame({"_tr": [], "_tc": [], "at": [], "level": []})]
+    if len(cells):
+        level = _flooded(tile, gradient, cells, around)
+        i, j = np.nonzero(level < np.inf)
+        p, q = np.divmod(cells["around"].iloc[0], tile + 2)
+        beside = set(zip(((p > tile) * 1 - (p == 0)).tolist(), ((q > tile) * 1 - (q == 0)).tolist(), strict=True))
+        for dr, dc in beside:
+            a, b = i - dr * tile, j - dc * tile
+            seen = (a >= 0) & (a <= tile + 1) & (b >= 0) & (b <= tile + 1)
+            parts.append(pd.DataFrame({"_tr": key[0] + dr, "_tc": key[1] + dc, "at": (a * (tile + 2) + b)[seen], "level": level[i[seen], j[seen]]}))
+    return pd.concat(parts).astype({"_tr": "int64", "_tc": "int64", "at": "int32", "level": "float64"})
+
+
+def _raised(tile: int, gradient: float, key: tuple, cells: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    """All cells of a tile at their last levels."""
+    if not len(cells):
+        return pd.DataFrame({"r": [], "c": [], "z": []})
+    at = cells["at"].iloc[0]
+    i, j = np.divmod(at.astype("int64"), tile + 2)
+    return pd.DataFrame({"r": key[0] * tile - 1 + i, "c": key[1] * tile - 1 + j, "z": _flooded(tile, gradient, cells, around)[i, j]})
 
 
 def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-4, tile: int = TILE) -> DataFrame:
@@ -179,9 +243,10 @@ def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-
     level in the tile and of the rim cell it drains to. Written tables grow
     with the logarithm of the number of tiles, whatever the width of a pit.
 
-    With a gradient, so that filled plains drain, tiles are flooded again with
-    the levels found around them until none changes. A round passes one tile,
-    so rounds grow with the width of a pit in tiles.
+    With a gradient, so that filled plains drain, tiles are packed once, one row
+    for each. Only levels beside another tile are handed on and written, and
+    only tiles beside which a level has sunk are flooded again. A round passes
+    one tile, so rounds grow with the width of a pit in tiles.
     """
     if mode == "none":
         return cells
@@ -193,22 +258,24 @@ def fill_depressions(cells: DataFrame, mode: str = "fill", gradient: float = 1e-
         levels = _spill_levels(spills.where("kind = 1").select("a", "b", "w"), scratch).withColumnRenamed("label", "b")
         found = spills.where("kind = 0").join(levels, "b", "left")
         found = found.select(F.shiftright("a", 31).alias("r"), F.col("a").bitwiseAND(F.lit((1 << 31) - 1)).alias("c"), F.greatest("w", F.coalesce("level", "w")).alias("level"))
-    else:
-        tiles = own.withColumns({"_tr": F.floor(F.col("r") / tile), "_tc": F.floor(F.col("c") / tile)}).groupBy("_tr", "_tc")
-        rim = lambda v: F.pmod(F.col(v), F.lit(tile)).isin(0, tile - 1)
-        outer = F.when(F.col("z").isNotNull(), F.lit(float("inf")))
-        found = scratch.cut(own.where(rim("r") | rim("c")).select("r", "c", outer.alias("level")), "levels")
-        before = None
-        while True:
-            around = _tiled(found.where(rim("r") | rim("c")), tile).groupBy("_tr", "_tc")
-            flooded = tiles.cogroup(around).applyInPandas(lambda key, rows, near: _flooded(tile, gradient, key, rows, near), "r long, c long, level double")
-            # levels only ever sink, so a sum that stays the same shows that all stay
-            sunk = F.sum(F.when((rim("r") | rim("c")) & (F.col("level") < float("inf")), F.col("level").cast("decimal(38,12)")))
-            found, now = scratch.replace(flooded, "levels", sunk, F.count_if(F.col("level") == float("inf")))
-            if now == before:
-                break
-            before = now
-    return own.select("r", "c", "z").join(found, ["r", "c"], "left").select("r", "c", F.col("level").alias("z"))
+        return own.join(found, ["r", "c"], "left").select("r", "c", F.col("level").alias("z"))
+    side = tile + 2
+    place = (F.col("r") - F.col("_tr") * tile + 1) * side + F.col("c") - F.col("_tc") * tile + 1
+    tiles = _tiled(own, tile).select("_tr", "_tc", place.cast("int").alias("at"), "z").groupBy("_tr", "_tc")
+    tiles = scratch.cut(tiles.applyInPandas(lambda key, rows: _packed(tile, key, rows), "_tr long, _tc long, at array<int>, z array<double>, around array<int>"), "tiles")
+    known = cells.sparkSession.createDataFrame([], "_tr long, _tc long, at int, level double, sunk boolean")
+    beside, active = lambda df: df.groupBy("_tr", "_tc").cogroup(known.groupBy("_tr", "_tc")), tiles
+    while True:
+        new = beside(active).applyInPandas(lambda key, rows, around: _handed_on(tile, gradient, key, rows, around), "_tr long, _tc long, at int, level double")
+        none = F.lit(None).cast("double")
+        both = known.select("_tr", "_tc", "at", F.col("level").alias("old"), none.alias("new")).unionByName(new.select("_tr", "_tc", "at", none.alias("old"), F.col("level").alias("new")))
+        both = both.groupBy("_tr", "_tc", "at").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        both = both.select("_tr", "_tc", "at", F.least("old", "new").alias("level"), F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull()).alias("sunk"))
+        known, (sunk,) = scratch.replace(both, "known", F.count_if("sunk"))
+        if not sunk:
+            break
+        active = tiles.join(known.where("sunk").select("_tr", "_tc").distinct(), ["_tr", "_tc"], "left_semi")
+    return beside(tiles).applyInPandas(lambda key, rows, around: _raised(tile, gradient, key, rows, around), "r long, c long, z double")
 
 
 def flow_accumulation(flow: DataFrame, width: int) -> DataFrame:

@@ -51,6 +51,36 @@ def test_fill_of_nothing(spark):
     assert terrain.fill_depressions(one, gradient=0).head().z == 3.0 == terrain.fill_depressions(one).head().z
 
 
+def test_fill_floods_again_only_what_sank(spark, monkeypatch):
+    """A long pit open at one end: rounds write borders of tiles only, and go on with the tiles that the water has reached."""
+    written = []
+
+    class Watched(terrain.Scratch):
+        def cut(self, df, name):
+            table = super().cut(df, name)
+            written.append((table.count(), table.where("sunk").select("_tr", "_tc").distinct().count() if "sunk" in table.columns else None))
+            return table
+
+    monkeypatch.setattr(terrain, "Scratch", Watched)
+    z = {(r, c): 0.5 if r == 12 and c < 62 else 9.0 for r in range(24) for c in range(64)}
+    found = terrain.fill_depressions(spark.createDataFrame([(*k, v) for k, v in z.items()], "r int, c int, z double"), tile=8)
+    assert {(r.r, r.c): r.z for r in found.collect()} == plain_fill(z, 1e-4)
+    tables = [n for n, _ in written]
+    assert tables[0] == 3 * 8 and max(tables) < len(z) / 2  # a row for each tile, then borders
+    sunk = [n for _, n in written if n is not None]
+    assert len(sunk) > 8 and sunk[0] == 3 * 8 and max(sunk[2:]) <= 9 and sunk[-1] == 0  # where the water is, and the tiles around
+
+
+@pytest.mark.parametrize("gradient", [1e-4, 0.3])
+def test_fill_along_a_winding_way(spark, gradient):
+    """Few cells sink at a time, so the heap takes over from the sweeps; some have no elevation, or an infinite one."""
+    way = {(r, c) for r in range(1, 39) for c in range(1, 39) if r % 2 or c == (38 if r % 4 else 1)} | {(1, 0)}
+    z = {(r, c): 0.5 if (r, c) in way else 9.0 for r in range(40) for c in range(40)} | {(4, 20): math.inf, (17, 17): -1.0}
+    z |= {(30, c): None for c in range(20, 22)}
+    found = terrain.fill_depressions(spark.createDataFrame([(*k, v) for k, v in z.items()], "r int, c int, z double"), gradient=gradient, tile=64)
+    assert {(r.r, r.c): r.z for r in found.collect()} == plain_fill(z, gradient) | {(4, 20): math.inf}
+
+
 def plain_rings(mask):
     """Walks with the region on the right: at each corner right if it can, else straight on, else left."""
     sides = {}
