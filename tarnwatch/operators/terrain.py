@@ -68,37 +68,46 @@ def _spills(tile: int, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     forest is kept, as no way around uses another one.
     """
     z = _block(rows, "z", key, tile)
-    top, left = key[0] * tile - 1, key[1] * tile - 1
+    side, top, left = tile + 2, key[0] * tile - 1, key[1] * tile - 1
     number = lambda i, j: ((i + top) << 31) + j + left
-    drains = _drains(z)
-    level, label = np.full(z.shape, np.inf), np.full(z.shape, _BEYOND - 1)
-    heap, between = [], []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(~np.isnan(z[1:-1, 1:-1]))), strict=True):
-        i, j = i + 1, j + 1
-        on_rim = i in (1, tile) or j in (1, tile)
-        if on_rim or drains[i, j]:
-            level[i, j], label[i, j] = z[i, j], number(i, j) if on_rim else _BEYOND
-            heap.append((z[i, j], i, j))
-        if on_rim:
-            if drains[i, j]:
-                between.append((z[i, j], _BEYOND, number(i, j)))
-            for dr, dc in _ROUND:  # ways into the next tile, given by one of both
-                a, b = i + dr, j + dc
-                if not (0 < a <= tile and 0 < b <= tile) and not np.isnan(z[a, b]) and number(i, j) < number(a, b):
-                    between.append((max(z[i, j], z[a, b]), number(i, j), number(a, b)))
-    links = len(between)
+    drains, inner, rim = _drains(z), np.zeros(z.shape, dtype=bool), np.ones(z.shape, dtype=bool)
+    inner[1:-1, 1:-1], rim[2:-2, 2:-2] = True, False
+    cell = inner & ~np.isnan(z)
+    rim &= cell
+    i, j = np.indices(z.shape)
+    label = np.where(rim, number(i, j), np.where(cell & drains, _BEYOND, _BEYOND - 1)).ravel().tolist()
+    started, drains = cell & (rim | drains), drains.ravel().tolist()
+    # places past the end are never within; a dry cell has no label yet
+    within, dry = (bytearray(x.tobytes()) + bytes(side + 2) for x in (cell, cell & ~started))
+    level, z = np.where(started, z, np.inf).ravel().tolist(), z.ravel().tolist()
+    steps = [dr * side + dc for dr, dc in _ROUND]
+    kept: list[tuple[float, int, int]] = []
+    for k in np.flatnonzero(rim).tolist():
+        if drains[k]:
+            kept.append((z[k], _BEYOND, label[k]))
+        for step in steps:  # ways into the next tile, given by one of both
+            n = k + step
+            other = number(*divmod(n, side))
+            if not within[n] and z[n] == z[n] and label[k] < other:
+                kept.append((max(z[k], z[n]), label[k], other))
+    heap = [(level[k], k) for k in np.flatnonzero(started).tolist()]
     heapq.heapify(heap)
+    between: dict[tuple[int, int], float] = {}
     while heap:
-        w, i, j = heapq.heappop(heap)
-        for dr, dc in _ROUND:
-            a, b = i + dr, j + dc
-            if not (0 < a <= tile and 0 < b <= tile) or np.isnan(z[a, b]):
-                continue
-            if level[a, b] == np.inf:
-                level[a, b], label[a, b] = max(z[a, b], w), label[i, j]
-                heapq.heappush(heap, (level[a, b], a, b))
-            elif label[a, b] != label[i, j]:
-                between.append((max(level[a, b], w), *sorted((label[a, b], label[i, j]))))
+        w, k = heapq.heappop(heap)
+        own = label[k]
+        for step in steps:
+            n = k + step
+            if dry[n]:
+                dry[n] = 0
+                level[n] = h = z[n] if z[n] > w else w
+                label[n] = own
+                heapq.heappush(heap, (h, n))
+            elif within[n] and label[n] != own:
+                pair = (own, label[n]) if own < label[n] else (label[n], own)
+                h = level[n] if level[n] > w else w
+                if pair not in between or h < between[pair]:
+                    between[pair] = h
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -106,15 +115,13 @@ def _spills(tile: int, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             parent[x] = x = parent[parent[x]]
         return x
 
-    kept = between[:links]
-    for height, x, y in sorted(set(between[links:])):
+    for height, x, y in sorted((h, *pair) for pair, h in between.items()):
         p, q = root(x), root(y)
         if p != q:
             parent[p] = q
             kept.append((height, x, y))
-    i, j = np.nonzero(~np.isnan(z[1:-1, 1:-1]))
-    i, j = i + 1, j + 1
-    cells = pd.DataFrame({"kind": 0, "a": number(i, j), "b": label[i, j], "w": level[i, j]})
+    at = np.flatnonzero(cell)
+    cells = pd.DataFrame({"kind": 0, "a": number(*np.divmod(at, side)), "b": np.array(label)[at], "w": np.array(level)[at]})
     return pd.concat([cells, pd.DataFrame({"kind": 1, "a": [k[1] for k in kept], "b": [k[2] for k in kept], "w": [float(k[0]) for k in kept]})]).astype({"kind": "int32", "a": "int64", "b": "int64", "w": "float64"})
 
 
