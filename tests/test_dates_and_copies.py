@@ -86,6 +86,25 @@ def test_own_bank_of_a_point_below_two_corridors(spark):
         corridor.exposure_corridor(rivers.drop("river"), rivers, points.selectExpr("id", "x AS x1", "y AS y1", "x AS x2", "y AS y2", "false AS filled", "tolerance_m"), own_bank=True)
 
 
+def test_corridor_of_copies(spark):
+    r = random.Random(11)
+    lines = [[(100.0 * k, 50.0 * k, 100.0 * k + 300, 50.0 * k + 80), (100.0 * k + 300, 50.0 * k + 80, 900.0, 2000.0)] for k in range(3)] + [[(5000.0, 5000.0, 5200.0, 5000.0)]]
+    rivers = [(k, *e) for k in range(160) for e in lines[k % 4]]
+    spots = [(r.uniform(0, 600), r.uniform(-200, 400)) for _ in range(20)] + [(r.uniform(-300, 1300), r.uniform(-300, 2200)) for _ in range(8)] + [(150.0, 50.0), (5100.0, 5010.0)]
+    rows = [(i, *spots[i % 30], 50.0 + i % 2 * 25) for i in range(600)] + [(0, *spots[28], 50.0)]  # the first has two places
+    away = lambda x, y, e: math.dist((x, y), (e[0] + (t := max(0.0, min(1.0, ((x - e[0]) * (e[2] - e[0]) + (y - e[1]) * (e[3] - e[1])) / math.dist(e[:2], e[2:]) ** 2))) * (e[2] - e[0]), e[1] + t * (e[3] - e[1])))
+    nearest = {}
+    for i, x, y, tolerance in rows:  # the last line is too far from the path
+        nearest[i, tolerance] = min(nearest.get((i, tolerance), math.inf), *[away(x, y, e) for line in lines[:3] for e in line])
+    expected = {k: (round(abs(d - 125), 1), d <= 125) for k, d in nearest.items() if d <= 125 + k[1]}
+    named = lambda rows, schema: spark.createDataFrame(rows, schema)
+    df = corridor.exposure_corridor(named([(0.0, -100.0, 200.0, -100.0)] * 40, "x1 double, y1 double, x2 double, y2 double"), named(rivers, "river int, x1 double, y1 double, x2 double, y2 double"), named(rows, "id int, x double, y double, tolerance_m double"), own_bank=True)
+    got = {(p.id, p.tolerance_m): (p.distance_m, p.inside) for p in df.collect()}
+    assert got.keys() == expected.keys() and len(got) > 200
+    assert all(got[k][1] == v[1] and got[k][0] == pytest.approx(v[0], abs=0.11) for k, v in expected.items())
+    assert most_rows(df) < 8000  # 30 places meet 6 edges; assets and edges are 72,000 pairs
+
+
 def test_copies_of_places_and_shapes(spark):
     r = random.Random(7)
     spots = [(r.randrange(20) / 4, r.randrange(20) / 4) for _ in range(15)]
